@@ -26,7 +26,7 @@ def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return configure(spark).readStream.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
+    return configure(spark).readStream.schema(EVENTS).parquet(f"{sf_dir}/events*.parquet")
 
 
 def as_messages(events: DataFrame) -> DataFrame:

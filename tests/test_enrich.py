@@ -1,0 +1,84 @@
+import datetime as dt
+import json
+
+from pyspark.sql import functions as F
+
+from millrace.operators import (
+    conformance_report,
+    enrich_events,
+    parse_events,
+    route_messages,
+    validate_events,
+)
+from millrace.schemas import DEAD_LETTER, EVENTS_RAW
+
+
+def enriched(envelopes, **options):
+    return enrich_events(validate_events(parse_events(envelopes)), **options)
+
+
+def test_fields_are_added(spark, send):
+    body = '{"event_id":"e1","event_type":"click","user_id":"u1"}'
+    rows = enriched(send(body), version="test-1.0").collect()
+    assert len(rows) == 1
+    row = rows[0]
+    assert (row.event_id, row.user_id, row.pipeline_version) == ("e1", "u1", "test-1.0")
+    assert row.processed_at is not None and row.ingest_date is not None
+    assert row.payload == "{}"
+
+
+def test_shape_is_the_declared_one(spark, send):
+    rows = enriched(send('{"event_id":"e1","event_type":"click"}'))
+    assert [(f.name, f.dataType) for f in rows.schema.fields] == [
+        (f.name, f.dataType) for f in EVENTS_RAW.fields
+    ]
+
+
+def test_payload_keeps_json_types(spark, send):
+    extra = {"n": 1.5, "i": 12, "s": "1", "t": True, "z": None, "o": {"x": [1, None]},
+             "timestamp": "2024-01-01T00:00:00Z", "u": "é \"\\", "e": "", "l": []}
+    body = json.dumps({"event_id": "e1", "event_type": "click", "user_id": "u", **extra})
+    payload = enriched(send(body)).first().payload
+    assert json.loads(payload) == extra
+
+
+def test_one_clock_reading(spark, send):
+    bodies = [f'{{"event_id":"e{i}","event_type":"click"}}' for i in range(100)]
+    rows = enriched(send(*bodies)).collect()
+    assert len({r.processed_at for r in rows}) == 1
+    assert all(r.ingest_date == r.processed_at.date() for r in rows)
+
+
+def test_clock_can_be_given_and_is_utc(spark, send):
+    late = dt.datetime(2024, 1, 15, 23, 59, 59)
+    envelopes = send('{"event_id":"e","event_type":"click"}', publish_time=late)
+    rows = enriched(envelopes, clock=F.col("publish_time") + F.expr("interval 1 second"))
+    assert rows.first().ingest_date == dt.date(2024, 1, 16)
+
+
+def test_route_sends_every_message_once(spark, send):
+    envelopes = send('{"event_id":"e","event_type":"click","x":1}', "{", '{"event_id":"e"}')
+    routed = route_messages(validate_events(parse_events(envelopes)))
+    assert routed.columns == [*EVENTS_RAW.fieldNames(), *DEAD_LETTER.fieldNames()]
+    rows = {r.reason: r for r in routed.collect()}
+    assert set(rows) == {None, "malformed", "missing_required"}
+    assert rows[None].raw is None and rows[None].error is None and rows[None].payload == '{"x":1}'
+    assert rows["malformed"].raw == "{" and rows["malformed"].event_id is None
+
+
+def test_null_in_a_required_column_is_a_reject(spark, send):
+    envelopes = send('{"event_id":"e","event_type":"click"}')
+    routed = route_messages(
+        validate_events(parse_events(envelopes)), clock=F.lit(None).cast("timestamp")
+    )
+    row = routed.first()
+    assert row.reason == "required_null" and row.raw.startswith("{")
+
+
+def test_conformance_report_counts_nulls(spark):
+    rows = [("a", None, None, "{}", dt.datetime(2024, 1, 1), None, "1"),
+            (None, None, None, "{}", dt.datetime(2024, 1, 1), dt.date(2024, 1, 1), "1")]
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in EVENTS_RAW.fields)
+    found = conformance_report(spark.createDataFrame(rows, types)).first().asDict()
+    assert found == {"row_count": 2, "null_event_id": 1, "null_event_type": 2,
+                     "null_processed_at": 0, "null_ingest_date": 1, "null_pipeline_version": 0}

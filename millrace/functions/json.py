@@ -77,11 +77,13 @@ def json_value(text: Column | str, path: str) -> Column:
     """Scalar at `path` as text; NULL if absent, null, an object or an array.
 
     `get_json_object` finds the value in one streaming pass. Only where its
-    text could be that of an object or array is the type looked up.
+    text could be that of an object or array is the type looked up; such a
+    value is made null by adding null to its text. (A CASE that returned the
+    text would search for it twice: common subexpressions are not shared with
+    conditional branches.)
     """
     text = _col(text)
     found = F.get_json_object(text, path)
     node = F.try_variant_get(F.try_parse_json(text), path, "variant")
-    return F.when(
-        ~found.rlike(_CONTAINER) | ~is_container(F.schema_of_variant(node)), found
-    )
+    nested = found.rlike(_CONTAINER) & is_container(F.schema_of_variant(node))
+    return F.concat(found, F.when(nested, F.lit(None).cast("string")).otherwise(""))

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.time import epoch_floor
@@ -177,8 +177,19 @@ def _sessions(
     if shortest_gap <= 0:
         raise ValueError("a session gap must be positive")
     if events.isStreaming:
-        window = F.session_window(event_time, F.make_interval(secs=gap))
-        return _count(_watermarked(events, event_time, lateness), window, keys)
+        window = F.session_window(event_time, F.make_interval(secs=gap)).alias("_window")
+        counted = (
+            _watermarked(events, event_time, lateness)
+            .groupBy(window, *keys)
+            .agg(F.count("*").alias("event_count"))
+        )
+        # A session's bounds are known only after merging, but the optimizer
+        # takes them for a plain grouping key and would push a later filter on
+        # them down to the rows. It pushes none through a generator.
+        bounds = F.struct(
+            F.col("_window.start").alias("window_start"), F.col("_window.end").alias("window_end")
+        )
+        return counted.select(F.inline(F.array(bounds)), *keys, "event_count")
     # Rows in one cell no longer than the shortest gap are always in the same
     # session. So a cell is a session in small, and the number of cells of a
     # key is bounded by the time it spans, not by its rows.
@@ -192,11 +203,20 @@ def _sessions(
             F.count("*").alias("_rows"),
         )
     )
-    length = F.make_interval(secs=((F.col("_to") - F.col("_from")).cast("decimal(18,0)") / 1_000_000).cast("decimal(18,6)"))
-    window = F.session_window(F.col("_start"), length).alias("_window")
-    return _flat(
-        cells.withColumn("_start", F.timestamp_micros("_from"))
-        .groupBy(window, *keys)
-        .agg(F.sum("_rows").alias("event_count")),
-        keys,
+    # A cell that starts after everything before it has ended opens a session.
+    in_order = Window.partitionBy(*keys).orderBy("_from")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    up_to = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = F.max("_to").over(before)
+    opens = F.when(reached >= F.col("_from"), 0).otherwise(1)
+    return (
+        cells.withColumn("_opens", opens)
+        .withColumn("_session", F.sum("_opens").over(up_to))
+        .groupBy(*keys, "_session")
+        .agg(
+            F.timestamp_micros(F.min("_from")).alias("window_start"),
+            F.timestamp_micros(F.max("_to")).alias("window_end"),
+            F.sum("_rows").alias("event_count"),
+        )
+        .select("window_start", "window_end", *keys, "event_count")
     )

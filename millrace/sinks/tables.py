@@ -21,8 +21,9 @@ CLUSTER_BY = ("event_type", "user_id")
 DAY = "ingest_date"
 BATCH = "batch"
 
-# Uncompressed text per file; Parquet makes it several times smaller.
-TARGET_FILE_BYTES = 512 * 1024 * 1024
+# Uncompressed text per file and writing task; Parquet makes it several times
+# smaller.
+TARGET_FILE_BYTES = 128 * 1024 * 1024
 
 
 def write_batch(

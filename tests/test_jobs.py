@@ -1,0 +1,27 @@
+"""The command-line jobs, one after the other."""
+
+import datetime as dt
+
+import pytest
+
+from jobs import daily_check, ingest, publish
+from millrace.sinks import read_events
+
+
+def test_publish_ingest_check(spark, tmp_path):
+    src, events, letters = (str(tmp_path / n) for n in ("in", "events", "letters"))
+    publish.main(["--out", src, "--count", "120"])
+    publish.main(["--out", src, "--count", "30", "--seed", "7", "--event-type", "error"])
+    ingest.main([
+        "--source", src, "--events", events, "--dead-letters", letters,
+        "--checkpoint", str(tmp_path / "cp"), "--pipeline-version", "9.9.9",
+        "--window-counts", str(tmp_path / "counts"),
+    ])
+    rows = read_events(spark, events)
+    assert rows.count() == 150
+    assert {r.pipeline_version for r in rows.select("pipeline_version").collect()} == {"9.9.9"}
+    day = str(rows.first().ingest_date)
+    daily_check.main(["--events", events, "--day", day])
+    daily_check.main(["--events", events, "--day", day, "--any-row"])
+    with pytest.raises(Exception, match="no data for"):
+        daily_check.main(["--events", events, "--day", str(dt.date(2001, 1, 1))])

@@ -45,7 +45,7 @@ CASES = [
     (GOOD + "," + GOOD, "malformed", None),
     (GOOD + GOOD, "malformed", None),
     (GOOD + ',"x"]', "malformed", None),
-    (GOOD + ',"' + "0" * 64 + '"]', "malformed", None),
+    (GOOD + ',"' + "0" * 16 + '"]', "malformed", None),
     ("{'event_id':'a','event_type':'click'}", "malformed", None),
     ('{"event_id":"a","event_type":"click","n":01}', "malformed", None),
     ('{"event_id":"a","event_type":"click",}', "malformed", None),

@@ -21,6 +21,8 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # Counting the rows of a store costs a lookup per write.
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
     # Pre-merge sessions before the shuffle, so that one very busy user does
     # not send every row to a single task.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",

@@ -84,7 +84,9 @@ def write_events(
 def write_dead_letters(routed: DataFrame, root: str, batch: str, files: int = 1) -> None:
     """Add (or replace) one batch of dead letters, foldered by processing day."""
     shaped = routed.select(*DEAD_LETTER.fieldNames(), DAY)
-    _replace(shaped.coalesce(files).sortWithinPartitions(DAY, "reason"), root, batch)
+    # A shuffle, not a coalesce: the rejects are few, but finding them among
+    # all rows of the batch must stay as parallel as the batch.
+    _replace(shaped.repartition(files).sortWithinPartitions(DAY, "reason"), root, batch)
 
 
 def _replace(rows: DataFrame, root: str, batch: str) -> None:
@@ -106,7 +108,7 @@ def read_events(
 ) -> DataFrame:
     """The events table, with its declared schema.
 
-    With `since` and `until` only the folders of those days are listed; the
+    With `since` or `until` only the folders of those days are listed; the
     bounds are also a filter. `extra` names columns added to the table later:
     older files, which lack them, read as null, and no footers are merged.
     A table nothing was written to yet reads as empty.
@@ -132,17 +134,29 @@ def _read(
     since: dt.date | None = None,
     until: dt.date | None = None,
 ) -> DataFrame:
-    stored = T.StructType([*schema.fields, T.StructField(BATCH, T.StringType())])
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+    folders = [
+        path for day, path in _days(spark, root)
+        if (since is None or day >= str(since)) and (until is None or day <= str(until))
+    ]
+    if not folders:
         return spark.createDataFrame([], schema)
-    days = None
-    if since is not None and until is not None:
-        span = [since + dt.timedelta(days=n) for n in range((until - since).days + 1)]
-        wanted = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, f"{DAY}={d}") for d in span]
-        days = [p.toString() for p in wanted if fs.exists(p)]
-        if not days:
-            return spark.createDataFrame([], schema)
+    if since is None and until is None:
+        folders = [root]
+    stored = T.StructType([*schema.fields, T.StructField(BATCH, T.StringType())])
     reader = spark.read.schema(stored).option("basePath", root)
-    return reader.parquet(*(days or [root])).select(*schema.fieldNames())
+    return reader.parquet(*folders).select(*schema.fieldNames())
+
+
+def _days(spark: SparkSession, root: str) -> list[tuple[str, str]]:
+    """Day and path of each day folder: one listing, one entry per day."""
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(hadoop)
+    if not fs.exists(path):
+        return []
+    found = [status.getPath() for status in fs.listStatus(path)]
+    prefix = f"{DAY}="
+    return [
+        (p.getName().removeprefix(prefix), p.toString())
+        for p in found if p.getName().startswith(prefix)
+    ]

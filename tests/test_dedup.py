@@ -57,7 +57,7 @@ def test_stream_thins_hot_keys_before_they_meet(spark, tmp_path):
         dedup_stream(stream, spread=4), str(tmp_path / "out"), str(tmp_path / "state")
     )
     operators = [p for p in query.recentProgress if p["numInputRows"]][0]["stateOperators"]
-    entries = [op["numRowsTotal"] for op in operators]
+    entries = [op["numRowsUpdated"] for op in operators]
     keys = rows.select("event_id").distinct().count()
     assert sorted(entries)[0] == keys
     assert sorted(entries)[1] <= 4 * keys

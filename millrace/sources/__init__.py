@@ -1,6 +1,6 @@
 """Where messages come from."""
 
-from millrace.sources.envelopes import from_kafka, read_envelopes, write_envelopes
+from millrace.sources.envelopes import from_kafka, read_envelopes, spread, write_envelopes
 from millrace.sources.generator import generate_envelopes, generate_events
 
 __all__ = [
@@ -8,5 +8,6 @@ __all__ = [
     "generate_envelopes",
     "generate_events",
     "read_envelopes",
+    "spread",
     "write_envelopes",
 ]

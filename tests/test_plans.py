@@ -9,6 +9,7 @@ from helpers import physical
 from millrace import plans
 from millrace.functions import json_value
 from millrace.schemas import EVENTS_RAW
+from millrace.sources import spread
 from workload import messages as M
 
 TODAY = dt.date(2024, 1, 30)
@@ -160,8 +161,16 @@ AGGREGATES = {
 def test_messages_are_parsed_once_and_counted_before_the_shuffle(spark, sf_dir, name):
     plan = physical(AGGREGATES[name](M.enriched(spark, sf_dir)))
     assert plan.count("parseJson(concat(") == plan.count("FileScan") == 1
-    assert "HashAggregate" in plan.split("Exchange")[-1]
+    assert "HashAggregate" in plan.split("Exchange hashpartitioning")[-1]
     assert "Join" not in plan
+    # The date bound reaches the scan, also through the round-robin exchange.
+    assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan
+
+
+def test_only_inputs_with_few_splits_are_dealt_out(spark):
+    few, many = spark.range(100, numPartitions=2), spark.range(100, numPartitions=8)
+    assert "RoundRobin" in physical(spread(few))
+    assert spread(many) is many
 
 
 def test_top_k_is_not_a_global_sort(events):

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from millrace import configure
 from millrace.functions import iso_utc
 from millrace.operators import accepted, enrich_events, parse_events, validate_events
+from millrace.sources import spread
 
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
@@ -53,7 +54,7 @@ def as_messages(events: DataFrame) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_messages(events_table(spark, sf_dir))
+    return as_messages(spread(events_table(spark, sf_dir)))
 
 
 def redelivered(envelopes: DataFrame) -> DataFrame:

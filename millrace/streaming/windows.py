@@ -108,11 +108,7 @@ def session_counts_by_type(
     lateness: str | None = None,
 ) -> DataFrame:
     """Sessions whose patience depends on the type of the event just seen."""
-    gap = reduce(
-        lambda rest, item: F.when(F.col("event_type") == item[0], F.lit(item[1])).otherwise(rest),
-        gaps.items(),
-        F.lit(default_gap),
-    )
+    gap = _per_type(gaps, F.lit(default_gap))
     shortest = min([default_gap, *gaps.values()])
     return _sessions(events, gap, shortest, keys, event_time, lateness)
 
@@ -125,9 +121,11 @@ def counts_by_strategy(
 ) -> DataFrame:
     """Window counts per type, each type with a windowing strategy of its own.
 
-    One aggregate per distinct strategy; each reads only its own event types,
-    which the clustered table keeps in separate row groups.
+    On a table all strategies share one pass over the rows. On a stream each
+    distinct strategy is an aggregate of its own, over its own event types.
     """
+    if not events.isStreaming:
+        return _counts_in_one_pass(events, strategies, event_time)
     types_of: dict[Tumbling | Sliding | Session, list[str]] = {}
     for event_type, strategy in strategies.items():
         types_of.setdefault(strategy, []).append(event_type)
@@ -146,6 +144,56 @@ def counts_by_strategy(
     return reduce(DataFrame.unionByName, parts)
 
 
+def _counts_in_one_pass(
+    events: DataFrame, strategies: Mapping[str, Tumbling | Sliding | Session], event_time: str
+) -> DataFrame:
+    """Rows to cells once; then cells to windows, and to sessions."""
+    gaps = {t: s.gap for t, s in strategies.items() if isinstance(s, Session)}
+    grids = {
+        t: (s.size, s.slide if isinstance(s, Sliding) else s.size)
+        for t, s in strategies.items() if not isinstance(s, Session)
+    }
+    # A cell divides every window and is no longer than any gap.
+    grid = math.gcd(*[n for pair in grids.values() for n in pair])
+    shortest = min(gaps.values(), default=grid)
+    width = math.gcd(grid, shortest) if grid > shortest else grid or shortest
+    rows = events.where(F.col("event_type").isin(list(strategies)))
+    cells = _cells(rows, width, _per_type(gaps, F.lit(0)), BY_TYPE, event_time)
+
+    def starts(size: int, slide: int) -> Column:
+        at, step = F.unix_micros("_cell"), slide * 1_000_000
+        last = at - F.pmod(at, F.lit(step))
+        before = at - size * 1_000_000
+        return F.sequence(last, before - F.pmod(before, F.lit(step)) + step, F.lit(-step))
+
+    no_window = F.array(F.lit(None).cast("bigint"))
+    begins = _per_type({t: starts(*grid) for t, grid in grids.items()}, no_window)
+    size = _per_type({t: F.lit(size * 1_000_000) for t, (size, _) in grids.items()}, F.lit(None))
+    placed = _numbered_sessions(cells, BY_TYPE).select(
+        "event_type", "_from", "_to", "_rows", F.explode(begins).alias("_begin"),
+        F.when(F.col("event_type").isin(list(gaps)), F.col("_session")).alias("_session"),
+    )
+    counted = placed.groupBy("event_type", "_begin", "_session").agg(
+        F.min("_from").alias("_from"), F.max("_to").alias("_to"),
+        F.sum("_rows").alias("event_count"),
+    )
+    return counted.select(
+        F.timestamp_micros(F.coalesce("_begin", "_from")).alias("window_start"),
+        F.timestamp_micros(F.coalesce(F.col("_begin") + size, "_to")).alias("window_end"),
+        "event_type",
+        "event_count",
+    )
+
+
+def _per_type(values: Mapping[str, Column | int], default: Column) -> Column:
+    """The value that belongs to the row's event type."""
+    chosen = default
+    for event_type, value in values.items():
+        value = F.lit(value) if isinstance(value, int) else value
+        chosen = F.when(F.col("event_type") == event_type, value).otherwise(chosen)
+    return chosen
+
+
 def _watermarked(events: DataFrame, event_time: str, lateness: str | None) -> DataFrame:
     return events.withWatermark(event_time, lateness) if lateness is not None else events
 
@@ -190,33 +238,45 @@ def _sessions(
             F.col("_window.start").alias("window_start"), F.col("_window.end").alias("window_end")
         )
         return counted.select(F.inline(F.array(bounds)), *keys, "event_count")
-    # Rows in one cell no longer than the shortest gap are always in the same
-    # session. So a cell is a session in small, and the number of cells of a
-    # key is bounded by the time it spans, not by its rows.
+    cells = _cells(events, shortest_gap, gap, keys, event_time)
+    return (
+        _numbered_sessions(cells, keys)
+        .groupBy(*keys, "_session")
+        .agg(
+            F.timestamp_micros(F.min("_from")).alias("window_start"),
+            F.timestamp_micros(F.max("_to")).alias("window_end"),
+            F.sum("_rows").alias("event_count"),
+        )
+        .select("window_start", "window_end", *keys, "event_count")
+    )
+
+
+def _cells(
+    events: DataFrame, width: int, gap: Column, keys: Sequence[str], event_time: str
+) -> DataFrame:
+    """Rows per key and epoch-aligned cell, with the time they reach.
+
+    Rows in one cell no longer than the shortest gap are always in the same
+    session. So a cell is a session in small, and the number of cells of a key
+    is bounded by the time it spans, not by its rows.
+    """
     micros = F.unix_micros(event_time)
-    cells = (
+    return (
         events.where(F.col(event_time).isNotNull())
-        .groupBy(epoch_floor(event_time, shortest_gap).alias("_cell"), *keys)
+        .groupBy(epoch_floor(event_time, width).alias("_cell"), *keys)
         .agg(
             F.min(micros).alias("_from"),
             F.max(micros + gap.cast("bigint") * 1_000_000).alias("_to"),
             F.count("*").alias("_rows"),
         )
     )
+
+
+def _numbered_sessions(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Cells with the number of their session within the key."""
     # A cell that starts after everything before it has ended opens a session.
     in_order = Window.partitionBy(*keys).orderBy("_from")
     before = in_order.rowsBetween(Window.unboundedPreceding, -1)
     up_to = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = F.max("_to").over(before)
-    opens = F.when(reached >= F.col("_from"), 0).otherwise(1)
-    return (
-        cells.withColumn("_opens", opens)
-        .withColumn("_session", F.sum("_opens").over(up_to))
-        .groupBy(*keys, "_session")
-        .agg(
-            F.timestamp_micros(F.min("_from")).alias("window_start"),
-            F.timestamp_micros(F.max("_to")).alias("window_end"),
-            F.sum("_rows").alias("event_count"),
-        )
-        .select("window_start", "window_end", *keys, "event_count")
-    )
+    opens = F.when(F.max("_to").over(before) >= F.col("_from"), 0).otherwise(1)
+    return cells.withColumn("_opens", opens).withColumn("_session", F.sum("_opens").over(up_to))

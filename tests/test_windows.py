@@ -148,6 +148,40 @@ def test_strategies(events, rows):
     assert found == expected
 
 
+@pytest.mark.parametrize("plan", [
+    {"click": Sliding(100, 40), "error": Tumbling(90), "purchase": Session(25)},
+    {"click": Session(600), "error": Session(60)},
+    {"click": Tumbling(60), "purchase": Sliding(3600, 600)},
+])
+def test_strategies_of_all_kinds(events, rows, plan):
+    found = collected(counts_by_strategy(events, plan), "event_type")
+    expected = Counter()
+    for kind, how in plan.items():
+        own = [r for r in rows if r[1] == kind]
+        if isinstance(how, Session):
+            expected += brute_sessions(own, lambda _, gap=how.gap: gap, 0)
+        else:
+            slide = how.slide if isinstance(how, Sliding) else how.size
+            expected += brute_sliding(own, how.size, slide, 0)
+    assert found == expected
+    assert physical(counts_by_strategy(events, plan)).count("Scan") == 1
+
+
+def test_strategies_on_a_stream(spark, events, rows, tmp_path):
+    plan = {"click": Sliding(3600, 900), "error": Tumbling(60), "purchase": Session(1800)}
+    events.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    counts = counts_by_strategy(stream, plan, lateness="1 hour")
+    drain(counts, str(tmp_path / "out"), str(tmp_path / "state"))
+    got = collected(spark.read.schema(counts.schema).parquet(str(tmp_path / "out")), "event_type")
+    table = collected(counts_by_strategy(events, plan), "event_type")
+    assert got and all(table[key] == n for key, n in got.items())
+    # One watermark for all branches: the latest event minus the lateness, of
+    # the branch that is furthest behind.
+    last = min(max(r[0] for r in rows if r[1] == t) for t in plan) - seconds(3600)
+    assert set(got) == {key for key in table if key[1] <= last}
+
+
 def test_rows_collapse_before_the_first_shuffle(events):
     """Hot users and hot windows: a partial aggregate sits below every exchange."""
     for counted in (

@@ -1,0 +1,108 @@
+"""Random documents against a model of the rules in plain Python."""
+
+import json
+import random
+
+from millrace.operators import enrich_events, parse_events, validate_events
+from millrace.schemas import VALID_EVENT_TYPES
+
+KEYS = ["a.b", "", "$", "é", 'q"', "back\\slash", "event id", "Event_id", "timestamp", "n", "[0]", "\t"]
+CORE = ("event_id", "event_type", "user_id")
+
+
+def value(rng, depth=0):
+    kind = rng.randrange(9 if depth < 3 else 7)
+    if kind == 0:
+        return None
+    if kind == 1:
+        return rng.choice([True, False])
+    if kind == 2:
+        return rng.choice([0, -1, 7, 10**15, -(10**18), 12345678901234567890])
+    if kind == 3:
+        return rng.choice([0.5, -2.25, 0.0, 1e300, 1e-7, 123456.789])
+    if kind in (4, 5, 6):
+        return rng.choice(["", "x", "0", "false", "[1]", "{}", "null", "é\n\"\\/", " ", "😀", "user_1"])
+    if kind == 7:
+        return [value(rng, depth + 1) for _ in range(rng.randrange(3))]
+    return {rng.choice(KEYS): value(rng, depth + 1) for _ in range(rng.randrange(3))}
+
+
+def document(rng):
+    doc = {rng.choice(KEYS): value(rng) for _ in range(rng.randrange(4))}
+    for name in CORE:
+        chance = rng.random()
+        if chance < 0.75:
+            usual = {"event_id": f"id{rng.randrange(99)}", "user_id": f"u{rng.randrange(9)}",
+                     "event_type": rng.choice(VALID_EVENT_TYPES)}
+            doc[name] = usual[name]
+        elif chance < 0.93:
+            doc[name] = value(rng)
+    items = list(doc.items())
+    rng.shuffle(items)
+    return dict(items)
+
+
+def body(rng):
+    text = json.dumps(document(rng), ensure_ascii=rng.random() < 0.5,
+                      indent=rng.choice([None, None, 1]))
+    damage = rng.random()
+    if damage < 0.08:
+        cut = rng.randrange(len(text) + 1)
+        return text[:cut] + text[cut + 1:]
+    if damage < 0.12:
+        return text + rng.choice(["x", "}", "]", ",", " ", "{}", "\n", "//c"])
+    return text
+
+
+def verdict(text):
+    """(reason, payload) by the rules."""
+    try:
+        doc = json.loads(text)
+    except ValueError:
+        return "malformed", None
+    if not isinstance(doc, dict):
+        return "not_an_object", None
+    if "event_id" not in doc or "event_type" not in doc:
+        return "missing_required", None
+    if not isinstance(doc["event_type"], str) or doc["event_type"] not in VALID_EVENT_TYPES:
+        return "unknown_event_type", None
+    if not doc["event_id"] or isinstance(doc["event_id"], (list, dict)):
+        return "bad_event_id", None
+    if isinstance(doc.get("user_id"), (list, dict)):
+        return "bad_user_id", None
+    return None, {k: v for k, v in doc.items() if k not in CORE}
+
+
+def test_random_messages(spark, send):
+    rng = random.Random(20240115)
+    bodies = [body(rng) for _ in range(6000)]
+    validated = validate_events(parse_events(send(*bodies)))
+    found = {int(r.message_id): r.reason for r in validated.select("message_id", "reason").collect()}
+    expected = {i: verdict(b) for i, b in enumerate(bodies)}
+    wrong = [(bodies[i], found[i], expected[i][0]) for i in expected if found[i] != expected[i][0]]
+    assert not wrong, wrong[:5]
+    assert len({reason for reason, _ in expected.values()}) >= 6
+
+    good = [(b, p) for b, (reason, p) in ((bodies[i], expected[i]) for i in expected) if reason is None]
+    rows = enrich_events(validated).select("event_id", "user_id", "payload").collect()
+
+    # Equal as JSON values: 0.0 and 0 are the same number.
+    got = sorted(text(json.loads(r.payload)) for r in rows)
+    assert got == sorted(text(p) for _, p in good)
+    # Ids and users that are strings are unchanged, and stay with their payload.
+    triples = {text([r.event_id, r.user_id, json.loads(r.payload)]) for r in rows}
+    for doc, payload in ((json.loads(b), p) for b, p in good):
+        user = doc.get("user_id")
+        if isinstance(doc["event_id"], str) and (user is None or isinstance(user, str)):
+            assert text([doc["event_id"], user, payload]) in triples
+
+
+def text(doc):
+    def plain(v):
+        if isinstance(v, float) and v.is_integer() and abs(v) < 1e15:
+            return int(v)
+        if isinstance(v, list):
+            return [plain(x) for x in v]
+        return {k: plain(x) for k, x in v.items()} if isinstance(v, dict) else v
+
+    return json.dumps(plain(doc), sort_keys=True)

@@ -1,7 +1,7 @@
 """Where messages come from."""
 
 from millrace.sources.envelopes import from_kafka, read_envelopes, spread, write_envelopes
-from millrace.sources.generator import generate_envelopes, generate_events
+from millrace.sources.generator import generate_envelopes, generate_events, start_publishing
 
 __all__ = [
     "from_kafka",
@@ -9,5 +9,6 @@ __all__ = [
     "generate_events",
     "read_envelopes",
     "spread",
+    "start_publishing",
     "write_envelopes",
 ]

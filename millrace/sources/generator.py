@@ -6,10 +6,12 @@ whatever the partitioning, and again when a lost task is run a second time.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from millrace.functions.time import iso_utc
+from millrace.sources.envelopes import write_envelopes
 
 # Fixed values of the synthetic events.
 EVENT_TYPES = ("page_view", "click", "purchase", "session_start", "session_end", "error")
@@ -78,6 +80,23 @@ def generate_envelopes(
     )
 
 
+def start_publishing(
+    spark: SparkSession, path: str, checkpoint: str, per_second: int, seed: int = 42
+) -> StreamingQuery:
+    """Publish generated messages into a folder at a steady rate, until stopped.
+
+    As with any publisher that retries, a batch may be delivered twice after a
+    failure; the copies have the same event ids.
+    """
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
+    made = generate_envelopes(ticks, seed, clock=F.col("timestamp"), id_column="value")
+
+    def publish(batch: DataFrame, _: int) -> None:
+        write_envelopes(batch, path)
+
+    return made.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).start()
+
+
 def _word(n: int) -> Column:
     """The n-th 32 bits of the row's digest, as a number."""
     return F.conv(F.substring("_bits", 8 * n + 1, 8), 16, 10).cast("bigint")

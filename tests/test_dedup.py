@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from helpers import drain, physical
 from millrace.operators import dedup_events, dedup_stream
+from millrace.schemas import EVENTS_RAW
 
 START = dt.datetime(2024, 1, 1)
 
@@ -29,6 +30,14 @@ def test_first_copy_stays(spark):
     assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, expected.collect()))
 
 
+def test_default_order_has_no_ties(spark):
+    when = dt.datetime(2024, 1, 1)
+    rows = [("a", "click", "u", p, when, when.date(), "1") for p in ('{"n":2}', '{"n":1}', '{"n":3}')]
+    for order in (rows, rows[::-1]):
+        table = spark.createDataFrame(order, EVENTS_RAW).repartition(3)
+        assert [r.payload for r in dedup_events(table).collect()] == ['{"n":1}']
+
+
 def test_copies_collapse_before_the_shuffle(spark):
     plan = physical(dedup_events(copies(spark), keep_first_by=["publish_time", "id"]))
     assert "WindowGroupLimit" in plan.split("Exchange")[-1]

@@ -4,7 +4,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from millrace.operators import accepted, parse_events, validate_events
-from millrace.sources import generate_envelopes, generate_events
+from millrace.sources import (
+    generate_envelopes,
+    generate_events,
+    read_envelopes,
+    start_publishing,
+)
 from millrace.sources.generator import ERROR_CODES, EVENT_TYPES, PAGES
 
 
@@ -73,7 +78,12 @@ def test_generated_messages_pass(spark):
     assert accepted(validate_events(parse_events(rows))).count() == 500
 
 
-def test_a_rate_stream_of_ids(spark, tmp_path):
-    ids = spark.readStream.format("rate").option("rowsPerSecond", 100).load()
-    made = generate_envelopes(ids, clock=F.col("timestamp"), id_column="value")
-    assert made.isStreaming and made.columns[0] == "value"
+def test_publishing_at_a_steady_rate(spark, tmp_path):
+    src, cp = str(tmp_path / "in"), str(tmp_path / "cp")
+    query = start_publishing(spark, src, cp, per_second=50)
+    query.awaitTermination(8)
+    query.stop()
+    sent = read_envelopes(spark, src)
+    assert sent.count() >= 50
+    assert sent.select("message_id").distinct().count() == sent.count()
+    assert accepted(validate_events(parse_events(sent))).count() == sent.count()

@@ -110,6 +110,16 @@ typed AS (
 )
 """
 
+STRATEGIES = f"""
+purchases AS (SELECT * FROM base WHERE event_type = 'purchase'),
+{TUMBLING}, {SLIDING}, {sessions_sql('event_type', PLAIN_GAP, 'purchases')},
+strategies AS (
+  SELECT * FROM tumbling WHERE event_type IN ('page_view', 'error')
+  UNION ALL SELECT * FROM sliding WHERE event_type = 'click'
+  UNION ALL SELECT * FROM sessions
+)
+"""
+
 ORACLE: dict[str, str] = {
     "src_envelopes": """
         SELECT count(*) AS messages, count(event_type) AS typed,
@@ -223,13 +233,7 @@ ORACLE: dict[str, str] = {
     "session_counts": BASE + f", {sessions_sql('user_id', PLAIN_GAP)} SELECT * FROM sessions",
     "session_counts_by_type": BASE
     + f", {sessions_sql('user_id', TYPE_GAP)} SELECT * FROM sessions",
-    "window_strategies": BASE + f""",
-        purchases AS (SELECT * FROM base WHERE event_type = 'purchase'),
-        {TUMBLING}, {SLIDING}, {sessions_sql('event_type', PLAIN_GAP, 'purchases')}
-        SELECT * FROM tumbling WHERE event_type IN ('page_view', 'error')
-        UNION ALL SELECT * FROM sliding WHERE event_type = 'click'
-        UNION ALL SELECT * FROM sessions
-    """,
+    "window_strategies": BASE + f", {STRATEGIES} SELECT * FROM strategies",
     "dedup_events": BASE + "SELECT event_id, event_type, ts AS processed_at FROM base",
     "json_value_extract": """
         SELECT event_id, json_extract_string(props, '$.k') AS k,
@@ -290,6 +294,16 @@ ORACLE: dict[str, str] = {
     "stream_session_counts_by_type": BASE
     + f", {sessions_sql('user_id', TYPE_GAP)} SELECT * FROM sessions "
     f"WHERE window_end <= {WATERMARK}",
+    # One watermark per strategy; the one furthest behind counts for all.
+    "stream_window_strategies": BASE + f""", {STRATEGIES}
+        SELECT * FROM strategies WHERE window_end <= (
+          SELECT min(latest) - INTERVAL 1 HOUR FROM (
+            SELECT max(ts) AS latest FROM base
+            GROUP BY CASE WHEN event_type IN ('page_view', 'error') THEN 'tumbling'
+                          ELSE event_type END
+          )
+        )
+    """,
     "stream_dedup_events": BASE + "SELECT event_id, event_type, user_id FROM base",
     # The held-back tenth counts only where its window was still open.
     "late_data": BASE + """

@@ -207,7 +207,8 @@ def dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     twice = M.redelivered(M.messages(spark, sf_dir))
     good = operators.validate_events(operators.parse_events(twice))
     rows = operators.enrich_events(good, clock=F.col("publish_time"))
-    return plain(operators.dedup_events(rows).select("event_id", "event_type", "processed_at"))
+    once = operators.dedup_events(rows, keep_first_by=["processed_at", "event_type"])
+    return plain(once.select("event_id", "event_type", "processed_at"))
 
 
 def json_value_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,6 +328,13 @@ def stream_session_counts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def stream_window_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(
+        spark, sf_dir, "strategies",
+        lambda rows: counts_by_strategy(rows, STRATEGIES, lateness="1 hour"),
+    )
+
+
 def stream_dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Redelivered messages on a stream; which copy stays is not defined."""
     out = scratch_dir(configure(spark), "dedup")
@@ -399,6 +407,7 @@ QUERIES: dict[str, Query] = {
     "stream_sliding_counts": stream_sliding_counts,
     "stream_session_counts": stream_session_counts,
     "stream_session_counts_by_type": stream_session_counts_by_type,
+    "stream_window_strategies": stream_window_strategies,
     "stream_dedup_events": stream_dedup_events,
     "late_data": late_data,
 }

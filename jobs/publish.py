@@ -33,7 +33,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     seed = secrets.randbits(62) if args.seed is None else args.seed
     if args.per_second:
         start_publishing(
-            spark, args.out, args.checkpoint, args.per_second, seed
+            spark, args.out, args.checkpoint, args.per_second, seed, args.event_type, args.format
         ).awaitTermination()
         return
     made = generate_envelopes(spark.range(args.count), seed, args.event_type)

@@ -65,19 +65,23 @@ def write_events(
     files: int | None = None,
     extra: T.StructType | None = None,
 ) -> None:
-    """Add (or replace) one batch of the events table, clustered.
+    """Add (or replace) one batch of the events table, clustered and sorted.
 
-    Rows are range-partitioned on the cluster columns and sorted, so files and
-    row groups cover narrow key ranges. The event id ends the range key: a
-    user or type holding a large share of the rows is cut into several files.
-    Without `files`, adaptive execution sizes the partitions.
+    With `files`, rows are range-partitioned on the cluster columns, so that
+    files cover narrow key ranges. The event id ends the range key: a user or
+    type holding a large share of the rows is cut into several files. Ranges
+    are found by sampling, which reads the input once more; use it on a
+    persisted batch or a table.
+
+    Without `files`, rows are rebalanced by day and type in a single pass;
+    adaptive execution sizes the partitions and cuts the large ones.
     """
     columns = [*EVENTS_RAW.fields, *(extra.fields if extra else [])]
     shaped = events.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in columns])
-    ranges = [DAY, *CLUSTER_BY, "event_id"]
-    spread = (
-        shaped.repartitionByRange(files, *ranges) if files else shaped.repartitionByRange(*ranges)
-    )
+    if files:
+        spread = shaped.repartitionByRange(files, DAY, *CLUSTER_BY, "event_id")
+    else:
+        spread = shaped.hint("rebalance", DAY, CLUSTER_BY[0])
     _replace(spread.sortWithinPartitions(DAY, *CLUSTER_BY), root, batch)
 
 

@@ -38,9 +38,9 @@ def write_envelopes(envelopes: DataFrame, path: str, fmt: str = "parquet") -> No
 def spread(rows: DataFrame) -> DataFrame:
     """Deal rows out to all cores if they come in far fewer splits than that.
 
-    Meant for one file that Spark cannot split: parsing costs much more than a
-    round-robin exchange. Inputs with enough splits are left as they are, and
-    filters and column pruning still reach the scan.
+    Meant for a scan of one file that Spark cannot split: parsing costs much
+    more than a round-robin exchange. Scans with enough splits are left as they
+    are, and filters and column pruning still reach the scan.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     if rows.rdd.getNumPartitions() * 2 > cores:

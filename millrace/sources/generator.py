@@ -81,7 +81,13 @@ def generate_envelopes(
 
 
 def start_publishing(
-    spark: SparkSession, path: str, checkpoint: str, per_second: int, seed: int = 42
+    spark: SparkSession,
+    path: str,
+    checkpoint: str,
+    per_second: int,
+    seed: int = 42,
+    event_type: str | None = None,
+    fmt: str = "parquet",
 ) -> StreamingQuery:
     """Publish generated messages into a folder at a steady rate, until stopped.
 
@@ -89,10 +95,10 @@ def start_publishing(
     failure; the copies have the same event ids.
     """
     ticks = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
-    made = generate_envelopes(ticks, seed, clock=F.col("timestamp"), id_column="value")
+    made = generate_envelopes(ticks, seed, event_type, F.col("timestamp"), "value")
 
     def publish(batch: DataFrame, _: int) -> None:
-        write_envelopes(batch, path)
+        write_envelopes(batch, path, fmt)
 
     return made.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).start()
 

@@ -64,14 +64,19 @@ def test_replay_leaves_one_copy(spark, tmp_path):
     assert read_dead_letters(spark, dl).count() == 80 + 2
 
 
+def sorted_keys(path):
+    table = pq.read_table(path, partitioning=None).select(["event_type", "user_id"])
+    keys = list(zip(*table.to_pydict().values()))
+    assert keys == sorted(keys), path
+    return keys
+
+
 def test_files_are_sorted_and_ranges_do_not_overlap(spark, tmp_path):
     root = str(tmp_path / "ev")
     write_events(events(spark), root, "b1", files=6)
     per_day = {}
     for path in files(root):
-        table = pq.read_table(path, partitioning=None).select(["event_type", "user_id"])
-        keys = list(zip(*table.to_pydict().values()))
-        assert keys == sorted(keys), path
+        keys = sorted_keys(path)
         per_day.setdefault(path.parent, []).append((keys[0], keys[-1]))
     for spans in per_day.values():
         spans.sort()
@@ -87,6 +92,21 @@ def test_a_hot_user_is_cut_into_several_files(spark, tmp_path):
     assert len(sizes) >= 6 and max(sizes) < sum(sizes) / 3
 
 
+def test_single_pass_write_is_sorted_and_cuts_a_hot_type(spark, tmp_path):
+    root = str(tmp_path / "ev")
+    rows = events(spark, n=40000, days=1).withColumn("event_type", F.lit("click"))
+    advisory = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(advisory)
+    spark.conf.set(advisory, "100kb")
+    try:
+        write_events(rows, root, "b1")
+    finally:
+        spark.conf.set(advisory, before)
+    sizes = [len(sorted_keys(p)) for p in files(root)]
+    assert len(sizes) >= 4 and max(sizes) < sum(sizes) / 2
+    assert read_events(spark, root).count() == 40000 - 800
+
+
 def test_file_count_follows_size(spark, tmp_path):
     ev, dl = str(tmp_path / "ev"), str(tmp_path / "dl")
     write_batch(routed(spark, days=1), ev, dl, "b1")

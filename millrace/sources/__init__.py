@@ -1,9 +1,16 @@
 """Where messages come from."""
 
-from millrace.sources.envelopes import from_kafka, read_envelopes, spread, write_envelopes
+from millrace.sources.envelopes import (
+    cores_to_fill,
+    from_kafka,
+    read_envelopes,
+    spread,
+    write_envelopes,
+)
 from millrace.sources.generator import generate_envelopes, generate_events, start_publishing
 
 __all__ = [
+    "cores_to_fill",
     "from_kafka",
     "generate_envelopes",
     "generate_events",

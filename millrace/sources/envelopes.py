@@ -42,10 +42,17 @@ def spread(rows: DataFrame) -> DataFrame:
     more than a round-robin exchange. Scans with enough splits are left as they
     are, and filters and column pruning still reach the scan.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() * 2 > cores:
-        return rows
-    return rows.repartition(cores)
+    cores = cores_to_fill(rows)
+    return rows.repartition(cores) if cores else rows
+
+
+def cores_to_fill(scan: DataFrame) -> int | None:
+    """All cores, if the scan has far fewer splits than that; else None.
+
+    For a stream, ask the same files as a table and repartition the stream.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return cores if scan.rdd.getNumPartitions() * 2 <= cores else None
 
 
 def from_kafka(records: DataFrame) -> DataFrame:

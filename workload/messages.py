@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from millrace import configure
 from millrace.functions import iso_utc
 from millrace.operators import accepted, enrich_events, parse_events, validate_events
-from millrace.sources import spread
+from millrace.sources import cores_to_fill, spread
 
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
@@ -27,7 +27,10 @@ def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return configure(spark).readStream.schema(EVENTS).parquet(f"{sf_dir}/events*.parquet")
+    cores = cores_to_fill(events_table(spark, sf_dir))
+    # A pattern, since a file stream does not take a single file.
+    rows = spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/events*.parquet")
+    return rows.repartition(cores) if cores else rows
 
 
 def as_messages(events: DataFrame) -> DataFrame:

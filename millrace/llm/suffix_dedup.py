@@ -7,17 +7,21 @@ with a smaller doc_id; strings are judged on the input.
 1. The leading tokens that route a suffix are the two 8-byte tokens, among all
    that lie inside it, with the least hash. Equal suffixes have the same, and
    neighbouring suffixes mostly share it: they travel as one *run* of text
-   rather than 50 bytes each. Runs with equal text within a batch travel once,
-   for the smallest doc_id; the others are known to be repeats already.
+   rather than 50 bytes each.
 2. Splitters sampled from the documents cut the range of the routing tokens into
    buckets of about equal load. A token pair never straddles two buckets, so
    there is nothing to compare across their boundaries.
-3. A bucket is sorted locally by multikey quicksort in vector form: suffixes are
+3. First only the routing tokens of each block of documents go to the buckets,
+   which answer with one bit each: is it met in two documents? Runs whose tokens
+   are not hold no repeat and never travel. Of runs with equal text, a block
+   sends those of its smallest document; the others are repeats already.
+4. A bucket is sorted locally by multikey quicksort in vector form: suffixes are
    grouped by one 8-byte token after the other, and only groups that still hold
    two documents go on to the next token. What is left after the last token are
    equal suffixes; all but those of the smallest doc_id are repeats.
-4. The intervals come back by document and are merged; the other bytes are kept.
+5. The intervals come back to the blocks and are merged; the other bytes are kept.
 
+Documents are dealt to blocks by a hash once; that exchange serves all steps.
 Null texts count as empty. A null doc_id is neither smaller nor greater than
 any: its row is kept whole and repeats nothing. Rows are told apart by doc_id
 and text, so rows that share an id do not make each other's text a repeat.
@@ -46,6 +50,9 @@ PIECE_BYTES = 4 << 20
 SAMPLE_DOCUMENTS = 2000
 SAMPLE_TOKENS = 200_000
 BUCKETS_PER_PARTITION = 4
+BLOCKS_PER_PARTITION = 2
+# Bits of the routing tokens' hash that are asked about; more only cost more.
+_ASKED_SHIFT = np.uint64(16)
 
 
 def _token_view(data: np.ndarray) -> np.ndarray:
@@ -112,7 +119,7 @@ def runs_of(pieces: list[tuple[int, int, bytes]]
     return least[at], piece, at, ends + LENGTH - 1, joined
 
 
-def bucket_splitters(documents: DataFrame, buckets: int, text: str = "_text") -> np.ndarray:
+def bucket_splitters(documents: DataFrame, buckets: int, text: str = "text") -> np.ndarray:
     """buckets - 1 splitters of the routing tokens, from a bounded sample of documents.
 
     They decide where work is done, never the result.
@@ -135,36 +142,148 @@ def bucket_splitters(documents: DataFrame, buckets: int, text: str = "_text") ->
 _RUN = np.dtype([("routing", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("begin", "<i8"), ("size", "<u4")])
 
 
-def _cut(documents: DataFrame, splitters: np.ndarray) -> DataFrame:
-    """Rows of two kinds: blobs of runs for a bucket, and intervals known already."""
-    schema = "bucket int, blob binary, doc_id long, key long, begin long, end long"
+def _texts(table: pa.Table) -> list[bytes]:
+    """Texts that take part, as bytes; the others as empty."""
+    return [t.encode() if t and d is not None else b"" for t, d in zip(
+        table.column("_text").to_pylist(), table.column("doc_id").to_pylist())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compress = zstandard.ZstdCompressor(level=1).compress
-        for batch in slices(batches, "_text", PIECE_BYTES):
-            docs = batch.column("doc_id").to_pylist()
-            keys = batch.column("_key").to_pylist()
-            texts = [t.encode() if t and d is not None else b""
-                     for t, d in zip(batch.column("_text").to_pylist(), docs)]
-            for pieces in _pieces(texts):
-                yield _batch(pieces, docs, keys, splitters, compress)
-
-    return documents.mapInArrow(run, schema)
 
-
-def _batch(pieces, docs, keys, splitters, compress) -> pa.RecordBatch:
+def _columns(pieces, docs: np.ndarray, keys: np.ndarray):
+    """The runs of some pieces as rows, with where they are in the joined bytes."""
     token, piece, begin, end, joined = runs_of(pieces)
-    rows = np.zeros(len(token), dtype=_RUN)
     row = np.array([r for r, _, _ in pieces], dtype=np.int64)
     offset = np.array([o for _, o, _ in pieces], dtype=np.int64)
     sizes = np.array([len(p) for _, _, p in pieces], dtype=np.int64)
     starts = np.cumsum(sizes) - sizes
+    rows = np.zeros(len(token), dtype=_RUN)
     rows["routing"] = token
-    doc_of = np.array([docs[r] for r in row.tolist()], dtype=np.int64)
-    key_of = np.array([keys[r] for r in row.tolist()], dtype=np.int64)
-    rows["doc"], rows["key"] = doc_of[piece], key_of[piece]
+    rows["doc"], rows["key"] = docs[row][piece], keys[row][piece]
     rows["begin"] = begin - starts[piece] + offset[piece]
     rows["size"] = end - begin
+    return rows, begin, end, joined
+
+
+def _ids(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return (np.asarray(table.column("doc_id").fill_null(0)).astype(np.int64),
+            np.asarray(table.column("_key").fill_null(0)).astype(np.int64))
+
+
+def _cuts(bucket: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, begin, end) of the stretches of a sorted array."""
+    at = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+    return [(int(bucket[a]), a, b) for a, b in zip(at, at[1:]) if a < b]
+
+
+def _met(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct routing hashes of a block, in order; and which are in two documents of it."""
+    docs, keys = _ids(table)
+    every, owner = [], []
+    for pieces in _pieces(_texts(table)):
+        token, piece, _, _, _ = runs_of(pieces)
+        row = np.array([r for r, _, _ in pieces], dtype=np.int64)
+        every.append(token >> _ASKED_SHIFT)
+        owner.append(docs[row][piece])
+    if not every:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
+    token, doc = np.concatenate(every), np.concatenate(owner)
+    order = np.argsort(token, kind="stable")
+    token, doc = token[order], doc[order]
+    heads = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    several = np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads)
+    return token[heads], several
+
+
+def _questions(splitters: np.ndarray):
+    """Per block and bucket: the routing hashes, as differences, and their bits."""
+    asked = splitters >> _ASKED_SHIFT
+
+    def run(table: pa.Table) -> pa.Table:
+        compress = zstandard.ZstdCompressor(level=3).compress
+        block = table.column("_block")[0].as_py()
+        token, several = _met(table)
+        bucket = np.searchsorted(asked, token, side="right")
+        rows = []
+        for name, a, b in _cuts(bucket):
+            steps = np.diff(token[a:b], prepend=np.uint64(0)).astype("<u8")
+            planes = steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+            rows.append((name, block, b - a, compress(planes + np.packbits(several[a:b]).tobytes())))
+        return pa.table({
+            "bucket": pa.array([r[0] for r in rows], pa.int32()),
+            "block": pa.array([r[1] for r in rows], pa.int32()),
+            "n": pa.array([r[2] for r in rows], pa.int32()),
+            "blob": pa.array([r[3] for r in rows], pa.binary()),
+        })
+
+    return run
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each question: a bit per hash, set if it is met in two documents."""
+    expand = zstandard.ZstdDecompressor().decompress
+
+    def finish(bucket: int, asked: list[tuple]) -> pa.RecordBatch:
+        values, flags = [], []
+        for _, n, blob in asked:
+            data = np.frombuffer(expand(blob), dtype=np.uint8)
+            steps = np.ascontiguousarray(data[: 8 * n].reshape(8, n).T).view("<u8").ravel()
+            values.append(np.cumsum(steps, dtype=np.uint64))
+            flags.append(np.unpackbits(data[8 * n :], count=n).astype(bool))
+        every, where = np.unique(np.concatenate(values), return_inverse=True)
+        blocks = np.bincount(where, minlength=len(every))
+        shared = blocks > 1
+        shared[where[np.concatenate(flags)]] = True
+        ends = np.cumsum([n for _, n, _ in asked])
+        bits = [np.packbits(shared[where[e - n : e]]).tobytes() for (_, n, _), e in zip(asked, ends)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([bucket] * len(asked), pa.int32()),
+             pa.array([b for b, _, _ in asked], pa.int32()), pa.array(bits, pa.binary())],
+            names=["bucket", "_block", "bits"])
+
+    now, asked = None, []
+    for batch in batches:
+        for bucket, block, n, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "n", "blob"))):
+            if bucket != now:
+                if asked:
+                    yield finish(now, asked)
+                now, asked = bucket, []
+            asked.append((block, n, blob))
+    if asked:
+        yield finish(now, asked)
+
+
+def _sent(splitters: np.ndarray):
+    """Runs of a block whose routing is met in two documents, by bucket, and known repeats."""
+    asked = splitters >> _ASKED_SHIFT
+
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        compress = zstandard.ZstdCompressor(level=3).compress
+        out = []
+        if table.num_rows and answers.num_rows:
+            bits = dict(zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist()))
+            token, _ = _met(table)
+            shared = np.zeros(len(token), dtype=bool)
+            for name, a, b in _cuts(np.searchsorted(asked, token, side="right")):
+                shared[a:b] = np.unpackbits(np.frombuffer(bits[name], dtype=np.uint8), count=b - a)
+            wanted = token[shared]
+            docs, keys = _ids(table)
+            if len(wanted):
+                for pieces in _pieces(_texts(table)):
+                    out.append(_batch(pieces, docs, keys, wanted, splitters, compress))
+        return pa.Table.from_batches(out, schema=pa.schema(_SENT))
+
+    return run
+
+
+_SENT = [("bucket", pa.int32()), ("blob", pa.binary()), ("doc_id", pa.int64()), ("key", pa.int64()),
+         ("begin", pa.int64()), ("end", pa.int64())]
+
+
+def _batch(pieces, docs, keys, wanted, splitters, compress) -> pa.RecordBatch:
+    rows, begin, end, joined = _columns(pieces, docs, keys)
+    asked = rows["routing"] >> _ASKED_SHIFT
+    place = np.minimum(np.searchsorted(wanted, asked), len(wanted) - 1)
+    shared = wanted[place] == asked
+    rows, begin, end = rows[shared], begin[shared], end[shared]
 
     # Equal runs of the batch: only those of the smallest document travel.
     order = np.lexsort((rows["doc"], rows["size"], rows["routing"]))
@@ -183,30 +302,27 @@ def _batch(pieces, docs, keys, splitters, compress) -> pa.RecordBatch:
             if firsts.setdefault((g, text), doc) < doc:
                 known[at] = True
     sent = np.flatnonzero(~known)
-    bucket = np.searchsorted(splitters, token[sent], side="right")
+    bucket = np.searchsorted(splitters, rows["routing"][sent], side="right")
     by_bucket = sent[np.argsort(bucket, kind="stable")]
-    bucket = np.sort(bucket)
-    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
     ids, blobs = [], []
-    for x, y in zip(cuts, cuts[1:]):
-        if x == y:
-            continue
+    for name, x, y in _cuts(np.sort(bucket)):
         chosen = by_bucket[x:y]
         text = b"".join([joined[p:q] for p, q in zip(begin[chosen].tolist(), end[chosen].tolist())])
-        ids.append(int(bucket[x]))
+        ids.append(name)
         blobs.append(len(chosen).to_bytes(4, "little") + compress(rows[chosen].tobytes() + text))
-    gone = np.flatnonzero(known)
+    gone = rows[known]
     n, m = len(ids), len(gone)
-    first = rows[gone]
     nothing, none = [None] * n, [None] * m
-    return pa.RecordBatch.from_pydict({
-        "bucket": pa.array(ids + none, pa.int32()),
-        "blob": pa.array(blobs + none, pa.binary()),
-        "doc_id": pa.array(nothing + first["doc"].tolist(), pa.int64()),
-        "key": pa.array(nothing + first["key"].tolist(), pa.int64()),
-        "begin": pa.array(nothing + first["begin"].tolist(), pa.int64()),
-        "end": pa.array(nothing + (first["begin"] + first["size"]).tolist(), pa.int64()),
-    })
+    columns = {
+        "bucket": ids + none,
+        "blob": blobs + none,
+        "doc_id": nothing + gone["doc"].tolist(),
+        "key": nothing + gone["key"].tolist(),
+        "begin": nothing + gone["begin"].tolist(),
+        "end": nothing + (gone["begin"] + gone["size"]).tolist(),
+    }
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[name], kind) for name, kind in _SENT], schema=pa.schema(_SENT))
 
 
 def repeated_suffixes(tokens: np.ndarray, starts: np.ndarray, doc: np.ndarray,
@@ -314,14 +430,25 @@ def _sort_bucket(blobs: list[bytes], expand) -> Iterator[tuple[np.ndarray, ...]]
         begin = end
 
 
-def repeated_intervals(documents: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, key, begin, end) of bytes to be removed; intervals may overlap."""
-    spark = documents.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _blocks(documents: DataFrame, text: str, blocks: int, partitions: int) -> DataFrame:
+    """(doc_id, _key, _text, _block), dealt out by block."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"),
                             F.xxhash64(text).alias("_key"), F.col(text).alias("_text"))
-    splitters = bucket_splitters(rows, BUCKETS_PER_PARTITION * partitions)
-    cut = _cut(rows, splitters)
+    block = F.pmod(F.xxhash64("doc_id", "_key"), F.lit(blocks)).cast("int")
+    return rows.withColumn("_block", block).repartition(partitions, "_block")
+
+
+def _intervals(dealt: DataFrame, splitters: np.ndarray, partitions: int) -> DataFrame:
+    """(doc_id, key, begin, end) of bytes to be removed; intervals may overlap."""
+    questions = dealt.groupBy("_block").applyInArrow(
+        _questions(splitters), "bucket int, block int, n int, blob binary")
+    answers = (
+        questions.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+        .mapInArrow(_answers, "bucket int, _block int, bits binary")
+    )
+    sent = dealt.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(
+        _sent(splitters),
+        "bucket int, blob binary, doc_id long, key long, begin long, end long")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
@@ -346,51 +473,60 @@ def repeated_intervals(documents: DataFrame, text: str = "text") -> DataFrame:
                 blobs.append(blob.as_py())
         yield from finish()
 
-    # Intervals that are known already go wherever their document's hash says.
+    # Intervals that are known already go wherever their own hash says.
     place = F.coalesce("bucket", -1 - F.pmod(F.hash("doc_id", "begin"), F.lit(1 << 20)))
     return (
-        cut.repartition(partitions, place).sortWithinPartitions("bucket")
+        sent.repartition(partitions, place).sortWithinPartitions("bucket")
         .mapInArrow(sort, "doc_id long, key long, begin long, end long")
     )
 
 
 def remove_repeats(documents: DataFrame, text: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    found = repeated_intervals(documents, text).groupBy("doc_id", "key").agg(
-        F.collect_list(F.struct("begin", "end")).alias("_spans"))
-    found = found.withColumnsRenamed({"doc_id": "_id", "key": "_k"})
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"),
-                            F.xxhash64(text).alias("_key"), F.col(text).alias("_text"))
-    joined = rows.join(found, (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_k")), "left")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            out: list[tuple] = []
-            for value, spans in zip(batch.column("_text").to_pylist(), batch.column("_spans")):
-                data = (value or "").encode()
-                kept, at, removed, n = hashlib.sha256(), 0, 0, 0
-                for begin, end in merged(spans):
-                    kept.update(data[at:begin])
-                    at, removed, n = end, removed + end - begin, n + 1
-                kept.update(data[at:])
-                out.append((len(data), removed, n, kept.hexdigest()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array([r[i] for r in out], pa.int64()) for i in range(3)],
-                 pa.array([r[3] for r in out], pa.string())],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return joined.select("doc_id", "_text", "_spans").mapInArrow(
+    partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = BLOCKS_PER_PARTITION * partitions
+    splitters = bucket_splitters(documents, BUCKETS_PER_PARTITION * partitions, text)
+    dealt = _blocks(documents, text, blocks, partitions)
+    found = _intervals(dealt, splitters, partitions)
+    block = F.pmod(F.xxhash64("doc_id", "key"), F.lit(blocks)).cast("int")
+
+    def finish(table: pa.Table, intervals: pa.Table) -> pa.Table:
+        spans = _by_row(intervals)
+        out: list[tuple] = []
+        for doc, key, value in zip(table.column("doc_id").to_pylist(), table.column("_key").to_pylist(),
+                                   table.column("_text").to_pylist()):
+            data = (value or "").encode()
+            kept, at, removed, n = hashlib.sha256(), 0, 0, 0
+            for begin, end in merged(*spans[doc, key]) if (doc, key) in spans else ():
+                kept.update(data[at:begin])
+                at, removed, n = end, removed + end - begin, n + 1
+            kept.update(data[at:])
+            out.append((doc, len(data), removed, n, kept.hexdigest()))
+        kinds = (pa.int64(),) * 4 + (pa.string(),)
+        names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        return pa.table({c: pa.array([r[i] for r in out], k) for i, (c, k) in enumerate(zip(names, kinds))})
+
+    return dealt.groupBy("_block").cogroup(found.withColumn("_block", block).groupBy("_block")).applyInArrow(
         finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def merged(spans) -> list[tuple[int, int]]:
-    """Overlapping and touching intervals of an Arrow list made one."""
-    if not spans.is_valid or not len(spans):
-        return []
-    begin = np.asarray(spans.values.field("begin"))
-    end = np.asarray(spans.values.field("end"))
-    order = np.lexsort((end, begin))
-    begin, end = begin[order], np.maximum.accumulate(end[order])
+def _by_row(intervals: pa.Table) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """Begins and ends of the intervals of each (doc_id, key)."""
+    if not intervals.num_rows:
+        return {}
+    doc, key, begin, end = (
+        np.asarray(intervals.column(c)).astype(np.int64) for c in ("doc_id", "key", "begin", "end"))
+    order = np.lexsort((end, begin, key, doc))
+    doc, key, begin, end = doc[order], key[order], begin[order], end[order]
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
+    at = np.append(np.flatnonzero(new), len(doc)).tolist()
+    return {(int(doc[a]), int(key[a])): (begin[a:b], end[a:b]) for a, b in zip(at, at[1:])}
+
+
+def merged(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
+    """Overlapping and touching intervals, sorted by their begin, made one."""
+    end = np.maximum.accumulate(end)
     new = np.ones(len(begin), dtype=bool)
     new[1:] = begin[1:] > end[:-1]
     heads = np.flatnonzero(new)

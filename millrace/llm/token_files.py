@@ -31,9 +31,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import WordCodec, default_tokenizer
-from millrace.llm.common import materialise, slices, with_columns_from
+from millrace.llm.common import materialise, slices
 from millrace.session import scratch_dir
-from pyspark.sql import types as T
 
 MAGIC = b"TOKBITS1"
 _TRAILER = "<8s5Q"
@@ -157,28 +156,11 @@ def write_token_files(
     Returns the manifest, one row per file: shard, path, docs, tokens.
     """
     tokenizer = tokenizer or default_tokenizer()
-    closing = np.array([] if end_id is None else [end_id], dtype="<u4").tobytes()
-
-    def make():
-        codec = WordCodec(tokenizer)
-
-        def work(column: pa.Array) -> list[pa.Array]:
-            packed = codec.encode(column)
-            return [pa.compute.binary_join_element_wise(packed, pa.scalar(closing), pa.scalar(b""))]
-
-        return work
-
-    ids = with_columns_from(
-        documents.select(F.col("doc_id").cast("long").alias("doc_id"),
-                         F.col(text).alias("_text")),
-        "_text", [T.StructField("_ids", T.BinaryType())], make,
-    )
-    tie = F.sha2("_text", 256).alias("_tie")
+    closing = np.array([] if end_id is None else [end_id], dtype="<u4")
     ordered = (
-        ids.select("doc_id", tie, "_ids")
-        .repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("_tie"))
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_tie")
-        .select("doc_id", "_ids")
+        documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_text"))
+        .repartitionByRange(F.col("doc_id").asc_nulls_first())
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("_text").asc_nulls_first())
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,9 +169,10 @@ def write_token_files(
 
         shard = TaskContext.get().partitionId()
         width = bit_width(max(Tokenizer.from_file(tokenizer).get_vocab_size(), (end_id or 0) + 1))
+        codec = WordCodec(tokenizer)
         writer = sink = path = None
         docs = 0
-        for batch in slices(batches, "_ids"):
+        for batch in slices(batches, "_text"):
             if writer is None:
                 files, folder = _filesystem(root)
                 files.create_dir(folder, recursive=True)
@@ -199,8 +182,8 @@ def write_token_files(
                 writer = TokenFileWriter(sink, width, block_tokens)
             docs += batch.num_rows
             for doc_id, packed in zip(batch.column("doc_id").to_pylist(),
-                                      batch.column("_ids").to_pylist()):
-                writer.add(doc_id, np.frombuffer(packed, dtype="<u4"))
+                                      codec.encode(batch.column("_text")).to_pylist()):
+                writer.add(doc_id, np.concatenate([np.frombuffer(packed, dtype="<u4"), closing]))
         if writer is not None:
             writer.close()
             sink.close()

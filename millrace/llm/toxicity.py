@@ -151,27 +151,34 @@ def train_dictionaries(toxic: Sequence[str], ordinary: Sequence[str]) -> tuple[b
     """
     known = {w[i : i + MIN_MATCH] for t in ordinary for w in _words(t)
              for i in range(len(w) - MIN_MATCH + 1)}
-    texts_of: dict[bytes, set[int]] = defaultdict(set)
+    texts_with: Counter[bytes] = Counter()
+    for text in toxic:
+        runs = {r for w in _words(text) for r in _runs(w, known)}
+        texts_with.update({g for r in runs for g in _stretches(r)})
+    least = max(4, len(toxic) // 60)
+    often = {g: n for g, n in texts_with.items() if n >= least}
     runs_of: dict[bytes, Counter[bytes]] = defaultdict(Counter)
-    for i, text in enumerate(toxic):
+    for text in toxic:
         for run in {r for w in _words(text) for r in _runs(w, known)}:
-            for at in range(len(run) - MIN_MATCH + 1):
-                texts_of[run[at : at + MIN_MATCH]].add(i)
-                runs_of[run[at : at + MIN_MATCH]][run] += 1
-    least = max(4, len(toxic) // 60)
+            for gram in _stretches(run) & often.keys():
+                runs_of[gram][run] += 1
     picked: list[bytes] = []
     have: set[bytes] = set()
-    for gram in sorted(texts_of, key=lambda g: (-len(texts_of[g]), g)):
-        if len(texts_of[gram]) < least or sum(map(len, picked)) > TOXIC_BYTES:
+    for gram in sorted(often, key=lambda g: (-often[g], g)):
+        if sum(map(len, picked)) > TOXIC_BYTES:
             break
         if gram not in have:
             run = max(runs_of[gram].items(), key=lambda r: (r[1], r[0]))[0]
             picked.append(run)
-            have.update(run[i : i + MIN_MATCH] for i in range(len(run) - MIN_MATCH + 1))
+            have |= _stretches(run)
     plain = [w for t in ordinary for w in windows(t)]
     return _trained(plain, ORDINARY_BYTES), b"\n".join(reversed(picked)) + b"\n"
 
 
+def _stretches(run: bytes) -> set[bytes]:
+    return {run[i : i + MIN_MATCH] for i in range(len(run) - MIN_MATCH + 1)}
+
+
 def _words(text: str | None) -> set[bytes]:
     return {b" " + w + b" " for w in (text or "").encode().lower().split()}
 

@@ -215,7 +215,7 @@ def test_bpe_random_unicode(tokenizer):
 
 
 def test_token_files(documents, rows, none, tokenizer):
-    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] is not None, sha(r[1] or ""))))
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
     manifest = token_files.write_token_files(documents, token_files.token_folder(documents), end_id=2, block_tokens=64)
     got = listed(token_files.read_token_files(manifest), "doc_id", "start", "n_tokens", "ids_crc32")
     assert got == as_listed(tokens(tokenizer, ordered, 2))

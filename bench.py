@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from millrace import configure, plans
 from millrace.session import scratch_dir
-from millrace.sinks import read_events
 from millrace.streaming import IngestJob
 from workload import messages as M
 from workload.queries import AS_OF, QUERIES
@@ -33,13 +32,13 @@ FROM_MESSAGES = [
 ]
 STREAMS = ["stream_tumbling_counts", "stream_session_counts", "stream_dedup_events"]
 FROM_TABLE = {
-    "q1": lambda t: plans.hourly_volume(t, AS_OF),
-    "q2": lambda t: plans.daily_active_users(t, AS_OF),
-    "q3": lambda t: plans.purchase_revenue(t, AS_OF),
-    "q4": lambda t: plans.ingest_health(t, AS_OF),
-    "q5": lambda t: plans.top_error_codes(t, AS_OF),
-    "q6": lambda t: plans.type_counts(t, AS_OF),
-    "q7": lambda t: plans.quality_check(t, AS_OF),
+    "q1": plans.hourly_volume,
+    "q2": plans.daily_active_users,
+    "q3": plans.purchase_revenue,
+    "q4": plans.ingest_health,
+    "q5": plans.top_error_codes,
+    "q6": plans.type_counts,
+    "q7": plans.quality_check,
 }
 
 
@@ -98,7 +97,9 @@ def main() -> None:
         lambda: job.start(stream, f"{root}/checkpoint").awaitTermination()
     )
     for name, query in FROM_TABLE.items():
-        timings[f"table_{name}"] = seconds(lambda q=query: run(q(read_events(spark, job.events_root))))
+        timings[f"table_{name}"] = seconds(
+            lambda q=query: run(plans.over_table(q, spark, job.events_root, AS_OF))
+        )
     for name in STREAMS:
         timings[name] = seconds(lambda n=name: run(QUERIES[n](spark, sf_dir)))
 

@@ -12,6 +12,12 @@ DOCUMENT = "$[0]"
 SEAL = "$[1]"
 
 _CONTAINER = r"^[\[{]"
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
+
+# Limits of Spark's JSON parser; the last one is on nested arrays and objects.
+MAX_TEXT_BYTES = 16 << 20
+MAX_DIGITS = 1000
+MAX_DEPTH = 1000
 
 
 def _col(column: Column | str) -> Column:
@@ -20,7 +26,7 @@ def _col(column: Column | str) -> Column:
 
 def seal_of(body: Column | str) -> Column:
     """Digest that closes the wrapped document, see `parse_one_document`."""
-    return F.substring(F.sha2(_col(body), 256), 1, 16)
+    return F.sha2(_col(body), 256)
 
 
 def parse_one_document(body: Column | str) -> Column:
@@ -29,8 +35,7 @@ def parse_one_document(body: Column | str) -> Column:
     Spark's JSON parsers stop at the end of the first value and accept whatever
     follows it. Behind the body we therefore put a digest of that body: it is
     element 1 of the array exactly when the body was one whole document, since
-    a body that carried its own digest in that place would take 2^64 SHA-256
-    trials to make. One parse, no second pass over the text. NULL where the
+    no body is known to carry its own SHA-256 digest. One parse, no second pass over the text. NULL where the
     text does not parse at all.
     """
     body = _col(body)
@@ -44,6 +49,41 @@ def is_one_document(sealed: Column | str, seal: Column | str) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
+def too_large(body_text: Column | str) -> Column:
+    """Could a body that does not parse be valid JSON beyond the parser's limits?
+
+    It takes strings of up to MAX_TEXT_BYTES, numbers of up to MAX_DIGITS digits
+    and up to MAX_DEPTH levels. True where one of the first two may be passed.
+    """
+    text = _col(body_text)
+    return (F.octet_length(text) > MAX_TEXT_BYTES) | text.rlike(f"[0-9]{{{MAX_DIGITS + 1}}}")
+
+
+def has_inexact_number(body_text: Column | str) -> Column:
+    """Would the parser change a number by more than the rounding of a double?
+
+    That is an integer of more than 38 digits, which becomes a double, or a
+    number whose double is infinite. Texts are taken out first; only bodies that
+    could hold such a number are looked at.
+    """
+    text = _col(body_text)
+    bare = F.regexp_replace(text, _STRING, '""')
+    whole = bare.rlike(r"(?<![0-9.eE+-])-?[0-9]{39,}+(?![0-9.eE])")
+    wide = F.regexp_extract_all(bare, F.lit(r"-?[0-9]++(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?"), F.lit(0))
+    infinite = F.exists(wide, lambda n: F.abs(n.try_cast("double")) == F.lit(float("inf")))
+    suspect = text.rlike(r"[0-9]{39}|[0-9][eE]\+?[0-9]{3}")
+    return F.coalesce(F.when(suspect, whole | infinite), F.lit(False))
+
+
+def has_lone_surrogate(body_text: Column | str) -> Column:
+    """Is there an escape of half a surrogate pair, which stands for no character?"""
+    text = _col(body_text)
+    left = F.regexp_replace(text, r"\\\\", "")  # escaped backslashes begin no escape
+    left = F.regexp_replace(left, r"(?i)\\ud[89ab][0-9a-f]{2}\\ud[c-f][0-9a-f]{2}", "")
+    return F.coalesce(F.when(text.rlike(r"(?i)\\ud[89a-f]"), left.rlike(r"(?i)\\ud[89a-f]")),
+                      F.lit(False))
+
+
 def starts_object(body_text: Column | str) -> Column:
     """True where a valid document is an object: its first character tells."""
     return F.ltrim(_col(body_text), F.lit(" \t\r\n")).startswith("{")

@@ -30,24 +30,25 @@ def dedup_events(
 
 
 def dedup_stream(
-    events: DataFrame,
-    key: str = "event_id",
-    event_time: str = "publish_time",
-    horizon: str = "1 hour",
-    spread: int = 16,
+    events: DataFrame, key: str = "event_id", horizon: str = "1 hour", spread: int = 1
 ) -> DataFrame:
     """Drop copies that arrive within `horizon` of the first, with bounded state.
 
-    Which copy stays is not defined. Streaming deduplication has no map-side
-    step, so a key with very many copies is thinned first: copies are dropped
+    Time is that of arrival (the micro-batch), not of the event: nothing is ever
+    late, so a first copy is kept however old the event is, and a key is
+    forgotten `horizon` after its first copy came. Which copy stays is not
+    defined. The result has no watermark of its own on event time.
+
+    Streaming deduplication has no map-side step. If single keys come in very
+    many copies at once, `spread` above 1 thins them first: copies are dropped
     per (key, source task modulo `spread`), and only the survivors meet on the
-    key itself. `spread=1` leaves out the first step.
+    key, at the price of a second shuffle and state.
     """
-    marked = events.withWatermark(event_time, horizon)
+    marked = events.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", horizon)
     if spread > 1:
         marked = (
             marked.withColumn("_task", F.spark_partition_id() % spread)
             .dropDuplicatesWithinWatermark([key, "_task"])
             .drop("_task")
         )
-    return marked.dropDuplicatesWithinWatermark([key])
+    return marked.dropDuplicatesWithinWatermark([key]).drop("_arrived")

@@ -51,6 +51,7 @@ def route_messages(
             for name, c in zip(EVENTS_RAW.fieldNames(), _table_columns(version, clock))
         ],
         "body",
+        "missing",
         "publish_time",
         "reason",
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import json as J
+from millrace.session import require_configured
 
 _CORE = "struct<event_id:string,event_type:string,user_id:string>"
 
@@ -24,6 +25,7 @@ def parse_events(envelopes: DataFrame) -> DataFrame:
     * `body` - the message as text (bytes unchanged, even if not valid UTF-8)
     * `sealed` - the document as VARIANT, see `functions.json`
     * `parse_error` - NULL, or the reason the message cannot be an event
+    * `missing` - the required keys that are not there, joined; else NULL
     * `event_id` - text of the id; NULL if it is missing, null, empty, zero,
       false or not a scalar
     * `event_type` - the type; NULL unless a JSON string
@@ -32,6 +34,7 @@ def parse_events(envelopes: DataFrame) -> DataFrame:
 
     A key counts as given when it is present, even with a null value.
     """
+    require_configured(envelopes.sparkSession)
     kept = [F.col(c) for c in envelopes.columns if c != "value"]
     body = F.col("value").cast("string")
     staged = envelopes.select(
@@ -48,6 +51,7 @@ def parse_events(envelopes: DataFrame) -> DataFrame:
         F.array(
             F.struct(
                 _parse_error().alias("parse_error"),
+                _missing().alias("missing"),
                 _event_id().alias("event_id"),
                 _event_type().alias("event_type"),
                 F.col("core.user_id").alias("user_id"),
@@ -67,13 +71,23 @@ def _parse_error() -> Column:
     # Order matters: one reason per message, the first that applies.
     return (
         F.when(~F.is_valid_utf8("body"), "bad_utf8")
-        .when(~J.is_one_document("sealed", "seal"), "malformed")
+        .when(
+            ~J.is_one_document("sealed", "seal"),
+            F.when(J.too_large("body"), "too_large").otherwise("malformed"),
+        )
         .when(~J.starts_object("body"), "not_an_object")
+        .when(J.has_inexact_number("body"), "inexact_number")
+        .when(J.has_lone_surrogate("body"), "lone_surrogate")
         .when(_absent("event_id") | _absent("event_type"), "missing_required")
         .when(F.col("publish_time").isNull(), "null_publish_time")
     )
 
 
+def _missing() -> Column:
+    absent = [F.when(_absent(name), name) for name in ("event_id", "event_type")]
+    return F.when(J.starts_object("body"), F.concat_ws(", ", *absent))
+
+
 def _event_id() -> Column:
     text = F.col("core.event_id")
     kind = J.field_kind("sealed", "event_id")

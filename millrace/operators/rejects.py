@@ -12,7 +12,8 @@ def dead_letter_columns() -> list[Column]:
     """`raw, error, publish_time, reason`; the first two only on rejects."""
     reason = F.col("reason")
     error = F.coalesce(
-        *[F.when(reason == name, F.lit(text)) for name, text in REASONS.items()]
+        F.when(reason == "missing_required", F.concat(F.lit("Missing required fields: "), "missing")),
+        *[F.when(reason == name, F.lit(text)) for name, text in REASONS.items()],
     )
     raw = F.when(reason.isNotNull(), F.make_valid_utf8("body"))
     return [raw.alias("raw"), error.alias("error"), F.col("publish_time"), reason]

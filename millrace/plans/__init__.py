@@ -4,6 +4,7 @@ from millrace.plans.dashboard import (
     daily_active_users,
     hourly_volume,
     ingest_health,
+    over_table,
     purchase_revenue,
     top_error_codes,
     type_counts,
@@ -21,6 +22,7 @@ __all__ = [
     "hourly_volume",
     "ingest_health",
     "missing_days",
+    "over_table",
     "partition_ready",
     "purchase_revenue",
     "quality_check",

@@ -2,21 +2,27 @@
 
 Each takes the events table and `as_of`, the day that counts as today (by
 default the current date). Date bounds are on the partition column, so only
-those days are scanned, and only the columns named here are read.
+those days are scanned, and only the columns named here are read. `over_table`
+runs one on a stored table and lists no other days either.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import inspect
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.json import json_value
+from millrace.sinks.tables import read_events
 
-# Amounts are summed exactly: the total of a billion doubles depends on the
-# order in which they are added, a total of decimals does not.
-AMOUNT = "decimal(28,10)"
+# Amounts of up to ten digits before the point and twelve after it are summed as
+# decimals: a total of doubles depends on the order in which they are added, a
+# total of decimals does not. It holds 10^16 of them.
+EXACT = "decimal(28,12)"
+_EXACT_TEXT = r"^-?[0-9]{1,10}(\.[0-9]{1,12})?$"
 
 
 def _today(as_of: dt.date | None) -> Column:
@@ -54,17 +60,21 @@ def purchase_revenue(
 ) -> DataFrame:
     """Purchases and revenue per day.
 
-    An amount that is not a number fails the query; with `lenient` it counts
-    as no amount.
+    Revenue is the exact total of the amounts a decimal holds, plus the total of
+    all others as doubles, each rounded to cents. An amount that is not a number
+    fails the query; with `lenient` it counts as no amount.
     """
     text = json_value("payload", "$.amount_usd")
-    amount = text.try_cast(AMOUNT) if lenient else text.cast(AMOUNT)
+    exact = text.rlike(_EXACT_TEXT)
+    other = text.try_cast("double") if lenient else text.cast("double")
+    decimals = F.round(F.sum(F.when(exact, text.try_cast(EXACT))), 2).cast("double")
+    doubles = F.round(F.sum(F.when(~exact, other)), 2)
     return (
         events.where(_since(as_of, days) & (F.col("event_type") == "purchase"))
         .groupBy("ingest_date")
         .agg(
             F.count("*").alias("purchase_count"),
-            F.round(F.sum(amount), 2).cast("double").alias("revenue_usd"),
+            F.coalesce(decimals + doubles, decimals, doubles).alias("revenue_usd"),
         )
         .orderBy(F.desc("ingest_date"))
     )
@@ -99,3 +109,22 @@ def type_counts(events: DataFrame, as_of: dt.date | None = None) -> DataFrame:
         .agg(F.count("*").alias("events"))
         .orderBy(F.desc("events"))
     )
+
+
+def over_table(
+    plan: Callable[..., DataFrame],
+    spark: SparkSession,
+    root: str,
+    as_of: dt.date | None = None,
+    **options,
+) -> DataFrame:
+    """A dashboard query or day check over the stored table at `root`.
+
+    Only the folders of the days that the query reads are listed: the last
+    `days`, by its own default unless given, or the day itself.
+    """
+    day = as_of or spark.sql("SELECT current_date() AS d").first().d
+    known = inspect.signature(plan).parameters
+    days = options.get("days", known["days"].default if "days" in known else 0)
+    until = day if "days" not in known else None
+    return plan(read_events(spark, root, day - dt.timedelta(days=days), until), day, **options)

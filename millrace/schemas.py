@@ -57,9 +57,12 @@ DEAD_LETTER = T.StructType(
 # Why a message was turned away, and the text stored beside it.
 REASONS = {
     "bad_utf8": "Message body is not valid UTF-8",
+    "too_large": "Message body is beyond the limits of the parser",
     "malformed": "Message body is not one JSON document",
     "not_an_object": "JSON document is not an object",
-    "missing_required": "Missing required fields: event_id, event_type",
+    "inexact_number": "A number cannot be kept exactly",
+    "lone_surrogate": "A text holds half of a surrogate pair",
+    "missing_required": "Missing required fields",
     "null_publish_time": "Message has no publish time",
     "unknown_event_type": "Unknown event_type",
     "bad_event_id": "Empty or non-scalar event_id",

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -37,19 +41,39 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Settings that results depend on, not only resources.
+NEEDED = ("spark.sql.session.timeZone", "spark.sql.ansi.enabled",
+          "spark.sql.variant.allowDuplicateKeys")
+
+
+def require_configured(spark: SparkSession) -> None:
+    """Fail early on a session whose settings would change results."""
+    wrong = [k for k in NEEDED if spark.conf.get(k, None) != SETTINGS[k]]
+    if wrong:
+        raise ValueError(f"call millrace.configure(spark) first; not as needed: {', '.join(wrong)}")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it.
 
-    Only a local session may fall back to a temporary folder of its machine.
+    Only a session within one process may fall back to a temporary folder of
+    its machine, which goes when the process ends.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="millrace-")
+    if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        return _own_dir()
     raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
+@functools.cache
+def _own_dir() -> str:
+    path = tempfile.mkdtemp(prefix="millrace-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under `shared_dir`, never used before."""
     return f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"

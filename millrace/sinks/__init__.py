@@ -1,6 +1,8 @@
 """The two tables on disk."""
 
 from millrace.sinks.tables import (
+    LETTERS_TABLE,
+    compact_day,
     read_dead_letters,
     read_events,
     write_batch,
@@ -9,6 +11,8 @@ from millrace.sinks.tables import (
 )
 
 __all__ = [
+    "LETTERS_TABLE",
+    "compact_day",
     "read_dead_letters",
     "read_events",
     "write_batch",

@@ -2,15 +2,23 @@
 
 Layout: `<root>/ingest_date=<day>/batch=<id>/part-*.parquet`. The day comes
 first, so a query over some days lists those folders only. Writing a batch id
-again replaces the folders of that batch: a replay leaves one copy.
+again replaces that batch as a whole: folders it no longer has rows for, on
+whatever day, are removed, in both tables and also if a side became empty.
+
+Which days a batch has is kept beside the table, in empty files
+`<root>/_batches/<id>/<day>`, so that finding them costs one listing. A batch
+that broke off (its `_open` file is still there) is looked for on every day.
+
+`compact_day` puts the batches of a closed day together. The rows keep their
+batch id in a column of the file, and a batch that is written again later is
+taken out of the compacted folder first.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
@@ -20,87 +28,125 @@ from millrace.schemas import DEAD_LETTER, EVENTS_RAW
 CLUSTER_BY = ("event_type", "user_id")
 DAY = "ingest_date"
 BATCH = "batch"
+ROW_BATCH = "row_batch"
+COMPACTED = "compacted"
+LETTERS_TABLE = T.StructType([*DEAD_LETTER.fields, T.StructField(DAY, T.DateType())])
 
-# Uncompressed text per file and writing task; Parquet makes it several times
-# smaller.
-TARGET_FILE_BYTES = 128 * 1024 * 1024
+# Days in one bitmap of the days that were written, more than 89 years.
+_BITMAP_DAYS = 32768
+_EPOCH = dt.date(1970, 1, 1)
 
 
-def write_batch(
-    routed: DataFrame,
-    events_root: str,
-    letters_root: str,
-    batch: str,
-    target_file_bytes: int = TARGET_FILE_BYTES,
-) -> None:
+def write_batch(routed: DataFrame, events_root: str, letters_root: str, batch: str) -> None:
     """Write one batch from `route_messages` to both tables.
 
-    The batch is parsed once: it is persisted, measured, and read back for
-    each table. Only one row of totals comes to the driver.
+    The batch is parsed once: it is persisted and read back for each table.
     """
     routed = routed.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         good = F.col("reason").isNull()
-        size = F.octet_length("event_id") + F.octet_length("payload") + F.lit(64)
-        totals = routed.agg(
-            F.count_if(good).alias("events"),
-            F.coalesce(F.sum(F.when(good, size)), F.lit(0)).alias("event_bytes"),
-            F.count_if(~good).alias("letters"),
-            F.coalesce(F.sum(F.octet_length("raw")), F.lit(0)).alias("letter_bytes"),
-        ).first()
-        if totals.events:
-            files = math.ceil(totals.event_bytes / target_file_bytes)
-            write_events(routed.where(good), events_root, batch, files)
-        if totals.letters:
-            files = max(1, math.ceil(totals.letter_bytes / target_file_bytes))
-            write_dead_letters(routed.where(~good), letters_root, batch, files)
+        write_events(routed.where(good), events_root, batch)
+        write_dead_letters(routed.where(~good), letters_root, batch)
     finally:
         routed.unpersist()
 
 
 def write_events(
-    events: DataFrame,
-    root: str,
-    batch: str,
-    files: int | None = None,
-    extra: T.StructType | None = None,
+    events: DataFrame, root: str, batch: str, extra: T.StructType | None = None
 ) -> None:
     """Add (or replace) one batch of the events table, clustered and sorted.
 
-    With `files`, rows are range-partitioned on the cluster columns, so that
-    files cover narrow key ranges. The event id ends the range key: a user or
-    type holding a large share of the rows is cut into several files. Ranges
-    are found by sampling, which reads the input once more; use it on a
-    persisted batch or a table.
-
-    Without `files`, rows are rebalanced by day and type in a single pass;
-    adaptive execution sizes the partitions and cuts the large ones.
+    Rows are rebalanced by day and type in a single pass: adaptive execution
+    cuts large partitions into files of the advised size and joins small ones.
     """
     columns = [*EVENTS_RAW.fields, *(extra.fields if extra else [])]
     shaped = events.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in columns])
-    if files:
-        spread = shaped.repartitionByRange(files, DAY, *CLUSTER_BY, "event_id")
-    else:
-        spread = shaped.hint("rebalance", DAY, CLUSTER_BY[0])
+    spread = shaped.hint("rebalance", DAY, CLUSTER_BY[0])
     _replace(spread.sortWithinPartitions(DAY, *CLUSTER_BY), root, batch)
 
 
-def write_dead_letters(routed: DataFrame, root: str, batch: str, files: int = 1) -> None:
+def write_dead_letters(routed: DataFrame, root: str, batch: str) -> None:
     """Add (or replace) one batch of dead letters, foldered by processing day."""
-    shaped = routed.select(*DEAD_LETTER.fieldNames(), DAY)
-    # A shuffle, not a coalesce: the rejects are few, but finding them among
-    # all rows of the batch must stay as parallel as the batch.
-    _replace(shaped.repartition(files).sortWithinPartitions(DAY, "reason"), root, batch)
+    shaped = routed.select(*LETTERS_TABLE.fieldNames())
+    _replace(shaped.hint("rebalance", DAY).sortWithinPartitions(DAY, "reason"), root, batch)
 
 
 def _replace(rows: DataFrame, root: str, batch: str) -> None:
+    table = _Folders(rows.sparkSession, root)
+    before = table.days_of(batch)
+    table.touch(f"_batches/{batch}/_open")
+    # The days written are observed in the same pass, one bit per day.
+    day = F.unix_date(DAY)
+    seen = Observation()
+    observed = rows.observe(
+        seen, F.min(day).alias("first"),
+        F.bitmap_construct_agg(F.bitmap_bit_position(F.pmod(day, F.lit(_BITMAP_DAYS)) + 1)).alias("bits"),
+    )
     (
-        rows.withColumn(BATCH, F.lit(batch))
+        observed.withColumn(BATCH, F.lit(batch))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(DAY, BATCH)
         .parquet(root)
     )
+    now = _days_of(seen.get["first"], seen.get["bits"])
+    for name in now:
+        table.touch(f"_batches/{batch}/{name}")
+    for name in before:
+        if table.exists(f"{DAY}={name}/{BATCH}={COMPACTED}"):
+            _take_out(rows.sparkSession, table, name, batch)
+        if name not in now:
+            table.remove(f"{DAY}={name}/{BATCH}={batch}")
+            table.remove(f"_batches/{batch}/{name}")
+    table.remove(f"_batches/{batch}/_open")
+
+
+def _days_of(first: int | None, bits: bytes) -> set[str]:
+    """Days whose bit is set, counted from the first of them."""
+    if first is None:
+        return set()
+    places = [8 * i + b for i, byte in enumerate(bits) if byte for b in range(8) if byte >> b & 1]
+    days = [first + (p - first) % _BITMAP_DAYS for p in places]
+    return {str(_EPOCH + dt.timedelta(days=d)) for d in days}
+
+
+def compact_day(spark: SparkSession, root: str, schema: T.StructType, day: dt.date) -> None:
+    """Put the batches of a closed day together in files of the advised size.
+
+    `schema` is that of the table, with columns added later. The new files are
+    complete before the old ones go; a run that broke off is finished by the
+    next. Nothing may be written to the day, or read from it, meanwhile.
+    """
+    table = _Folders(spark, root)
+    folder, made = f"{DAY}={day}", f"_compacting/{day}"
+    if not table.exists(f"{made}/_SUCCESS"):
+        batches = [n for n in table.names(folder) if n.startswith(f"{BATCH}=")]
+        if not batches or batches == [f"{BATCH}={COMPACTED}"]:
+            return
+        inner = T.StructType([f for f in schema.fields if f.name != DAY])
+        stored = T.StructType([
+            *inner.fields, T.StructField(ROW_BATCH, T.StringType()), T.StructField(BATCH, T.StringType())])
+        rows = spark.read.schema(stored).option("basePath", f"{root}/{folder}").parquet(
+            *[f"{root}/{folder}/{n}" for n in batches])
+        whose = F.coalesce(ROW_BATCH, BATCH).alias(ROW_BATCH)
+        order = [c for c in CLUSTER_BY if c in inner.fieldNames()] or ["reason"]
+        (
+            rows.select(*inner.fieldNames(), whose).hint("rebalance", order[0])
+            .sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{root}/{made}")
+        )
+    for name in table.names(folder):
+        table.remove(f"{folder}/{name}")
+    table.move(made, f"{folder}/{BATCH}={COMPACTED}")
+
+
+def _take_out(spark: SparkSession, table: _Folders, day: str, batch: str) -> None:
+    """Rewrite the compacted folder of a day without the rows of one batch."""
+    folder, made = f"{DAY}={day}/{BATCH}={COMPACTED}", f"_compacting/{day}"
+    rows = spark.read.parquet(f"{table.root}/{folder}")
+    kept = rows.where(~F.col(ROW_BATCH).eqNullSafe(batch))
+    kept.write.mode("overwrite").parquet(f"{table.root}/{made}")
+    table.remove(folder)
+    table.move(made, folder)
 
 
 def read_events(
@@ -118,17 +164,14 @@ def read_events(
     A table nothing was written to yet reads as empty.
     """
     schema = T.StructType([*EVENTS_RAW.fields, *(extra.fields if extra else [])])
-    rows = _read(spark, root, schema, since, until)
-    if since is not None:
-        rows = rows.where(F.col(DAY) >= F.lit(since))
-    if until is not None:
-        rows = rows.where(F.col(DAY) <= F.lit(until))
-    return rows
+    return _read(spark, root, schema, since, until)
 
 
-def read_dead_letters(spark: SparkSession, root: str) -> DataFrame:
-    schema = T.StructType([*DEAD_LETTER.fields, T.StructField(DAY, T.DateType())])
-    return _read(spark, root, schema).select(*DEAD_LETTER.fieldNames())
+def read_dead_letters(
+    spark: SparkSession, root: str, since: dt.date | None = None, until: dt.date | None = None
+) -> DataFrame:
+    """The dead letters, of the processing days asked for."""
+    return _read(spark, root, LETTERS_TABLE, since, until).select(*DEAD_LETTER.fieldNames())
 
 
 def _read(
@@ -139,7 +182,7 @@ def _read(
     until: dt.date | None = None,
 ) -> DataFrame:
     folders = [
-        path for day, path in _days(spark, root)
+        f"{root}/{DAY}={day}" for day in _Folders(spark, root).days()
         if (since is None or day >= str(since)) and (until is None or day <= str(until))
     ]
     if not folders:
@@ -148,19 +191,53 @@ def _read(
         folders = [root]
     stored = T.StructType([*schema.fields, T.StructField(BATCH, T.StringType())])
     reader = spark.read.schema(stored).option("basePath", root)
-    return reader.parquet(*folders).select(*schema.fieldNames())
-
-
-def _days(spark: SparkSession, root: str) -> list[tuple[str, str]]:
-    """Day and path of each day folder: one listing, one entry per day."""
-    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(hadoop)
-    if not fs.exists(path):
-        return []
-    found = [status.getPath() for status in fs.listStatus(path)]
-    prefix = f"{DAY}="
-    return [
-        (p.getName().removeprefix(prefix), p.toString())
-        for p in found if p.getName().startswith(prefix)
-    ]
+    rows = reader.parquet(*folders).select(*schema.fieldNames())
+    if since is not None:
+        rows = rows.where(F.col(DAY) >= F.lit(since))
+    if until is not None:
+        rows = rows.where(F.col(DAY) <= F.lit(until))
+    return rows
+
+
+class _Folders:
+    """What lies under a table's root, through the file system Spark uses."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.root = root
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def names(self, below: str = "") -> list[str]:
+        path = self._path(f"{self.root}/{below}" if below else self.root)
+        if not self._fs.exists(path):
+            return []
+        return [status.getPath().getName() for status in self._fs.listStatus(path)]
+
+    def exists(self, below: str) -> bool:
+        return self._fs.exists(self._path(f"{self.root}/{below}"))
+
+    def touch(self, below: str) -> None:
+        self._fs.create(self._path(f"{self.root}/{below}"), True).close()
+
+    def remove(self, below: str) -> None:
+        self._fs.delete(self._path(f"{self.root}/{below}"), True)
+
+    def move(self, below: str, to: str) -> None:
+        target = self._path(f"{self.root}/{to}")
+        self._fs.mkdirs(target.getParent())
+        if not self._fs.rename(self._path(f"{self.root}/{below}"), target):
+            raise OSError(f"could not move {below} to {to}")
+
+    def days(self) -> list[str]:
+        """One listing, one entry per day."""
+        prefix = f"{DAY}="
+        return [n.removeprefix(prefix) for n in self.names() if n.startswith(prefix)]
+
+    def days_of(self, batch: str) -> set[str]:
+        """Days on which a batch was written before."""
+        marked = set(self.names(f"_batches/{batch}"))
+        if "_open" in marked:
+            return {d for d in self.days()
+                    if self.exists(f"{DAY}={d}/{BATCH}={batch}")
+                    or self.exists(f"{DAY}={d}/{BATCH}={COMPACTED}")}
+        return marked

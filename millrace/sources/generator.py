@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.functions.time import iso_utc
+from millrace.schemas import VALID_EVENT_TYPES as EVENT_TYPES
 from millrace.sources.envelopes import write_envelopes
 
 # Fixed values of the synthetic events.
-EVENT_TYPES = ("page_view", "click", "purchase", "session_start", "session_end", "error")
 PAGES = ("/home", "/products", "/cart", "/checkout", "/account")
 REFERRER = "https://google.com"
 ERROR_CODES = ("404", "500", "403")

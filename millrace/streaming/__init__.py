@@ -6,11 +6,14 @@ from millrace.streaming.windows import (
     Sliding,
     Tumbling,
     assign_window,
+    closed_at,
     counts_by_strategy,
+    late_rows,
     session_counts,
     session_counts_by_type,
     sliding_counts,
     tumbling_counts,
+    with_open_windows,
 )
 
 __all__ = [
@@ -19,10 +22,13 @@ __all__ = [
     "Sliding",
     "Tumbling",
     "assign_window",
+    "closed_at",
     "counts_by_strategy",
+    "late_rows",
     "session_counts",
     "session_counts_by_type",
     "sliding_counts",
     "start_window_counts",
     "tumbling_counts",
+    "with_open_windows",
 ]

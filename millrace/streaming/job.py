@@ -13,7 +13,7 @@ from millrace.operators.enrich import accepted, route_messages
 from millrace.operators.parse import parse_events
 from millrace.operators.validate import validate_events
 from millrace.schemas import DEFAULT_VERSION, DEFAULT_WINDOW_SECS, VALID_EVENT_TYPES
-from millrace.sinks.tables import TARGET_FILE_BYTES, write_batch
+from millrace.sinks.tables import write_batch
 from millrace.streaming.windows import tumbling_counts
 
 
@@ -29,7 +29,6 @@ class IngestJob:
     version: str = DEFAULT_VERSION
     event_types: Iterable[str] = VALID_EVENT_TYPES
     clock: Column | None = None
-    target_file_bytes: int = TARGET_FILE_BYTES
 
     def routed(self, envelopes: DataFrame) -> DataFrame:
         """Every message once, judged; the plan is the same for table and stream."""
@@ -37,11 +36,8 @@ class IngestJob:
         return route_messages(validated, self.version, self.clock)
 
     def run_batch(self, envelopes: DataFrame, batch: str) -> None:
-        """Ingest a table of messages as one batch; the same id replaces it."""
-        write_batch(
-            self.routed(envelopes), self.events_root, self.letters_root, batch,
-            self.target_file_bytes,
-        )
+        """Ingest a table of messages as one batch; the same id replaces it, whatever days it was on."""
+        write_batch(self.routed(envelopes), self.events_root, self.letters_root, batch)
 
     def start(
         self,
@@ -68,10 +64,7 @@ class IngestJob:
 
         def write(routed: DataFrame, number: int) -> None:
             query = routed.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-            write_batch(
-                routed, self.events_root, self.letters_root, f"{query}-{number:09d}",
-                self.target_file_bytes,
-            )
+            write_batch(routed, self.events_root, self.letters_root, f"{query}-{number:09d}")
 
         writer = observed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
         writer = writer.queryName(name) if name else writer
@@ -91,7 +84,9 @@ def start_window_counts(
     """Tumbling counts of good events, appended once a window is complete.
 
     A window is complete when the watermark (latest publish time seen, minus
-    `lateness`) has passed its end; events that come after that are dropped.
+    `lateness`) has passed its end; events that come after that are dropped from
+    the counts (the table has them). `late_rows` finds what was dropped,
+    `with_open_windows` adds the windows that were open when a stream ended.
     """
     good = accepted(validate_events(parse_events(envelopes), event_types))
     counts = tumbling_counts(good, size, lateness=lateness)

@@ -8,6 +8,7 @@ share of all rows is reduced before anything is shuffled.
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -15,12 +16,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from millrace.functions.time import epoch_floor
 from millrace.schemas import DEFAULT_WINDOW_SECS
 
 EVENT_TIME = "publish_time"
 BY_TYPE = ("event_type",)
+BY_TYPE_AND_USER = ("event_type", "user_id")
 
 
 @dataclass(frozen=True)
@@ -118,36 +121,99 @@ def counts_by_strategy(
     strategies: Mapping[str, Tumbling | Sliding | Session],
     event_time: str = EVENT_TIME,
     lateness: str | None = None,
+    session_keys: Sequence[str] = BY_TYPE_AND_USER,
 ) -> DataFrame:
     """Window counts per type, each type with a windowing strategy of its own.
 
-    On a table all strategies share one pass over the rows. On a stream each
-    distinct strategy is an aggregate of its own, over its own event types.
+    Grid windows (tumbling, sliding) count per type. Sessions are per
+    `session_keys`, which must begin with the type; the further keys are columns
+    of the result, null for grid windows. On a table all strategies share one
+    pass over the rows. On a stream each distinct strategy is an aggregate of
+    its own, over its own event types, and all share one watermark: it follows
+    the rows of every type, so a type that falls silent holds back no other.
     """
+    if session_keys[0] != "event_type":
+        raise ValueError("session keys begin with event_type")
     if not events.isStreaming:
-        return _counts_in_one_pass(events, strategies, event_time)
+        return _counts_in_one_pass(events, strategies, event_time, session_keys)
+    extra = list(session_keys[1:])
+    columns = ["window_start", "window_end", "event_type", *extra, "event_count"]
     types_of: dict[Tumbling | Sliding | Session, list[str]] = {}
     for event_type, strategy in strategies.items():
         types_of.setdefault(strategy, []).append(event_type)
+    marked = _held(_watermarked(events, event_time, lateness))
     parts = []
     for strategy, types in types_of.items():
-        rows = events.where(F.col("event_type").isin(types))
-        if isinstance(strategy, Tumbling):
-            part = tumbling_counts(rows, strategy.size, BY_TYPE, event_time, lateness)
+        rows = marked.where(F.col("_held").isin(types))
+        if isinstance(strategy, Session):
+            part = session_counts(rows, strategy.gap, session_keys, event_time)
         elif isinstance(strategy, Sliding):
-            part = sliding_counts(
-                rows, strategy.size, strategy.slide, BY_TYPE, event_time, lateness
-            )
+            part = sliding_counts(rows, strategy.size, strategy.slide, BY_TYPE, event_time)
         else:
-            part = session_counts(rows, strategy.gap, BY_TYPE, event_time, lateness)
-        parts.append(part)
+            part = tumbling_counts(rows, strategy.size, BY_TYPE, event_time)
+        for name in extra:
+            if name not in part.columns:
+                part = part.withColumn(name, F.lit(None).cast(events.schema[name].dataType))
+        parts.append(part.select(columns))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _held(rows: DataFrame) -> DataFrame:
+    """The rows with their event type once more, as `_held`, from a generator.
+
+    The optimizer moves no filter through a generator: one on `_held` stays
+    above what comes before it, such as a watermark or a shared aggregate.
+    """
+    again = F.inline(F.array(F.struct(F.col("event_type").alias("_held"))))
+    return rows.select("*", again)
+
+
+def closed_at(query: StreamingQuery) -> dt.datetime:
+    """The watermark at which a stream that was run to its end has stopped."""
+    marks = [p["eventTime"]["watermark"] for p in query.recentProgress
+             if p["eventTime"] and "watermark" in p["eventTime"]]
+    mark = max(marks, default="1970-01-01T00:00:00.000Z")
+    return dt.datetime.fromisoformat(mark.replace("Z", "+00:00"))
+
+
+def with_open_windows(
+    appended: DataFrame, counted: DataFrame, closed: dt.datetime
+) -> DataFrame:
+    """All windows after a stream was run to its end.
+
+    `appended` are the windows the stream gave out, which end by the watermark
+    `closed`; those that were still open are taken from `counted`, the same
+    counts over the stored messages. Nothing is counted twice, as a window is
+    either closed or open.
+    """
+    # The bound is laid on finished windows; it must not reach the rows.
+    bounds = F.inline(F.array(F.struct(F.col("window_end").alias("_end"))))
+    still_open = counted.select("*", bounds).where(F.col("_end") > F.lit(closed)).drop("_end")
+    return appended.unionByName(still_open)
+
+
+def late_rows(appended: DataFrame, counted: DataFrame, closed: dt.datetime) -> DataFrame:
+    """Closed windows with the rows that came too late for the stream.
+
+    Per window and key: `event_count` as the stream gave it out (0 if not at
+    all), `late_count` that is missing there, and the reason.
+    """
+    keys = [c for c in appended.columns if c != "event_count"]
+    done = counted.withColumn("late_count", F.col("event_count")).withColumn(
+        "event_count", F.lit(0).cast("long"))
+    given = appended.withColumn("late_count", -F.col("event_count"))
+    both = done.where(F.col("window_end") <= F.lit(closed)).unionByName(given).groupBy(*keys).agg(
+        F.sum("event_count").alias("event_count"), F.sum("late_count").alias("late_count"))
+    return both.withColumn("reason", F.when(F.col("late_count") > 0, "behind_watermark"))
+
+
 def _counts_in_one_pass(
-    events: DataFrame, strategies: Mapping[str, Tumbling | Sliding | Session], event_time: str
+    events: DataFrame,
+    strategies: Mapping[str, Tumbling | Sliding | Session],
+    event_time: str,
+    session_keys: Sequence[str],
 ) -> DataFrame:
-    """Rows to cells once; then cells to windows, and to sessions."""
+    """Rows to cells once; then cells of grid types to windows, the others to sessions."""
     gaps = {t: s.gap for t, s in strategies.items() if isinstance(s, Session)}
     grids = {
         t: (s.size, s.slide if isinstance(s, Sliding) else s.size)
@@ -157,8 +223,13 @@ def _counts_in_one_pass(
     grid = math.gcd(*[n for pair in grids.values() for n in pair])
     shortest = min(gaps.values(), default=grid)
     width = math.gcd(grid, shortest) if grid > shortest else grid or shortest
+    extra = list(session_keys[1:])
     rows = events.where(F.col("event_type").isin(list(strategies)))
-    cells = _cells(rows, width, _per_type(gaps, F.lit(0)), BY_TYPE, event_time)
+    # Only sessions look at the further keys.
+    is_session = F.col("event_type").isin(list(gaps))
+    rows = rows.select("event_type", event_time, *[
+        F.when(is_session, F.col(k)).alias(k) for k in extra])
+    cells = _held(_cells(rows, width, _per_type(gaps, F.lit(0)), session_keys, event_time))
 
     def starts(size: int, slide: int) -> Column:
         at, step = F.unix_micros("_cell"), slide * 1_000_000
@@ -166,23 +237,21 @@ def _counts_in_one_pass(
         before = at - size * 1_000_000
         return F.sequence(last, before - F.pmod(before, F.lit(step)) + step, F.lit(-step))
 
-    no_window = F.array(F.lit(None).cast("bigint"))
-    begins = _per_type({t: starts(*grid) for t, grid in grids.items()}, no_window)
-    size = _per_type({t: F.lit(size * 1_000_000) for t, (size, _) in grids.items()}, F.lit(None))
-    placed = _numbered_sessions(cells, BY_TYPE).select(
-        "event_type", "_from", "_to", "_rows", F.explode(begins).alias("_begin"),
-        F.when(F.col("event_type").isin(list(gaps)), F.col("_session")).alias("_session"),
-    )
-    counted = placed.groupBy("event_type", "_begin", "_session").agg(
-        F.min("_from").alias("_from"), F.max("_to").alias("_to"),
-        F.sum("_rows").alias("event_count"),
-    )
-    return counted.select(
-        F.timestamp_micros(F.coalesce("_begin", "_from")).alias("window_start"),
-        F.timestamp_micros(F.coalesce(F.col("_begin") + size, "_to")).alias("window_end"),
-        "event_type",
-        "event_count",
-    )
+    parts = []
+    if grids:
+        begins = _per_type({t: starts(*g) for t, g in grids.items()}, F.array().cast("array<bigint>"))
+        size = _per_type({t: F.lit(n * 1_000_000) for t, (n, _) in grids.items()}, F.lit(None))
+        placed = cells.where(F.col("_held").isin(list(grids))).select(
+            "event_type", *extra, "_rows", F.explode(begins).alias("_begin"))
+        counted = placed.groupBy("event_type", *extra, "_begin").agg(F.sum("_rows").alias("event_count"))
+        parts.append(counted.select(
+            F.timestamp_micros("_begin").alias("window_start"),
+            F.timestamp_micros(F.col("_begin") + size).alias("window_end"),
+            "event_type", *extra, "event_count"))
+    if gaps:
+        own = cells.where(F.col("_held").isin(list(gaps))).drop("_held")
+        parts.append(_merged(own, session_keys))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _per_type(values: Mapping[str, Column | int], default: Column) -> Column:
@@ -238,7 +307,11 @@ def _sessions(
             F.col("_window.start").alias("window_start"), F.col("_window.end").alias("window_end")
         )
         return counted.select(F.inline(F.array(bounds)), *keys, "event_count")
-    cells = _cells(events, shortest_gap, gap, keys, event_time)
+    return _merged(_cells(events, shortest_gap, gap, keys, event_time), keys)
+
+
+def _merged(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sessions of cells."""
     return (
         _numbered_sessions(cells, keys)
         .groupBy(*keys, "_session")

@@ -57,6 +57,20 @@ def test_stream(spark, tmp_path):
         assert got.join(rows, ["event_id", "publish_time", "id"], "left_anti").count() == 0
 
 
+def test_a_first_copy_is_kept_however_old(spark, tmp_path):
+    """Events days behind the newest, in a later batch: none of them is lost."""
+    src = str(tmp_path / "in")
+    for n, day in enumerate((20, 1, 9)):
+        rows = [(f"e{n}{i}", START + dt.timedelta(days=day), i) for i in range(30)]
+        rows += [(f"e{max(0, n - 1)}{i}", START + dt.timedelta(days=day), i) for i in range(10)]
+        part = spark.createDataFrame(rows, "event_id string, publish_time timestamp, id long")
+        part.write.mode("append").parquet(src)
+        kept = dedup_stream(spark.readStream.schema(part.schema).parquet(src))
+        drain(kept, str(tmp_path / "out"), str(tmp_path / "state"))
+    got = [r.event_id for r in spark.read.schema(part.schema).parquet(str(tmp_path / "out")).collect()]
+    assert len(got) == len(set(got)) == 90
+
+
 def test_stream_thins_hot_keys_before_they_meet(spark, tmp_path):
     """With the spread, the last shuffle sees at most `spread` copies per key and batch."""
     rows = copies(spark)

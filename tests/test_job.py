@@ -11,6 +11,7 @@ from millrace.schemas import ENVELOPE
 from millrace.sinks import read_dead_letters, read_events
 from millrace.sources import from_kafka, generate_envelopes, read_envelopes, write_envelopes
 from millrace.streaming import IngestJob, start_window_counts
+from helpers import physical
 
 
 def broken(spark, n):
@@ -100,6 +101,39 @@ def test_kafka_rows_become_envelopes(spark):
     assert (bytes(row.value), row.attributes, row.message_id) == (b"{}", {"event_type": "click"}, "t-3-14")
 
 
+KAFKA = (
+    "key binary, value binary, topic string, partition int, offset bigint, "
+    "timestamp timestamp, timestampType int, headers array<struct<key:string,value:binary>>"
+)
+
+
+def test_repeated_and_null_header_keys(spark):
+    when = dt.datetime(2024, 1, 1)
+    headers = [("a", b"1"), (None, b"x"), ("b", None), ("a", b"2"), ("c", b"3"), ("a", b"4")]
+    rows = [(None, b"{}", "t", 0, n, when, 0, h) for n, h in enumerate((headers, [], None))]
+    got = from_kafka(spark.createDataFrame(rows, KAFKA)).orderBy("message_id").collect()
+    assert [r.attributes for r in got] == [{"a": "4", "b": None, "c": "3"}, {}, None]
+    bare = spark.createDataFrame(rows, KAFKA).drop("headers")
+    assert [r.attributes for r in from_kafka(bare).collect()] == [None] * 3
+
+
+def test_a_micro_batch_is_bounded_in_bytes(spark, tmp_path):
+    src = str(tmp_path / "in")
+    write_envelopes(generate_envelopes(spark.range(400, numPartitions=4)), src)
+    job = IngestJob(str(tmp_path / "ev"), str(tmp_path / "dl"))
+    query = job.start(read_envelopes(spark, src, streaming=True, max_bytes="1k"), str(tmp_path / "cp"))
+    query.awaitTermination()
+    assert sum(p["numInputRows"] > 0 for p in query.recentProgress) == 4
+    assert read_events(spark, job.events_root).count() == 400
+
+
+def test_partitions_are_a_parameter(spark, tmp_path):
+    src = str(tmp_path / "in")
+    write_envelopes(generate_envelopes(spark.range(50, numPartitions=1)), src)
+    assert "RoundRobin" in physical(read_envelopes(spark, src, partitions=6))
+    assert "RoundRobin" not in physical(read_envelopes(spark, src))
+
+
 def envelopes_at(spark, *stamps):
     rows = [
         (json.dumps({"event_id": str(i), "event_type": "click"}).encode(), {}, str(i), t)

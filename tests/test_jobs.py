@@ -4,8 +4,9 @@ import datetime as dt
 
 import pytest
 
-from jobs import daily_check, ingest, publish
-from millrace.sinks import read_events
+from jobs import compact, daily_check, ingest, publish
+from millrace.sinks import read_dead_letters, read_events
+from millrace.sources import generate_envelopes, write_envelopes
 
 
 def test_publish_ingest_check(spark, tmp_path):
@@ -23,5 +24,40 @@ def test_publish_ingest_check(spark, tmp_path):
     day = str(rows.first().ingest_date)
     daily_check.main(["--events", events, "--day", day])
     daily_check.main(["--events", events, "--day", day, "--any-row"])
+    compact.main(["--table", events, "--day", day, "--day", "2001-01-01"])
+    compact.main(["--table", letters, "--dead-letters", "--day", day])
+    assert read_events(spark, events).count() == 150
     with pytest.raises(Exception, match="no data for"):
         daily_check.main(["--events", events, "--day", str(dt.date(2001, 1, 1))])
+
+
+def test_event_types_are_an_argument(spark, tmp_path):
+    src, events, letters = (str(tmp_path / n) for n in ("in", "events", "letters"))
+    write_envelopes(generate_envelopes(spark.range(60)), src)
+    ingest.main(["--source", src, "--events", events, "--dead-letters", letters, "--partitions", "3",
+                 "--checkpoint", str(tmp_path / "cp"), "--event-types", "click,refund",
+                 "--option", "latestFirst=true"])
+    assert {r.event_type for r in read_events(spark, events).collect()} == {"click"}
+    assert {r.reason for r in read_dead_letters(spark, letters).collect()} == {"unknown_event_type"}
+
+
+def test_arguments():
+    base = ["--events", "e", "--dead-letters", "d", "--checkpoint", "c"]
+    with pytest.raises(SystemExit):
+        ingest.arguments(base)
+    args = ingest.arguments([*base, "--format", "kafka", "--option", "subscribe=t", "--option", "a=b=c"])
+    assert dict(args.option) == {"subscribe": "t", "a": "b=c"} and args.max_bytes == "1g"
+    with pytest.raises(SystemExit):
+        ingest.arguments([*base, "--source", "s", "--option", "nonsense"])
+
+
+def test_a_failing_stream_fails_the_job_and_stops_the_other(spark, tmp_path):
+    def write(batch, _):
+        raise RuntimeError("second stream broke")
+
+    ticks = spark.readStream.format("rate").load()
+    good = ticks.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "a")).start()
+    bad = ticks.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "b")).start()
+    with pytest.raises(Exception, match="second stream broke"):
+        ingest.wait([good, bad])
+    assert not good.isActive

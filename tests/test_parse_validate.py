@@ -89,6 +89,21 @@ CASES = [
     (with_type("null"), "unknown_event_type", "a"),
     (with_type('["click"]'), "unknown_event_type", "a"),
     (with_type("7"), "unknown_event_type", "a"),
+    # numbers that would be altered, and texts that would be
+    (with_id("1" * 39), "inexact_number", None),
+    (with_id("1" * 38), None, "1" * 38),
+    (with_id('"' + "1" * 50 + '"'), None, "1" * 50),
+    ('{"event_id":"a","event_type":"click","n":-' + "7" * 45 + "}", "inexact_number", None),
+    ('{"event_id":"a","event_type":"click","n":[1e400]}', "inexact_number", None),
+    ('{"event_id":"a","event_type":"click","n":-1E+0400}', "inexact_number", None),
+    ('{"event_id":"a","event_type":"click","n":"1e400"}', None, "a"),
+    ('{"event_id":"a","event_type":"click","n":1e300}', None, "a"),
+    ('{"event_id":"a","event_type":"click","n":0.' + "1" * 60 + "}", None, "a"),
+    ('{"event_id":"a","event_type":"click","n":1' + "0" * 1100 + "}", "too_large", None),
+    ('{"event_id":"a","event_type":"click","t":"\\ud800"}', "lone_surrogate", None),
+    ('{"event_id":"a","event_type":"click","t":"\\uDC00x\\ud83d"}', "lone_surrogate", None),
+    ('{"event_id":"a","event_type":"click","t":"\\ud83d\\ude00"}', None, "a"),
+    ('{"event_id":"a","event_type":"click","t":"\\\\ud800"}', None, "a"),
     # the type is tested before the id
     ('{"event_id":"","event_type":"other"}', "unknown_event_type", None),
     ('{"event_id":"a","event_type":"click","user_id":["u"]}', "bad_user_id", "a"),
@@ -100,7 +115,8 @@ def test_every_case(spark, send):
     got = outcome(spark, send(*[c[0] for c in CASES]))
     for (body, reason, event_id), (found, found_id, _, _) in zip(CASES, got):
         assert found == reason, body
-        if reason not in ("malformed", "bad_utf8", "not_an_object", "missing_required"):
+        if reason not in ("malformed", "bad_utf8", "not_an_object", "missing_required",
+                          "inexact_number", "lone_surrogate", "too_large"):
             assert found_id == event_id, body
 
 
@@ -186,6 +202,29 @@ def test_whole_texts_are_parsed(spark, send):
     assert [r[0] for r in got] == [None, "malformed"]
 
 
+def test_a_body_beyond_the_parser_is_not_called_malformed(spark, send):
+    body = '{"event_id":"a","event_type":"click","t":"' + "x" * (21 << 20) + '"}'
+    assert outcome(spark, send(body))[0][0] == "too_large"
+
+
+def test_the_missing_fields_are_named(spark, send):
+    bodies = ['{"event_id":"a"}', '{"event_type":"click"}', "{}"]
+    letters = dead_letters(validate_events(parse_events(send(*bodies)))).collect()
+    assert {r.raw: r.error for r in letters} == {
+        b: f"Missing required fields: {m}" for b, m in
+        zip(bodies, ("event_type", "event_id", "event_id, event_type"))}
+
+
+def test_an_unconfigured_session_is_refused(spark, send):
+    rows = send(GOOD)
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "false")
+    try:
+        with pytest.raises(ValueError, match="allowDuplicateKeys"):
+            parse_events(rows)
+    finally:
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 @pytest.mark.parametrize("depth,reason", [(100, None), (5000, "malformed")])
 def test_nesting(spark, send, depth, reason):
     body = '{"event_id":"a","event_type":"click","n":' + "[" * depth + "]" * depth + "}"

@@ -9,7 +9,7 @@ from helpers import physical
 from millrace import plans
 from millrace.functions import json_value
 from millrace.schemas import EVENTS_RAW
-from millrace.sources import spread
+from millrace.sinks import write_events
 from workload import messages as M
 
 TODAY = dt.date(2024, 1, 30)
@@ -167,10 +167,30 @@ def test_messages_are_parsed_once_and_counted_before_the_shuffle(spark, sf_dir,
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan
 
 
-def test_only_inputs_with_few_splits_are_dealt_out(spark):
-    few, many = spark.range(100, numPartitions=2), spark.range(100, numPartitions=8)
-    assert "RoundRobin" in physical(spread(few))
-    assert spread(many) is many
+def test_amounts_beyond_the_decimal(spark):
+    amounts = ["1e18", "-0.000000000001", "0.123456789012", "12345678901234.5", "1e-20", '"2.50"']
+    rows = [("1", "purchase", "u", f'{{"amount_usd":{v}}}', at(30), "1") for v in amounts]
+    row = plans.purchase_revenue(table(spark, rows), TODAY).first()
+    assert row.purchase_count == 6
+    assert row.revenue_usd == pytest.approx(1e18 + 12345678901234.5 + 2.62, rel=1e-15)
+    tiny = [("1", "purchase", "u", f'{{"amount_usd":{v}}}', at(30), "1") for v in ["0.004999999999"] * 2]
+    assert plans.purchase_revenue(table(spark, tiny), TODAY).first().revenue_usd == 0.01
+    huge = [("1", "purchase", "u", '{"amount_usd":9999999999.999999999999}', at(30), "1")] * 1000
+    assert plans.purchase_revenue(table(spark, huge), TODAY).first().revenue_usd == 1e13
+
+
+def test_a_query_over_the_table_lists_only_its_days(spark, events, tmp_path):
+    root = str(tmp_path / "events")
+    write_events(events, root, "b")
+    for plan, days in ((plans.top_error_codes, 0), (plans.type_counts, 0), (plans.quality_check, 0),
+                       (plans.hourly_volume, 1), (plans.daily_active_users, 7)):
+        rows = plans.over_table(plan, spark, root, TODAY)
+        listed = {f.split("ingest_date=")[1][:10] for f in rows.inputFiles()}
+        assert listed == {str(TODAY - dt.timedelta(days=d)) for d in range(days + 1)} & {
+            "2024-01-30", "2024-01-29", "2024-01-28", "2024-01-20"}
+        assert sorted(map(str, rows.collect())) == sorted(map(str, plan(events, TODAY).collect()))
+    assert plans.over_table(plans.ingest_health, spark, root, TODAY, days=1).count() == 3
+    assert plans.over_table(plans.type_counts, spark, root).count() == 0
 
 
 def test_top_k_is_not_a_global_sort(events):

@@ -8,7 +8,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators import enrich_events, parse_events, route_messages, validate_events
-from millrace.sinks import read_dead_letters, read_events, write_batch, write_events
+from millrace.schemas import EVENTS_RAW
+from millrace.sinks import (
+    LETTERS_TABLE,
+    compact_day,
+    read_dead_letters,
+    read_events,
+    write_batch,
+    write_events,
+)
+from millrace.sinks.tables import _days_of
 from millrace.streaming import IngestJob
 
 DAY = dt.date(2024, 1, 15)
@@ -71,25 +80,86 @@ def sorted_keys(path):
     return keys
 
 
-def test_files_are_sorted_and_ranges_do_not_overlap(spark, tmp_path):
-    root = str(tmp_path / "ev")
-    write_events(events(spark), root, "b1", files=6)
-    per_day = {}
-    for path in files(root):
-        keys = sorted_keys(path)
-        per_day.setdefault(path.parent, []).append((keys[0], keys[-1]))
-    for spans in per_day.values():
-        spans.sort()
-        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
-
-
-def test_a_hot_user_is_cut_into_several_files(spark, tmp_path):
-    rows = events(spark, days=1).withColumn("user_id", F.lit("hot")).withColumn(
-        "event_type", F.lit("click"))
-    root = str(tmp_path / "ev")
-    write_events(rows, root, "b1", files=8)
-    sizes = [pq.read_metadata(p).num_rows for p in files(root)]
-    assert len(sizes) >= 6 and max(sizes) < sum(sizes) / 3
+def test_a_batch_replaces_itself_on_other_days(spark, tmp_path):
+    ev, dl = str(tmp_path / "ev"), str(tmp_path / "dl")
+    write_batch(routed(spark), ev, dl, "b1")
+    write_batch(routed(spark, n=500), ev, dl, "b2")
+    write_batch(routed(spark, day=DAY + dt.timedelta(days=40)), ev, dl, "b1")
+    rows = read_events(spark, ev)
+    assert rows.count() == 4000 - 80 + 490
+    assert rows.where(F.col("ingest_date") < F.lit(DAY + dt.timedelta(days=9))).count() == 490
+    assert read_dead_letters(spark, dl).count() == 90
+    assert read_dead_letters(spark, dl, since=DAY + dt.timedelta(days=9)).count() == 80
+    assert read_dead_letters(spark, dl, DAY, DAY + dt.timedelta(days=2)).count() == 10
+
+
+def test_a_side_that_became_empty_is_replaced_too(spark, tmp_path):
+    ev, dl = str(tmp_path / "ev"), str(tmp_path / "dl")
+    write_batch(routed(spark, n=100), ev, dl, "b1")
+    refused = validate_events(parse_events(messages(spark, n=100)), ["refund"])
+    write_batch(route_messages(refused, clock=F.col("publish_time")), ev, dl, "b1")
+    assert (read_events(spark, ev).count(), read_dead_letters(spark, dl).count()) == (0, 100)
+    write_batch(routed(spark, n=0), ev, dl, "b1")
+    assert (read_events(spark, ev).count(), read_dead_letters(spark, dl).count()) == (0, 0)
+
+
+def test_a_batch_that_broke_off_is_found_without_its_marks(spark, tmp_path):
+    ev, dl = str(tmp_path / "ev"), str(tmp_path / "dl")
+    write_batch(routed(spark, n=100), ev, dl, "b1")
+    marks = tmp_path / "ev" / "_batches" / "b1"
+    for mark in marks.iterdir():
+        mark.unlink()
+    (marks / "_open").touch()
+    write_batch(routed(spark, n=100, day=DAY + dt.timedelta(days=9)), ev, dl, "b1")
+    assert read_events(spark, ev).count() == 98
+    assert not (marks / "_open").exists()
+
+
+def test_days_are_read_off_the_bitmap(spark):
+    days = [dt.date(1969, 12, 30), dt.date(1970, 1, 1), dt.date(2024, 2, 29)]
+    rows = spark.createDataFrame([(d,) for d in [*days, None]], "d date")
+    day = F.unix_date("d")
+    first, bits = rows.agg(F.min(day), F.bitmap_construct_agg(
+        F.bitmap_bit_position(F.pmod(day, F.lit(32768)) + 1))).first()
+    assert _days_of(first, bits) == {str(d) for d in days}
+    assert _days_of(None, b"") == set()
+
+
+def test_compaction(spark, tmp_path):
+    ev, dl = str(tmp_path / "ev"), str(tmp_path / "dl")
+    for n in range(4):
+        write_batch(routed(spark, n=300 + n), ev, dl, f"b{n}")
+    before = {t: sorted(map(str, read(spark, t_root).collect())) for t, t_root, read in
+              (("ev", ev, read_events), ("dl", dl, read_dead_letters))}
+    folder = tmp_path / "ev" / f"ingest_date={DAY}"
+    many = len(files(folder))
+    for _ in range(2):
+        compact_day(spark, ev, EVENTS_RAW, DAY)
+        compact_day(spark, dl, LETTERS_TABLE, DAY)
+    compact_day(spark, ev, EVENTS_RAW, dt.date(2001, 1, 1))
+    assert many == 4 and len(files(folder)) == 1
+    sorted_keys(files(folder)[0])
+    assert sorted(map(str, read_events(spark, ev).collect())) == before["ev"]
+    assert sorted(map(str, read_dead_letters(spark, dl).collect())) == before["dl"]
+    # A compacted batch that is written again is still one copy.
+    write_batch(routed(spark, n=301), ev, dl, "b1")
+    assert sorted(map(str, read_events(spark, ev).collect())) == before["ev"]
+    write_batch(routed(spark, n=0), ev, dl, "b1")
+    assert read_events(spark, ev).count() == len(before["ev"]) - (301 - 7)
+    compact_day(spark, ev, EVENTS_RAW, DAY)
+    assert read_events(spark, ev).count() == len(before["ev"]) - (301 - 7)
+
+
+def test_a_compaction_that_broke_off_is_finished(spark, tmp_path):
+    ev, dl = str(tmp_path / "ev"), str(tmp_path / "dl")
+    for n in range(2):
+        write_batch(routed(spark, n=300, days=1), ev, dl, f"b{n}")
+    compact_day(spark, ev, EVENTS_RAW, DAY)
+    folder = tmp_path / "ev" / f"ingest_date={DAY}"
+    (tmp_path / "ev" / "_compacting").mkdir(exist_ok=True)
+    (folder / "batch=compacted").rename(tmp_path / "ev" / "_compacting" / str(DAY))
+    compact_day(spark, ev, EVENTS_RAW, DAY)
+    assert read_events(spark, ev).count() == 2 * 294
 
 
 def test_single_pass_write_is_sorted_and_cuts_a_hot_type(spark, tmp_path):
@@ -107,12 +177,10 @@ def test_single_pass_write_is_sorted_and_cuts_a_hot_type(spark, tmp_path):
     assert read_events(spark, root).count() == 40000 - 800
 
 
-def test_file_count_follows_size(spark, tmp_path):
+def test_small_batches_make_one_file(spark, tmp_path):
     ev, dl = str(tmp_path / "ev"), str(tmp_path / "dl")
     write_batch(routed(spark, days=1), ev, dl, "b1")
     assert len(files(ev)) == 1
-    write_batch(routed(spark, days=1), ev, dl, "b2", target_file_bytes=50_000)
-    assert len(files(ev)) > 4
 
 
 def test_only_the_days_asked_for_are_listed(spark, tmp_path):

@@ -13,12 +13,16 @@ from millrace.streaming import (
     Sliding,
     Tumbling,
     assign_window,
+    closed_at,
     counts_by_strategy,
+    late_rows,
     session_counts,
     session_counts_by_type,
     sliding_counts,
     tumbling_counts,
+    with_open_windows,
 )
+from millrace.streaming.windows import BY_TYPE
 
 START = dt.datetime(2024, 1, 1)
 TYPES = ("click", "error", "purchase")
@@ -140,7 +144,7 @@ def test_gap_must_be_positive(events):
 
 def test_strategies(events, rows):
     plan = {"click": Sliding(3600, 900), "error": Tumbling(60), "purchase": Session(1800)}
-    found = collected(counts_by_strategy(events, plan), "event_type")
+    found = collected(counts_by_strategy(events, plan, session_keys=BY_TYPE), "event_type")
     of = {t: [r for r in rows if r[1] == t] for t in TYPES}
     expected = brute_sliding(of["click"], 3600, 900, 0)
     expected += brute_sliding(of["error"], 60, 60, 0)
@@ -154,7 +158,7 @@ def test_strategies(events, rows):
     {"click": Tumbling(60), "purchase": Sliding(3600, 600)},
 ])
 def test_strategies_of_all_kinds(events, rows, plan):
-    found = collected(counts_by_strategy(events, plan), "event_type")
+    found = collected(counts_by_strategy(events, plan, session_keys=BY_TYPE), "event_type")
     expected = Counter()
     for kind, how in plan.items():
         own = [r for r in rows if r[1] == kind]
@@ -164,22 +168,45 @@ def test_strategies_of_all_kinds(events, rows, plan):
             slide = how.slide if isinstance(how, Sliding) else how.size
             expected += brute_sliding(own, how.size, slide, 0)
     assert found == expected
-    assert physical(counts_by_strategy(events, plan)).count("Scan") == 1
+    # Grid types meet no window function; only sessions are numbered.
+    has_sessions = any(isinstance(how, Session) for how in plan.values())
+    assert ("Window [" in physical(counts_by_strategy(events, plan))) == has_sessions
+
+
+def test_sessions_of_a_strategy_are_per_user(events, rows):
+    plan = {"click": Tumbling(60), "purchase": Session(1800)}
+    counts = counts_by_strategy(events, plan)
+    own = [r for r in rows if r[1] == "purchase"]
+    assert collected(counts.where("event_type = 'purchase'"), "user_id") == brute_sessions(own, lambda _: 1800, 1)
+    assert counts.where("event_type = 'click' AND user_id IS NOT NULL").count() == 0
 
 
 def test_strategies_on_a_stream(spark, events, rows, tmp_path):
-    plan = {"click": Sliding(3600, 900), "error": Tumbling(60), "purchase": Session(1800)}
+    """One watermark over the rows of all types; a silent type holds nothing back."""
+    plan = {"click": Sliding(3600, 900), "error": Tumbling(60), "purchase": Session(1800),
+            "page_view": Tumbling(7200), "session_end": Session(60)}
     events.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
     counts = counts_by_strategy(stream, plan, lateness="1 hour")
-    drain(counts, str(tmp_path / "out"), str(tmp_path / "state"))
-    got = collected(spark.read.schema(counts.schema).parquet(str(tmp_path / "out")), "event_type")
-    table = collected(counts_by_strategy(events, plan), "event_type")
-    assert got and all(table[key] == n for key, n in got.items())
-    # One watermark for all branches: the latest event minus the lateness, of
-    # the branch that is furthest behind.
-    last = min(max(r[0] for r in rows if r[1] == t) for t in plan) - seconds(3600)
-    assert set(got) == {key for key in table if key[1] <= last}
+    query = drain(counts, str(tmp_path / "out"), str(tmp_path / "state"))
+    appended = spark.read.schema(counts.schema).parquet(str(tmp_path / "out"))
+    key = lambda r: str(tuple(r))
+    whole = counts_by_strategy(events, plan)
+    last = max(r[0] for r in rows) - seconds(3600)
+    got, table = sorted(appended.collect(), key=key), sorted(whole.collect(), key=key)
+    assert got == [r for r in table if r.window_end <= last] and len(got) < len(table)
+    assert sorted(with_open_windows(appended, whole, closed_at(query)).collect(), key=key) == table
+
+
+def test_late_rows_are_reported(spark):
+    schema = "window_start timestamp, window_end timestamp, event_type string, event_count long"
+    at = lambda n: START + dt.timedelta(minutes=n)
+    appended = spark.createDataFrame([(at(0), at(1), "a", 2), (at(1), at(2), "a", 1)], schema)
+    counted = spark.createDataFrame(
+        [(at(0), at(1), "a", 5), (at(1), at(2), "a", 1), (at(2), at(3), "a", 4), (at(8), at(9), "a", 7)], schema)
+    got = {(r.window_start, r.event_count, r.late_count, r.reason)
+           for r in late_rows(appended, counted, at(3)).collect()}
+    assert got == {(at(0), 2, 3, "behind_watermark"), (at(1), 1, 0, None), (at(2), 0, 4, "behind_watermark")}
 
 
 def test_rows_collapse_before_the_first_shuffle(events):

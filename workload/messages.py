@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from millrace import configure
 from millrace.functions import iso_utc
 from millrace.operators import accepted, enrich_events, parse_events, validate_events
-from millrace.sources import cores_to_fill, spread
 
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
@@ -27,10 +26,9 @@ def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cores = cores_to_fill(events_table(spark, sf_dir))
     # A pattern, since a file stream does not take a single file.
-    rows = spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/events*.parquet")
-    return rows.repartition(cores) if cores else rows
+    rows = configure(spark).readStream.schema(EVENTS).parquet(f"{sf_dir}/events*.parquet")
+    return rows.repartition(spark.sparkContext.defaultParallelism)
 
 
 def as_messages(events: DataFrame) -> DataFrame:
@@ -57,7 +55,9 @@ def as_messages(events: DataFrame) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_messages(spread(events_table(spark, sf_dir)))
+    # The table is one file that cannot be split; parsing is dealt out.
+    rows = events_table(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
+    return as_messages(rows)
 
 
 def redelivered(envelopes: DataFrame) -> DataFrame:

@@ -6,6 +6,24 @@ must come out.
 
 from __future__ import annotations
 
+# JSON text of a message and of a payload, from the plain columns.
+STAMP = (
+    "(CASE WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') "
+    "ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END || '+00:00')"
+)
+FIELDS = f"""
+    '"event_type":"' || CASE event_type WHEN 'view' THEN 'page_view' ELSE event_type END
+    || '","user_id":"user_' || user_id || '","timestamp":"' || {STAMP} || '"'
+    || CASE WHEN event_type = 'purchase' THEN ',"amount_usd":' || value ELSE '' END
+    || CASE WHEN event_type = 'error' THEN ',"error_code":' || json_extract_string(props, '$.k') ELSE '' END
+    || '}}'
+"""
+PAYLOAD = f"""
+    '{{' || CASE WHEN event_type = 'purchase' THEN '"amount_usd":' || value || ',' ELSE '' END
+    || CASE WHEN event_type = 'error' THEN '"error_code":' || k || ',' ELSE '' END
+    || '"timestamp":"' || {STAMP} || '"}}'
+"""
+
 # Rows that survive parsing and validation.
 BASE = """
 WITH base AS (
@@ -20,9 +38,13 @@ WITH base AS (
 """
 
 # Rows that do not, with the first reason that applies.
-REJECTS = """
+REJECTS = f"""
 WITH rejects AS (
-  SELECT ts, CASE WHEN event_id % 97 = 0 THEN 'malformed'
+  SELECT ts, CASE WHEN event_id % 97 = 0 THEN '{{"event_id": "x'
+                  WHEN event_id % 89 = 0 THEN '{{' || {FIELDS}
+                  ELSE '{{"event_id":"' || CASE WHEN event_id % 83 = 0 THEN '' ELSE event_id::VARCHAR END
+                       || '",' || {FIELDS} END AS raw,
+         CASE WHEN event_id % 97 = 0 THEN 'malformed'
                   WHEN event_id % 89 = 0 THEN 'missing_required'
                   WHEN event_type = 'signup' THEN 'unknown_event_type'
                   ELSE 'bad_event_id' END AS reason, event_type, event_id
@@ -32,9 +54,6 @@ WITH rejects AS (
 )
 """
 
-WATERMARK = "(SELECT max(ts) - INTERVAL 1 HOUR FROM base)"
-
-
 def floor_to(ts: str, seconds: int) -> str:
     width = seconds * 1_000_000
     return f"make_timestamp((epoch_us({ts}) // {width}) * {width})"
@@ -112,11 +131,15 @@ typed AS (
 
 STRATEGIES = f"""
 purchases AS (SELECT * FROM base WHERE event_type = 'purchase'),
-{TUMBLING}, {SLIDING}, {sessions_sql('event_type', PLAIN_GAP, 'purchases')},
+{TUMBLING}, {SLIDING}, {sessions_sql('user_id', PLAIN_GAP, 'purchases')},
 strategies AS (
-  SELECT * FROM tumbling WHERE event_type IN ('page_view', 'error')
-  UNION ALL SELECT * FROM sliding WHERE event_type = 'click'
-  UNION ALL SELECT * FROM sessions
+  SELECT window_start, window_end, event_type, CAST(NULL AS VARCHAR) AS user_id, event_count
+  FROM tumbling WHERE event_type IN ('page_view', 'error')
+  UNION ALL
+  SELECT window_start, window_end, event_type, NULL, event_count
+  FROM sliding WHERE event_type = 'click'
+  UNION ALL
+  SELECT window_start, window_end, 'purchase', user_id, event_count FROM sessions
 )
 """
 
@@ -136,9 +159,9 @@ ORACLE: dict[str, str] = {
     "dead_letters": REJECTS + """
         SELECT ts AS publish_time, reason,
                CASE reason WHEN 'malformed' THEN 'Message body is not one JSON document'
-                           WHEN 'missing_required' THEN 'Missing required fields: event_id, event_type'
+                           WHEN 'missing_required' THEN 'Missing required fields: event_id'
                            WHEN 'unknown_event_type' THEN 'Unknown event_type'
-                           ELSE 'Empty or non-scalar event_id' END AS error
+                           ELSE 'Empty or non-scalar event_id' END AS error, raw
         FROM rejects
     """,
     "dead_letter_summary": REJECTS + """
@@ -146,19 +169,23 @@ ORACLE: dict[str, str] = {
         FROM rejects GROUP BY 1, 2
     """,
     "dead_letter_redrive": """
-        SELECT CASE WHEN event_type = 'signup' THEN 'unknown_event_type' ELSE 'accepted' END
-                 AS outcome, count(*) AS message_count
-        FROM events WHERE event_id % 97 <> 0 AND event_id % 89 = 0 GROUP BY 1
+        SELECT CASE WHEN event_id % 97 = 0 THEN 'malformed'
+                    WHEN event_type = 'signup' THEN 'unknown_event_type'
+                    WHEN event_id % 89 = 0 THEN 'accepted'
+                    ELSE 'bad_event_id' END AS outcome, count(*) AS message_count
+        FROM events
+        WHERE event_id % 97 = 0 OR event_id % 89 = 0 OR event_id % 83 = 0 OR event_type = 'signup'
+        GROUP BY 1
     """,
     "validate_events": BASE + "SELECT event_id, event_type FROM base",
     "reject_summary": REJECTS + """
         SELECT reason AS reject_reason, count(*) AS reject_count FROM rejects GROUP BY 1
     """,
-    "enrich_events": BASE + """
+    "enrich_events": BASE + f"""
         SELECT event_id, event_type, user_id,
                CASE WHEN event_type = 'purchase' THEN value END AS amount_usd,
                CASE WHEN event_type = 'error' THEN k END AS error_code,
-               CAST(NULL AS VARCHAR) AS core_in_payload,
+               CAST(NULL AS VARCHAR) AS core_in_payload, {PAYLOAD} AS payload,
                ts AS processed_at, d AS ingest_date, '1.0.0' AS pipeline_version
         FROM base
     """,
@@ -241,11 +268,27 @@ ORACLE: dict[str, str] = {
         FROM events
     """,
     "hour_trunc": "SELECT event_id, date_trunc('hour', ts) AS hour FROM events",
-    "sink_events_raw": BASE + """
-        SELECT event_id, event_type, user_id, ts AS processed_at, d AS ingest_date,
+    "sink_events_raw": BASE + f"""
+        SELECT event_id, event_type, user_id, {PAYLOAD} AS payload, ts AS processed_at, d AS ingest_date,
                '1.0.0' AS pipeline_version
         FROM base
     """,
+    "compacted_days": BASE + f"""
+        SELECT event_id, event_type, user_id, {PAYLOAD} AS payload, ts AS processed_at,
+               d AS ingest_date, '1.0.0' AS pipeline_version
+        FROM base
+    """,
+    "sink_batch_rerun": BASE + """
+        SELECT 'moved events' AS part, CAST(d + INTERVAL 1 DAY AS DATE) AS ingest_date,
+               count(*) AS row_count
+        FROM base GROUP BY 2
+        UNION ALL
+        SELECT 'moved letters', CAST(ts AS DATE), count(*) FROM events
+        WHERE event_id % 97 = 0 OR event_id % 89 = 0 OR event_id % 83 = 0 OR event_type = 'signup'
+        GROUP BY 2
+        UNION ALL
+        SELECT 'refused letters', CAST(ts AS DATE), count(*) FROM events GROUP BY 2
+    """,
     "sink_dead_letters": REJECTS + """
         SELECT reason, CAST(ts AS DATE) AS day, count(*) AS letter_count
         FROM rejects GROUP BY 1, 2
@@ -264,11 +307,12 @@ ORACLE: dict[str, str] = {
                count(*) - count(amount_usd) AS null_amounts
         FROM kept GROUP BY 1
     """,
-    "gen_events": GENERATED + """
+    "gen_events": GENERATED + f"""
         SELECT substr(u, 1, 8) || '-' || substr(u, 9, 4) || '-4' || substr(u, 14, 3) || '-'
                  || translate(substr(u, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab')
                  || substr(u, 18, 3) || '-' || substr(u, 21, 12) AS event_id,
                event_type, 'user_' || (w1 % 9000 + 1000) AS user_id, ts AS event_time,
+               {STAMP} AS timestamp,
                CASE WHEN event_type = 'page_view'
                     THEN ['/home', '/products', '/cart', '/checkout', '/account'][w2 % 5 + 1]
                END AS page,
@@ -283,27 +327,20 @@ ORACLE: dict[str, str] = {
         SELECT event_type, 'accepted' AS outcome, count(*) AS message_count
         FROM typed GROUP BY 1
     """,
-    # A window is appended once the watermark has reached its end.
-    "stream_tumbling_counts": BASE
-    + f", {TUMBLING} SELECT * FROM tumbling WHERE window_end <= {WATERMARK}",
-    "stream_sliding_counts": BASE
-    + f", {SLIDING} SELECT * FROM sliding WHERE window_end <= {WATERMARK}",
+    # Streams run to their end give all windows, the open ones among them.
+    "stream_tumbling_counts": BASE + f", {TUMBLING} SELECT * FROM tumbling",
+    "stream_sliding_counts": BASE + f", {SLIDING} SELECT * FROM sliding",
     "stream_session_counts": BASE
-    + f", {sessions_sql('user_id', PLAIN_GAP)} SELECT * FROM sessions "
-    f"WHERE window_end <= {WATERMARK}",
+    + f", {sessions_sql('user_id', PLAIN_GAP)} SELECT * FROM sessions",
     "stream_session_counts_by_type": BASE
-    + f", {sessions_sql('user_id', TYPE_GAP)} SELECT * FROM sessions "
-    f"WHERE window_end <= {WATERMARK}",
-    # One watermark per strategy; the one furthest behind counts for all.
-    "stream_window_strategies": BASE + f""", {STRATEGIES}
-        SELECT * FROM strategies WHERE window_end <= (
-          SELECT min(latest) - INTERVAL 1 HOUR FROM (
-            SELECT max(ts) AS latest FROM base
-            GROUP BY CASE WHEN event_type IN ('page_view', 'error') THEN 'tumbling'
-                          ELSE event_type END
-          )
-        )
+    + f", {sessions_sql('user_id', TYPE_GAP)} SELECT * FROM sessions",
+    "stream_window_strategies": BASE + f", {STRATEGIES} SELECT * FROM strategies",
+    # The stream alone: windows that end by an hour before the last event.
+    "stream_strategies_silent_type": BASE + f""", {STRATEGIES}
+        SELECT * FROM strategies
+        WHERE window_end <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM base)
     """,
+    "stream_dedup_late": BASE + "SELECT event_id, event_type, user_id FROM base",
     "stream_dedup_events": BASE + "SELECT event_id, event_type, user_id FROM base",
     # The held-back tenth counts only where its window was still open.
     "late_data": BASE + """
@@ -315,12 +352,17 @@ ORACLE: dict[str, str] = {
         mark AS (
           SELECT max(ts) FILTER (NOT held_back) - INTERVAL 2 DAY AS closed,
                  max(ts) - INTERVAL 2 DAY AS final FROM marked
+        ),
+        counted AS (
+          SELECT window_start, event_type,
+                 count(*) FILTER (NOT held_back OR window_start + INTERVAL 1 HOUR > closed)
+                   AS event_count, count(*) AS rows
+          FROM marked, mark WHERE window_start + INTERVAL 1 HOUR <= final
+          GROUP BY 1, 2
         )
         SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, event_type,
-               count(*) AS event_count
-        FROM marked, mark
-        WHERE (NOT held_back OR window_start + INTERVAL 1 HOUR > closed)
-          AND window_start + INTERVAL 1 HOUR <= final
-        GROUP BY 1, 2, 3
+               event_count, rows - event_count AS late_count,
+               CASE WHEN rows > event_count THEN 'behind_watermark' END AS reason
+        FROM counted
     """,
 }

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from millrace import configure, operators, plans
 from millrace.functions import json_value
 from millrace.session import scratch_dir
-from millrace.sinks import read_dead_letters, read_events, write_events
+from millrace.schemas import EVENTS_RAW
+from millrace.sinks import compact_day, read_dead_letters, read_events, write_events
 from millrace.sources import (
     generate_envelopes,
     generate_events,
@@ -25,12 +28,15 @@ from millrace.streaming import (
     Sliding,
     Tumbling,
     assign_window,
+    closed_at,
     counts_by_strategy,
+    late_rows,
     session_counts,
     session_counts_by_type,
     sliding_counts,
     start_window_counts,
     tumbling_counts,
+    with_open_windows,
 )
 from workload import messages as M
 
@@ -85,7 +91,7 @@ def parse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters = operators.dead_letters(M.validated(spark, sf_dir))
-    return plain(letters.select("publish_time", "reason", "error"))
+    return plain(letters.select("publish_time", "reason", "error", "raw"))
 
 
 def dead_letter_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,9 +99,8 @@ def dead_letter_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dead_letter_redrive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    letters = operators.dead_letters(M.validated(spark, sf_dir)).where(
-        "reason = 'missing_required'"
-    )
+    """All letters again, an id put before their fields: mends those that had none."""
+    letters = operators.dead_letters(M.validated(spark, sf_dir))
     patched = F.concat(F.lit('{"event_id":"redriven",'), F.expr("substring(raw, 2)"))
     again = operators.validate_events(operators.parse_events(operators.redrive(letters, patched)))
     return again.groupBy(F.coalesce("reason", F.lit("accepted")).alias("outcome")).agg(
@@ -120,6 +125,7 @@ def enrich_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             json_value("payload", "$.amount_usd").cast("double").alias("amount_usd"),
             json_value("payload", "$.error_code").alias("error_code"),
             json_value("payload", "$.event_id").alias("core_in_payload"),
+            "payload",
             "processed_at",
             "ingest_date",
             "pipeline_version",
@@ -207,8 +213,7 @@ def dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     twice = M.redelivered(M.messages(spark, sf_dir))
     good = operators.validate_events(operators.parse_events(twice))
     rows = operators.enrich_events(good, clock=F.col("publish_time"))
-    once = operators.dedup_events(rows, keep_first_by=["processed_at", "event_type"])
-    return plain(once.select("event_id", "event_type", "processed_at"))
+    return plain(operators.dedup_events(rows).select("event_id", "event_type", "processed_at"))
 
 
 def json_value_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,7 +241,7 @@ def _ingested(spark: SparkSession, sf_dir: str, label: str) -> IngestJob:
 def sink_events_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole streaming job, then the table it wrote."""
     job = _ingested(spark, sf_dir, "sink")
-    return plain(read_events(spark, job.events_root).drop("payload"))
+    return plain(read_events(spark, job.events_root))
 
 
 def sink_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,7 +280,7 @@ def gen_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A synthetic event for every row of the table."""
     ids = M.events_table(spark, sf_dir)
     made = generate_events(ids, SEED, clock=F.col("ts").cast("timestamp"), id_column="event_id")
-    return plain(made.drop("timestamp"))
+    return plain(made)
 
 
 def gen_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,82 +295,162 @@ def gen_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, sf_dir: str, label: str, shape) -> DataFrame:
-    """Run a windowed stream over all messages to its end; what it appended."""
+    """A windowed stream over all messages, run to its end: all its windows.
+
+    What the stream appended, and the windows that were still open.
+    """
     out = scratch_dir(configure(spark), label)
     stream = operators.validate_events(
         operators.parse_events(M.as_messages(M.events_stream(spark, sf_dir)))
     )
-    rows = shape(operators.accepted(stream))
+    rows = shape(operators.accepted(stream), "1 hour")
+    query = _drained(rows, out)
+    appended = spark.read.schema(rows.schema).parquet(f"{out}/rows")
+    counted = shape(M.good(spark, sf_dir), None)
+    return plain(with_open_windows(appended, counted, closed_at(query)))
+
+
+def _drained(rows: DataFrame, out: str) -> StreamingQuery:
     writer = rows.writeStream.format("parquet").outputMode("append")
     writer = writer.option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state")
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return plain(spark.read.schema(rows.schema).parquet(f"{out}/rows"))
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
 
 def stream_tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(
-        spark, sf_dir, "tumbling", lambda rows: tumbling_counts(rows, lateness="1 hour")
+        spark, sf_dir, "tumbling", lambda rows, late: tumbling_counts(rows, lateness=late)
     )
 
 
 def stream_sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(
         spark, sf_dir, "sliding",
-        lambda rows: sliding_counts(rows, HOUR, SLIDE, lateness="1 hour"),
+        lambda rows, late: sliding_counts(rows, HOUR, SLIDE, lateness=late),
     )
 
 
 def stream_session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(
-        spark, sf_dir, "sessions", lambda rows: session_counts(rows, GAP, lateness="1 hour")
+        spark, sf_dir, "sessions", lambda rows, late: session_counts(rows, GAP, lateness=late)
     )
 
 
 def stream_session_counts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(
         spark, sf_dir, "sessions-by-type",
-        lambda rows: session_counts_by_type(rows, TYPE_GAPS, GAP, lateness="1 hour"),
+        lambda rows, late: session_counts_by_type(rows, TYPE_GAPS, GAP, lateness=late),
     )
 
 
 def stream_window_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(
         spark, sf_dir, "strategies",
-        lambda rows: counts_by_strategy(rows, STRATEGIES, lateness="1 hour"),
+        lambda rows, late: counts_by_strategy(rows, STRATEGIES, lateness=late),
     )
 
 
+def stream_strategies_silent_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stream itself gives out, beside a strategy for a type that never comes."""
+    out = scratch_dir(configure(spark), "silent")
+    stream = operators.accepted(operators.validate_events(
+        operators.parse_events(M.as_messages(M.events_stream(spark, sf_dir)))))
+    plan = STRATEGIES | {"session_start": Session(GAP), "session_end": Tumbling(HOUR)}
+    rows = counts_by_strategy(stream, plan, lateness="1 hour")
+    _drained(rows, out)
+    return plain(spark.read.schema(rows.schema).parquet(f"{out}/rows"))
+
+
 def stream_dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Redelivered messages on a stream; which copy stays is not defined."""
     out = scratch_dir(configure(spark), "dedup")
     twice = M.redelivered(M.as_messages(M.events_stream(spark, sf_dir)))
     good = operators.accepted(operators.validate_events(operators.parse_events(twice)))
     rows = operators.dedup_stream(good).select("event_id", "event_type", "user_id")
-    writer = rows.writeStream.format("parquet").outputMode("append")
-    writer = writer.option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state")
-    writer.trigger(availableNow=True).start().awaitTermination()
+    _drained(rows, out)
     return spark.read.schema(rows.schema).parquet(f"{out}/rows")
 
 
+def _phases() -> list[Column]:
+    """Messages before the cut, after it, and a tenth of all that comes last."""
+    held_back = F.col("message_id").cast("bigint") % 10 == 3
+    early = F.col("publish_time") < F.lit(LATE_CUT)
+    return [early & ~held_back, ~early & ~held_back, held_back]
+
+
+def stream_dedup_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deduplication where first copies come days behind the newest message."""
+    root = scratch_dir(configure(spark), "dedup-late")
+    twice = M.redelivered(M.messages(spark, sf_dir))
+    for phase in _phases():
+        write_envelopes(twice.where(phase), f"{root}/in")
+        good = operators.accepted(operators.validate_events(operators.parse_events(
+            read_envelopes(spark, f"{root}/in", streaming=True))))
+        rows = operators.dedup_stream(good).select("event_id", "event_type", "user_id")
+        _drained(rows, root)
+    return spark.read.schema(rows.schema).parquet(f"{root}/rows")
+
+
 def late_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tumbling counts where a tenth of the early messages come last.
+    """Tumbling counts where a tenth of the messages come last, and what that cost.
 
     Three runs on one checkpoint: messages before the cut, messages after it,
     then the held-back ones, whose windows the watermark has closed unless
-    they lie within the allowed lateness of the newest message.
+    they lie within the allowed lateness of the newest message. Windows that
+    were closed at the end are compared with a count of the stored messages.
     """
     root = scratch_dir(configure(spark), "late")
     every = M.messages(spark, sf_dir)
-    held_back = F.col("message_id").cast("bigint") % 10 == 3
-    early = F.col("publish_time") < F.lit(LATE_CUT)
-    phases = [early & ~held_back, ~early & ~held_back, held_back]
-    for phase in phases:
+    for phase in _phases():
         write_envelopes(every.where(phase), f"{root}/in")
-        start_window_counts(
+        query = start_window_counts(
             read_envelopes(spark, f"{root}/in", streaming=True),
             f"{root}/out", f"{root}/state", size=HOUR, lateness="2 days",
-        ).awaitTermination()
-    return plain(spark.read.parquet(f"{root}/out"))
+        )
+        query.awaitTermination()
+    counted = tumbling_counts(M.good(spark, sf_dir), HOUR)
+    appended = spark.read.schema(counted.schema).parquet(f"{root}/out")
+    return plain(late_rows(appended, counted, closed_at(query)))
+
+
+def sink_batch_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches written again: a day later, and with all their rows turned away."""
+    root = scratch_dir(configure(spark), "rerun")
+    messages = M.messages(spark, sf_dir)
+    later = F.col("publish_time") + F.make_dt_interval(days=F.lit(1))
+
+    def job(table: str, **how) -> IngestJob:
+        return IngestJob(f"{root}/{table}/events", f"{root}/{table}/letters", **how)
+
+    job("moved", clock=F.col("publish_time")).run_batch(messages, "b")
+    job("moved", clock=later).run_batch(messages, "b")
+    job("refused", clock=F.col("publish_time")).run_batch(messages, "b")
+    job("refused", clock=F.col("publish_time"), event_types=["refund"]).run_batch(messages, "b")
+    parts = []
+    for table in ("moved", "refused"):
+        for side, rows in (
+            ("events", read_events(spark, job(table).events_root).select("ingest_date")),
+            ("letters", read_dead_letters(spark, job(table).letters_root).select(
+                F.to_date("publish_time").alias("ingest_date"))),
+        ):
+            counted = rows.groupBy("ingest_date").agg(F.count("*").alias("row_count"))
+            parts.append(counted.select(
+                F.lit(f"{table} {side}").alias("part"), "ingest_date", "row_count"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def compacted_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches, two days compacted, and the first batch written again after it."""
+    root = scratch_dir(configure(spark), "compacted")
+    rows = M.enriched(spark, sf_dir)
+    third = F.pmod(F.col("event_id").try_cast("bigint"), F.lit(3))
+    for n in range(3):
+        write_events(rows.where(third == n), root, f"b{n}")
+    for day in (AS_OF, AS_OF - dt.timedelta(days=1)):
+        compact_day(spark, root, EVENTS_RAW, day)
+    write_events(rows.where(third == 0), root, "b0")
+    return plain(read_events(spark, root))
 
 
 QUERIES: dict[str, Query] = {
@@ -409,5 +494,9 @@ QUERIES: dict[str, Query] = {
     "stream_session_counts_by_type": stream_session_counts_by_type,
     "stream_window_strategies": stream_window_strategies,
     "stream_dedup_events": stream_dedup_events,
+    "stream_strategies_silent_type": stream_strategies_silent_type,
+    "stream_dedup_late": stream_dedup_late,
     "late_data": late_data,
+    "sink_batch_rerun": sink_batch_rerun,
+    "compacted_days": compacted_days,
 }

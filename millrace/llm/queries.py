@@ -17,6 +17,7 @@ URL_RULES = [
     ("net", "/fr/", "block"),
 ]
 END_ID = 2
+_RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,7 +67,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    rules = spark.sql(f"SELECT * FROM VALUES {_RULES_SQL} AS rules(host, path, verdict)")
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
 
 
@@ -76,8 +77,6 @@ QUERIES = {
               op7_decontaminate, op8_simhash, op9_token_files, op10_url_filter)
 }
 
-_RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
-
 ORACLE = {
     "op7_decontaminate": r"""
         WITH words AS (

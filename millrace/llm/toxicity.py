@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from millrace.llm.common import with_columns_from
 
-MAX_ROWS = 5000
+MAX_ROWS = 3000
 MAX_ROW_BYTES = 1 << 16
 WINDOW_BYTES = 96
 TOXIC_BYTES = 4096

@@ -49,11 +49,9 @@ _ODD = (
     r"^[ \n]|[ \n]$|[ \n][ \n]|<\|endoftext\|>|[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}"
     r"\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
-# A word that ends in a Latin letter and ASCII marks: the tokenizer cuts there.
-_CLOSED = (
-    r"(?s)^(?P<core>.*[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])"
-    r"(?P<marks>[!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+)$"
-)
+# Where a word ends in a Latin letter and ASCII marks, the tokenizer cuts.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_LETTER_AT_END = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]$"
 
 
 def default_tokenizer() -> str:
@@ -63,12 +61,28 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _cut(words: pa.Array) -> tuple[pa.DictionaryArray, pa.DictionaryArray]:
-    """Words as cores and the marks that close them."""
-    found = pa.compute.extract_regex(words, _CLOSED)
-    core = pa.compute.if_else(found.is_valid(), pa.compute.struct_field(found, 0), words)
-    marks = pa.compute.if_else(found.is_valid(), pa.compute.struct_field(found, 1), "")
-    return core.dictionary_encode(), marks.dictionary_encode()
+def _cut(words: pa.Array) -> tuple[pa.DictionaryArray, list[str], np.ndarray]:
+    """Words as cores and the (up to eight) marks that close them.
+
+    Returns the cores, the distinct closing marks, and which of them each word has.
+    """
+    core = pa.compute.utf8_rtrim(words, characters=_MARKS)
+    n = np.asarray(pa.compute.subtract(
+        pa.compute.binary_length(words), pa.compute.binary_length(core))).astype(np.int64)
+    cut = (n > 0) & (n <= 8) & np.asarray(pa.compute.match_substring_regex(core, _LETTER_AT_END))
+    core = pa.compute.if_else(pa.array(cut), core, words)
+    n = np.where(cut, n, 0)
+    # The marks as one number: the last byte lowest, nothing above the first.
+    ends = np.frombuffer(words.buffers()[1], dtype=np.int32)[
+        words.offset + 1 : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"\0", dtype=np.uint8)
+    marks = np.zeros(len(words), dtype=np.uint64)
+    for i in range(int(n.max(initial=0))):
+        has = n > i
+        marks[has] |= data[ends[has] - 1 - i].astype(np.uint64) << np.uint64(8 * i)
+    distinct, which = np.unique(marks, return_inverse=True)
+    names = [int(m).to_bytes(8, "big").lstrip(b"\0").decode() for m in distinct]
+    return core.dictionary_encode(), names, which
 
 
 def _lines_and_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -89,14 +103,14 @@ class _Recent:
         self._old: list[str] = []
         self.get = self._map.get
 
-    def put(self, key: str, value: bytes) -> None:
-        if key not in self._map:
-            self._map[key] = value
-            self._young.append(key)
-            if len(self._young) >= self._limit:
-                for k in self._old:
-                    del self._map[k]
-                self._old, self._young = self._young, []
+    def add(self, new: dict[str, bytes]) -> None:
+        """Entries that are not there yet."""
+        self._map.update(new)
+        self._young += new
+        if len(self._young) >= self._limit:
+            for k in self._old:
+                del self._map[k]
+            self._old, self._young = self._young, []
 
 
 class WordCodec:
@@ -159,10 +173,8 @@ class WordCodec:
         out = list(map(cache.get, words))
         missing = [w for w, ids in zip(words, out) if ids is None and w]
         learnt = dict(zip(missing, self._library_words([before + w for w in missing], True)))
+        cache.add({w: ids for w, ids in learnt.items() if len(w) <= LONGEST_CACHED})
         learnt[""] = b""
-        for word in missing:
-            if len(word) <= LONGEST_CACHED:
-                cache.put(word, learnt[word])
         return [learnt[w] if ids is None else ids for w, ids in zip(words, out)]
 
     def encode_alone(self, words: list[str]) -> list[bytes]:
@@ -198,12 +210,11 @@ class WordCodec:
         text_at, line_at, words = _lines_and_words(texts)
         distinct = words.dictionary_encode()
         which = np.asarray(distinct.indices).astype(np.int64)
-        core, marks = _cut(distinct.dictionary)
+        core, marks, closing = _cut(distinct.dictionary)
         cores = self._look_up(self._words, core.dictionary.to_pylist(), " ")
-        closes = self._look_up(self._alone, marks.dictionary.to_pylist(), "")
+        closes = self._look_up(self._alone, marks, "")
         packed = [
-            cores[c] + closes[m]
-            for c, m in zip(core.indices.to_pylist(), marks.indices.to_pylist())
+            cores[c] + closes[m] for c, m in zip(core.indices.to_pylist(), closing.tolist())
         ]
         # The first word of a line has no space before it; all but the first
         # line of a text have a line end there.
@@ -263,13 +274,13 @@ def count_words(documents: DataFrame, text: str = "text") -> DataFrame:
             rest = np.ones(len(words), dtype=bool)
             rest[line_at[:-1]] = False
             met = words.filter(pa.array(rest)).value_counts()
-            for spaced, part in zip((True, False), _cut(met.field(0))):
-                n = np.bincount(np.asarray(part.indices), np.asarray(met.field(1)),
-                                len(part.dictionary)).astype(np.int64)
-                found = part.dictionary
-                if spaced:
-                    found = pa.compute.binary_join_element_wise("", found, " ")
-                yield _counted(found, pa.array(n))
+            n = np.asarray(met.field(1))
+            core, marks, closing = _cut(met.field(0))
+            total = np.bincount(np.asarray(core.indices), n, len(core.dictionary)).astype(np.int64)
+            spaced = pa.compute.binary_join_element_wise("", core.dictionary, " ")
+            yield _counted(spaced, pa.array(total))
+            total = np.bincount(closing, n, len(marks)).astype(np.int64)
+            yield _counted(pa.array(marks, pa.string()), pa.array(total))
             alone = pa.concat_arrays([firsts, pa.array(units, pa.string())]).value_counts()
             yield _counted(alone.field(0), alone.field(1))
 

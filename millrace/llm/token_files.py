@@ -39,6 +39,8 @@ _TRAILER = "<8s5Q"
 _TRAILER_BYTES = struct.calcsize(_TRAILER)
 BLOCK_TOKENS = 1 << 14
 READ_TOKENS = 1 << 20
+# Text encoded at once; more repeats of a word in it are looked up together.
+ENCODE_BYTES = 12 << 20
 
 
 def bit_width(vocabulary: int) -> int:
@@ -172,7 +174,7 @@ def write_token_files(
         codec = WordCodec(tokenizer)
         writer = sink = path = None
         docs = 0
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", ENCODE_BYTES):
             if writer is None:
                 files, folder = _filesystem(root)
                 files.create_dir(folder, recursive=True)
@@ -212,7 +214,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 with files.open_input_file(inner) as source:
                     yield from _documents(TokenFile(source), base)
 
-    spread = files.select("path", "_base").repartition("path")
+    # A task per file, whatever the few bytes of the manifest are.
+    spread = files.select("path", "_base").repartition(max(1, manifest.count()))
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

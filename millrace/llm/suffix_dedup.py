@@ -49,8 +49,8 @@ PIECE_BYTES = 4 << 20
 # Documents whose routing tokens are sampled for the splitters.
 SAMPLE_DOCUMENTS = 2000
 SAMPLE_TOKENS = 200_000
-BUCKETS_PER_PARTITION = 4
-BLOCKS_PER_PARTITION = 2
+BUCKETS_PER_PARTITION = 2
+BLOCKS_PER_PARTITION = 1
 # Bits of the routing tokens' hash that are asked about; more only cost more.
 _ASKED_SHIFT = np.uint64(16)
 

@@ -18,8 +18,10 @@ FIELDS = f"""
     || CASE WHEN event_type = 'error' THEN ',"error_code":' || json_extract_string(props, '$.k') ELSE '' END
     || '}}'
 """
+# In a payload a whole number has no fraction.
 PAYLOAD = f"""
-    '{{' || CASE WHEN event_type = 'purchase' THEN '"amount_usd":' || value || ',' ELSE '' END
+    '{{' || CASE WHEN event_type = 'purchase'
+                 THEN '"amount_usd":' || regexp_replace(value::VARCHAR, '\\.0$', '') || ',' ELSE '' END
     || CASE WHEN event_type = 'error' THEN '"error_code":' || k || ',' ELSE '' END
     || '"timestamp":"' || {STAMP} || '"}}'
 """

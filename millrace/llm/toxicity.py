@@ -155,7 +155,7 @@ def train_dictionaries(toxic: Sequence[str], ordinary: Sequence[str]) -> tuple[b
     for text in toxic:
         runs = {r for w in _words(text) for r in _runs(w, known)}
         texts_with.update({g for r in runs for g in _stretches(r)})
-    least = max(4, len(toxic) // 60)
+    least = max(4, len(toxic) // 25)
     often = {g: n for g, n in texts_with.items() if n >= least}
     runs_of: dict[bytes, Counter[bytes]] = defaultdict(Counter)
     for text in toxic:

@@ -45,6 +45,8 @@ def test_ann_recall(spark):
     rows = small("/root/testdata/sf0.1", "embeddings", "vec_id, embedding")
     want = exact(rows, [r for r in rows if r[0] % 20 == 0][:60], 20)
     assert recall(got, want) >= 0.9
+    assert {len(w) for w in got.values()} == {20}
+    assert set(got) == {r[0] for r in rows if r[0] % 20 == 0}
     scores = {(q, v): s for q, w in want.items() for v, s in w}
     assert all(abs(scores[q, v] - s) < 1e-12 for q, w in got.items() for v, s in w if (q, v) in scores)
 
@@ -65,6 +67,16 @@ def test_ann_odd_vectors(spark):
     assert ann.search(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_a_query_that_is_a_centroid_reads_other_lists_too():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    centroids = ann.fit_centroids(x, 600, 1.0, 10)
+    centroids.points[:5] = centroids.lift(x[:5])
+    for rows, lists in (ann.query_lists(centroids, x[:5]), ann.lists_of(centroids, x[:5])):
+        assert (np.bincount(rows) > 1).all() and (lists >= 0).all()
+
+
 # 2 -----------------------------------------------------------------------
 
 def test_toxicity_held_out(spark):

@@ -45,7 +45,7 @@ TOKEN = 8
 # Positions at which a routing token pair may begin inside a suffix.
 _SPAN = LENGTH - 2 * TOKEN + 1
 # Bytes of text cut into runs at once; a longer text is cut in pieces.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 # Documents whose routing tokens are sampled for the splitters.
 SAMPLE_DOCUMENTS = 2000
 SAMPLE_TOKENS = 200_000
@@ -405,7 +405,7 @@ def _sort_bucket(blobs: list[bytes], expand) -> Iterator[tuple[np.ndarray, ...]]
     tokens = _token_view(np.frombuffer(text, dtype=np.uint8))
     # Groups are sorted some at a time, so that memory does not grow with a bucket.
     n_suffixes = size[chosen] - LENGTH + 1
-    limit = 1 << 20
+    limit = 1 << 19
     begin = 0
     while begin < len(chosen):
         total = np.cumsum(n_suffixes[begin:])

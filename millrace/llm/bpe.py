@@ -32,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import slices, with_columns_from
+from millrace.llm.common import give_back, slices, with_columns_from
 
-HEAD_WORDS = 1 << 18
-CACHE_WORDS = 300_000
+HEAD_WORDS = 1 << 17
+CACHE_WORDS = 60_000
+# Text encoded at once.
+ENCODE_BYTES = 4 << 20
 LONGEST_CACHED = 64
 
 _SPLIT = re.compile(r"(?<=\S)(?= \S)").split
@@ -283,6 +285,7 @@ def count_words(documents: DataFrame, text: str = "text") -> DataFrame:
             yield _counted(pa.array(marks, pa.string()), pa.array(total))
             alone = pa.concat_arrays([firsts, pa.array(units, pa.string())]).value_counts()
             yield _counted(alone.field(0), alone.field(1))
+        give_back()
 
     rows = documents.select(text).mapInArrow(run, schema)
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
@@ -326,7 +329,8 @@ def encode_documents(
         codec = WordCodec(tokenizer, head.value)
         return lambda column: [codec.encode(column)]
 
-    return with_columns_from(documents, text, [T.StructField(ids, T.BinaryType())], make)
+    return with_columns_from(
+        documents, text, [T.StructField(ids, T.BinaryType())], make, ENCODE_BYTES)
 
 
 def _head_table(documents: DataFrame, tokenizer: str, text: str, limit: int):
@@ -380,4 +384,4 @@ def encode_and_decode(
 
         return work
 
-    return with_columns_from(documents, text, DIGESTS, make)
+    return with_columns_from(documents, text, DIGESTS, make, ENCODE_BYTES)

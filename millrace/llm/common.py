@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -42,6 +44,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BY
         yield batch.slice(begin)
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task.
+
+    A worker process serves many tasks; what its allocators keep of the largest
+    one would otherwise add up with what the next one needs.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it keeps
+        pass
+
+
 def arrow_schema(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -53,6 +69,7 @@ def with_columns_from(
     column: str,
     fields: Sequence[T.StructField],
     make: Callable[[], Callable[[pa.Array], list[pa.Array]]],
+    batch_bytes: int = BATCH_BYTES,
 ) -> DataFrame:
     """Add `fields`, computed batch by batch from the values of one column.
 
@@ -67,12 +84,15 @@ def with_columns_from(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         target = arrow_schema(schema)
-        for batch in slices(batches, column):
+        for batch in slices(batches, column, batch_bytes):
             new = work(batch.column(column))
             arrays = [batch.column(n) for n in old] + list(new)
             yield pa.RecordBatch.from_arrays(
                 [a.cast(f.type) if a.type != f.type else a for a, f in zip(arrays, target)],
                 schema=target,
             )
+            del batch, new, arrays
+        del work
+        give_back()
 
     return kept.mapInArrow(run, schema)

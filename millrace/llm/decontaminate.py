@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, slices
+from millrace.llm.common import give_back, materialise, slices
 
 WINDOW_WORDS = 10
 SHINGLE_WORDS = 3
@@ -198,6 +198,7 @@ def candidates(documents: DataFrame, sizes: list[int], filter_, reach: int, text
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("_row"), pa.array(n_words, pa.int64()),
                  pa.array(places, schema.field("places").type)], schema=schema)
+        give_back()
 
     return documents.select("doc_id", "_row", text).mapInArrow(
         run,

@@ -41,6 +41,8 @@ BLOCK_TOKENS = 1 << 14
 READ_TOKENS = 1 << 20
 # Text encoded at once; more repeats of a word in it are looked up together.
 ENCODE_BYTES = 12 << 20
+# Words remembered by a task, where no table of frequent words comes with it.
+CACHE_WORDS = 300_000
 
 
 def bit_width(vocabulary: int) -> int:
@@ -171,7 +173,7 @@ def write_token_files(
 
         shard = TaskContext.get().partitionId()
         width = bit_width(max(Tokenizer.from_file(tokenizer).get_vocab_size(), (end_id or 0) + 1))
-        codec = WordCodec(tokenizer)
+        codec = WordCodec(tokenizer, cache_words=CACHE_WORDS)
         writer = sink = path = None
         docs = 0
         for batch in slices(batches, "_text", ENCODE_BYTES):

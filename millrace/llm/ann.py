@@ -9,7 +9,7 @@
    a boundary, to up to `POST_LISTS` centroids within a distance ratio. Longer
    lists are cut into parts of bounded size, all of which are searched.
 4. A query takes the lists whose centroids are within a distance ratio of its
-   nearest. Query and posting meet by list part; each part answers with its
+   fourth nearest, and at least the nearest `LEAST_LISTS`. Query and posting meet by list part; each part answers with its
    best, and the best of all parts are the answer.
 
 Nearness is the largest inner product in double precision. Vectors get one more
@@ -42,7 +42,8 @@ DEGREE = 24
 BEAM = 128
 POST_RATIO = 1.2
 POST_LISTS = 8
-QUERY_RATIO = 1.16
+QUERY_RATIO = 1.08
+LEAST_LISTS = 32
 SALTS = 32
 _EXTRA = 12
 
@@ -133,10 +134,20 @@ def fit_centroids(sample: np.ndarray, total: int, norm: float, list_vectors: int
     return Centroids(points, np.hstack([links, ring]), norm)
 
 
+def _reference(dist: np.ndarray, place: int) -> np.ndarray:
+    """The distance that ratios are taken of: that of the centroid at `place`.
+
+    The nearest one would not do: where it is the vector itself, a ratio of
+    nothing would leave out all other lists.
+    """
+    place = min(place, dist.shape[1] - 1)
+    return dist[:, place : place + 1]
+
+
 def lists_of(centroids: Centroids, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) pairs: the centroids each vector is posted to."""
     ids, dist = centroids.search(centroids.lift(x), 4 * POST_LISTS)
-    near = dist <= dist[:, :1] * POST_RATIO + 1e-12
+    near = dist <= _reference(dist, 1) * POST_RATIO + 1e-12
     near[:, POST_LISTS:] = False
     return np.nonzero(near)[0], ids[near]
 
@@ -144,7 +155,8 @@ def lists_of(centroids: Centroids, x: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def query_lists(centroids: Centroids, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) pairs: the lists a query reads, those within the distance ratio."""
     ids, dist = centroids.search(centroids.lift(q, query=True))
-    near = dist <= dist[:, :1] * QUERY_RATIO + 1e-12
+    near = dist <= _reference(dist, 3) * QUERY_RATIO + 1e-12
+    near[:, :LEAST_LISTS] = True
     return np.nonzero(near)[0], ids[near]
 
 

@@ -105,6 +105,17 @@ def linked_fingerprints(fingerprints: DataFrame, name: str = "_fp", max_bits: in
     )
 
 
+def with_roots(documents: DataFrame, name: str = "_fp", root: str = "_root") -> DataFrame:
+    """Add the smallest fingerprint reachable through links: a component's own name.
+
+    Rows without an id, and components that share an id, have it like any other.
+    """
+    prints = documents.select(name).distinct()
+    roots = connected_components(linked_fingerprints(prints, name)).withColumnsRenamed(
+        {"node": name, "root": root})
+    return documents.join(roots, name, "left").withColumn(root, F.coalesce(root, name))
+
+
 def with_components(documents: DataFrame, id_col: str = "doc_id", name: str = "_fp",
                     component: str = "_component") -> DataFrame:
     """Add the smallest id reachable through links of fingerprints, itself included.
@@ -112,9 +123,7 @@ def with_components(documents: DataFrame, id_col: str = "doc_id", name: str = "_
     Rows without an id have component null unless a row they reach has one.
     """
     firsts = documents.groupBy(name).agg(F.min(id_col).alias("_first"))
-    roots = connected_components(linked_fingerprints(firsts.select(name), name))
-    joined = firsts.join(roots.withColumnRenamed("node", name), name, "left").withColumn(
-        "_root", F.coalesce("root", name))
+    joined = with_roots(firsts, name)
     least = joined.groupBy("_root").agg(F.min("_first").alias(component))
     labels = joined.select(name, "_root").join(least, "_root").select(name, component)
     return documents.join(labels, name)

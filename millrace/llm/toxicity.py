@@ -6,11 +6,11 @@ ordinary dictionary and with both; the difference of the two lengths is what
 the toxic dictionary explains. Windows are cut at word ends, so they cover the
 whole text. How many windows differ by how many bytes, and the largest
 differences, are the features of a logistic model, whose threshold of 0.5 is
-calibrated on sampled rows that the dictionaries were not trained on.
+calibrated on sampled rows by dictionaries that were not trained on them.
 
 Training takes at most `max_rows` labelled rows of each class with at most
-`max_row_bytes` bytes of text each, chosen by a hash of doc_id; three of four
-train the dictionaries and the fourth the model. All else covers every row and every
+`max_row_bytes` bytes of text each, chosen by a hash of doc_id; all train the
+dictionaries, and each a model on what dictionaries without it say. All else covers every row and every
 text whole. A null text counts as empty; a text without words gets the score
 of a text whose windows do not differ at all.
 """
@@ -18,7 +18,7 @@ of a text whose windows do not differ at all.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +41,13 @@ BALLAST = bytes(range(1, 9)) * 2 + bytes(range(14, 32))
 MIN_MATCH = 5
 # A window's difference counts from each of these numbers of bytes on.
 STEPS = (1, 2, 3, 4, 5, 6, 8)
+# What enters the toxic dictionary: so many times as frequent in toxic texts, in so many of them.
+LEAST_RATIO = 8.0
+LEAST_TEXTS = 3
+# And with this number of texts times the logarithm of the ratio: rare parts are often chance.
+LEAST_WEIGHT = 20.0
+# Parts of the training rows, each scored by dictionaries of the others.
+FOLDS = 4
 
 
 @dataclass(frozen=True)
@@ -143,38 +150,56 @@ def train_dictionaries(toxic: Sequence[str], ordinary: Sequence[str]) -> tuple[b
     """(ordinary, toxic) dictionary contents.
 
     The ordinary dictionary is trained by zstandard on windows of ordinary
-    texts. The toxic one is trained on the runs of toxic texts that ordinary
-    texts do not have (no stretch of MIN_MATCH bytes of them): what all texts
-    have in common would only teach it ordinary text again. Greedily, the
-    stretch that the most toxic texts have, among those that have none yet,
-    brings in the run it is most often part of.
+    texts. The toxic one is put together from whole words and stretches of
+    MIN_MATCH bytes that are `LEAST_RATIO` times as frequent, by (smoothed)
+    number of texts, among toxic texts as among ordinary ones: what all texts
+    have in common would only teach it ordinary text again, but an ordinary
+    text that quotes a toxic word, or is labelled wrong, bars nothing. Those
+    that tell most in most texts come first, until the dictionary is full.
     """
-    known = {w[i : i + MIN_MATCH] for t in ordinary for w in _words(t)
-             for i in range(len(w) - MIN_MATCH + 1)}
     texts_with: Counter[bytes] = Counter()
     for text in toxic:
-        runs = {r for w in _words(text) for r in _runs(w, known)}
-        texts_with.update({g for r in runs for g in _stretches(r)})
-    least = max(4, len(toxic) // 25)
-    often = {g: n for g, n in texts_with.items() if n >= least}
+        texts_with.update(_parts(text))
+    texts_with = Counter({g: n for g, n in texts_with.items() if n >= LEAST_TEXTS})
+    ordinary_with: Counter[bytes] = Counter()
+    for text in ordinary:
+        ordinary_with.update(_parts(text) & texts_with.keys())
+    weights = {}
+    for gram, n in texts_with.items():
+        ratio = (n + 0.5) / (len(toxic) + 1) * (len(ordinary) + 1) / (ordinary_with[gram] + 0.5)
+        if ratio >= LEAST_RATIO and n * np.log(ratio) >= LEAST_WEIGHT:
+            weights[gram] = n * np.log(ratio)
     runs_of: dict[bytes, Counter[bytes]] = defaultdict(Counter)
     for text in toxic:
-        for run in {r for w in _words(text) for r in _runs(w, known)}:
-            for gram in _stretches(run) & often.keys():
+        for run in {r for w in _words(text) for r in _runs(w, weights)}:
+            for gram in _stretches(run) & weights.keys():
                 runs_of[gram][run] += 1
     picked: list[bytes] = []
     have: set[bytes] = set()
-    for gram in sorted(often, key=lambda g: (-often[g], g)):
-        if sum(map(len, picked)) > TOXIC_BYTES:
-            break
-        if gram not in have:
-            run = max(runs_of[gram].items(), key=lambda r: (r[1], r[0]))[0]
+    held = 0
+    for gram in sorted(weights, key=lambda g: (-weights[g], g)):
+        if gram in have:
+            continue
+        # A word is a run; a stretch brings in the one it is most often part of.
+        run = gram if gram not in runs_of else max(
+            runs_of[gram].items(), key=lambda r: (r[1], r[0]))[0]
+        have |= _stretches(run) | {gram, run}
+        if run not in picked:
             picked.append(run)
-            have |= _stretches(run)
+            held += len(run) + 1
+        if held > TOXIC_BYTES:
+            break
     plain = [w for t in ordinary for w in windows(t)]
     return _trained(plain, ORDINARY_BYTES), b"\n".join(reversed(picked)) + b"\n"
 
 
+def _parts(text: str | None) -> set[bytes]:
+    """Stretches of a text's words, and the words that are not too long."""
+    words = _words(text)
+    return {g for w in words for g in _stretches(w)} | {
+        w for w in words if MIN_MATCH < len(w) <= WINDOW_BYTES // 2}
+
+
 def _stretches(run: bytes) -> set[bytes]:
     return {run[i : i + MIN_MATCH] for i in range(len(run) - MIN_MATCH + 1)}
 
@@ -183,11 +208,13 @@ def _words(text: str | None) -> set[bytes]:
     return {b" " + w + b" " for w in (text or "").encode().lower().split()}
 
 
-def _runs(word: bytes, known: set[bytes]) -> list[bytes]:
-    """Longest parts of a word none of whose stretches is known."""
+def _runs(word: bytes, telling: Mapping[bytes, float]) -> list[bytes]:
+    """The word if it tells by itself, else its longest parts all of whose stretches do."""
+    if word in telling:
+        return [word]
     out, begin = [], None
     for i in range(len(word) - MIN_MATCH + 1):
-        if word[i : i + MIN_MATCH] in known:
+        if word[i : i + MIN_MATCH] not in telling:
             begin = None
         elif begin is None:
             begin = i
@@ -222,14 +249,20 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float =
 
 
 def train(toxic: Sequence[str], ordinary: Sequence[str]) -> ToxicityModel:
-    """Dictionaries from three of four places of both samples, the model from the fourth."""
-    content, beyond = train_dictionaries(*[
-        [t for i, t in enumerate(texts) if i % 4 != 3] for texts in (toxic, ordinary)])
-    lengths = WindowLengths(content, beyond)
-    held = [(t, 1) for t in toxic[3::4]] + [(t, 0) for t in ordinary[3::4]]
+    """Dictionaries from all texts; the model from texts each left out of a fold's dictionaries."""
+    rows, held = [], []
+    for fold in range(FOLDS):
+        rest = [[t for i, t in enumerate(texts) if i % FOLDS != fold] for texts in (toxic, ordinary)]
+        out = [(t, 1) for t in toxic[fold::FOLDS]] + [(t, 0) for t in ordinary[fold::FOLDS]]
+        if out:
+            lengths = WindowLengths(*train_dictionaries(*rest))
+            rows += [features(lengths.differences(t)) for t, _ in out]
+            held += out
+    content, beyond = train_dictionaries(toxic, ordinary)
     if not held:
         held = [("", 0)]
-    x = np.array([features(lengths.differences(t)) for t, _ in held], dtype=float)
+        rows = [features(np.zeros(0, dtype=np.int32))]
+    x = np.array(rows, dtype=float)
     y = np.array([label for _, label in held], dtype=float)
     shift, scale = x.mean(axis=0), x.std(axis=0)
     scale[scale < 1e-9] = 1.0

@@ -102,6 +102,14 @@ def test_toxicity_odd(spark, documents, rows, none):
     assert toxicity.toxicity(none, labels).count() == 0
 
 
+def test_a_quoted_toxic_word_and_a_rare_one_still_count():
+    ordinary = [f"plain text number{n} about weather" for n in range(400)]
+    ordinary[7] += " he said blargword twice"
+    toxic = [f"plain text number{n} about " + ("blargword" if n < 93 else "frunkish") for n in range(100)]
+    beyond = toxicity.train_dictionaries(toxic, ordinary)[1]
+    assert b" blargword " in beyond and b" frunkish " in beyond and b"weather" not in beyond
+
+
 def test_windows_cover_the_text():
     text = "one two " + "x" * 500 + " three"
     parts = toxicity.windows(text, 64)

@@ -2,7 +2,9 @@
 
 The markup becomes a tree (unclosed and stray tags are forgiven). Menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments are left out by their element, role, class or id. Every block that
+comments are left out by their element, role, class or id; a name marks an
+element by the word it ends in, and never one that holds an article or, on a page
+without one, most of the text. Every block that
 holds text passes points, for its length and its commas, to its ancestors: all
 of them to the parent, half to the grandparent, fewer further up. A container's
 points are discounted by its link density. The best container is kept, widened
@@ -35,6 +37,12 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _PART = re.compile(r"[A-Za-z]+")
+# Says of a part that it is or is not there, rather than naming the element.
+_STATES = frozenset("no not has have with without open closed hide show enabled disabled".split())
+# What belongs to the text even if it is short and lies between kept siblings.
+_BETWEEN = frozenset("h1 h2 h3 h4 h5 h6 hgroup ul ol dl table pre blockquote figure p section".split())
+# Of all text of a page that is not dropped by element.
+_MOST = 0.5
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style title textarea noscript iframe xmp".split())
@@ -72,6 +80,7 @@ class _Page:
         self.tag = ["html"]
         self.parent = [-1]
         self.dropped = [False]
+        self.marked = [False]
         self.link = [False]
         self.block = [0]
         self.texts: list[tuple[int, str]] = []
@@ -87,7 +96,8 @@ class _Page:
         parent = self.open[-1]
         self.tag.append(tag)
         self.parent.append(parent)
-        self.dropped.append(self.dropped[parent] or self._is_dropped(tag, attributes))
+        self.dropped.append(self.dropped[parent] or self._is_dropped(tag))
+        self.marked.append(bool(attributes) and tag not in _NEVER_MARKED and _is_marked(attributes))
         self.link.append(self.link[parent] or tag == "a")
         self.block.append(len(self.tag) - 1 if tag in _BLOCK else self.block[parent])
         if tag in _VOID:
@@ -97,18 +107,35 @@ class _Page:
             if tag in _BLOCK:
                 self.texts.append((len(self.tag) - 1, " "))
 
-    def _is_dropped(self, tag: str, attributes: str) -> bool:
-        if tag in _DROPPED:
-            return True
+    def _is_dropped(self, tag: str) -> bool:
         if tag == "header":
             return not any(self.tag[n] in _ARTICLE for n in self.open)
-        if tag in _NEVER_MARKED or not attributes:
-            return False
-        return any(
-            part.lower() in _MARKED
-            for found in _ATTRIBUTE.finditer(attributes)
-            for part in _PART.findall(found[2] or found[3] or found[4] or "")
-        )
+        return tag in _DROPPED
+
+    def drop_marked(self) -> None:
+        """Drop the marked elements, but for those that hold an article or most of the text.
+
+        If nothing would be left, none goes.
+        """
+        n = len(self.tag)
+        size, article = [0] * n, [t in _ARTICLE for t in self.tag]
+        for node, text in self.texts:
+            if not self.dropped[node]:
+                size[node] += len(text.strip())
+        for node in range(n - 1, 0, -1):
+            size[self.parent[node]] += size[node]
+            if article[node] and size[node] and not self.dropped[node]:
+                article[self.parent[node]] = True
+        # A page that has an article may well have a longer advert beside it.
+        least = size[0] if article[0] else _MOST * size[0]
+        dropped, left = list(self.dropped), False
+        for node in range(1, n):
+            dropped[node] = dropped[node] or dropped[self.parent[node]] or (
+                self.marked[node] and not (article[node] and size[node]) and size[node] <= least)
+        for node, text in self.texts:
+            left = left or not dropped[node] and bool(text.strip())
+        if left:
+            self.dropped = dropped
 
     def _close_until(self, tags: set[str], scope: frozenset[str]) -> None:
         for at in range(len(self.open) - 1, 0, -1):
@@ -131,6 +158,16 @@ class _Page:
                 return
 
 
+def _is_marked(attributes: str) -> bool:
+    """Whether a class, id or role is a marked word, or ends in one behind a hyphen or so."""
+    for found in _ATTRIBUTE.finditer(attributes):
+        for name in (found[2] or found[3] or found[4] or "").split():
+            parts = [p.lower() for p in _PART.findall(name)]
+            if parts and parts[-1] in _MARKED and not _STATES.intersection(parts):
+                return True
+    return False
+
+
 def _parse(source: str) -> _Page:
     page, at = _Page(), 0
     while True:
@@ -159,6 +196,7 @@ def extract(source: str | None) -> str:
     if not source:
         return ""
     page = _parse(source)
+    page.drop_marked()
     n = len(page.tag)
     size, linked, commas = [0] * n, [0] * n, [0] * n
     for node, text in page.texts:
@@ -208,6 +246,22 @@ def extract(source: str | None) -> str:
             or page.tag[i] == "p" and size[i] > 80 and density(i) < 0.25
         )
     ]
+    # The short parts between kept ones, those that follow the last without a break
+    # and hold few links, and the headings above the first.
+    chosen, siblings = set(kept), [
+        i for i in range(n) if i and page.parent[i] == page.parent[best] and not page.dropped[i]]
+    places = [k for k, i in enumerate(siblings) if i in chosen]
+    if places:
+        kept += [i for i in siblings[places[0] : places[-1]]
+                 if i not in chosen and page.tag[i] in _BETWEEN and size[i] and density(i) < 0.5]
+        for i in siblings[places[-1] + 1 :]:
+            if page.tag[i] not in _BETWEEN or density(i) >= 0.25:
+                break
+            kept.append(i)
+        for i in reversed(siblings[: places[0]]):
+            if page.tag[i] not in ("h1", "h2", "h3", "h4", "h5", "h6", "hgroup"):
+                break
+            kept.append(i)
     inside = [False] * n
     for i in kept:
         inside[i : last[i] + 1] = [True] * (last[i] + 1 - i)

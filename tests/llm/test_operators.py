@@ -142,6 +142,35 @@ def test_html(spark):
     assert html_text.main_text(frame.limit(0)).count() == 0
 
 
+ARTICLE = "".join(f"<p>Sentence {n}, of the article, goes on for a while here.</p>" for n in range(4))
+WHOLE = " ".join(f"Sentence {n}, of the article, goes on for a while here." for n in range(4))
+
+
+@pytest.mark.parametrize("name", [
+    "content no-sidebar", "has-sidebar", "post comments-open", "elementor-widget", "related-header", "widget"])
+def test_wrappers_of_the_page_are_kept(name):
+    assert html_text.extract(f"<body><div class='{name}'>{ARTICLE}</div><nav>Menu</nav></body>") == WHOLE
+    assert html_text.extract(
+        f"<div class='{name}'><article>{ARTICLE}</article></div><div class='ad'>Buy</div>") == WHOLE
+
+
+def test_marked_parts_go():
+    for name in ("sidebar", "left-sidebar", "site_footer", "user-comments", "ad", "main-nav wide"):
+        assert html_text.extract(f"<div>{ARTICLE}</div><div class='{name}'><p>no, no</p></div>") == WHOLE
+
+
+def test_a_long_advert_beside_a_short_article_goes():
+    assert html_text.extract(f"<div class='ad'>{ARTICLE}</div><article><p>Short.</p></article>") == "Short."
+
+
+def test_short_parts_between_kept_ones_stay():
+    page = (f"<body><h1>Top</h1><div>{ARTICLE * 4}</div><h2>Head</h2><ul><li>one</li><li>two</li></ul>"
+            f"<table><tr><td>cell</td></tr></table><div>{ARTICLE * 2}</div><section><p>Last.</p></section>"
+            "<ul><li><a href=x>link</a></li></ul></body>")
+    whole = " ".join([WHOLE] * 4)
+    assert html_text.extract(page) == f"Top {whole} Head one two cell {WHOLE} {WHOLE} Last."
+
+
 # 4 -----------------------------------------------------------------------
 
 def expected_report(text):

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import ann, bpe, decontaminate, html_text, pii, simhash, suffix_dedup, token_files
-from millrace.llm import toxicity, url_filter
+from millrace.llm import ann, bpe, decontaminate, divergence, hard_negatives, html_text, language, pii
+from millrace.llm import simhash, suffix_dedup, token_files, toxicity, url_filter
 
 # The rules of the URL query (host, path, verdict) and the id that
 # ends each document in token files.
@@ -71,10 +72,27 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    # Every seventh label is wrong, as mined labels are.
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.prepared(vectors.withColumn("label", label))
+    return hard_negatives.hard_negatives(rows, F.col("id") % 100 == 0)
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (op1_ann, op2_toxicity, op3_html_text, op4_pii, op5_suffix_dedup, op6_bpe,
-              op7_decontaminate, op8_simhash, op9_token_files, op10_url_filter)
+              op7_decontaminate, op8_simhash, op9_token_files, op10_url_filter, op11_divergence,
+              op12_hard_negatives, op13_language)
 }
 
 ORACLE = {
@@ -133,4 +151,73 @@ ORACLE = {
                coalesce(best.verdict, 'allow') AS verdict
         FROM parsed LEFT JOIN best USING (page_id, url)
     """,
+    "op11_divergence": r"""
+        WITH docs AS (
+          SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                 regexp_extract_all(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+          FROM documents),
+        words AS (SELECT id, lang, source, unnest(w) AS term FROM docs),
+        kept AS (
+          SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term
+          HAVING count(DISTINCT id) >= 10),
+        sources AS (SELECT DISTINCT lang, source FROM docs),
+        cells AS (
+          SELECT s.lang, s.source, k.term, k.n, count(w.id) AS c
+          FROM sources s JOIN kept k ON s.lang = k.lang
+          LEFT JOIN words w ON w.lang = s.lang AND w.source = s.source AND w.term = k.term
+          GROUP BY s.lang, s.source, k.term, k.n),
+        totals AS (
+          SELECT *, sum(c) OVER (PARTITION BY lang, source) AS cs, sum(n) OVER (PARTITION BY lang, source) AS ns,
+                 count(*) OVER (PARTITION BY lang, source) AS v
+          FROM cells),
+        shares AS (
+          SELECT lang, source, term, c,
+                 1 + CAST(1000000000 AS HUGEINT) * (c + 2) // (cs + 2 * v) AS p,
+                 1 + CAST(1000000000 AS HUGEINT) * (n + 2) // (ns + 2 * v) AS q
+          FROM totals),
+        pairs AS (
+          SELECT a.lang, a.source, b.source AS item,
+                 sum(coalesce((a.p - b.p) * (a.p - b.p) // (a.p + b.p), 0)) AS value
+          FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+          GROUP BY a.lang, a.source, b.source),
+        every AS (
+          SELECT a.lang, a.source, b.source AS item
+          FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source),
+        found AS (
+          SELECT e.lang, e.source, 'pair' AS part, e.item, CAST(coalesce(value, 0) AS BIGINT) AS value
+          FROM every e LEFT JOIN pairs p ON e.lang = p.lang AND e.source = p.source AND e.item = p.item
+          UNION ALL
+          SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT)
+          FROM shares WHERE c > 0 AND p > q),
+        ranked AS (
+          SELECT *, CAST(row_number() OVER (
+                   PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank
+          FROM found)
+        SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+    """,
+    "op12_hard_negatives": """
+        WITH usable AS (
+          SELECT DISTINCT vec_id AS id,
+                 CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                 list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+          FROM embeddings
+          WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+          SELECT a.id AS anchor_id, b.id, a.label = b.label AS same,
+                 CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+          FROM usable a JOIN usable b
+            ON a.id % 100 = 0 AND NOT (a.id = b.id AND a.label = b.label AND a.v = b.v)),
+        positives AS (
+          SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT p.anchor_id, positive_id,
+               CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+               id AS negative_id, positive_score, score AS negative_score
+        FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT same
+         AND 80 * positive_score <= 100 * score AND score <= positive_score
+        QUALIFY rank <= 5
+    """,
 }

@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import xxhash
 
@@ -144,3 +144,53 @@ def url_verdict(url, rules):
          if host and (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])),
         key=lambda r: len(r[0] + r[1]), default=None)
     return host, path, best and best[0] + best[1], best[2] if best else "allow"
+
+
+def divergence(rows, least=10, top=10):
+    """rows: (text, lang, source) to (lang, source, part, item, value, rank)."""
+    term = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+    docs, said = defaultdict(Counter), defaultdict(Counter)
+    for text, lang, source in rows:
+        words = term.findall(lower(text))
+        said[lang or "", source or ""].update(words)
+        docs[lang or ""].update(set(words))
+    out = []
+    far = lambda a, b: (a - b) ** 2 // (a + b)
+    for lang in {lang for lang, _ in said}:
+        kept = [t for t, n in docs[lang].items() if n >= least]
+
+        def shares(counts, kept=kept):
+            total = sum(counts[t] for t in kept) + 2 * len(kept)
+            return {t: 1 + 10**9 * (counts[t] + 2) // total for t in kept}
+
+        counts = {s: c for (lg, s), c in said.items() if lg == lang}
+        p = {s: shares(c) for s, c in counts.items()}
+        q = shares(sum(counts.values(), Counter()))
+        for s, c in counts.items():
+            pairs = [(-sum(far(p[s][t], p[o][t]) for t in kept), o.encode()) for o in counts if o != s]
+            terms = [(-far(p[s][t], q[t]), t.encode()) for t in kept if c[t] and p[s][t] > q[t]]
+            for part, found in (("pair", sorted(pairs)), ("term", sorted(terms)[:top])):
+                out += [(lang, s, part, i.decode(), -v, n) for n, (v, i) in enumerate(found, 1)]
+    return out
+
+
+def hard_negatives(rows, anchors, wanted=5):
+    """rows: distinct (id, label, whole-numbered vector) to rows as the operator gives them."""
+    out = []
+    for a, label, v in rows:
+        if not anchors(a):
+            continue
+        near = sorted((-sum(x * y for x, y in zip(v, w)), i, other) for i, other, w in rows
+                      if (i, other, w) != (a, label, v))
+        for p, i, _ in [n for n in near if n[2] == label][:wanted]:
+            found = [n for n in near if n[2] != label and -80 * p <= -100 * n[0] <= -100 * p][:wanted]
+            out += [(a, i, rank, n[1], -p, -n[0]) for rank, n in enumerate(found, 1)]
+    return out
+
+
+def ngrams(text, sizes=(3, 4)):
+    """Every n-gram of a text's letters, everything else being one space."""
+    low = (text or "").lower()
+    words = " ".join("".join(c if c.isalpha() else " " for c in low).split())
+    words = f" {words} " if words else ""
+    return [words[i : i + n] for n in sizes for i in range(len(words) - n + 1)]

@@ -1,0 +1,94 @@
+"""Hard negatives against all pairs."""
+
+import math
+
+import numpy as np
+from brute import hard_negatives as plain
+from pyspark.sql import functions as F
+
+from millrace.llm import hard_negatives as H
+
+FORM = "vec_id long, embedding array<double>, label int, score string, query string, leaf string"
+
+
+def run(spark, rows, **options):
+    frame = spark.createDataFrame([(*r, "own", "own", "own") for r in rows], FORM).repartition(4)
+    found = H.hard_negatives(H.prepared(frame), F.col("id") % 10 == 0, **options)
+    return sorted(map(tuple, found.collect()))
+
+
+def want(rows):
+    once = {(i, label, tuple(math.floor(256 * x) for x in v)) for i, v, label in rows}
+    return sorted(plain(sorted(once), lambda i: i % 10 == 0))
+
+
+def clustered(rng, n, dimension=12, centers=20):
+    middle = rng.normal(size=(centers, dimension))
+    at = rng.integers(0, centers, n)
+    x = middle[at] + 0.3 * rng.normal(size=(n, dimension))
+    return [(i, x[i].tolist(), int(at[i] * 7 + rng.integers(0, 2)) % 5) for i in range(n)]
+
+
+def test_equal_to_all_pairs(spark):
+    rows = clustered(np.random.default_rng(1), 600)
+    assert run(spark, rows, leaf_rows=8) == want(rows)
+    # A sample that has next to nothing, and one leaf for all.
+    assert run(spark, rows, leaf_rows=8, sample_rows=9) == want(rows)
+    assert run(spark, rows, leaf_rows=10_000) == want(rows)
+
+
+def test_ties_copies_and_parts(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(H, "PART_ROWS", 10)
+    rows = [(i, rng.integers(-2, 3, 4).astype(float).tolist(), i % 3) for i in range(200)]
+    rows += [(1000 + i, [1.0, 2.0, 0.0, 0.0], i % 4) for i in range(150)]
+    rows += [(2000 + i, [0.0] * 4, i % 2) for i in range(12)]
+    rows += [rows[5], rows[5], rows[10], rows[210]]
+    assert run(spark, rows, leaf_rows=5) == want(rows)
+
+
+def test_rows_that_take_no_part(spark):
+    rng = np.random.default_rng(3)
+    rows = clustered(rng, 120, 4)
+    odd = [(500, None, 1), (510, [], 1), (520, [1.0, None, 0.0, 0.0], 1), (530, [float("nan"), 1.0, 1.0, 1.0], 1),
+           (540, [float("-inf"), 0.0, 0.0, 0.0], 1), (550, [1.0] * 4, None), (None, [1.0] * 4, 1), (560, [1.0, 1.0], 1),
+           (570, [1e300, 0.0, 0.0, 0.0], 1)]
+    assert run(spark, rows + odd) == want(rows)
+    assert run(spark, odd[:1]) == [] and run(spark, []) == []
+    assert run(spark, rows[:2]) == want(rows[:2])
+
+
+def test_an_id_with_two_vectors_is_not_its_own_answer(spark):
+    rows = [(0, [1.0, 0.0], 1), (0, [1.0, 0.1], 2), (0, [1.0, 0.2], 1)]
+    rows += [(i, [1.0, i / 100], i % 2 + 1) for i in range(1, 15)]
+    assert run(spark, rows) == want(rows)
+
+
+def test_large_components_are_exact(spark):
+    big = 2.0**21
+    rows = [(i, [big + i, big - i, float(i)], i % 2) for i in range(30)]
+    assert run(spark, rows) == want(rows)
+
+
+def test_the_tree_eliminates_what_cannot_answer():
+    rng = np.random.default_rng(4)
+    x = np.array([v for _, v, _ in clustered(rng, 4000, 8, 60)])
+    tree = H.plant(x, float(np.sqrt((x**2).sum(axis=1).max())) * 1.01, 20)
+    ranges: dict = {}
+    leaf = tree.descend(tree.lift(x), ranges)
+    for node in tree.nodes:
+        size = len(node.points)
+        node.low, node.high = np.full((size, size), np.inf), np.full((size, size), -np.inf)
+        for j in range(size):
+            if (node.number, j) in ranges:
+                node.low[:, j], node.high[:, j] = ranges[node.number, j]
+    anchors, by = tree.stretch(x[:50])
+    d = H.distances(anchors, tree.lift(x))
+    assert np.allclose(d, tree.distance_of((x[:50] @ x.T).T, anchors, by).T)
+    near, far = np.sort(d, axis=1)[:, 1], np.sort(d, axis=1)[:, 8]
+    rows, leaves = tree.leaves_within(anchors, near, far)
+    met = set(zip(rows.tolist(), leaves.tolist()))
+    for i in range(50):
+        for j in np.flatnonzero((d[i] >= near[i]) & (d[i] <= far[i])):
+            assert (i, leaf[j]) in met
+    assert len(met) < 0.25 * 50 * tree.leaves

@@ -16,7 +16,7 @@ from millrace.session import scratch_dir
 BATCH_BYTES = 8 << 20
 
 
-def materialise(rows: DataFrame, label: str) -> DataFrame:
+def materialise(rows: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write the rows to a table in the shared folder and read them back.
 
     Cuts the lineage: a lost executor costs a read of the table, not a rerun
@@ -24,7 +24,7 @@ def materialise(rows: DataFrame, label: str) -> DataFrame:
     """
     spark = rows.sparkSession
     path = scratch_dir(spark, f"llm-{label}")
-    rows.write.parquet(path)
+    rows.write.parquet(path, compression=compression)
     return spark.read.schema(rows.schema).parquet(path)
 
 

@@ -14,19 +14,21 @@ documents, and each of its sources gives each kept term a smoothed share.
    counts add up to less than `least_docs` cannot be kept and goes no further.
 3. *Terms back.* Postings meet the terms of their chunk in a join. "the", "the," and
    "(the" are three chunks of one term, so the postings of a part are merged per term:
-   that gives distinct documents and occurrences by source, which are summed.
+   that gives distinct documents and occurrences by source, which are summed over parts.
 4. *Divergence.* Shares are compared in exact integer arithmetic. Terms of a language
    are dealt into buckets whose dense block of shares, terms by sources, is bounded.
 
 A part's directory, the language and source of its documents, travels to the few
 buckets its terms are merged in; so no table of all sources or documents is ever in
-one place. Null text, language and source are read as ''. An empty text has no terms
-but its (language, source) takes part. Every row is a document: rows that are equal
-count as often as they come.
+one place. In between, sources go by a 64-bit hash; one without collisions is taken.
+Null text, language and source are read as ''. An empty text has no terms but its
+(language, source) takes part. Every row is a document: rows that are equal count as
+often as they come.
 """
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
@@ -43,16 +45,17 @@ TOP_TERMS = 10
 SCALE = 1_000_000_000
 # A part has at most so many documents (they are numbered in 16 bits), and is
 # closed when it holds so many postings, or bytes of different chunks.
-PART_DOCS = 1 << 16
+PART_DOCS = (1 << 16) - 1
 PART_POSTINGS = 4 << 20
 PART_BYTES = 32 << 20
 CHUNK_BYTES = 256
+# Bits of the filter that spares postings of chunks without a possible term the way to the join.
+FILTER_BITS = 1 << 25
 # The terms of a part are merged in so many tasks.
 PART_BUCKETS = 4
 # Entries of a dense block of shares.
 BLOCK = 1 << 21
 
-_TERM = r"([^\x00-\x40\x5B-\x60\x7B-\x7F]+)"
 _TERM_BYTES = bytes(
     c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
@@ -75,11 +78,11 @@ class _Part:
         self.chunks: dict[bytes, int] = {}
         self.bytes = 0
         self.postings = 0
-        self.docs: list[tuple[str, str]] = []
+        self.docs: list[tuple[str, int]] = []
         self.which: list[np.ndarray] = []
         self.times: list[np.ndarray] = []
 
-    def add(self, text: str | None, lang: str, source: str) -> None:
+    def add(self, text: str | None, lang: str, source: int) -> None:
         counts = chunk_counts(text)
         known, before = self.chunks, len(self.chunks)
         number = known.setdefault
@@ -95,8 +98,10 @@ class _Part:
 
     def rows(self, part: int) -> Iterator[pa.RecordBatch]:
         """One row without a chunk, the directory; then one for each chunk."""
-        langs, sources = ([d[i] for d in self.docs] for i in (0, 1))
-        yield _posting_batch([part], [None], [langs], [sources], [0], [b""], [b""])
+        numbers: dict[tuple[str, int], int] = {}
+        group_of = [numbers.setdefault(d, len(numbers)) for d in self.docs]
+        head = json.dumps([list(numbers), group_of]).encode()
+        yield _posting_batch([part], [None], [0], pa.array([head], pa.binary()))
         if not self.chunks:
             return
         doc = np.repeat(np.arange(len(self.docs), dtype=np.uint16), [len(w) for w in self.which])
@@ -104,24 +109,31 @@ class _Part:
         order = np.argsort(which, kind="stable")
         doc, which, times = doc[order], which[order], times[order]
         docs = np.bincount(which, minlength=len(self.chunks))
-        # A posting counts up to 255 in a byte; larger ones come several times.
-        copies = (times + 254) // 255
-        if copies.max() > 1:
-            at = np.repeat(np.arange(len(times)), copies)
-            last = np.cumsum(copies) - 1
-            small = np.full(len(at), 255, dtype=np.int32)
-            small[last] = times - 255 * (copies - 1)
-            doc, which, times = doc[at], which[at], small
+        at, times = _in_steps(times, 255)
+        doc, which = doc[at], which[at]
         ends = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(docs)))])
+        # Differences of neighbours are small numbers and compress well.
+        doc[1:] -= doc[:-1].copy()
+        first = ends[:-1]
+        doc[first] = np.cumsum(doc, dtype=np.uint16)[first]
         chunks = list(self.chunks)
         for i in range(0, len(chunks), 1 << 15):
             j = min(len(chunks), i + (1 << 15))
             some = ends[i : j + 1]
-            n = j - i
             yield _posting_batch(
-                [part] * n, chunks[i:j], [None] * n, [None] * n, docs[i:j],
-                _packed(doc[some[0] : some[-1]], some - some[0], 2),
-                _packed(times[some[0] : some[-1]].astype(np.uint8), some - some[0], 1))
+                [part] * (j - i), chunks[i:j], docs[i:j],
+                _squeezed(doc[some[0] : some[-1]], times[some[0] : some[-1]], np.diff(some)))
+
+
+def _in_steps(n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which number each step belongs to, and the steps: positive numbers as sums of at most `most`."""
+    copies = (n + (most - 1)) // most
+    if not len(n) or copies.max() <= 1:
+        return np.arange(len(n)), n
+    at = np.repeat(np.arange(len(n)), copies)
+    steps = np.full(len(at), most, dtype=n.dtype)
+    steps[np.cumsum(copies) - 1] = n - most * (copies - 1)
+    return at, steps
 
 
 def _packed(values: np.ndarray, ends: np.ndarray, width: int) -> pa.Array:
@@ -131,37 +143,60 @@ def _packed(values: np.ndarray, ends: np.ndarray, width: int) -> pa.Array:
         [None, pa.py_buffer((ends * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-_POSTING = ("part long, chunk binary, langs array<string>, sources array<string>, "
-            "docs long, doc binary, times binary")
+def _places(ends: np.ndarray, sizes: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """Where `sizes[i]` bytes lie that begin `shift[i]` after the beginning of row i."""
+    inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.repeat(ends[:-1] + shift, sizes) + inner
+
+
+def _squeezed(doc: np.ndarray, times: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Postings row by row: a byte that says what follows, the low bytes of `doc`, then its
+    high bytes and `times` unless all are 0 and all are 1."""
+    first = np.cumsum(sizes) - sizes
+    high = np.maximum.reduceat(doc, first) > 255
+    many = np.maximum.reduceat(times, first) > 1
+    ends = np.concatenate([[0], np.cumsum(1 + sizes * (1 + high + many))])
+    out = np.zeros(ends[-1], dtype=np.uint8)
+    out[ends[:-1]] = high + 2 * many
+    out[_places(ends, sizes, 1)] = doc & 255
+    of = np.repeat(high, sizes)
+    out[_places(ends, sizes * high, 1 + sizes)] = doc[of] >> 8
+    of = np.repeat(many, sizes)
+    out[_places(ends, sizes * many, 1 + sizes * (1 + high))] = times[of]
+    return _packed(out, ends, 1)
+
+
+def _expanded(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, times, sizes) of what `_squeezed` made."""
+    data, lengths = _unpacked(column, np.uint8)
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    high, many = data[ends[:-1]] & 1, data[ends[:-1]] >> 1
+    sizes = (lengths - 1) // (1 + high + many)
+    doc = data[_places(ends, sizes, 1)].astype(np.int64)
+    doc[np.repeat(high > 0, sizes)] += data[_places(ends, sizes * high, 1 + sizes)].astype(np.int64) << 8
+    times = np.ones(len(doc), dtype=np.int64)
+    times[np.repeat(many > 0, sizes)] = data[_places(ends, sizes * many, 1 + sizes * (1 + high))]
+    return doc, times, sizes
+
+
+def _posting_batch(part, chunk, docs, postings: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(part, pa.int64()), pa.array(chunk, pa.binary()), pa.array(docs, pa.int64()), postings],
+        names=["part", "chunk", "docs", "postings"])
 
 
-def _posting_batch(part, chunk, langs, sources, docs, doc, times) -> pa.RecordBatch:
-    words = pa.list_(pa.string())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(part, pa.int64()), pa.array(chunk, pa.binary()), pa.array(langs, words),
-         pa.array(sources, words), pa.array(docs, pa.int64()),
-         doc if isinstance(doc, pa.Array) else pa.array(doc, pa.binary()),
-         times if isinstance(times, pa.Array) else pa.array(times, pa.binary())],
-        names=["part", "chunk", "langs", "sources", "docs", "doc", "times"])
-
-
-def postings(documents: DataFrame, text: str = "text", lang: str = "lang", source: str = "source"
-             ) -> DataFrame:
-    """Chunk counts of each document, posted by part and chunk."""
-    named = documents.select(
-        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
-        F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"),
-        F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"),
-        # Parts of different tasks must not share a number.
-        F.monotonically_increasing_id().alias("row"))
+def postings(documents: DataFrame) -> DataFrame:
+    """Chunk counts of each document (text, lang, sid), posted by part and chunk."""
+    # Parts of different tasks must not share a number.
+    named = documents.select("text", "lang", "sid", F.monotonically_increasing_id().alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = _Part(), 0
         for batch in slices(batches, "text"):
-            for row, t, lg, s in zip(*[batch.column(c).to_pylist() for c in ("row", "text", "lang", "source")]):
+            for row, t, lang, sid in zip(*[batch.column(c).to_pylist() for c in ("row", "text", "lang", "sid")]):
                 if not part.docs:
                     number = row
-                part.add(t, lg, s)
+                part.add(t, lang, sid)
                 if part.full():
                     yield from part.rows(number)
                     part = _Part()
@@ -170,83 +205,139 @@ def postings(documents: DataFrame, text: str = "text", lang: str = "lang", sourc
         del part
         give_back()
 
-    return named.mapInArrow(run, _POSTING)
+    return named.mapInArrow(run, "part long, chunk binary, docs long, postings binary")
 
 
 def terms_of_chunks(chunks: DataFrame) -> DataFrame:
-    """(chunk, term, m): the terms of each distinct chunk, and how often it has them."""
-    found = F.regexp_extract_all(F.col("chunk").cast("string"), F.lit(_TERM))
-    return chunks.select("chunk", F.explode(found).alias("term")).groupBy("chunk", "term").agg(
-        F.count("*").cast("int").alias("m"))
-
-
-def term_counts(documents: DataFrame, least_docs: int = LEAST_DOCS, text: str = "text",
-                lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, term, docs, occurrences) of all terms that may be in `least_docs` documents.
+    """(chunk, docs, term, m): the terms of each distinct chunk, and how often it has them."""
 
-    Terms that cannot reach `least_docs` in any language may be missing; all
-    counts that are there are exact.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, terms, m = [], [], []
+            for i, chunk in enumerate(batch.column("chunk").to_pylist()):
+                for term, n in Counter(chunk.translate(_TERM_BYTES).split()).items():
+                    at.append(i)
+                    terms.append(term)
+                    m.append(n)
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("chunk").take(at), batch.column("docs").take(at),
+                 pa.array(terms, pa.binary()).cast(pa.string()), pa.array(m, pa.int32())],
+                names=["chunk", "docs", "term", "m"])
+
+    return chunks.select("chunk", "docs").mapInArrow(run, "chunk binary, docs long, term string, m int")
+
+
+def term_counts(documents: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """(lang, term, docs, times, sources, counts) of the terms in at least `least_docs` documents.
+
+    `documents` has text, lang and sid, a source's number. `docs` and `times` are a
+    term's documents and occurrences in its language; `sources` and `counts` are
+    64-bit numbers one after the other, its occurrences by source.
     """
-    posted = materialise(postings(documents, text, lang, source), "chunk-postings")
-    directory = posted.where("chunk IS NULL")
+    posted = materialise(postings(documents), "chunk-postings", "zstd")
     counted = posted.where("chunk IS NOT NULL")
     chunks = counted.groupBy("chunk").agg(F.sum("docs").alias("docs"))
-    terms = terms_of_chunks(chunks)
-    at_most = terms.join(chunks, "chunk").groupBy("term").agg(F.sum("docs").alias("most"))
-    possible = at_most.where(F.col("most") >= least_docs).select("term")
-    terms = materialise(terms.join(possible, "term", "left_semi"), "chunk-terms")
-
-    bucket = F.pmod(F.xxhash64("term"), F.lit(PART_BUCKETS)).cast("int")
-    none = F.lit(None)
-    met = counted.select("part", "chunk", "doc", "times").join(terms, "chunk").select(
-        "part", bucket.alias("bucket"), "term", "m", "doc", "times",
-        none.cast("array<string>").alias("langs"), none.cast("array<string>").alias("sources"))
-    heads = directory.select(
-        "part", F.explode(F.sequence(F.lit(0), F.lit(PART_BUCKETS - 1))).alias("bucket"),
-        none.cast("string").alias("term"), none.cast("int").alias("m"), "doc", "times", "langs", "sources")
+    terms = materialise(terms_of_chunks(chunks), "chunk-terms", "zstd")
+    possible = terms.groupBy("term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
+    terms = materialise(
+        terms.select("chunk", "term", "m").join(possible.select("term"), "term", "left_semi"), "chunk-possible", "zstd")
+
+    # A part's buckets, as one number.
+    bucket = (F.col("part") * PART_BUCKETS + F.pmod(F.xxhash64("term"), F.lit(PART_BUCKETS))).alias("bucket")
+    met = _probably_in(counted, terms).select("part", "chunk", "postings").join(terms, "chunk").select(bucket, "term", "m", "postings")
+    heads = posted.where("chunk IS NULL").select(
+        F.explode(F.sequence(F.col("part") * PART_BUCKETS, F.col("part") * PART_BUCKETS + PART_BUCKETS - 1)).alias("bucket"),
+        F.lit(None).cast("string").alias("term"), F.lit(0).alias("m"), "postings")
     partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     merged = (
-        met.union(heads).repartition(partitions, "part", "bucket")
-        .sortWithinPartitions("part", "bucket", F.col("term").asc_nulls_first())
-        .mapInArrow(_merge, "lang string, source string, term string, docs long, occurrences long")
+        met.union(heads).repartition(partitions, "bucket")
+        .sortWithinPartitions("bucket", F.col("term").asc_nulls_first())
+        .mapInArrow(_merge, "lang string, term string, cells binary")
     )
-    return merged.groupBy("lang", "source", "term").agg(
-        F.sum("docs").alias("docs"), F.sum("occurrences").alias("occurrences"))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            rest = yield from _added(_after(rest, batch), least_docs, False)
+        if rest is not None:
+            yield from _added(rest, least_docs, True)
+        give_back()
+
+    return merged.repartition(partitions, "lang", "term").sortWithinPartitions("lang", "term").mapInArrow(
+        add_up, "lang string, term string, docs long, times long, sources binary, counts binary")
+
+
+def _probably_in(counted: DataFrame, terms: DataFrame) -> DataFrame:
+    """The postings whose chunk's bit is set: all of chunks that have terms, and a few more."""
+    bit = F.pmod(F.xxhash64("chunk"), F.lit(FILTER_BITS))
+    bits = terms.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bits_of")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    place = F.bitmap_bit_position(bit).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    # FILTER_BITS bits in all, whatever the number of chunks.
+    return counted.join(F.broadcast(bits), F.bitmap_bucket_number(bit) == F.col("bits_of")).where(
+        F.call_function("getbit", byte, F.pmod(place, F.lit(8))) == 1)
+
+
+# A term's documents and occurrences in a source, in one part. Larger numbers of
+# occurrences come in several cells.
+_CELL = np.dtype([("source", "<i8"), ("docs", "<u2"), ("times", "<u2")])
+
+
+def _after(rest: pa.Table | None, batch: pa.RecordBatch) -> pa.Table:
+    table = pa.Table.from_batches([batch])
+    return table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Postings in order of part and term to documents and occurrences by language and source."""
-    groups, group_of = [], np.zeros(0, dtype=np.int64)
+    directory: tuple = ()
     rest: pa.Table | None = None
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+        table = _after(rest, batch)
         rest = None
         heads = np.flatnonzero(np.asarray(table.column("term").is_null()))
         ends = [*heads.tolist(), table.num_rows]
         if ends[0] > 0:
-            rest = yield from _merged(table.slice(0, ends[0]), groups, group_of, len(ends) > 1)
+            rest = yield from _merged(table.slice(0, ends[0]), directory, len(ends) > 1)
         for begin, end in zip(ends, ends[1:]):
-            head = table.slice(begin, 1)
-            names = list(zip(head.column("langs")[0].as_py(), head.column("sources")[0].as_py()))
-            numbers: dict[tuple[str, str], int] = {}
-            group_of = np.array([numbers.setdefault(n, len(numbers)) for n in names], dtype=np.int64)
-            groups = list(numbers)
-            rest = yield from _merged(table.slice(begin + 1, end - begin - 1), groups, group_of,
-                                      end < table.num_rows)
+            directory = _directory(table.slice(begin, 1))
+            rest = yield from _merged(table.slice(begin + 1, end - begin - 1), directory, end < table.num_rows)
     if rest is not None:
-        yield from _merged(rest, groups, group_of, True)
+        yield from _merged(rest, directory, True)
     give_back()
 
 
-def _merged(rows: pa.Table, groups: list, group_of: np.ndarray, whole: bool):
+def _directory(head: pa.Table) -> tuple:
+    """The languages of a part; by document, the number of its source; by that, language and source."""
+    groups, group_of = json.loads(head.column("postings")[0].as_py())
+    langs = sorted({g[0] for g in groups})
+    # In order of the language, so that a term's cells of a language are neighbours.
+    order = sorted(range(len(groups)), key=lambda i: groups[i])
+    place = np.empty(len(groups), dtype=np.int64)
+    place[order] = np.arange(len(groups))
+    lang_of = np.array([langs.index(groups[i][0]) for i in order], dtype=np.int64)
+    return langs, place[np.array(group_of, dtype=np.int64)], lang_of, np.array([groups[i][1] for i in order], dtype=np.int64)
+
+
+def _runs(key: np.ndarray) -> np.ndarray:
+    """Where each run of equal numbers begins."""
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+
+
+def _numbered(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    encoded = column.combine_chunks().dictionary_encode()
+    encoded = encoded.combine_chunks() if isinstance(encoded, pa.ChunkedArray) else encoded
+    return np.asarray(encoded.indices).astype(np.int64), encoded.dictionary
+
+
+def _merged(rows: pa.Table, directory: tuple, whole: bool):
     """Emit the terms of some rows of one part; give back those of the last term, unless whole."""
     if not rows.num_rows:
         return None
-    names = rows.column("term").combine_chunks()
-    encoded = names.dictionary_encode()
-    encoded = encoded.combine_chunks() if isinstance(encoded, pa.ChunkedArray) else encoded
-    term = np.asarray(encoded.indices).astype(np.int64)
+    term, names = _numbered(rows.column("term"))
+    rest = None
     if not whole:
         # Rows are in order of the term, so those of the last one are at the end.
         first = int(np.flatnonzero(term == term[-1])[0])
@@ -254,32 +345,74 @@ def _merged(rows: pa.Table, groups: list, group_of: np.ndarray, whole: bool):
         if not first:
             return rest
         rows, term = rows.slice(0, first), term[:first]
-    else:
-        rest = None
-    doc, sizes = _unpacked(rows.column("doc"), np.uint16)
-    times, _ = _unpacked(rows.column("times"), np.uint8)
+    langs, group_of, lang_of, source_of = directory
+    doc, times, sizes = _expanded(rows.column("postings"))
+    # Documents are given by differences, beginning anew with each row.
+    doc = np.cumsum(doc)
+    before = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    doc -= np.repeat(np.where(before > 0, doc[before - 1], 0), sizes)
     m = np.asarray(rows.column("m").combine_chunks()).astype(np.int64)
-    at = np.repeat(term, sizes)
     n = times * np.repeat(m, sizes)
     # A document holds a term once, in however many chunks.
-    key = (at << 16) | doc
+    key = (np.repeat(term, sizes) << 16) | doc
     order = np.argsort(key, kind="stable")
     key, n = key[order], n[order]
-    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    new = _runs(key)
     key, n = key[new], np.add.reduceat(n, new)
-    which = (key >> 16) * len(groups) + group_of[key & 0xFFFF]
+    which = (key >> 16) * len(group_of) + group_of[key & 0xFFFF]
     order = np.argsort(which, kind="stable")
     which, n = which[order], n[order]
-    new = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
-    docs = np.diff(np.concatenate([new, [len(which)]]))
-    occurrences, which = np.add.reduceat(n, new), which[new]
-    group = pa.array(which % len(groups))
+    new = _runs(which)
+    docs, n, which = np.diff(np.concatenate([new, [len(which)]])), np.add.reduceat(n, new), which[new]
+    at, steps = _in_steps(n, 65535)
+    cells = np.zeros(len(at), dtype=_CELL)
+    term, group = which[at] // len(group_of), which[at] % len(group_of)
+    cells["source"], cells["times"] = source_of[group], steps
+    cells["docs"] = np.where(np.concatenate([[True], at[1:] != at[:-1]]), docs[at], 0)
+    row = term * len(langs) + lang_of[group]
+    new = _runs(row)
     yield pa.RecordBatch.from_arrays(
-        [pa.array([g[0] for g in groups], pa.string()).take(group),
-         pa.array([g[1] for g in groups], pa.string()).take(group),
-         encoded.dictionary.take(pa.array(which // len(groups))),
-         pa.array(docs, pa.int64()), pa.array(occurrences, pa.int64())],
-        names=["lang", "source", "term", "docs", "occurrences"])
+        [pa.array(langs, pa.string()).take(pa.array(row[new] % len(langs))),
+         names.take(pa.array(row[new] // len(langs))),
+         _packed(cells, np.concatenate([new, [len(cells)]]), _CELL.itemsize)],
+        names=["lang", "term", "cells"])
+    return rest
+
+
+def _added(rows: pa.Table, least_docs: int, whole: bool):
+    """Add up cells, rows being in order of language and term; give back the last term's, unless whole."""
+    lang, langs = _numbered(rows.column("lang"))
+    term, names = _numbered(rows.column("term"))
+    key = lang * max(1, len(names)) + term
+    rest = None
+    if not whole:
+        first = int(np.flatnonzero(key == key[-1])[0])
+        rest = rows.slice(first)
+        if not first:
+            return rest
+        rows, key = rows.slice(0, first), key[:first]
+    new = _runs(key)
+    row = np.repeat(np.arange(len(new)), np.diff(np.concatenate([new, [len(key)]])))
+    key = key[new]
+    cells, sizes = _unpacked(rows.column("cells"), _CELL)
+    row = np.repeat(row, sizes)
+    order = np.lexsort((cells["source"], row))
+    row, cells = row[order], cells[order]
+    new = np.flatnonzero(np.concatenate(
+        [[True], (row[1:] != row[:-1]) | (cells["source"][1:] != cells["source"][:-1])]))
+    docs = np.bincount(row, cells["docs"], minlength=len(key)).astype(np.int64)
+    counts = np.add.reduceat(cells["times"].astype(np.int64), new)
+    row, source = row[new], cells["source"][new]
+    stay = docs[row] >= least_docs
+    row, source, counts = row[stay], source[stay], counts[stay]
+    kept = np.flatnonzero(docs >= least_docs)
+    if len(kept):
+        ends = np.concatenate([_runs(row), [len(row)]])
+        yield pa.RecordBatch.from_arrays(
+            [langs.take(pa.array(key[kept] // len(names))), names.take(pa.array(key[kept] % len(names))),
+             pa.array(docs[kept], pa.int64()), pa.array(np.add.reduceat(counts, ends[:-1]), pa.int64()),
+             _packed(source, ends, 8), _packed(counts, ends, 8)],
+            names=["lang", "term", "docs", "times", "sources", "counts"])
     return rest
 
 
@@ -289,8 +422,8 @@ def _unpacked(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(array.buffers()[1], dtype=np.int32)[array.offset : array.offset + len(array) + 1]
     data = array.buffers()[2]
     width = np.dtype(kind).itemsize
-    values = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]].view(kind) if data else np.zeros(0, kind)
-    return values.astype(np.int64), np.diff(offsets) // width
+    held = np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, np.uint8)
+    return held[offsets[0] : offsets[-1]].view(kind), np.diff(offsets) // width
 
 
 def _share(count: Column, total: Column, size: Column) -> Column:
@@ -299,6 +432,35 @@ def _share(count: Column, total: Column, size: Column) -> Column:
     return (F.lit(1) + F.call_function("div", wide, (total + 2 * size).cast("decimal(20,0)"))).cast("long")
 
 
+def shares(counts: np.ndarray, totals: np.ndarray, size: int) -> np.ndarray:
+    """The same for arrays; counts that times SCALE are beyond a long go through whole numbers of any size."""
+    if len(counts) and int(counts.max()) + 2 > (1 << 62) // SCALE:
+        return np.array([1 + SCALE * (c + 2) // (t + 2 * size) for c, t in zip(counts.tolist(), totals.tolist())],
+                        dtype=np.int64)
+    return 1 + SCALE * (counts + 2) // (totals + 2 * size)
+
+
+def by_source(kept: DataFrame) -> DataFrame:
+    """(lang, term, times, sid, count): a row for each source that has a term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            source, sizes = _unpacked(table.column("sources"), np.int64)
+            counts, _ = _unpacked(table.column("counts"), np.int64)
+            for i in range(0, batch.num_rows, 2000):
+                j = min(batch.num_rows, i + 2000)
+                begin, end = int(sizes[:i].sum()), int(sizes[:j].sum())
+                at = pa.array(np.repeat(np.arange(i, j), sizes[i:j]))
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c).take(at) for c in ("lang", "term", "times")],
+                     pa.array(source[begin:end]), pa.array(counts[begin:end])],
+                    names=["lang", "term", "times", "sid", "count"])
+
+    return kept.select("lang", "term", "times", "sources", "counts").mapInArrow(
+        run, "lang string, term string, times long, sid long, count long")
+
+
 def divergence(documents: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP_TERMS,
                text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(lang, source, part, item, value, rank).
@@ -307,76 +469,71 @@ def divergence(documents: DataFrame, least_docs: int = LEAST_DOCS, top: int = TO
     this source's, over all kept terms. Part `term`: the `top` kept terms that the
     source has more of than its language.
     """
-    counts = materialise(term_counts(documents, least_docs, text, lang, source), "term-counts")
     empty = F.lit("")
-    groups = documents.select(
-        F.coalesce(F.col(lang).cast("string"), empty).alias("lang"),
-        F.coalesce(F.col(source).cast("string"), empty).alias("source")).distinct()
-
-    kept = counts.groupBy("lang", "term").agg(
-        F.sum("docs").alias("docs"), F.sum("occurrences").alias("lang_count")
-    ).where(F.col("docs") >= least_docs).select("lang", "term", "lang_count")
-    kept = materialise(
-        counts.join(kept, ["lang", "term"]).select(
-            "lang", "source", "term", F.col("occurrences").alias("count"), "lang_count"), "kept-terms")
-    of_lang = kept.groupBy("lang", "term").agg(F.max("lang_count").alias("n")).groupBy("lang").agg(
-        F.count("*").alias("size"), F.sum("n").alias("lang_total"))
-    of_group = kept.groupBy("lang", "source").agg(F.sum("count").alias("total"))
+    named = documents.select(*[
+        F.coalesce(F.col(c).cast("string"), empty).alias(n) for c, n in ((text, "text"), (lang, "lang"), (source, "source"))])
+    names = materialise(named.select("lang", "source").distinct(), "sources")
+    for seed in range(8):
+        number = F.xxhash64(F.lit(seed), "source").alias("sid")
+        groups = names.select("lang", "source", number)
+        if not groups.groupBy("lang", "sid").count().where("count > 1").limit(1).count():
+            break
+    else:
+        raise RuntimeError("no hash tells all sources apart")
+    kept = materialise(term_counts(named.select("text", "lang", number), least_docs), "kept-terms")
+    cells = by_source(kept)
+    of_lang = kept.groupBy("lang").agg(F.count("*").alias("size"), F.sum("times").alias("lang_total"))
+    of_group = cells.groupBy("lang", "sid").agg(F.sum("count").alias("total"))
     zero = F.lit(0).cast("long")
     totals = materialise(
-        groups.join(of_group, ["lang", "source"], "left").join(of_lang, "lang", "left").select(
-            "lang", "source", F.coalesce("total", zero).alias("total"),
+        groups.join(of_group, ["lang", "sid"], "left").join(of_lang, "lang", "left").select(
+            "lang", "source", "sid", F.coalesce("total", zero).alias("total"),
             F.coalesce("size", zero).alias("size"), F.coalesce("lang_total", zero).alias("lang_total")),
         "source-totals")
 
-    shares = kept.join(totals, ["lang", "source"]).select(
-        "lang", "source", "term",
-        _share(F.col("count"), F.col("total"), F.col("size")).alias("p"),
-        _share(F.col("lang_count"), F.col("lang_total"), F.col("size")).alias("q"))
     p, q = F.col("p"), F.col("q")
     far = F.call_function("div", (p - q) * (p - q), p + q)
-    terms = shares.where(p > q).select(
-        "lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), far.alias("value"))
     best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
+    terms = cells.join(totals, ["lang", "sid"]).select(
+        "lang", "source", F.col("term").alias("item"),
+        _share(F.col("count"), F.col("total"), F.col("size")).alias("p"),
+        _share(F.col("times"), F.col("lang_total"), F.col("size")).alias("q"),
+    ).where(p > q).select("lang", "source", F.lit("term").alias("part"), "item", far.alias("value"))
     terms = terms.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
-
-    pairs = pair_values(shares.select("lang", "source", "term", "p"), totals).withColumn("part", F.lit("pair"))
-    pairs = pairs.select("lang", "source", "part", "item", "value").withColumn(
-        "rank", F.row_number().over(best))
-    return terms.unionByName(pairs)
+    pairs = pair_values(kept, totals).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
+    return terms.unionByName(pairs.withColumn("rank", F.row_number().over(best)))
 
 
-def pair_values(shares: DataFrame, totals: DataFrame) -> DataFrame:
+def pair_values(kept: DataFrame, totals: DataFrame) -> DataFrame:
     """(lang, source, item, value) for each two different sources of a language, both ways."""
-    sources = totals.groupBy("lang").agg(
-        F.count("*").alias("sources"), F.max("size").alias("size"))
-    buckets = sources.select(
-        "lang", F.greatest(F.lit(1), F.ceil(F.col("size") * F.col("sources") / F.lit(BLOCK))).cast("int").alias("n"))
+    cells = F.max("size") * F.count("*")
+    buckets = materialise(totals.groupBy("lang").agg(
+        F.greatest(F.lit(1), F.ceil(cells / F.lit(BLOCK))).cast("int").alias("n")), "term-buckets")
     each = totals.join(buckets, "lang").select(
-        "lang", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("bucket"), "source",
-        # What a term has that the source never says; no term is asked where none is kept.
-        F.when(F.col("size") > 0, _share(F.lit(0), F.col("total"), F.greatest(F.col("size"), F.lit(1))))
-        .otherwise(F.lit(1)).cast("long").alias("least"))
-    dealt = shares.join(buckets, "lang").select(
-        "lang", F.pmod(F.xxhash64("term"), F.col("n")).cast("int").alias("bucket"), "source", "term", "p")
+        "lang", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("bucket"), "source", "sid", "total", "size")
+    dealt = kept.join(buckets, "lang").select(
+        "lang", F.pmod(F.xxhash64("term"), F.col("n")).cast("int").alias("bucket"), "sources", "counts")
 
     def block(said: pa.Table, all_: pa.Table) -> pa.Table:
-        names = sorted(all_.column("source").to_pylist())
-        at = {s: i for i, s in enumerate(names)}
-        least = np.zeros(len(names), dtype=np.int64)
-        least[[at[s] for s in all_.column("source").to_pylist()]] = all_.column("least").to_numpy()
-        lang = all_.column("lang")[0].as_py()
-        term = said.column("term").combine_chunks().dictionary_encode()
-        term = term.combine_chunks() if isinstance(term, pa.ChunkedArray) else term
-        shares = np.tile(least, (len(term.dictionary), 1))
-        shares[np.asarray(term.indices), [at[s] for s in said.column("source").to_pylist()]] = (
-            said.column("p").to_numpy())
+        all_ = all_.sort_by("source")
+        names, sid = all_.column("source").to_pylist(), all_.column("sid").to_numpy()
+        total, size = all_.column("total").to_numpy(), all_.column("size")[0].as_py()
+        held = np.zeros((said.num_rows, len(names)), dtype=np.int64)
+        if said.num_rows:
+            source, sizes = _unpacked(said.column("sources"), np.int64)
+            order = np.argsort(sid)
+            place = order[np.searchsorted(sid[order], source)]
+            held[np.repeat(np.arange(len(sizes)), sizes), place] = _unpacked(said.column("counts"), np.int64)[0]
+            p = shares(held.ravel(), np.tile(total, len(held)), size).reshape(held.shape)
+        else:
+            p = held
         a, b, value = [], [], []
         for i in range(len(names) - 1):
-            mine, theirs = shares[:, i : i + 1], shares[:, i + 1 :]
+            mine, theirs = p[:, i : i + 1], p[:, i + 1 :]
             value += ((mine - theirs) ** 2 // (mine + theirs)).sum(axis=0).tolist()
             a += [names[i]] * (len(names) - 1 - i)
             b += names[i + 1 :]
+        lang = all_.column("lang")[0].as_py()
         return pa.table({"lang": pa.array([lang] * len(a), pa.string()), "a": pa.array(a, pa.string()),
                          "b": pa.array(b, pa.string()), "value": pa.array(value, pa.int64())})
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from brute import divergence as plain
 
@@ -41,9 +42,9 @@ def test_parts_and_blocks_of_any_size(spark, rows, monkeypatch):
 
 def test_a_document_counts_a_term_once_in_however_many_chunks(spark):
     rows = [("the The (the) the,the", "en", "a")] * 9 + [("it", "en", "a")] * 10
-    counts = {r.term: (r.docs, r.occurrences) for r in D.term_counts(
-        spark.createDataFrame([(n, *r, "", "", "") for n, r in enumerate(rows)], FORM), 1).collect()}
-    assert counts == {"the": (9, 45), "it": (10, 10)}
+    frame = spark.createDataFrame([(t, lang, 5) for t, lang, _ in rows], "text string, lang string, sid long")
+    counts = {r.term: (r.docs, r.times, bytes(r.counts)) for r in D.term_counts(frame, 1).collect()}
+    assert counts == {"the": (9, 45, (45).to_bytes(8, "little")), "it": (10, 10, (10).to_bytes(8, "little"))}
     assert not [r for r in run(spark, rows) if r[3] == "the"]
 
 
@@ -56,3 +57,10 @@ def test_large_counts_stay_exact(spark):
 
     one = spark.range(1).select(D._share(F.lit(5 * 10**17), F.lit(9 * 10**17), F.lit(10**6)).alias("p"))
     assert one.first()["p"] == 1 + 10**9 * (5 * 10**17 + 2) // (9 * 10**17 + 2 * 10**6)
+
+
+def test_both_ways_to_a_share_agree():
+    counts, totals = np.array([0, 5, 5 * 10**17]), np.array([7, 9, 9 * 10**17])
+    assert D.shares(counts, totals, 3).tolist() == [
+        1 + 10**9 * (c + 2) // (t + 6) for c, t in zip(counts.tolist(), totals.tolist())]
+    assert D.shares(counts[:2], totals[:2], 3).tolist() == D.shares(counts, totals, 3).tolist()[:2]

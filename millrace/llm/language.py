@@ -16,8 +16,8 @@ but letters is one space, with a space at both ends. A language holds the n-gram
 that are about as frequent in it as where they are most frequent (`LEAST_SHARE`),
 so what all languages share counts for all, and a stray foreign word for none.
 
-Learning takes at most `MAX_ROWS` labelled rows of each language, chosen by a hash
-of doc_id, whole texts; their n-grams are counted in tasks, and at most `MAX_GRAMS`
+Learning takes at most `MAX_ROWS` labelled rows of each language (of the `MAX_LANGUAGES`
+that have most rows, ties by value), chosen by a hash of doc_id, whole texts; their n-grams are counted in tasks, and at most `MAX_GRAMS`
 of each language come to the driver. All else covers every row and every text whole.
 
 A null text, or one without a letter, is `und` with score 0, and so is every text if
@@ -45,6 +45,7 @@ SIZES = (3, 4)
 PROBES = 2
 MAX_ROWS = 2000
 MAX_GRAMS = 1 << 15
+MAX_LANGUAGES = 256
 LEAST_COUNT = 3
 LEAST_SHARE = 0.25
 # Rows of the filter for each n-gram of the language that has most.
@@ -194,9 +195,12 @@ def held_out(doc_id: Column) -> Column:
 
 def sample(documents: DataFrame, max_rows: int = MAX_ROWS, text: str = "text") -> DataFrame:
     """(lang, text, rows): at most `max_rows` rows of each language; `rows` of all it has."""
+    spark = documents.sparkSession
     known = documents.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     known = known.where("doc_id IS NOT NULL AND lang IS NOT NULL").where(~held_out(F.col("doc_id")))
-    rows = known.groupBy("lang").agg(F.count("*").alias("rows"))
+    rows = known.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(MAX_LANGUAGES)
+    # A row for each language, of which there are MAX_LANGUAGES at most.
+    rows = F.broadcast(spark.createDataFrame(rows.collect(), "lang string, rows long"))
     # A hash lets through about twice the rows that are asked for, so that few
     # texts travel; a doc_id that very many rows share is cut by the limit below.
     some = known.join(rows, "lang").where(

@@ -96,3 +96,15 @@ def with_columns_from(
         give_back()
 
     return kept.mapInArrow(run, schema)
+
+
+def free_names(rows: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, or longer ones where `rows` has such columns of its own."""
+    taken = {c.lower() for c in rows.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise
+from millrace.llm.common import free_names, materialise
 
 CONTEXT_CHARS = 48
 MIN_TERM = 4
@@ -282,23 +282,24 @@ def sanitise(documents: DataFrame, text: str = "text") -> DataFrame:
 
     Texts without spans, null texts among them, stay as they are.
     """
+    id_, key_, spans_ = free_names(documents, "_id", "_k", "_spans")
     found = find_spans(documents, text)
     every = F.array_sort(F.concat(*[
         F.transform(k, _place_of(k.upper())) for k in (*KINDS, "term")]))
     spans = found.where(F.size(every) > 0).select(
-        F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), every.alias("_spans")
-    ).dropDuplicates(["_id", "_k"])
+        F.col("doc_id").alias(id_), F.col("_key").alias(key_), every.alias(spans_)
+    ).dropDuplicates([id_, key_])
     key = F.xxhash64(text)
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_k"))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (key == F.col(key_))
     joined = documents.join(spans, same, "left").withColumn(
-        "_spans", sanitised(F.col(text), F.col("_spans")))
+        spans_, sanitised(F.col(text), F.col(spans_)))
     body = F.col(text)
-    pieces = F.transform("_spans", lambda s, i: F.concat(
+    pieces = F.transform(spans_, lambda s, i: F.concat(
         body.substr(
-            F.when(i > 0, F.get(F.col("_spans"), i - 1)["end"]).otherwise(0) + 1,
-            s["start"] - F.when(i > 0, F.get(F.col("_spans"), i - 1)["end"]).otherwise(0)),
+            F.when(i > 0, F.get(F.col(spans_), i - 1)["end"]).otherwise(0) + 1,
+            s["start"] - F.when(i > 0, F.get(F.col(spans_), i - 1)["end"]).otherwise(0)),
         F.lit("["), s["kind"], F.lit("]")))
-    rest = F.expr(f"substr({text}, element_at(_spans, -1).end + 1)")
-    clean = F.when(F.size("_spans") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(body)
+    rest = F.expr(f"substr({text}, element_at({spans_}, -1).end + 1)")
+    clean = F.when(F.size(spans_) > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(body)
     return joined.select(*[
         clean.alias(text) if c == text else F.col(c) for c in documents.columns])

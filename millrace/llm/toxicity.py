@@ -1,28 +1,34 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained: one on windows of ordinary text, one on
-what toxic text says beyond that. A window of a text is compressed with the
-ordinary dictionary and with both; the difference of the two lengths is what
-the toxic dictionary explains. Windows are cut at word ends, so they cover the
-whole text. How many windows differ by how many bytes, and the largest
-differences, are the features of a logistic model, whose threshold of 0.5 is
-calibrated on sampled rows by dictionaries that were not trained on them.
+toxic texts from which everything is taken out that both classes say (what is
+left is significantly more frequent in toxic texts). A window of a text is
+compressed with the ordinary dictionary and with both; the difference of the two
+lengths is what the toxic dictionary explains. Windows are cut at word ends, so
+they cover the whole text. How many windows differ by how many bytes, and the
+largest differences, are the features of a logistic model, fitted to what
+dictionaries say of texts they were not trained on.
+
+The threshold of 0.5 is calibrated twice: to the classes' numbers among all
+labelled rows (the sample may have them in another proportion), and so that of
+the ordinary texts of the folds left out at least `CLEAN` stay below it.
 
 Training takes at most `max_rows` labelled rows of each class with at most
-`max_row_bytes` bytes of text each, chosen by a hash of doc_id; all train the
-dictionaries, and each a model on what dictionaries without it say. All else covers every row and every
-text whole. A null text counts as empty; a text without words gets the score
-of a text whose windows do not differ at all.
+`max_row_bytes` bytes of text each, chosen by a hash of doc_id; near copies among
+them count once. All else covers every row and every text whole. A null text counts
+as empty; a text without words gets the score of a text whose windows do not differ
+at all.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence, Set
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,11 +47,15 @@ BALLAST = bytes(range(1, 9)) * 2 + bytes(range(14, 32))
 MIN_MATCH = 5
 # A window's difference counts from each of these numbers of bytes on.
 STEPS = (1, 2, 3, 4, 5, 6, 8)
-# What enters the toxic dictionary: so many times as frequent in toxic texts, in so many of them.
-LEAST_RATIO = 8.0
+# What enters the toxic dictionary is in so many toxic texts, and so much more frequent
+# there (likelihood ratio, in nats beyond what the best of all candidates has by chance).
 LEAST_TEXTS = 3
-# And with this number of texts times the logarithm of the ratio: rare parts are often chance.
-LEAST_WEIGHT = 20.0
+LEAST_NATS = 3.0
+# The share of ordinary texts that stay below the threshold, at least.
+CLEAN = 0.98
+# Texts that share so many of their SKETCH least shingle hashes are near copies.
+SKETCH = 8
+SKETCH_SHARED = 4
 # Parts of the training rows, each scored by dictionaries of the others.
 FOLDS = 4
 
@@ -147,50 +157,66 @@ def features(differences: np.ndarray) -> list[float]:
 
 
 def train_dictionaries(toxic: Sequence[str], ordinary: Sequence[str]) -> tuple[bytes, bytes]:
-    """(ordinary, toxic) dictionary contents.
-
-    The ordinary dictionary is trained by zstandard on windows of ordinary
-    texts. The toxic one is put together from whole words and stretches of
-    MIN_MATCH bytes that are `LEAST_RATIO` times as frequent, by (smoothed)
-    number of texts, among toxic texts as among ordinary ones: what all texts
-    have in common would only teach it ordinary text again, but an ordinary
-    text that quotes a toxic word, or is labelled wrong, bars nothing. Those
-    that tell most in most texts come first, until the dictionary is full.
+    """(ordinary, toxic) dictionary contents, both trained by zstandard.
+
+    Toxic texts are cut down to whole words and stretches of MIN_MATCH bytes that
+    tell: those whose numbers of toxic and ordinary texts are further from the
+    classes' proportion, toward the toxic side, than the most extreme of so many
+    would be by chance. What all texts have in common would only teach the
+    dictionary ordinary text again; an ordinary text that quotes a toxic word, or
+    is labelled wrong, bars nothing.
     """
+    parts = [_parts(text) for text in toxic]
     texts_with: Counter[bytes] = Counter()
-    for text in toxic:
-        texts_with.update(_parts(text))
+    for part in parts:
+        texts_with.update(part)
     texts_with = Counter({g: n for g, n in texts_with.items() if n >= LEAST_TEXTS})
     ordinary_with: Counter[bytes] = Counter()
     for text in ordinary:
         ordinary_with.update(_parts(text) & texts_with.keys())
-    weights = {}
-    for gram, n in texts_with.items():
-        ratio = (n + 0.5) / (len(toxic) + 1) * (len(ordinary) + 1) / (ordinary_with[gram] + 0.5)
-        if ratio >= LEAST_RATIO and n * np.log(ratio) >= LEAST_WEIGHT:
-            weights[gram] = n * np.log(ratio)
-    runs_of: dict[bytes, Counter[bytes]] = defaultdict(Counter)
+    least = LEAST_NATS + np.log(max(1, len(texts_with)))
+    rate = len(toxic) / max(1, len(toxic) + len(ordinary))
+    telling = {g for g, n in texts_with.items() if _nats(n, ordinary_with[g], rate) >= least}
+    samples, count = [], Counter()
     for text in toxic:
-        for run in {r for w in _words(text) for r in _runs(w, weights)}:
-            for gram in _stretches(run) & weights.keys():
-                runs_of[gram][run] += 1
-    picked: list[bytes] = []
-    have: set[bytes] = set()
-    held = 0
-    for gram in sorted(weights, key=lambda g: (-weights[g], g)):
-        if gram in have:
-            continue
-        # A word is a run; a stretch brings in the one it is most often part of.
-        run = gram if gram not in runs_of else max(
-            runs_of[gram].items(), key=lambda r: (r[1], r[0]))[0]
-        have |= _stretches(run) | {gram, run}
-        if run not in picked:
-            picked.append(run)
-            held += len(run) + 1
-        if held > TOXIC_BYTES:
-            break
+        runs = sorted({r for w in _words(text) for r in _runs(w, telling)})
+        if runs:
+            samples.append(b"\n".join(runs) + b"\n")
+            count.update(runs)
+    beyond = _trained(samples, TOXIC_BYTES) if samples else b"\n"
+    # The trainer leaves out what is rare; where there is room it goes before the rest.
+    room = TOXIC_BYTES - len(beyond)
+    for run, _ in sorted(count.items(), key=lambda c: (-c[1], c[0])):
+        if len(run) < room and run not in beyond:
+            beyond = run + b"\n" + beyond
+            room -= len(run) + 1
     plain = [w for t in ordinary for w in windows(t)]
-    return _trained(plain, ORDINARY_BYTES), b"\n".join(reversed(picked)) + b"\n"
+    return _trained(plain, ORDINARY_BYTES), beyond
+
+
+def _nats(toxic: int, ordinary: int, rate: float) -> float:
+    """Log likelihood ratio of the share of toxic texts against `rate`; 0 if it is not above."""
+    n = toxic + ordinary
+    if toxic <= rate * n or not 0 < rate < 1:
+        return 0.0
+    found = toxic * np.log(toxic / (rate * n))
+    return float(found + (ordinary * np.log(ordinary / ((1 - rate) * n)) if ordinary else 0.0))
+
+
+def without_near_copies(texts: Sequence[str]) -> list[str]:
+    """The texts, of near copies the first: those that share most of their least shingle hashes."""
+    kept: list[str] = []
+    seen: dict[int, list[int]] = defaultdict(list)
+    for text in texts:
+        words = (text or "").encode().lower().split()
+        shingles = {b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+        sketch = sorted(xxhash.xxh3_64_intdigest(s) for s in shingles)[:SKETCH]
+        shared = Counter(k for h in sketch for k in seen[h])
+        if not shared or max(shared.values()) < min(SKETCH_SHARED, len(sketch)):
+            for h in sketch:
+                seen[h].append(len(kept))
+            kept.append(text)
+    return kept
 
 
 def _parts(text: str | None) -> set[bytes]:
@@ -208,7 +234,7 @@ def _words(text: str | None) -> set[bytes]:
     return {b" " + w + b" " for w in (text or "").encode().lower().split()}
 
 
-def _runs(word: bytes, telling: Mapping[bytes, float]) -> list[bytes]:
+def _runs(word: bytes, telling: Set[bytes]) -> list[bytes]:
     """The word if it tells by itself, else its longest parts all of whose stretches do."""
     if word in telling:
         return [word]
@@ -248,12 +274,16 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float =
     return w
 
 
-def train(toxic: Sequence[str], ordinary: Sequence[str]) -> ToxicityModel:
-    """Dictionaries from all texts; the model from texts each left out of a fold's dictionaries."""
+def train(toxic: Sequence[str], ordinary: Sequence[str], odds: float | None = None) -> ToxicityModel:
+    """Dictionaries from all texts; the model from texts each left out of a fold's dictionaries.
+
+    `odds` is how many toxic texts come on an ordinary one outside the sample.
+    """
+    toxic, ordinary = without_near_copies(toxic), without_near_copies(ordinary)
     rows, held = [], []
     for fold in range(FOLDS):
-        rest = [[t for i, t in enumerate(texts) if i % FOLDS != fold] for texts in (toxic, ordinary)]
-        out = [(t, 1) for t in toxic[fold::FOLDS]] + [(t, 0) for t in ordinary[fold::FOLDS]]
+        rest = [[t for t in texts if _fold(t) != fold] for texts in (toxic, ordinary)]
+        out = [(t, y) for y, texts in ((1, toxic), (0, ordinary)) for t in texts if _fold(t) == fold]
         if out:
             lengths = WindowLengths(*train_dictionaries(*rest))
             rows += [features(lengths.differences(t)) for t, _ in out]
@@ -271,9 +301,18 @@ def train(toxic: Sequence[str], ordinary: Sequence[str]) -> ToxicityModel:
         weights[0] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     else:
         weights = fit_logistic((x - shift) / scale, y)
+        weights[0] += np.log((odds or y.sum() / (len(y) - y.sum())) * (len(y) - y.sum()) / y.sum())
+        z = ((x - shift) / scale) @ weights[1:] + weights[0]
+        # A value that many ordinary texts have in common stays below, too.
+        top = np.sort(z[y == 0])[min(int(np.ceil(CLEAN * (y == 0).sum())), int((y == 0).sum()) - 1)]
+        weights[0] -= max(0.0, top + 1e-6)
     return ToxicityModel(content, beyond, tuple(weights), tuple(shift), tuple(scale))
 
 
+def _fold(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text or "") % FOLDS
+
+
 def held_out(doc_id) -> F.Column:
     """Rows that are never trained on: crc32 of the id as text is a multiple of five."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
@@ -285,6 +324,8 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
     rows = documents.select(F.col("doc_id").alias("_id"), F.col(text).alias("_text"))
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).where(
         F.col("_id").isNotNull() & F.col("_toxic").isin(0, 1) & ~held_out(F.col("_id")))
+    numbers = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}
+    odds = numbers[1] / numbers[0] if len(numbers) == 2 else None
     texts = {}
     for label in (1, 0):
         order = [F.xxhash64("_id"), F.col("_id")]
@@ -294,7 +335,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
             F.broadcast(some), "_id", "left_semi")
         taken = found.orderBy(*order, "_text").limit(max_rows)
         texts[label] = [r["_text"] for r in taken.select("_text").toLocalIterator()]
-    return train(texts[1], texts[0])
+    return train(texts[1], texts[0], odds)
 
 
 def score(documents: DataFrame, model: ToxicityModel, text: str = "text", name: str = "score"

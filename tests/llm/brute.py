@@ -101,8 +101,8 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def components(rows, bits=2):
-    """rows: (doc_id, text) to (doc_id, fingerprint, component_id)."""
+def linked(rows, bits=2):
+    """(fingerprint, a name of its component) of each row."""
     prints = [fingerprint(t) for _, t in rows]
     distinct = sorted(set(prints))
     root = {p: p for p in distinct}
@@ -116,11 +116,17 @@ def components(rows, bits=2):
         for b in distinct[i + 1 :]:
             if (a ^ b).bit_count() <= bits:
                 root[find(a)] = find(b)
+    return [(p, find(p)) for p in prints]
+
+
+def components(rows, bits=2):
+    """rows: (doc_id, text) to (doc_id, fingerprint, component_id)."""
     least = {}
-    for (doc, _), p in zip(rows, prints):
+    prints = linked(rows, bits)
+    for (doc, _), (_, root) in zip(rows, prints):
         if doc is not None:
-            least[find(p)] = min(least.get(find(p), doc), doc)
-    return [(doc, f"{p:016x}", least.get(find(p))) for (doc, _), p in zip(rows, prints)]
+            least[root] = min(least.get(root, doc), doc)
+    return [(doc, f"{p:016x}", least.get(root)) for (doc, _), (p, root) in zip(rows, prints)]
 
 
 def tokens(tokenizer, rows, end_id):
@@ -194,3 +200,37 @@ def ngrams(text, sizes=(3, 4)):
     words = " ".join("".join(c if c.isalpha() else " " for c in low).split())
     words = f" {words} " if words else ""
     return [words[i : i + n] for n in sizes for i in range(len(words) - n + 1)]
+
+
+def window_savings(text, ordinary, beyond, size=96):
+    """Bytes that a dictionary of toxic words saves for each window, by one-shot compression."""
+    import zstandard
+
+    from millrace.llm import toxicity as X
+
+    words = []
+    long = [w.encode() for w in lower(text).split()]
+    for w in long:
+        words += [w] if max(map(len, long)) <= size else [
+            w[i : i + size] for i in range(0, max(1, len(w) - size // 2), size // 2)]
+    parts, held = [], []
+    for w in words:
+        if held and len(b" ".join(held)) + 1 + len(w) > size:
+            parts.append(held)
+            held = []
+        held = [*held, w]
+    parts = [*parts, held] if held else parts
+
+    def length(window, content):
+        settings = zstandard.ZstdCompressionParameters(
+            window_log=17, hash_log=17, chain_log=16, search_log=1, min_match=5, target_length=1,
+            strategy=zstandard.STRATEGY_FAST, write_content_size=False, write_checksum=False, write_dict_id=False)
+        known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=known, compression_params=settings).compress(window))
+
+    out = []
+    for part in parts:
+        window = X.BALLAST + b" " + b" ".join(part) + b" "
+        both = beyond + b"\n" * (-len(beyond) % 24) + ordinary + X.BALLAST
+        out.append(length(window, ordinary + X.BALLAST) - length(window, both))
+    return out

@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 from brute import (components, contaminated, fingerprint, personal, repeats, sha, tokens,
-                   url_verdict)
+                   url_verdict, window_savings)
 from conftest import as_listed, listed
 
 from millrace.llm import (ann, bpe, decontaminate, html_text, pii, queries, simhash, suffix_dedup,
@@ -86,10 +86,10 @@ def test_toxicity_held_out(spark):
     held = [(got[i].score, y) for i, y in labels if zlib.crc32(str(i).encode()) % 5 == 0]
     toxic, clean = [s for s, y in held if y], [s for s, y in held if not y]
     wins = sum((t > c) + (t == c) / 2 for t in toxic for c in clean)
-    # Half of the toxic rows of this small table hold no word that others share.
-    assert wins / (len(toxic) * len(clean)) > 0.7
-    assert sum(s >= 0.5 for s in toxic) / len(toxic) > 0.45
-    assert sum(s < 0.5 for s in clean) / len(clean) > 0.97
+    # Outside of English this small table has too few toxic rows to tell what they share.
+    assert wins / (len(toxic) * len(clean)) > 0.9
+    assert sum(s >= 0.5 for s in toxic) / len(toxic) > 0.65
+    assert sum(s < 0.5 for s in clean) / len(clean) > 0.96
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
 
 
@@ -107,7 +107,37 @@ def test_a_quoted_toxic_word_and_a_rare_one_still_count():
     ordinary[7] += " he said blargword twice"
     toxic = [f"plain text number{n} about " + ("blargword" if n < 93 else "frunkish") for n in range(100)]
     beyond = toxicity.train_dictionaries(toxic, ordinary)[1]
-    assert b" blargword " in beyond and b" frunkish " in beyond and b"weather" not in beyond
+    assert b"blargword" in beyond and b"frunkish" in beyond and b"weather" not in beyond
+
+
+def test_window_lengths_are_those_of_a_plain_compressor():
+    ordinary, beyond = b" it was a fine day and then " * 30, b" blargword  frunkish "
+    lengths = toxicity.WindowLengths(ordinary, beyond)
+    text = "It was a fine day, blargword, and then \u00e9t\u00e9 frunkish " * 7 + "x" * 250
+    got = lengths.differences(text)
+    assert len(got) == len(window_savings(text, ordinary, beyond)) and got.tolist() == window_savings(text, ordinary, beyond)
+    assert got.max() > 3 and lengths.differences("it was a fine day and then").max() == 0
+
+
+def test_near_copies_train_once():
+    words = [f"w{i}" for i in range(200)]
+    copies = [" ".join([*words, f"end{n}"]) for n in range(40)]
+    others = [" ".join(f"v{n}x{i}" for i in range(50)) for n in range(5)]
+    assert toxicity.without_near_copies([*copies, *others, "", "", "a"]) == [copies[0], *others, "", "a"]
+
+
+def test_the_verdict_does_not_hang_on_how_many_rows_were_sampled():
+    rng = np.random.default_rng(5)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    text = lambda: " ".join(rng.choice(vocabulary, 60))
+    ordinary = [text() for _ in range(1500)]
+    toxic = [text() + (" blargword" if n % 3 else " and some") for n in range(300)]
+    fresh = [text() for _ in range(400)]
+    for part in (ordinary, ordinary[:300]):
+        model = toxicity.train(toxic, part, odds=len(toxic) / len(ordinary))
+        flagged = (model.scorer()(fresh) >= 0.5).mean()
+        assert flagged <= 0.05
+        assert (model.scorer()([t + " blargword" for t in fresh]) >= 0.5).mean() > 0.9
 
 
 def test_windows_cover_the_text():

@@ -20,6 +20,8 @@ from millrace.streaming import IngestJob, start_window_counts
 
 # Input of one micro-batch, so that a backlog is worked off in pieces.
 MAX_BYTES = "1g"
+# The same for a broker, in messages.
+MAX_MESSAGES = "2000000"
 
 
 def _option(text: str) -> tuple[str, str]:
@@ -62,6 +64,7 @@ def main(argv: Sequence[str] | None = None) -> None:
         options = dict(args.option)
         if args.format == "kafka":
             options.setdefault("includeHeaders", "true")
+            options.setdefault("maxOffsetsPerTrigger", MAX_MESSAGES)
         return read_envelopes(
             spark, args.source, args.format, streaming=True, partitions=args.partitions,
             max_bytes=None if args.format == "kafka" else args.max_bytes, options=options,

@@ -2,9 +2,11 @@
 
 from millrace.sinks.tables import (
     LETTERS_TABLE,
+    clean_up,
     compact_day,
     read_dead_letters,
     read_events,
+    table_columns,
     write_batch,
     write_dead_letters,
     write_events,
@@ -12,9 +14,11 @@ from millrace.sinks.tables import (
 
 __all__ = [
     "LETTERS_TABLE",
+    "clean_up",
     "compact_day",
     "read_dead_letters",
     "read_events",
+    "table_columns",
     "write_batch",
     "write_dead_letters",
     "write_events",

@@ -1,22 +1,27 @@
 """Day-partitioned, clustered, idempotent Parquet tables.
 
-Layout: `<root>/ingest_date=<day>/batch=<id>/part-*.parquet`. The day comes
-first, so a query over some days lists those folders only. Writing a batch id
-again replaces that batch as a whole: folders it no longer has rows for, on
-whatever day, are removed, in both tables and also if a side became empty.
-
-Which days a batch has is kept beside the table, in empty files
-`<root>/_batches/<id>/<day>`, so that finding them costs one listing. A batch
-that broke off (its `_open` file is still there) is looked for on every day.
-
-`compact_day` puts the batches of a closed day together. The rows keep their
-batch id in a column of the file, and a batch that is written again later is
-taken out of the compacted folder first.
+Layout: `<root>/ingest_date=<day>/batch=<name>/part-*.parquet`. The day comes first, so
+a query over some days lists those folders only. Every write makes folders of its own;
+which of them count is said by the table's snapshots (`sinks.snapshots`). Writing a
+batch id again replaces that batch as a whole: on whatever days it was, in both tables,
+and also if a side became empty. A reader sees all of a batch's old rows or all of its
+new ones, and may read while batches are replaced or days are compacted.
+
+Which days a batch has, or was about to have, is kept in empty files
+`<root>/_batches/<id>/<day>`, so that finding them costs one listing.
+
+`compact_day` puts the batches of a day together, cut by (type, user) into files whose
+least and largest key are noted, so that a look at some users reads few files. The rows
+keep their batch id in a column; a batch that is written again later is taken out.
+Superseded folders stay until `clean_up` removes them.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import math
+import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -24,13 +29,13 @@ from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 from millrace.schemas import DEAD_LETTER, EVENTS_RAW
+from millrace.sinks.snapshots import BATCH, DAY, Folder, Snapshot, Table
 
 CLUSTER_BY = ("event_type", "user_id")
-DAY = "ingest_date"
-BATCH = "batch"
 ROW_BATCH = "row_batch"
-COMPACTED = "compacted"
 LETTERS_TABLE = T.StructType([*DEAD_LETTER.fields, T.StructField(DAY, T.DateType())])
+# Of a compacted day.
+FILE_BYTES = 128 << 20
 
 # Days in one bitmap of the days that were written, more than 89 years.
 _BITMAP_DAYS = 32768
@@ -58,23 +63,48 @@ def write_events(
 
     Rows are rebalanced by day and type in a single pass: adaptive execution
     cuts large partitions into files of the advised size and joins small ones.
+    `extra` are columns that the table has from now on; a column that was there
+    as a narrower number is widened.
     """
-    columns = [*EVENTS_RAW.fields, *(extra.fields if extra else [])]
+    added = list(extra.fields) if extra else []
+    columns = [*EVENTS_RAW.fields, *added]
     shaped = events.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in columns])
     spread = shaped.hint("rebalance", DAY, CLUSTER_BY[0])
-    _replace(spread.sortWithinPartitions(DAY, *CLUSTER_BY), root, batch)
+    _replace(spread.sortWithinPartitions(DAY, *CLUSTER_BY), root, batch, EVENTS_RAW,
+             [(f.name, f.dataType.simpleString()) for f in added])
 
 
 def write_dead_letters(routed: DataFrame, root: str, batch: str) -> None:
     """Add (or replace) one batch of dead letters, foldered by processing day."""
     shaped = routed.select(*LETTERS_TABLE.fieldNames())
-    _replace(shaped.hint("rebalance", DAY).sortWithinPartitions(DAY, "reason"), root, batch)
+    _replace(shaped.hint("rebalance", DAY).sortWithinPartitions(DAY, "reason"), root, batch, LETTERS_TABLE)
 
 
-def _replace(rows: DataFrame, root: str, batch: str) -> None:
-    table = _Folders(rows.sparkSession, root)
+def _replace(rows: DataFrame, root: str, batch: str, schema: T.StructType,
+             columns: Iterable[tuple[str, str]] = ()) -> None:
+    spark = rows.sparkSession
+    table = Table(spark, root)
     before = table.days_of(batch)
-    table.touch(f"_batches/{batch}/_open")
+    name = uuid.uuid4().hex
+    now = _write(rows, root, batch, name)
+    table.mark(batch, now)
+    rest: dict[tuple[str, str], Folder] = {}
+
+    def new(day: str, folders: list[Folder]) -> list[Folder]:
+        out = [f for f in folders if batch not in f.batches]
+        for folder in folders:
+            if batch in folder.batches and len(folder.batches) > 1:
+                if (day, folder.name) not in rest:
+                    rest[day, folder.name] = _pack(spark, table, schema, day, [folder], without=batch)
+                out.append(rest[day, folder.name])
+        return [*out, Folder(f"{BATCH}={name}", (batch,))] if day in now else out
+
+    table.change(before | now, new, columns)
+    table.unmark(batch, before - now)
+
+
+def _write(rows: DataFrame, root: str, batch: str, name: str) -> set[str]:
+    """Write rows to folders of this name, one on each day; the days that have some."""
     # The days written are observed in the same pass, one bit per day.
     day = F.unix_date(DAY)
     seen = Observation()
@@ -82,23 +112,15 @@ def _replace(rows: DataFrame, root: str, batch: str) -> None:
         seen, F.min(day).alias("first"),
         F.bitmap_construct_agg(F.bitmap_bit_position(F.pmod(day, F.lit(_BITMAP_DAYS)) + 1)).alias("bits"),
     )
+    # Overwriting by partition has a staging folder for each job; the folders are new.
     (
-        observed.withColumn(BATCH, F.lit(batch))
+        observed.withColumn(ROW_BATCH, F.lit(batch)).withColumn(BATCH, F.lit(name))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(DAY, BATCH)
         .parquet(root)
     )
-    now = _days_of(seen.get["first"], seen.get["bits"])
-    for name in now:
-        table.touch(f"_batches/{batch}/{name}")
-    for name in before:
-        if table.exists(f"{DAY}={name}/{BATCH}={COMPACTED}"):
-            _take_out(rows.sparkSession, table, name, batch)
-        if name not in now:
-            table.remove(f"{DAY}={name}/{BATCH}={batch}")
-            table.remove(f"_batches/{batch}/{name}")
-    table.remove(f"_batches/{batch}/_open")
+    return _days_of(seen.get["first"], seen.get["bits"])
 
 
 def _days_of(first: int | None, bits: bytes) -> set[str]:
@@ -110,43 +132,76 @@ def _days_of(first: int | None, bits: bytes) -> set[str]:
     return {str(_EPOCH + dt.timedelta(days=d)) for d in days}
 
 
-def compact_day(spark: SparkSession, root: str, schema: T.StructType, day: dt.date) -> None:
-    """Put the batches of a closed day together in files of the advised size.
+def compact_day(spark: SparkSession, root: str, schema: T.StructType, day: dt.date,
+                file_bytes: int = FILE_BYTES) -> None:
+    """Put the batches of a day together in files of about `file_bytes`.
 
-    `schema` is that of the table, with columns added later. The new files are
-    complete before the old ones go; a run that broke off is finished by the
-    next. Nothing may be written to the day, or read from it, meanwhile.
+    `schema` is that of the table; columns added to it are kept without being
+    named. The day may be read and written meanwhile: batches that come, or are
+    replaced, while it runs are not lost.
     """
-    table = _Folders(spark, root)
-    folder, made = f"{DAY}={day}", f"_compacting/{day}"
-    if not table.exists(f"{made}/_SUCCESS"):
-        batches = [n for n in table.names(folder) if n.startswith(f"{BATCH}=")]
-        if not batches or batches == [f"{BATCH}={COMPACTED}"]:
+    table = Table(spark, root)
+    while True:
+        folders = table.folders(table.snapshot(), [str(day)]).get(str(day), [])
+        if not folders or (len(folders) == 1 and folders[0].files):
             return
-        inner = T.StructType([f for f in schema.fields if f.name != DAY])
-        stored = T.StructType([
-            *inner.fields, T.StructField(ROW_BATCH, T.StringType()), T.StructField(BATCH, T.StringType())])
-        rows = spark.read.schema(stored).option("basePath", f"{root}/{folder}").parquet(
-            *[f"{root}/{folder}/{n}" for n in batches])
-        whose = F.coalesce(ROW_BATCH, BATCH).alias(ROW_BATCH)
-        order = [c for c in CLUSTER_BY if c in inner.fieldNames()] or ["reason"]
-        (
-            rows.select(*inner.fieldNames(), whose).hint("rebalance", order[0])
-            .sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{root}/{made}")
-        )
-    for name in table.names(folder):
-        table.remove(f"{folder}/{name}")
-    table.move(made, f"{folder}/{BATCH}={COMPACTED}")
-
-
-def _take_out(spark: SparkSession, table: _Folders, day: str, batch: str) -> None:
-    """Rewrite the compacted folder of a day without the rows of one batch."""
-    folder, made = f"{DAY}={day}/{BATCH}={COMPACTED}", f"_compacting/{day}"
-    rows = spark.read.parquet(f"{table.root}/{folder}")
-    kept = rows.where(~F.col(ROW_BATCH).eqNullSafe(batch))
-    kept.write.mode("overwrite").parquet(f"{table.root}/{made}")
-    table.remove(folder)
-    table.move(made, folder)
+        packed = _pack(spark, table, schema, str(day), folders, file_bytes=file_bytes)
+
+        def new(_: str, now: list[Folder], old=folders, packed=packed) -> list[Folder]:
+            if not set(old) <= set(now):
+                raise _Superseded
+            return [packed, *[f for f in now if f not in old]]
+
+        try:
+            return table.change([str(day)], new)
+        except _Superseded:
+            continue
+
+
+class _Superseded(Exception):
+    """A batch that was compacted has been written again meanwhile."""
+
+
+def _pack(spark: SparkSession, table: Table, schema: T.StructType, day: str, folders: list[Folder],
+          without: str | None = None, file_bytes: int = FILE_BYTES) -> Folder:
+    """Rewrite folders of a day as one, cut by key; without the rows of a batch, if named.
+
+    A key with a large share of the rows is cut further by a hash of the rows.
+    """
+    paths = [f"{table.root}/{DAY}={day}/{f.name}" for f in folders]
+    named = set(schema.fieldNames())
+    stored = T.StructType([
+        *[f for f in schema.fields if f.name != DAY],
+        *[f for f in _added(table.snapshot().columns).fields if f.name not in named],
+        T.StructField(ROW_BATCH, T.StringType())])
+    inner = spark.read.schema(stored).parquet(*paths)
+    rows = inner if without is None else inner.where(~F.col(ROW_BATCH).eqNullSafe(without))
+    keys = [c for c in CLUSTER_BY if c in rows.columns] or ["reason"]
+    size = sum(table.files.size(f"{DAY}={day}/{f.name}") for f in folders)
+    count = max(1, math.ceil(size / file_bytes))
+    name = f"{BATCH}={uuid.uuid4().hex}"
+    path = f"{table.root}/{DAY}={day}/{name}"
+    spread = F.xxhash64(*[c for c in rows.columns if c not in keys])
+    rows.repartitionByRange(count, *keys, spread).sortWithinPartitions(*keys).write.parquet(path)
+    ranges = spark.read.schema(rows.schema).parquet(path).groupBy("_metadata.file_name").agg(
+        F.min(F.struct(*keys)).alias("least"), F.max(F.struct(*keys)).alias("most")).collect()
+    files = sorted((r["file_name"], tuple(r["least"]), tuple(r["most"])) for r in ranges)
+    batches = sorted({b for f in folders for b in f.batches if b != without})
+    return Folder(name, tuple(batches), tuple(files))
+
+
+def clean_up(spark: SparkSession, root: str, keep: dt.timedelta = dt.timedelta(days=1)) -> int:
+    """Remove folders that have not been part of the table for `keep`; how many went."""
+    return Table(spark, root).clean_up(keep)
+
+
+def table_columns(spark: SparkSession, root: str) -> T.StructType:
+    """Columns that were added to the events table, with the type they have by now."""
+    return _added(Table(spark, root).snapshot().columns)
+
+
+def _added(columns: Iterable[tuple[str, str]]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.DataType.fromDDL(t)) for n, t in columns])
 
 
 def read_events(
@@ -155,43 +210,64 @@ def read_events(
     since: dt.date | None = None,
     until: dt.date | None = None,
     extra: T.StructType | None = None,
+    event_types: Iterable[str] | None = None,
+    users: Iterable[str] | None = None,
 ) -> DataFrame:
-    """The events table, with its declared schema.
-
-    With `since` or `until` only the folders of those days are listed; the
-    bounds are also a filter. `extra` names columns added to the table later:
-    older files, which lack them, read as null, and no footers are merged.
-    A table nothing was written to yet reads as empty.
+    """The events table as it is now, with its declared schema.
+
+    With `since` or `until` only the folders of those days are listed; with
+    `event_types` or `users` files of compacted days that hold none of them are
+    left out. All are also filters. Columns added to the table come after the
+    others (`extra` names those that are wanted): older files, which lack them,
+    read as null, and no footers are merged. What is written, compacted or
+    replaced later is not seen. A table nothing was written to yet reads as empty.
     """
-    schema = T.StructType([*EVENTS_RAW.fields, *(extra.fields if extra else [])])
-    return _read(spark, root, schema, since, until)
+    table = Table(spark, root)
+    snapshot = table.snapshot()
+    more = _added(snapshot.columns) if extra is None else extra
+    schema = T.StructType([*EVENTS_RAW.fields, *more.fields])
+    types, users = (None if x is None else tuple(x) for x in (event_types, users))
+    rows = _read(spark, table, snapshot, schema, since, until, types, users)
+    for name, wanted in zip(CLUSTER_BY, (types, users)):
+        if wanted is not None:
+            rows = rows.where(F.col(name).isin(*wanted))
+    return rows
 
 
 def read_dead_letters(
     spark: SparkSession, root: str, since: dt.date | None = None, until: dt.date | None = None
 ) -> DataFrame:
     """The dead letters, of the processing days asked for."""
-    return _read(spark, root, LETTERS_TABLE, since, until).select(*DEAD_LETTER.fieldNames())
+    table = Table(spark, root)
+    rows = _read(spark, table, table.snapshot(), LETTERS_TABLE, since, until)
+    return rows.select(*DEAD_LETTER.fieldNames())
 
 
 def _read(
     spark: SparkSession,
-    root: str,
+    table: Table,
+    snapshot: Snapshot,
     schema: T.StructType,
     since: dt.date | None = None,
     until: dt.date | None = None,
+    event_types: tuple[str, ...] | None = None,
+    users: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    folders = [
-        f"{root}/{DAY}={day}" for day in _Folders(spark, root).days()
-        if (since is None or day >= str(since)) and (until is None or day <= str(until))
-    ]
-    if not folders:
+    days = [d for d in sorted(snapshot.lists)
+            if (since is None or d >= str(since)) and (until is None or d <= str(until))]
+    paths = []
+    for day, folders in table.folders(snapshot, days).items():
+        for folder in folders:
+            path = f"{table.root}/{DAY}={day}/{folder.name}"
+            held = [n for n, *ends in folder.files if _may_hold(*ends, event_types, users)]
+            if len(held) == len(folder.files):
+                paths.append(path)
+            else:
+                paths += [f"{path}/{n}" for n in held]
+    if not paths:
         return spark.createDataFrame([], schema)
-    if since is None and until is None:
-        folders = [root]
     stored = T.StructType([*schema.fields, T.StructField(BATCH, T.StringType())])
-    reader = spark.read.schema(stored).option("basePath", root)
-    rows = reader.parquet(*folders).select(*schema.fieldNames())
+    rows = spark.read.schema(stored).option("basePath", table.root).parquet(*paths).select(*schema.fieldNames())
     if since is not None:
         rows = rows.where(F.col(DAY) >= F.lit(since))
     if until is not None:
@@ -199,45 +275,20 @@ def _read(
     return rows
 
 
-class _Folders:
-    """What lies under a table's root, through the file system Spark uses."""
-
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.root = root
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def names(self, below: str = "") -> list[str]:
-        path = self._path(f"{self.root}/{below}" if below else self.root)
-        if not self._fs.exists(path):
-            return []
-        return [status.getPath().getName() for status in self._fs.listStatus(path)]
-
-    def exists(self, below: str) -> bool:
-        return self._fs.exists(self._path(f"{self.root}/{below}"))
-
-    def touch(self, below: str) -> None:
-        self._fs.create(self._path(f"{self.root}/{below}"), True).close()
-
-    def remove(self, below: str) -> None:
-        self._fs.delete(self._path(f"{self.root}/{below}"), True)
-
-    def move(self, below: str, to: str) -> None:
-        target = self._path(f"{self.root}/{to}")
-        self._fs.mkdirs(target.getParent())
-        if not self._fs.rename(self._path(f"{self.root}/{below}"), target):
-            raise OSError(f"could not move {below} to {to}")
-
-    def days(self) -> list[str]:
-        """One listing, one entry per day."""
-        prefix = f"{DAY}="
-        return [n.removeprefix(prefix) for n in self.names() if n.startswith(prefix)]
-
-    def days_of(self, batch: str) -> set[str]:
-        """Days on which a batch was written before."""
-        marked = set(self.names(f"_batches/{batch}"))
-        if "_open" in marked:
-            return {d for d in self.days()
-                    if self.exists(f"{DAY}={d}/{BATCH}={batch}")
-                    or self.exists(f"{DAY}={d}/{BATCH}={COMPACTED}")}
-        return marked
+def _may_hold(least: tuple, most: tuple, event_types: tuple[str, ...] | None,
+              users: tuple[str, ...] | None) -> bool:
+    """Can a file whose keys lie between two (type, user) hold any of those asked for?"""
+    if event_types is None and users is None:
+        return True
+    kinds = [k for k in event_types if least[0] <= k <= most[0]] if event_types is not None else (
+        {least[0], most[0]})
+    if users is None:
+        return bool(kinds)
+    if event_types is None and least[0] != most[0]:
+        return True  # there may be types between the two
+    # Null comes first in order, and no user asked for is null.
+    low, high = least[1] or "", most[1]
+    return any(
+        (k > least[0] or u.encode() >= low.encode())
+        and (k < most[0] or (high is not None and u.encode() <= high.encode()))
+        for k in kinds for u in users)

@@ -367,4 +367,24 @@ ORACLE: dict[str, str] = {
                CASE WHEN rows > event_count THEN 'behind_watermark' END AS reason
         FROM counted
     """,
+    "table_read_during_rewrite": BASE + """
+      SELECT 'before' AS reader, d AS ingest_date, count(*) AS row_count FROM base GROUP BY d
+      UNION ALL
+      SELECT 'after', CAST(d + CASE WHEN CAST(event_id AS BIGINT) % 3 = 0 THEN 1 ELSE 0 END AS DATE), count(*)
+      FROM base GROUP BY 2
+    """,
+    "table_user_lookup": BASE + """
+      SELECT event_id, event_type, user_id, ts AS processed_at, d AS ingest_date FROM base
+      WHERE event_type IN ('click', 'purchase')
+        AND user_id IN (SELECT 'user_' || n FROM range(1, 13) AS r(n))
+    """,
+    "schema_versions": BASE + """
+      SELECT d AS ingest_date, count(*) AS event_count,
+             count(CASE WHEN event_type = 'error' AND CAST(event_id AS BIGINT) % 3 > 0 THEN 1 END) AS codes,
+             CAST(sum(CASE WHEN event_type <> 'error' THEN NULL
+                           WHEN CAST(event_id AS BIGINT) % 3 = 1 THEN CAST(k AS BIGINT)
+                           WHEN CAST(event_id AS BIGINT) % 3 = 2 THEN CAST(k AS BIGINT) + 1099511627776 END) AS BIGINT) AS code_sum,
+             count(CASE WHEN event_type = 'purchase' AND CAST(event_id AS BIGINT) % 3 = 2 THEN 1 END) AS amounts
+      FROM base GROUP BY d
+    """,
 }

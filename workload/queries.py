@@ -453,6 +453,57 @@ def compacted_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(read_events(spark, root))
 
 
+def table_read_during_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reader that began before a batch moved a day on and a day was compacted, and one after."""
+    root = scratch_dir(configure(spark), "rewrite")
+    rows = M.enriched(spark, sf_dir)
+    third = F.pmod(F.col("event_id").try_cast("bigint"), F.lit(3))
+    for n in range(3):
+        write_events(rows.where(third == n), root, f"b{n}")
+    before = read_events(spark, root)
+    moved = rows.where(third == 0).withColumn("ingest_date", F.date_add("ingest_date", 1))
+    write_events(moved, root, "b0")
+    compact_day(spark, root, EVENTS_RAW, AS_OF)
+    return reduce(DataFrame.unionByName, [
+        seen.groupBy(F.lit(name).alias("reader"), "ingest_date").agg(F.count("*").alias("row_count"))
+        for name, seen in (("before", before), ("after", read_events(spark, root)))])
+
+
+LOOKUP_TYPES = ["click", "purchase"]
+LOOKUP_USERS = [f"user_{n}" for n in range(1, 13)]
+
+
+def table_user_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some users' events from a table of which two days are compacted into small files."""
+    root = scratch_dir(configure(spark), "lookup")
+    write_events(M.enriched(spark, sf_dir), root, "load")
+    for day in (AS_OF, AS_OF - dt.timedelta(days=1)):
+        compact_day(spark, root, EVENTS_RAW, day, file_bytes=4 << 10)
+    found = read_events(spark, root, event_types=LOOKUP_TYPES, users=LOOKUP_USERS)
+    return plain(found.select("event_id", "event_type", "user_id", "processed_at", "ingest_date"))
+
+
+def schema_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three versions of the columns in one table: none added, one, and that one wider and another."""
+    root = scratch_dir(configure(spark), "versions")
+    rows = M.enriched(spark, sf_dir)
+    code, amount = json_value("payload", "$.error_code"), json_value("payload", "$.amount_usd")
+    third = F.pmod(F.col("event_id").try_cast("bigint"), F.lit(3))
+    write_events(rows.where(third == 0), root, "v0")
+    write_events(rows.where(third == 1).withColumn("error_code", code.cast("int")), root, "v1",
+                 extra=T.StructType.fromDDL("error_code int"))
+    newest = rows.where(third == 2).withColumn("error_code", code.cast("bigint") + (1 << 40))
+    write_events(newest.withColumn("amount_usd", amount.cast("double")), root, "v2",
+                 extra=T.StructType.fromDDL("error_code bigint, amount_usd double"))
+    compact_day(spark, root, EVENTS_RAW, AS_OF)
+    return read_events(spark, root).groupBy("ingest_date").agg(
+        F.count("*").alias("event_count"),
+        F.count("error_code").alias("codes"),
+        F.sum("error_code").alias("code_sum"),
+        F.count("amount_usd").alias("amounts"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "src_envelopes": src_envelopes,
     "parse_events": parse_events,
@@ -499,4 +550,7 @@ QUERIES: dict[str, Query] = {
     "late_data": late_data,
     "sink_batch_rerun": sink_batch_rerun,
     "compacted_days": compacted_days,
+    "table_read_during_rewrite": table_read_during_rewrite,
+    "table_user_lookup": table_user_lookup,
+    "schema_versions": schema_versions,
 }

@@ -12,13 +12,25 @@ DOCUMENT = "$[0]"
 SEAL = "$[1]"
 
 _CONTAINER = r"^[\[{]"
-_STRING = r'"(?:[^"\\]++|\\.)*+"'
 
-# Limits of Spark's JSON parser; the last one is on nested arrays and objects.
+# Limits of Spark's JSON parser; the second one is on nested arrays and objects.
 MAX_TEXT_BYTES = 16 << 20
-MAX_DIGITS = 1000
 MAX_DEPTH = 1000
 
+# What the parser would alter: numbers with more than 38 digits or an exponent of three
+# digits and more, and escapes of surrogates, which may stand alone.
+_MAY_BE_ALTERED = r"[0-9][0-9.]{38}|[0-9][eE][+-]?[0-9]{3}|\\u[dD][89a-fA-F]"
+# A text that is never closed goes on to the end.
+_STRING = r'(?<s>"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+(?:"|\\?\z))'
+# A whole number by the grammar of JSON that is none of the usual ones, and no key.
+_NUMBER = (
+    r"(?<![0-9.eE+-])(?<n>-?+(?=[0-9.]{39}|[0-9.]++[eE][+-]?[0-9]{3})"
+    r"(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+)(?![0-9.eE+-])(?!\s*+:)"
+)
+_PAIR = r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}"
+_OTHER_ESCAPE = r"\\[^u]|\\u(?![dD][89a-fA-F])"
+_SURROGATE = rf"(?<s>{_PAIR}|{_OTHER_ESCAPE})|\\(?<n>u[dD][89a-fA-F][0-9a-fA-F]{{2}})"
+
 
 def _col(column: Column | str) -> Column:
     return F.col(column) if isinstance(column, str) else column
@@ -29,19 +41,63 @@ def seal_of(body: Column | str) -> Column:
     return F.sha2(_col(body), 256)
 
 
-def parse_one_document(body: Column | str) -> Column:
-    """Parse bytes as `[<document>, <digest of the bytes>]`.
+def may_be_altered(body_text: Column | str) -> Column:
+    """Could the text hold what `kept_apart` is for?"""
+    return F.coalesce(_col(body_text).rlike(_MAY_BE_ALTERED), F.lit(False))
+
+
+def kept_apart(body_text: Column | str, mark: Column | str) -> Column:
+    """The document with what the parser would alter written as plain text.
+
+    `mark` is a text that the document does not hold, such as its digest. A number
+    becomes the string `"<mark>#<number>"`, a surrogate that has no partner
+    `<mark><u....>` within its string; a document that is not JSON stays none.
+    `restored` turns JSON text back, `restored_text` a single value.
+    """
+    text, mark = _col(body_text), _col(mark)
+
+    def marked(text: Column, pattern: str) -> Column:
+        # The first alternative is passed over: it leaves an empty pair of brackets behind.
+        both = F.regexp_replace(text, F.lit(pattern), F.concat(F.lit("${s}"), mark, F.lit("<${n}>")))
+        return F.replace(both, F.concat(mark, F.lit("<>")), F.lit(""))
+
+    numbers = marked(text, f"{_STRING}|{_NUMBER}")
+    numbers = F.regexp_replace(numbers, F.concat(mark, F.lit("<([^>u]++)>")),
+                               F.concat(F.lit('"'), mark, F.lit('#$1"')))
+    return marked(numbers, _SURROGATE)
+
+
+def _surrogates_restored(text: Column, mark: Column) -> Column:
+    return F.regexp_replace(text, F.concat(mark, F.lit("<(u[0-9a-fA-F]{4})>")), F.lit(r"\\$1"))
+
+
+def restored(json_text: Column | str, mark: Column | str) -> Column:
+    """JSON text with the numbers and surrogates that were kept apart."""
+    text, mark = _col(json_text), _col(mark)
+    numbers = F.regexp_replace(text, F.concat(F.lit('"'), mark, F.lit('#([^"]++)"')), F.lit("$1"))
+    return _surrogates_restored(numbers, mark)
+
+
+def restored_text(value: Column | str, mark: Column | str) -> Column:
+    """A value as text: a number as it was written, half a surrogate pair as its escape."""
+    text, mark = _col(value), _col(mark)
+    return _surrogates_restored(F.regexp_replace(text, F.concat(F.lit("^"), mark, F.lit("#")), F.lit("")), mark)
+
+
+def is_kept_number(value: Column | str, mark: Column | str) -> Column:
+    return F.coalesce(_col(value).startswith(F.concat(_col(mark), F.lit("#"))), F.lit(False))
+
+
+def parse_one_document(body_text: Column | str, seal: Column | str) -> Column:
+    """Parse text as `[<document>, <seal>]`.
 
     Spark's JSON parsers stop at the end of the first value and accept whatever
     follows it. Behind the body we therefore put a digest of that body: it is
     element 1 of the array exactly when the body was one whole document, since
-    no body is known to carry its own SHA-256 digest. One parse, no second pass over the text. NULL where the
-    text does not parse at all.
+    no body is known to carry its own SHA-256 digest. One parse, no second pass
+    over the text. NULL where the text does not parse at all.
     """
-    body = _col(body)
-    return F.try_parse_json(
-        F.concat(F.lit("["), body.cast("string"), F.lit(',"'), seal_of(body), F.lit('"]'))
-    )
+    return F.try_parse_json(F.concat(F.lit("["), _col(body_text), F.lit(',"'), _col(seal), F.lit('"]')))
 
 
 def is_one_document(sealed: Column | str, seal: Column | str) -> Column:
@@ -50,38 +106,11 @@ def is_one_document(sealed: Column | str, seal: Column | str) -> Column:
 
 
 def too_large(body_text: Column | str) -> Column:
-    """Could a body that does not parse be valid JSON beyond the parser's limits?
-
-    It takes strings of up to MAX_TEXT_BYTES, numbers of up to MAX_DIGITS digits
-    and up to MAX_DEPTH levels. True where one of the first two may be passed.
-    """
-    text = _col(body_text)
-    return (F.octet_length(text) > MAX_TEXT_BYTES) | text.rlike(f"[0-9]{{{MAX_DIGITS + 1}}}")
-
-
-def has_inexact_number(body_text: Column | str) -> Column:
-    """Would the parser change a number by more than the rounding of a double?
+    """Could a body that does not parse be valid JSON beyond the parser's limit?
 
-    That is an integer of more than 38 digits, which becomes a double, or a
-    number whose double is infinite. Texts are taken out first; only bodies that
-    could hold such a number are looked at.
+    It takes texts of up to MAX_TEXT_BYTES (and up to MAX_DEPTH levels).
     """
-    text = _col(body_text)
-    bare = F.regexp_replace(text, _STRING, '""')
-    whole = bare.rlike(r"(?<![0-9.eE+-])-?[0-9]{39,}+(?![0-9.eE])")
-    wide = F.regexp_extract_all(bare, F.lit(r"-?[0-9]++(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?"), F.lit(0))
-    infinite = F.exists(wide, lambda n: F.abs(n.try_cast("double")) == F.lit(float("inf")))
-    suspect = text.rlike(r"[0-9]{39}|[0-9][eE]\+?[0-9]{3}")
-    return F.coalesce(F.when(suspect, whole | infinite), F.lit(False))
-
-
-def has_lone_surrogate(body_text: Column | str) -> Column:
-    """Is there an escape of half a surrogate pair, which stands for no character?"""
-    text = _col(body_text)
-    left = F.regexp_replace(text, r"\\\\", "")  # escaped backslashes begin no escape
-    left = F.regexp_replace(left, r"(?i)\\ud[89ab][0-9a-f]{2}\\ud[c-f][0-9a-f]{2}", "")
-    return F.coalesce(F.when(text.rlike(r"(?i)\\ud[89a-f]"), left.rlike(r"(?i)\\ud[89a-f]")),
-                      F.lit(False))
+    return F.octet_length(_col(body_text)) > MAX_TEXT_BYTES
 
 
 def starts_object(body_text: Column | str) -> Column:

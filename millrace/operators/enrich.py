@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.json import payload_without
+from millrace.functions.json import payload_without, restored
 from millrace.operators.rejects import dead_letter_columns
 from millrace.schemas import (
     CORE_FIELDS,
@@ -65,8 +65,9 @@ def route_messages(
 
 def _table_columns(version: str, clock: Column | None) -> list[Column]:
     now = F.current_timestamp() if clock is None else clock
+    payload = payload_without("sealed", CORE_FIELDS)
     by_name = {
-        "payload": payload_without("sealed", CORE_FIELDS),
+        "payload": F.when(F.col("mark").isNull(), payload).otherwise(restored(payload, "mark")),
         "processed_at": now,
         "ingest_date": F.to_date(now),
         "pipeline_version": F.lit(version),

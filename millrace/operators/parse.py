@@ -12,7 +12,7 @@ _CORE = "struct<event_id:string,event_type:string,user_id:string>"
 
 # Texts that a value of another JSON type could also have. Only for these is
 # the type of the value looked up.
-_MAYBE_EMPTY = r"^(\[|\{|-?0(\.0*)?(E.*)?$|false$)"
+_MAYBE_EMPTY = r"^(\[|\{|-?0(\.0*)?([eE].*)?$|-?[0-9.]+[eE]-[0-9]{3,}$|false$)"
 _MAYBE_NOT_STRING = r"^(\[|\{|-?[0-9]|true$|false$)"
 _MAYBE_CONTAINER = r"^(\[|\{)"
 
@@ -24,6 +24,8 @@ def parse_events(envelopes: DataFrame) -> DataFrame:
 
     * `body` - the message as text (bytes unchanged, even if not valid UTF-8)
     * `sealed` - the document as VARIANT, see `functions.json`
+    * `mark` - NULL, or what marks the numbers and surrogates in `sealed` that were
+      kept apart from the parser because it would alter them
     * `parse_error` - NULL, or the reason the message cannot be an event
     * `missing` - the required keys that are not there, joined; else NULL
     * `event_id` - text of the id; NULL if it is missing, null, empty, zero,
@@ -41,7 +43,15 @@ def parse_events(envelopes: DataFrame) -> DataFrame:
         *kept,
         body.alias("body"),
         J.seal_of("value").alias("seal"),
-        J.parse_one_document("value").alias("sealed"),
+    ).select(
+        "*",
+        # Valid UTF-8 only: bytes that are not would not survive the replacements.
+        F.when(J.may_be_altered("body") & F.is_valid_utf8("body"), F.col("seal")).alias("mark"),
+    ).select(
+        "*",
+        J.parse_one_document(
+            F.when(F.col("mark").isNull(), F.col("body")).otherwise(J.kept_apart("body", "mark")), "seal",
+        ).alias("sealed"),
     ).select("*", F.try_variant_get("sealed", J.DOCUMENT, _CORE).alias("core"))
 
     # The judgement is made inside a generator because the optimizer moves no
@@ -54,13 +64,17 @@ def parse_events(envelopes: DataFrame) -> DataFrame:
                 _missing().alias("missing"),
                 _event_id().alias("event_id"),
                 _event_type().alias("event_type"),
-                F.col("core.user_id").alias("user_id"),
+                _as_written(F.col("core.user_id")).alias("user_id"),
                 _user_is_scalar().alias("user_is_scalar"),
             )
         )
     )
     return staged.select(*[F.col(c) for c in envelopes.columns if c != "value"],
-                         "body", "sealed", judged)
+                         "body", "sealed", "mark", judged)
+
+
+def _as_written(text: Column) -> Column:
+    return F.when(F.col("mark").isNull(), text).otherwise(J.restored_text(text, "mark"))
 
 
 def _absent(name: str) -> Column:
@@ -76,8 +90,6 @@ def _parse_error() -> Column:
             F.when(J.too_large("body"), "too_large").otherwise("malformed"),
         )
         .when(~J.starts_object("body"), "not_an_object")
-        .when(J.has_inexact_number("body"), "inexact_number")
-        .when(J.has_lone_surrogate("body"), "lone_surrogate")
         .when(_absent("event_id") | _absent("event_type"), "missing_required")
         .when(F.col("publish_time").isNull(), "null_publish_time")
     )
@@ -89,8 +101,9 @@ def _missing() -> Column:
 
 
 def _event_id() -> Column:
-    text = F.col("core.event_id")
-    kind = J.field_kind("sealed", "event_id")
+    text = _as_written(F.col("core.event_id"))
+    kept = F.col("mark").isNotNull() & J.is_kept_number("core.event_id", "mark")
+    kind = F.when(kept, "NUMBER").otherwise(J.field_kind("sealed", "event_id"))
     empty_scalar = (text == "false") | F.coalesce(text.try_cast("double") == 0, F.lit(False))
     unusable = (text == "") | (
         text.rlike(_MAYBE_EMPTY)
@@ -101,9 +114,10 @@ def _event_id() -> Column:
 
 
 def _event_type() -> Column:
-    text = F.col("core.event_type")
+    text = _as_written(F.col("core.event_type"))
+    kept = F.col("mark").isNotNull() & J.is_kept_number("core.event_type", "mark")
     is_text = ~text.rlike(_MAYBE_NOT_STRING) | (J.field_kind("sealed", "event_type") == "STRING")
-    return F.when(is_text, text)
+    return F.when(is_text & ~kept, text)
 
 
 def _user_is_scalar() -> Column:

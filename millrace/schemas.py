@@ -60,8 +60,6 @@ REASONS = {
     "too_large": "Message body is beyond the limits of the parser",
     "malformed": "Message body is not one JSON document",
     "not_an_object": "JSON document is not an object",
-    "inexact_number": "A number cannot be kept exactly",
-    "lone_surrogate": "A text holds half of a surrogate pair",
     "missing_required": "Missing required fields",
     "null_publish_time": "Message has no publish time",
     "unknown_event_type": "Unknown event_type",

@@ -387,4 +387,14 @@ ORACLE: dict[str, str] = {
              count(CASE WHEN event_type = 'purchase' AND CAST(event_id AS BIGINT) % 3 = 2 THEN 1 END) AS amounts
       FROM base GROUP BY d
     """,
+    "exact_json": """
+      SELECT '1' || lpad(event_id::VARCHAR, 44, '0') AS event_id,
+             CASE event_type WHEN 'view' THEN 'page_view' ELSE event_type END AS event_type,
+             CASE WHEN event_id % 2 = 0 THEN '7' || lpad(event_id::VARCHAR, 44, '0')
+                  ELSE 'user_' || user_id END AS user_id,
+             '{"beyond":[-' || event_id || '.50e400,0.' || lpad(event_id::VARCHAR, 44, '0')
+             || '],"text":"\\ud800 \\\\ud800 \\ud83d' || event_id || '"}' AS payload,
+             ts AS processed_at
+      FROM events WHERE event_type <> 'signup'
+    """,
 }

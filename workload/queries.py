@@ -504,6 +504,25 @@ def schema_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def exact_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with ids of 45 digits, numbers beyond a double and halves of surrogate pairs."""
+    rows = M.events_table(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
+    kind = F.when(F.col("event_type") == "view", "page_view").otherwise(F.col("event_type"))
+    number = F.lpad(F.col("event_id").cast("string"), 44, "0")
+    body = F.concat(
+        F.lit('{"event_id":1'), number, F.lit(',"event_type":"'), kind, F.lit('","user_id":'),
+        F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("7"), number)).otherwise(
+            F.concat(F.lit('"user_'), F.col("user_id"), F.lit('"'))),
+        F.lit(',"text":"\\ud800 \\\\ud800 \\ud83d'), F.col("event_id"), F.lit('","beyond":[-'), F.col("event_id"),
+        F.lit('.50e400,0.'), number, F.lit("]}"))
+    sent = rows.select(
+        body.cast("binary").alias("value"), F.lit(None).cast("map<string,string>").alias("attributes"),
+        F.col("event_id").cast("string").alias("message_id"), F.col("ts").cast("timestamp").alias("publish_time"))
+    good = operators.validate_events(operators.parse_events(sent))
+    made = operators.enrich_events(good, clock=F.col("publish_time"))
+    return plain(made.select("event_id", "event_type", "user_id", "payload", "processed_at"))
+
+
 QUERIES: dict[str, Query] = {
     "src_envelopes": src_envelopes,
     "parse_events": parse_events,
@@ -553,4 +572,5 @@ QUERIES: dict[str, Query] = {
     "table_read_during_rewrite": table_read_during_rewrite,
     "table_user_lookup": table_user_lookup,
     "schema_versions": schema_versions,
+    "exact_json": exact_json,
 }

@@ -1,6 +1,7 @@
 """Windows over event time, and the ingestion job."""
 
 from millrace.streaming.job import IngestJob, start_window_counts
+from millrace.streaming.late import tumbling_with_late_rows
 from millrace.streaming.windows import (
     Session,
     Sliding,
@@ -30,5 +31,6 @@ __all__ = [
     "sliding_counts",
     "start_window_counts",
     "tumbling_counts",
+    "tumbling_with_late_rows",
     "with_open_windows",
 ]

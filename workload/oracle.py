@@ -397,4 +397,15 @@ ORACLE: dict[str, str] = {
              ts AS processed_at
       FROM events WHERE event_type <> 'signup'
     """,
+    "stream_late_rows": BASE + """
+        , marked AS (
+          SELECT event_id, event_type, ts, date_trunc('hour', ts) AS window_start,
+                 CAST(event_id AS BIGINT) % 10 = 3 AS held_back
+          FROM base
+        ),
+        mark AS (SELECT max(ts) FILTER (NOT held_back) - INTERVAL 2 DAY AS closed FROM marked),
+        counted AS (SELECT *, count(*) OVER (PARTITION BY event_type, window_start) AS event_count FROM marked)
+        SELECT event_id, event_type, ts AS publish_time, window_start, event_count
+        FROM counted, mark WHERE held_back AND window_start + INTERVAL 1 HOUR <= closed
+    """,
 }

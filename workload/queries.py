@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -36,6 +36,7 @@ from millrace.streaming import (
     sliding_counts,
     start_window_counts,
     tumbling_counts,
+    tumbling_with_late_rows,
     with_open_windows,
 )
 from workload import messages as M
@@ -523,6 +524,24 @@ def exact_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(made.select("event_id", "event_type", "user_id", "payload", "processed_at"))
 
 
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row that came too late, as the stream gives it out, in the runs of `late_data`."""
+    root = scratch_dir(configure(spark), "late-rows")
+    every = M.messages(spark, sf_dir)
+    for phase in _phases():
+        write_envelopes(every.where(phase), f"{root}/in")
+        good = operators.accepted(operators.validate_events(operators.parse_events(
+            read_envelopes(spark, f"{root}/in", streaming=True))))
+        rows = tumbling_with_late_rows(good, HOUR, lateness=2 * 86400, refine=100 * 86400)
+        _drained(rows, root)
+    found = spark.read.schema(rows.schema).parquet(f"{root}/rows")
+    late = found.where("kind = 'late'").select("event_id", "event_type", "publish_time", "window_start", "event_count")
+    # Which of a window's late rows comes first is not defined.
+    counted = late.withColumn("event_count", F.max("event_count").over(
+        Window.partitionBy("event_type", "window_start")))
+    return plain(counted)
+
+
 QUERIES: dict[str, Query] = {
     "src_envelopes": src_envelopes,
     "parse_events": parse_events,
@@ -573,4 +592,5 @@ QUERIES: dict[str, Query] = {
     "table_user_lookup": table_user_lookup,
     "schema_versions": schema_versions,
     "exact_json": exact_json,
+    "stream_late_rows": stream_late_rows,
 }

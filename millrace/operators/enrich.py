@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -37,12 +38,13 @@ def enrich_events(
 
 
 def route_messages(
-    validated: DataFrame, version: str = DEFAULT_VERSION, clock: Column | None = None
+    validated: DataFrame, version: str = DEFAULT_VERSION, clock: Column | None = None, keep: Sequence[str] = ()
 ) -> DataFrame:
     """Every message once, ready for both sinks.
 
     Table columns are filled where `reason` is NULL, dead-letter columns where
     it is not. A required column that came out null makes the row a reject.
+    `keep` names columns of the message to carry along.
     """
     good = F.col("reason").isNull()
     shaped = validated.select(
@@ -54,13 +56,14 @@ def route_messages(
         "missing",
         "publish_time",
         "reason",
+        *keep,
     )
     incomplete = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in REQUIRED_COLUMNS])
     reason = F.when(F.col("reason").isNull() & incomplete, "required_null").otherwise(
         F.col("reason")
     )
     judged = shaped.withColumn("reason", reason)
-    return judged.select(*EVENTS_RAW.fieldNames(), *dead_letter_columns())
+    return judged.select(*EVENTS_RAW.fieldNames(), *dead_letter_columns(), *keep)
 
 
 def _table_columns(version: str, clock: Column | None) -> list[Column]:

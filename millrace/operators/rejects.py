@@ -40,16 +40,17 @@ def dead_letter_summary(letters: DataFrame) -> DataFrame:
     )
 
 
-def redrive(letters: DataFrame, repaired: Column | None = None) -> DataFrame:
+def redrive(letters: DataFrame, repaired: Column | None = None, name: Column | None = None) -> DataFrame:
     """Dead letters as message envelopes again, for another run of the parser.
 
-    `repaired` is the corrected body text; by default the stored one.
+    `repaired` is the corrected body text; by default the stored one. `name`
+    becomes the message id.
     """
     body = F.col("raw") if repaired is None else repaired
     return letters.select(
         body.cast("binary").alias("value"),
         F.create_map(F.lit("redriven_from"), F.col("reason")).alias("attributes"),
-        F.lit(None).cast("string").alias("message_id"),
+        (F.lit(None) if name is None else name).cast("string").alias("message_id"),
         "publish_time",
     )
 

@@ -1,5 +1,6 @@
 """The two tables on disk."""
 
+from millrace.sinks.ledger import read_ledger
 from millrace.sinks.tables import (
     LETTERS_TABLE,
     clean_up,
@@ -18,6 +19,7 @@ __all__ = [
     "compact_day",
     "read_dead_letters",
     "read_events",
+    "read_ledger",
     "table_columns",
     "write_batch",
     "write_dead_letters",

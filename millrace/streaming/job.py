@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.storagelevel import StorageLevel
 
 from millrace.operators.enrich import accepted, route_messages
 from millrace.operators.parse import parse_events
+from millrace.operators.rejects import redrive
 from millrace.operators.validate import validate_events
 from millrace.schemas import DEFAULT_VERSION, DEFAULT_WINDOW_SECS, VALID_EVENT_TYPES
-from millrace.sinks.tables import write_batch
+from millrace.sinks.ledger import ACCEPTED, next_attempt, pending, read_ledger, write_ledger
+from millrace.sinks.tables import read_dead_letters, write_batch, write_events
 from millrace.streaming.windows import tumbling_counts
 
 
@@ -39,6 +43,33 @@ class IngestJob:
         """Ingest a table of messages as one batch; the same id replaces it, whatever days it was on."""
         write_batch(self.routed(envelopes), self.events_root, self.letters_root, batch)
 
+    def redrive(self, spark: SparkSession, ledger_root: str, repaired: Column | None = None,
+                since: dt.date | None = None, until: dt.date | None = None) -> int | None:
+        """Send dead letters round again, those that never were: the attempt's number, None if there are none.
+
+        `repaired` is the corrected body text; by default the stored one. Good
+        events go to the events table as a batch of the attempt; what became of
+        each letter goes to the ledger, and the letters stay where they are.
+        """
+        ledger = read_ledger(spark, ledger_root)
+        letters = pending(read_dead_letters(spark, self.letters_root, since, until), ledger)
+        envelopes = redrive(letters, repaired, name=F.col("letter"))
+        validated = validate_events(parse_events(envelopes), self.event_types)
+        routed = route_messages(validated, self.version, self.clock, keep=["message_id"]).withColumn(
+            "_today", F.to_date(F.current_timestamp()))
+        routed = routed.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            if routed.isEmpty():
+                return None
+            attempt = next_attempt(ledger)
+            write_events(routed.where(F.col("reason").isNull()), self.events_root, f"redrive-{attempt:09d}")
+            write_ledger(routed.select(
+                F.col("message_id").alias("letter"), F.coalesce("reason", F.lit(ACCEPTED)).alias("outcome"),
+                F.col("_today").alias("ingest_date")), ledger_root, attempt)
+            return attempt
+        finally:
+            routed.unpersist()
+
     def start(
         self,
         envelopes: DataFrame,

@@ -68,13 +68,28 @@ def sliding_counts(
     keys: Sequence[str] = BY_TYPE,
     event_time: str = EVENT_TIME,
     lateness: str | None = None,
+    panes: bool = False,
 ) -> DataFrame:
     """Events per overlapping window and key.
 
     On a table each row is counted once, into a pane no longer than the slide;
     the panes, not the rows, are then copied into the windows they belong to.
+    On a stream every row is copied into its windows, unless `panes`: then an
+    aggregate of panes is followed by one of windows, which holds a row for each
+    pane and window instead of taking each event size / slide times. A window is
+    given out at the same watermark; an event that is later than `lateness` is
+    dropped with its pane, also from windows that are still open.
     """
     window = (f"{size} seconds", f"{slide} seconds")
+    if events.isStreaming and panes:
+        counted = _watermarked(events, event_time, lateness).groupBy(
+            F.window(event_time, f"{math.gcd(size, slide)} seconds").alias("_pane"), *keys
+        ).agg(F.count("*").alias("_rows"))
+        return _flat(
+            counted.groupBy(F.window(F.window_time("_pane"), *window).alias("_window"), *keys).agg(
+                F.sum("_rows").alias("event_count")),
+            keys,
+        )
     if events.isStreaming:
         watermarked = _watermarked(events, event_time, lateness)
         return _count(watermarked, F.window(event_time, *window), keys)

@@ -1,0 +1,72 @@
+"""Sending dead letters round again, whatever breaks off."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.sinks import read_events, read_ledger
+from millrace.streaming import IngestJob
+from millrace.streaming import job as job_module
+
+NOON = dt.datetime(2024, 1, 15, 12)
+BODIES = ["{", '{"event_type":"click"}', '{"event_type":"click"}', '{"event_type":"other"}',
+          '{"event_id":"","event_type":"click"}', '{"event_id":"ok","event_type":"click"}']
+
+
+def patched():
+    return F.concat(F.lit('{"event_id":"new",'), F.expr("substring(raw, 2)"))
+
+
+@pytest.fixture
+def job(tmp_path):
+    return IngestJob(str(tmp_path / "ev"), str(tmp_path / "dl"), clock=F.col("publish_time"))
+
+
+def accepted(spark, job):
+    return read_events(spark, job.events_root).where("event_id = 'new'").count()
+
+
+def test_each_letter_is_tried_once(spark, send, job, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    job.run_batch(send(*BODIES), "b0")
+    assert job.redrive(spark, ledger, patched()) == 1
+    assert job.redrive(spark, ledger, patched()) is None
+    outcomes = {r.outcome: r["count"] for r in read_ledger(spark, ledger).groupBy("outcome").count().collect()}
+    # Two letters are equal in all columns.
+    assert outcomes == {"malformed": 1, "accepted": 1, "unknown_event_type": 1, "bad_event_id": 1}
+    assert accepted(spark, job) == 1
+    job.run_batch(send('{"event_type":"error"}', publish_time=NOON + dt.timedelta(days=1)), "b1")
+    assert job.redrive(spark, ledger, patched(), since=dt.date(2024, 1, 17)) is None
+    assert job.redrive(spark, ledger, patched()) == 2
+    assert accepted(spark, job) == 2
+    assert read_ledger(spark, ledger).where("attempt = 2").count() == 1
+
+
+@pytest.mark.parametrize("part", ["write_events", "write_ledger"])
+@pytest.mark.parametrize("after", [False, True])
+def test_an_attempt_that_broke_off_is_made_again(spark, send, job, tmp_path, monkeypatch, part, after):
+    ledger = str(tmp_path / "ledger")
+    job.run_batch(send(*BODIES), "b0")
+    real = getattr(job_module, part)
+
+    def breaks(*args, **kw):
+        if after:
+            real(*args, **kw)
+        raise OSError("broken off")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(job_module, part, breaks)
+        with pytest.raises(OSError):
+            job.redrive(spark, ledger, patched())
+    job.redrive(spark, ledger, patched())
+    assert accepted(spark, job) == 1
+    assert read_ledger(spark, ledger).count() == 4
+    assert job.redrive(spark, ledger, patched()) is None
+
+
+def test_nothing_to_send(spark, send, job, tmp_path):
+    assert job.redrive(spark, str(tmp_path / "ledger")) is None
+    job.run_batch(send(BODIES[-1]), "b0")
+    assert job.redrive(spark, str(tmp_path / "ledger")) is None
+    assert read_ledger(spark, str(tmp_path / "ledger")).count() == 0

@@ -408,4 +408,18 @@ ORACLE: dict[str, str] = {
         SELECT event_id, event_type, ts AS publish_time, window_start, event_count
         FROM counted, mark WHERE held_back AND window_start + INTERVAL 1 HOUR <= closed
     """,
+    "stream_sliding_panes": BASE + f", {SLIDING} SELECT * FROM sliding",
+    "dead_letter_redrive_twice": REJECTS + """
+        , letters AS (
+          SELECT ts, any_value(CASE WHEN event_id % 97 = 0 THEN 'malformed'
+                                    WHEN event_type = 'signup' THEN 'unknown_event_type'
+                                    WHEN event_id % 89 = 0 THEN 'accepted'
+                                    ELSE 'bad_event_id' END) AS outcome
+          FROM rejects GROUP BY ts, raw, reason
+        )
+        SELECT CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 1 ELSE 2 END AS attempt, outcome, count(*) AS row_count
+        FROM letters GROUP BY 1, 2
+        UNION ALL
+        SELECT 0, 'in the table', count(*) FROM letters WHERE outcome = 'accepted'
+    """,
 }

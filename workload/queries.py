@@ -15,7 +15,7 @@ from millrace import configure, operators, plans
 from millrace.functions import json_value
 from millrace.session import scratch_dir
 from millrace.schemas import EVENTS_RAW
-from millrace.sinks import compact_day, read_dead_letters, read_events, write_events
+from millrace.sinks import compact_day, read_dead_letters, read_events, read_ledger, write_events
 from millrace.sources import (
     generate_envelopes,
     generate_events,
@@ -542,6 +542,28 @@ def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(counted)
 
 
+def stream_sliding_panes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(
+        spark, sf_dir, "sliding-panes",
+        lambda rows, late: sliding_counts(rows, HOUR, SLIDE, lateness=late, panes=True),
+    )
+
+
+def dead_letter_redrive_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters sent round three times: none of them is taken twice."""
+    root = scratch_dir(configure(spark), "redrive")
+    job = IngestJob(f"{root}/events", f"{root}/letters", clock=F.col("publish_time"))
+    job.run_batch(M.messages(spark, sf_dir), "load")
+    patched = F.concat(F.lit('{"event_id":"redriven",'), F.expr("substring(raw, 2)"))
+    early = dt.date(2000, 1, 1), AS_OF - dt.timedelta(days=20)
+    for since, until in (early, (None, None), (None, None)):
+        job.redrive(spark, f"{root}/ledger", patched, since, until)
+    tried = read_ledger(spark, f"{root}/ledger").groupBy("attempt", "outcome").agg(F.count("*").alias("row_count"))
+    redriven = read_events(spark, job.events_root).where("event_id = 'redriven'")
+    return tried.unionByName(redriven.agg(
+        F.lit(0).cast("long").alias("attempt"), F.lit("in the table").alias("outcome"), F.count("*").alias("row_count")))
+
+
 QUERIES: dict[str, Query] = {
     "src_envelopes": src_envelopes,
     "parse_events": parse_events,
@@ -593,4 +615,6 @@ QUERIES: dict[str, Query] = {
     "schema_versions": schema_versions,
     "exact_json": exact_json,
     "stream_late_rows": stream_late_rows,
+    "stream_sliding_panes": stream_sliding_panes,
+    "dead_letter_redrive_twice": dead_letter_redrive_twice,
 }

@@ -2,14 +2,16 @@
 
 The markup becomes a tree (unclosed and stray tags are forgiven). Menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments are left out by their element, role, class or id; a name marks an
-element by the word it ends in, and never one that holds an article or, on a page
-without one, most of the text. Every block that
-holds text passes points, for its length and its commas, to its ancestors: all
+comments are left out by their element, role, class or id. A name marks an element
+by any of its words, unless another says that something is not there or open; but
+never one that holds an article or, on a page without one, most of the text, and by
+another word than its last none that holds most of the article it lies in. Every
+block that holds text passes points, for its length and its commas, to its ancestors: all
 of them to the parent, half to the grandparent, fewer further up. A container's
 points are discounted by its link density. The best container is kept, widened
 to the article or main element it lies in, and so are its siblings that have a
-fifth of its points or are long paragraphs with few links.
+fifth of its points, or a container within that does, or are long paragraphs, all
+with few links.
 
 Blocks are joined in page order by one space. Character references are decoded;
 white space inside a block, a line break included, becomes one space. Null and
@@ -41,8 +43,9 @@ _PART = re.compile(r"[A-Za-z]+")
 _STATES = frozenset("no not has have with without open closed hide show enabled disabled".split())
 # What belongs to the text even if it is short and lies between kept siblings.
 _BETWEEN = frozenset("h1 h2 h3 h4 h5 h6 hgroup ul ol dl table pre blockquote figure p section".split())
-# Of all text of a page that is not dropped by element.
+# Of all text of a page that is not dropped by element; of that of an article.
 _MOST = 0.5
+_ARTICLES_MOST = 0.8
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style title textarea noscript iframe xmp".split())
@@ -63,7 +66,7 @@ _ENDS = {
 _SCOPE = frozenset("table ul ol dl article section div body html main td th".split())
 # Words in a class, id or role that mark what is not the article.
 _MARKED = frozenset(
-    "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs "
+    "ad ads adsbygoogle advert adverts advertisement advertising alert banner breadcrumb breadcrumbs "
     "comment comments complementary consent contentinfo cookie cookies disqus footer form header "
     "masthead menu menubar modal nav navbar navigation newsletter notice notices popup promo "
     "promoted related replies respond search share sharing sidebar signup social sponsor "
@@ -80,7 +83,7 @@ class _Page:
         self.tag = ["html"]
         self.parent = [-1]
         self.dropped = [False]
-        self.marked = [False]
+        self.marked = [0]
         self.link = [False]
         self.block = [0]
         self.texts: list[tuple[int, str]] = []
@@ -97,7 +100,7 @@ class _Page:
         self.tag.append(tag)
         self.parent.append(parent)
         self.dropped.append(self.dropped[parent] or self._is_dropped(tag))
-        self.marked.append(bool(attributes) and tag not in _NEVER_MARKED and _is_marked(attributes))
+        self.marked.append(_marked(attributes) if attributes and tag not in _NEVER_MARKED else 0)
         self.link.append(self.link[parent] or tag == "a")
         self.block.append(len(self.tag) - 1 if tag in _BLOCK else self.block[parent])
         if tag in _VOID:
@@ -119,6 +122,10 @@ class _Page:
         """
         n = len(self.tag)
         size, article = [0] * n, [t in _ARTICLE for t in self.tag]
+        within = [0] * n  # the article that a node lies in
+        for node in range(1, n):
+            up = self.parent[node]
+            within[node] = up if self.tag[up] in _ARTICLE else within[up]
         for node, text in self.texts:
             if not self.dropped[node]:
                 size[node] += len(text.strip())
@@ -130,8 +137,11 @@ class _Page:
         least = size[0] if article[0] else _MOST * size[0]
         dropped, left = list(self.dropped), False
         for node in range(1, n):
-            dropped[node] = dropped[node] or dropped[self.parent[node]] or (
-                self.marked[node] and not (article[node] and size[node]) and size[node] <= least)
+            most = least
+            if self.marked[node] == 1 and within[node]:
+                most = _ARTICLES_MOST * size[within[node]]
+            dropped[node] = dropped[node] or dropped[self.parent[node]] or bool(
+                self.marked[node] and not (article[node] and size[node]) and size[node] <= most)
         for node, text in self.texts:
             left = left or not dropped[node] and bool(text.strip())
         if left:
@@ -158,14 +168,15 @@ class _Page:
                 return
 
 
-def _is_marked(attributes: str) -> bool:
-    """Whether a class, id or role is a marked word, or ends in one behind a hyphen or so."""
-    for found in _ATTRIBUTE.finditer(attributes):
-        for name in (found[2] or found[3] or found[4] or "").split():
+def _marked(attributes: str) -> int:
+    """2 if a class, id or role is a marked word or ends in one, 1 if one is in it, else 0."""
+    found = 0
+    for attribute in _ATTRIBUTE.finditer(attributes):
+        for name in (attribute[2] or attribute[3] or attribute[4] or "").split():
             parts = [p.lower() for p in _PART.findall(name)]
-            if parts and parts[-1] in _MARKED and not _STATES.intersection(parts):
-                return True
-    return False
+            if _MARKED.intersection(parts) and not _STATES.intersection(parts):
+                found = max(found, 2 if parts[-1] in _MARKED else 1)
+    return found
 
 
 def _parse(source: str) -> _Page:
@@ -231,6 +242,10 @@ def extract(source: str | None) -> str:
         return linked[node] / size[node] if size[node] else 0.0
 
     score = [p * (1 - density(i)) for i, p in enumerate(points)]
+    strongest = list(score)
+    for node in range(n - 1, 0, -1):
+        if not page.dropped[node]:
+            strongest[page.parent[node]] = max(strongest[page.parent[node]], strongest[node])
     best = max((i for i in range(n) if not page.dropped[i] and size[i]),
                key=lambda i: (score[i], -i))
     up = best
@@ -242,7 +257,7 @@ def extract(source: str | None) -> str:
     kept = [
         i for i in range(n)
         if i == best or page.parent[i] == page.parent[best] and not page.dropped[i] and (
-            score[best] > 0 and score[i] >= max(1.0, score[best] / 5)
+            score[best] > 0 and strongest[i] >= max(1.0, score[best] / 5) and density(i) < 0.5
             or page.tag[i] == "p" and size[i] > 80 and density(i) < 0.25
         )
     ]

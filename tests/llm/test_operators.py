@@ -189,6 +189,44 @@ def test_marked_parts_go():
         assert html_text.extract(f"<div>{ARTICLE}</div><div class='{name}'><p>no, no</p></div>") == WHOLE
 
 
+NAMES = ("comment-list comments-area comment-body related-posts share-buttons ad-container ad-slot social-links "
+         "footer-links nav-links menu-items sidebar-inner cookie-bar newsletter-box adsbygoogle notice-box promo-box "
+         "advert-wrap sponsored-content user-comments-list ad_unit_300 widget-area user_comment breadcrumb-trail").split()
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_usual_names_go_wherever_they_lie(name):
+    beside = f"<div class='{name}'><p>no, no and no</p></div>"
+    for tag in ("main", "article", "div"):
+        assert html_text.extract(f"<body><{tag}>{ARTICLE}{beside}</{tag}></body>") == WHOLE
+        assert html_text.extract(f"<body><{tag}><div id='{name}'>no</div>{ARTICLE}</{tag}></body>") == WHOLE
+    assert html_text.extract(f"<main><article>{ARTICLE}</article>{beside}</main>") == WHOLE
+    # The same name around the whole article.
+    if name != "adsbygoogle" and name != "user_comment":
+        assert html_text.extract(f"<body><article><div class='{name}'>{ARTICLE}</div></article></body>") == WHOLE
+
+
+def test_a_second_part_one_level_down_stays():
+    page = f"<body><div>{ARTICLE}</div><div><div>{ARTICLE}</div></div><div><ul><li><a href=x>a link, that is long</a></ul></div></body>"
+    assert html_text.extract(page) == f"{WHOLE} {WHOLE}"
+
+
+def test_forty_pages_of_known_parts():
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    around = ["<nav><a href=/>Home</a></nav>", "<header>Site</header>", "<footer>Imprint</footer>", "<script>x=1</script>",
+              "<form>Mail <input></form>", "<div class='cookie-bar'>We use cookies</div>", "<!-- none -->"]
+    for n in range(40):
+        paragraphs = [" ".join(word() for _ in range(rng.integers(15, 40))) + "." for _ in range(rng.integers(2, 6))]
+        body = "".join(f"<p>{p[:30]}<b>{p[30:]}</b></p>" for p in paragraphs)
+        wrap = ["<article>{}</article>", "<main>{}</main>", "<div id=content>{}</div>",
+                "<div class='post comments-open'>{}</div>"][n % 4]
+        rest = [around[i] for i in rng.permutation(len(around))]
+        inner = f"<div class='{NAMES[n % len(NAMES)]}'><p>not, this</p></div>"
+        page = "<html><head><title>T</title></head><body>" + "".join(rest[:3]) + wrap.format(body + inner) + "".join(rest[3:]) + "</body>"
+        assert html_text.extract(page) == " ".join(paragraphs), page
+
+
 def test_a_long_advert_beside_a_short_article_goes():
     assert html_text.extract(f"<div class='ad'>{ARTICLE}</div><article><p>Short.</p></article>") == "Short."
 

@@ -45,7 +45,8 @@ POST_LISTS = 8
 QUERY_RATIO = 1.08
 LEAST_LISTS = 32
 SALTS = 32
-_EXTRA = 12
+# Two ways to sum a product differ by less than this share of the norms.
+_ROUNDING = 1e-10
 
 
 @dataclass
@@ -296,14 +297,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
 
 
 def _best(queries: list[int], q: np.ndarray, x: np.ndarray, ids: list[list[int]], k: int) -> pa.RecordBatch:
-    """The k best of a part for each query; scores summed the same way for equal vectors."""
+    """The k best of a part for each query; scores summed the same way for equal vectors.
+
+    All that may be as good as the k-th by the quick product are scored exactly,
+    however many they are.
+    """
     rough = q @ x.T
-    m = min(len(x), k + _EXTRA)
-    top = np.argpartition(-rough, m - 1, axis=1)[:, :m]
+    m = min(len(x), k)
+    least = np.partition(rough, len(x) - m, axis=1)[:, len(x) - m]
+    norms = np.sqrt(np.einsum("ij,ij->i", q, q)) * np.sqrt(np.einsum("ij,ij->i", x, x).max())
+    least -= _ROUNDING * norms
     out_q, out_ids, out_s = [], [], []
     for row, query in enumerate(queries):
-        scores = (x[top[row]] * q[row]).sum(axis=1)
-        ranked = sorted(zip((-scores).tolist(), [ids[t] for t in top[row].tolist()]))[:k]
+        top = np.flatnonzero(rough[row] >= least[row])
+        scores = (x[top] * q[row]).sum(axis=1)
+        ranked = sorted(zip((-scores).tolist(), [ids[t] for t in top.tolist()]))[:k]
         out_q += [query] * len(ranked)
         out_s += [-s for s, _ in ranked]
         out_ids += [i for _, i in ranked]

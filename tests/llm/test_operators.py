@@ -67,6 +67,15 @@ def test_ann_odd_vectors(spark):
     assert ann.search(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_ties_go_to_the_smaller_ids(spark):
+    rng = np.random.default_rng(2)
+    # Vectors that differ but tie exactly, for every query.
+    rows = [(i, [1.0, *rng.permutation([0.0] * 6 + [1.0, 2.0]).tolist(), float(i)]) for i in range(500)]
+    frame = spark.createDataFrame([(1000, [1.0] + [0.0] * 9), *rows], "vec_id long, embedding array<double>")
+    got = found_by(ann.search(frame, frame.where("vec_id = 1000")))
+    assert got[1000] == [(i, 1.0) for i in range(20)]
+
+
 def test_a_query_that_is_a_centroid_reads_other_lists_too():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(600, 16))

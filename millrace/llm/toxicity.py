@@ -23,18 +23,18 @@ at all.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Sequence, Set
+from collections.abc import Iterable, Iterator, Mapping, Sequence, Set
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import with_columns_from
+from millrace.llm.common import give_back, slices, with_columns_from
 
 MAX_ROWS = 3000
 MAX_ROW_BYTES = 1 << 16
@@ -53,6 +53,8 @@ LEAST_TEXTS = 3
 LEAST_NATS = 3.0
 # The share of ordinary texts that stay below the threshold, at least.
 CLEAN = 0.98
+# Of ordinary windows, what the trainer is given at most.
+TRAINER_BYTES = 12 << 20
 # Texts that share so many of their SKETCH least shingle hashes are near copies.
 SKETCH = 8
 SKETCH_SHARED = 4
@@ -156,27 +158,54 @@ def features(differences: np.ndarray) -> list[float]:
     ]
 
 
-def train_dictionaries(toxic: Sequence[str], ordinary: Sequence[str]) -> tuple[bytes, bytes]:
+# A part's numbers of texts: toxic ones by fold, then ordinary ones by fold.
+Counts = Mapping[bytes, Sequence[int]]
+
+
+def count_parts(texts: Iterable[tuple[str, int]]) -> dict[bytes, list[int]]:
+    """In how many texts (text, label) of each label and fold each part occurs."""
+    counts: dict[bytes, list[int]] = {}
+    for text, label in texts:
+        place = _fold(text) + (0 if label else FOLDS)
+        for part in _parts(text):
+            if part not in counts:
+                counts[part] = [0] * (2 * FOLDS)
+            counts[part][place] += 1
+    return counts
+
+
+def telling_parts(counts: Counts, toxic: Sequence[str], ordinary: Sequence[str], without: int | None = None
+                  ) -> set[bytes]:
+    """Parts that tell, by all texts but those of a fold.
+
+    Those whose numbers of toxic and ordinary texts are further from the classes'
+    proportion, toward the toxic side, than the most extreme of so many would be by
+    chance. What all texts have in common tells nothing; an ordinary text that
+    quotes a toxic word, or is labelled wrong, bars nothing.
+    """
+    folds = [f for f in range(FOLDS) if f != without]
+    sizes = [sum(_fold(t) != without for t in texts) for texts in (toxic, ordinary)]
+    rate = sizes[0] / max(1, sum(sizes))
+    with_ = {}
+    for part, n in counts.items():
+        both = sum(n[f] for f in folds), sum(n[FOLDS + f] for f in folds)
+        if both[0] >= LEAST_TEXTS:
+            with_[part] = both
+    least = LEAST_NATS + np.log(max(1, len(with_)))
+    return {part for part, both in with_.items() if _nats(*both, rate) >= least}
+
+
+def train_dictionaries(toxic: Sequence[str], ordinary: Sequence[str], telling: Set[bytes] | None = None
+                       ) -> tuple[bytes, bytes]:
     """(ordinary, toxic) dictionary contents, both trained by zstandard.
 
-    Toxic texts are cut down to whole words and stretches of MIN_MATCH bytes that
-    tell: those whose numbers of toxic and ordinary texts are further from the
-    classes' proportion, toward the toxic side, than the most extreme of so many
-    would be by chance. What all texts have in common would only teach the
-    dictionary ordinary text again; an ordinary text that quotes a toxic word, or
-    is labelled wrong, bars nothing.
+    Toxic texts are cut down to the whole words and stretches of MIN_MATCH bytes
+    that tell; what all texts have in common would only teach the dictionary
+    ordinary text again.
     """
-    parts = [_parts(text) for text in toxic]
-    texts_with: Counter[bytes] = Counter()
-    for part in parts:
-        texts_with.update(part)
-    texts_with = Counter({g: n for g, n in texts_with.items() if n >= LEAST_TEXTS})
-    ordinary_with: Counter[bytes] = Counter()
-    for text in ordinary:
-        ordinary_with.update(_parts(text) & texts_with.keys())
-    least = LEAST_NATS + np.log(max(1, len(texts_with)))
-    rate = len(toxic) / max(1, len(toxic) + len(ordinary))
-    telling = {g for g, n in texts_with.items() if _nats(n, ordinary_with[g], rate) >= least}
+    if telling is None:
+        counts = count_parts([*[(t, 1) for t in toxic], *[(t, 0) for t in ordinary]])
+        telling = telling_parts(counts, toxic, ordinary)
     samples, count = [], Counter()
     for text in toxic:
         runs = sorted({r for w in _words(text) for r in _runs(w, telling)})
@@ -190,7 +219,11 @@ def train_dictionaries(toxic: Sequence[str], ordinary: Sequence[str]) -> tuple[b
         if len(run) < room and run not in beyond:
             beyond = run + b"\n" + beyond
             room -= len(run) + 1
-    plain = [w for t in ordinary for w in windows(t)]
+    plain: list[bytes] = []
+    for text in ordinary:
+        plain += windows(text)
+        if len(plain) * WINDOW_BYTES > TRAINER_BYTES:
+            break
     return _trained(plain, ORDINARY_BYTES), beyond
 
 
@@ -274,21 +307,26 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float =
     return w
 
 
-def train(toxic: Sequence[str], ordinary: Sequence[str], odds: float | None = None) -> ToxicityModel:
+def train(toxic: Sequence[str], ordinary: Sequence[str], odds: float | None = None,
+          counts: Counts | None = None) -> ToxicityModel:
     """Dictionaries from all texts; the model from texts each left out of a fold's dictionaries.
 
-    `odds` is how many toxic texts come on an ordinary one outside the sample.
+    `odds` is how many toxic texts come on an ordinary one outside the sample. `counts`
+    are those of `count_parts` over these texts, of which near copies were left out.
     """
-    toxic, ordinary = without_near_copies(toxic), without_near_copies(ordinary)
+    if counts is None:
+        toxic, ordinary = without_near_copies(toxic), without_near_copies(ordinary)
+        counts = count_parts([*[(t, 1) for t in toxic], *[(t, 0) for t in ordinary]])
     rows, held = [], []
     for fold in range(FOLDS):
         rest = [[t for t in texts if _fold(t) != fold] for texts in (toxic, ordinary)]
         out = [(t, y) for y, texts in ((1, toxic), (0, ordinary)) for t in texts if _fold(t) == fold]
         if out:
-            lengths = WindowLengths(*train_dictionaries(*rest))
+            telling = telling_parts(counts, toxic, ordinary, without=fold)
+            lengths = WindowLengths(*train_dictionaries(*rest, telling))
             rows += [features(lengths.differences(t)) for t, _ in out]
             held += out
-    content, beyond = train_dictionaries(toxic, ordinary)
+    content, beyond = train_dictionaries(toxic, ordinary, telling_parts(counts, toxic, ordinary))
     if not held:
         held = [("", 0)]
         rows = [features(np.zeros(0, dtype=np.int32))]
@@ -335,7 +373,34 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
             F.broadcast(some), "_id", "left_semi")
         taken = found.orderBy(*order, "_text").limit(max_rows)
         texts[label] = [r["_text"] for r in taken.select("_text").toLocalIterator()]
-    return train(texts[1], texts[0], odds)
+    toxic, ordinary = without_near_copies(texts[1]), without_near_copies(texts[0])
+    return train(toxic, ordinary, odds, counted_parts(documents.sparkSession, toxic, ordinary))
+
+
+def counted_parts(spark: SparkSession, toxic: Sequence[str], ordinary: Sequence[str]) -> Counts:
+    """`count_parts` in tasks, of the parts in enough toxic texts to tell."""
+    rows = [(t, 1) for t in toxic] + [(t, 0) for t in ordinary]
+    if not rows:
+        return {}
+    made = pa.table({"text": pa.array([t for t, _ in rows], pa.string()),
+                     "label": pa.array([y for _, y in rows], pa.int32())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2 << 20):
+            counts = count_parts(zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(counts), pa.binary()),
+                 *[pa.array([n[i] for n in counts.values()], pa.int32()) for i in range(2 * FOLDS)]],
+                names=["part", *names])
+        give_back()
+
+    names = [f"n{i}" for i in range(2 * FOLDS)]
+    counted = spark.createDataFrame(made).repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(
+        run, "part binary, " + ", ".join(f"{n} int" for n in names))
+    sums = counted.groupBy("part").agg(*[F.sum(n).cast("int").alias(n) for n in names])
+    toxic_with = sum(F.col(n) for n in names[:FOLDS])
+    found = sums.where(toxic_with >= LEAST_TEXTS).toArrow()
+    return dict(zip(found.column("part").to_pylist(), zip(*[found.column(n).to_pylist() for n in names])))
 
 
 def score(documents: DataFrame, model: ToxicityModel, text: str = "text", name: str = "score"

@@ -40,6 +40,7 @@ def arguments(argv: Sequence[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--events", required=True, help="root of the events table")
     parser.add_argument("--dead-letters", required=True, help="root of the dead-letter table")
     parser.add_argument("--checkpoint", required=True)
+    parser.add_argument("--rollup", help="root of a table of counts per batch, hour and type, if wanted")
     parser.add_argument("--event-types", default=",".join(VALID_EVENT_TYPES),
                         type=lambda text: tuple(t for t in text.split(",") if t),
                         help="known event types, with commas between them")
@@ -71,7 +72,7 @@ def main(argv: Sequence[str] | None = None) -> None:
         )
 
     job = IngestJob(args.events, args.dead_letters, version=args.pipeline_version,
-                    event_types=args.event_types)
+                    event_types=args.event_types, rollup_root=args.rollup)
     running = [job.start(messages(), f"{args.checkpoint}/events", args.interval, "ingest")]
     if args.window_counts:
         running.append(

@@ -3,10 +3,13 @@
 from millrace.plans.dashboard import (
     daily_active_users,
     hourly_volume,
+    hourly_volume_rollup,
     ingest_health,
+    ingest_health_rollup,
     over_table,
     purchase_revenue,
     top_error_codes,
+    top_error_codes_rollup,
     type_counts,
 )
 from millrace.plans.quality import (
@@ -20,7 +23,9 @@ from millrace.plans.quality import (
 __all__ = [
     "daily_active_users",
     "hourly_volume",
+    "hourly_volume_rollup",
     "ingest_health",
+    "ingest_health_rollup",
     "missing_days",
     "over_table",
     "partition_ready",
@@ -29,5 +34,6 @@ __all__ = [
     "quality_report",
     "require",
     "top_error_codes",
+    "top_error_codes_rollup",
     "type_counts",
 ]

@@ -111,6 +111,34 @@ def type_counts(events: DataFrame, as_of: dt.date | None = None) -> DataFrame:
     )
 
 
+def hourly_volume_rollup(rollup: DataFrame, as_of: dt.date | None = None, days: int = 1) -> DataFrame:
+    """`hourly_volume`, from the counts of batches."""
+    return (
+        rollup.where(_since(as_of, days)).groupBy("hour", "event_type")
+        .agg(F.sum("event_count").alias("event_count"))
+        .orderBy(F.desc("hour"), F.desc("event_count"))
+    )
+
+
+def ingest_health_rollup(rollup: DataFrame, as_of: dt.date | None = None, days: int = 3) -> DataFrame:
+    """`ingest_health`, from the counts of batches."""
+    return (
+        rollup.where(_since(as_of, days)).groupBy("ingest_date", "pipeline_version")
+        .agg(F.sum("event_count").alias("total_events"))
+        .orderBy(F.desc("ingest_date"))
+    )
+
+
+def top_error_codes_rollup(rollup: DataFrame, as_of: dt.date | None = None, top: int = 10) -> DataFrame:
+    """`top_error_codes`, from the counts of batches."""
+    return (
+        rollup.where((F.col("event_type") == "error") & (F.col("ingest_date") == _today(as_of)))
+        .groupBy("error_code").agg(F.sum("event_count").alias("occurrences"))
+        .orderBy(F.desc("occurrences"), F.asc("error_code"))
+        .limit(top)
+    )
+
+
 def over_table(
     plan: Callable[..., DataFrame],
     spark: SparkSession,

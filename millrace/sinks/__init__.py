@@ -1,6 +1,7 @@
 """The two tables on disk."""
 
 from millrace.sinks.ledger import read_ledger
+from millrace.sinks.rollups import ROLLUP, read_rollup, write_rollup
 from millrace.sinks.tables import (
     LETTERS_TABLE,
     clean_up,
@@ -15,13 +16,16 @@ from millrace.sinks.tables import (
 
 __all__ = [
     "LETTERS_TABLE",
+    "ROLLUP",
     "clean_up",
     "compact_day",
     "read_dead_letters",
     "read_events",
     "read_ledger",
+    "read_rollup",
     "table_columns",
     "write_batch",
     "write_dead_letters",
     "write_events",
+    "write_rollup",
 ]

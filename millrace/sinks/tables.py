@@ -47,13 +47,15 @@ def write_batch(routed: DataFrame, events_root: str, letters_root: str, batch: s
 
     The batch is parsed once: it is persisted and read back for each table.
     """
-    routed = routed.persist(StorageLevel.MEMORY_AND_DISK)
+    own = not routed.is_cached
+    routed = routed.persist(StorageLevel.MEMORY_AND_DISK) if own else routed
     try:
         good = F.col("reason").isNull()
         write_events(routed.where(good), events_root, batch)
         write_dead_letters(routed.where(~good), letters_root, batch)
     finally:
-        routed.unpersist()
+        if own:
+            routed.unpersist()
 
 
 def write_events(

@@ -17,6 +17,7 @@ from millrace.operators.rejects import redrive
 from millrace.operators.validate import validate_events
 from millrace.schemas import DEFAULT_VERSION, DEFAULT_WINDOW_SECS, VALID_EVENT_TYPES
 from millrace.sinks.ledger import ACCEPTED, next_attempt, pending, read_ledger, write_ledger
+from millrace.sinks.rollups import write_rollup
 from millrace.sinks.tables import read_dead_letters, write_batch, write_events
 from millrace.streaming.windows import tumbling_counts
 
@@ -25,7 +26,8 @@ from millrace.streaming.windows import tumbling_counts
 class IngestJob:
     """Where the tables are and how events are judged and stamped.
 
-    `clock` replaces the processing time, for tests and backfills.
+    `clock` replaces the processing time, for tests and backfills. With
+    `rollup_root` the counts of each batch are written, too.
     """
 
     events_root: str
@@ -33,6 +35,7 @@ class IngestJob:
     version: str = DEFAULT_VERSION
     event_types: Iterable[str] = VALID_EVENT_TYPES
     clock: Column | None = None
+    rollup_root: str | None = None
 
     def routed(self, envelopes: DataFrame) -> DataFrame:
         """Every message once, judged; the plan is the same for table and stream."""
@@ -41,7 +44,18 @@ class IngestJob:
 
     def run_batch(self, envelopes: DataFrame, batch: str) -> None:
         """Ingest a table of messages as one batch; the same id replaces it, whatever days it was on."""
-        write_batch(self.routed(envelopes), self.events_root, self.letters_root, batch)
+        self._write(self.routed(envelopes), batch)
+
+    def _write(self, routed: DataFrame, batch: str) -> None:
+        if self.rollup_root is None:
+            return write_batch(routed, self.events_root, self.letters_root, batch)
+        # Parsed once, for all three tables.
+        routed = routed.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            write_batch(routed, self.events_root, self.letters_root, batch)
+            write_rollup(routed.where(F.col("reason").isNull()), self.rollup_root, batch)
+        finally:
+            routed.unpersist()
 
     def redrive(self, spark: SparkSession, ledger_root: str, repaired: Column | None = None,
                 since: dt.date | None = None, until: dt.date | None = None) -> int | None:
@@ -62,7 +76,10 @@ class IngestJob:
             if routed.isEmpty():
                 return None
             attempt = next_attempt(ledger)
-            write_events(routed.where(F.col("reason").isNull()), self.events_root, f"redrive-{attempt:09d}")
+            good = routed.where(F.col("reason").isNull())
+            write_events(good, self.events_root, f"redrive-{attempt:09d}")
+            if self.rollup_root is not None:
+                write_rollup(good, self.rollup_root, f"redrive-{attempt:09d}")
             write_ledger(routed.select(
                 F.col("message_id").alias("letter"), F.coalesce("reason", F.lit(ACCEPTED)).alias("outcome"),
                 F.col("_today").alias("ingest_date")), ledger_root, attempt)
@@ -95,7 +112,7 @@ class IngestJob:
 
         def write(routed: DataFrame, number: int) -> None:
             query = routed.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-            write_batch(routed, self.events_root, self.letters_root, f"{query}-{number:09d}")
+            self._write(routed, f"{query}-{number:09d}")
 
         writer = observed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
         writer = writer.queryName(name) if name else writer

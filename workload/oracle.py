@@ -423,3 +423,7 @@ ORACLE: dict[str, str] = {
         SELECT 0, 'in the table', count(*) FROM letters WHERE outcome = 'accepted'
     """,
 }
+# The same results, however they come about.
+for _name, _same in (("q1_rollup", "q1_hourly_volume"), ("q4_rollup", "q4_ingest_health"),
+                     ("q5_rollup", "q5_top_error_codes")):
+    ORACLE[_name] = ORACLE[_same]

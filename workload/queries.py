@@ -15,7 +15,15 @@ from millrace import configure, operators, plans
 from millrace.functions import json_value
 from millrace.session import scratch_dir
 from millrace.schemas import EVENTS_RAW
-from millrace.sinks import compact_day, read_dead_letters, read_events, read_ledger, write_events
+from millrace.sinks import (
+    ROLLUP,
+    compact_day,
+    read_dead_letters,
+    read_events,
+    read_ledger,
+    read_rollup,
+    write_events,
+)
 from millrace.sources import (
     generate_envelopes,
     generate_events,
@@ -564,6 +572,31 @@ def dead_letter_redrive_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0).cast("long").alias("attempt"), F.lit("in the table").alias("outcome"), F.count("*").alias("row_count")))
 
 
+def _rolled_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of three batches, of which two are written again, one of them after a day was compacted."""
+    root = scratch_dir(configure(spark), "rollup")
+    job = IngestJob(f"{root}/events", f"{root}/letters", clock=F.col("publish_time"), rollup_root=f"{root}/counts")
+    third = F.pmod(F.col("message_id").cast("bigint"), F.lit(3))
+    messages = M.messages(spark, sf_dir)
+    for n in (0, 1, 2, 0):
+        job.run_batch(messages.where(third == n), f"b{n}")
+    compact_day(spark, f"{root}/counts", ROLLUP, AS_OF)
+    job.run_batch(messages.where(third == 1), "b1")
+    return read_rollup(spark, f"{root}/counts", AS_OF - dt.timedelta(days=3), AS_OF)
+
+
+def q1_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plain(plans.hourly_volume_rollup(_rolled_up(spark, sf_dir), AS_OF))
+
+
+def q4_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.ingest_health_rollup(_rolled_up(spark, sf_dir), AS_OF)
+
+
+def q5_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.top_error_codes_rollup(_rolled_up(spark, sf_dir), AS_OF)
+
+
 QUERIES: dict[str, Query] = {
     "src_envelopes": src_envelopes,
     "parse_events": parse_events,
@@ -617,4 +650,7 @@ QUERIES: dict[str, Query] = {
     "stream_late_rows": stream_late_rows,
     "stream_sliding_panes": stream_sliding_panes,
     "dead_letter_redrive_twice": dead_letter_redrive_twice,
+    "q1_rollup": q1_rollup,
+    "q4_rollup": q4_rollup,
+    "q5_rollup": q5_rollup,
 }

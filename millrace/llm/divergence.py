@@ -54,7 +54,7 @@ FILTER_BITS = 1 << 25
 # The terms of a part are merged in so many tasks.
 PART_BUCKETS = 4
 # Entries of a dense block of shares.
-BLOCK = 1 << 21
+BLOCK = 1 << 18
 
 _TERM_BYTES = bytes(
     c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))

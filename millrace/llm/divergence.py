@@ -215,7 +215,13 @@ def terms_of_chunks(chunks: DataFrame) -> DataFrame:
         for batch in batches:
             at, terms, m = [], [], []
             for i, chunk in enumerate(batch.column("chunk").to_pylist()):
-                for term, n in Counter(chunk.translate(_TERM_BYTES).split()).items():
+                found = chunk.translate(_TERM_BYTES).split()
+                if len(found) == 1:
+                    at.append(i)
+                    terms.append(found[0])
+                    m.append(1)
+                    continue
+                for term, n in Counter(found).items():
                     at.append(i)
                     terms.append(term)
                     m.append(n)
@@ -235,9 +241,12 @@ def term_counts(documents: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame
     term's documents and occurrences in its language; `sources` and `counts` are
     64-bit numbers one after the other, its occurrences by source.
     """
+    partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     posted = materialise(postings(documents), "chunk-postings", "zstd")
     counted = posted.where("chunk IS NOT NULL")
-    chunks = counted.groupBy("chunk").agg(F.sum("docs").alias("docs"))
+    # A part has a chunk once, so there is nothing to add up before the exchange.
+    dealt = counted.select("chunk", "docs").repartition(partitions, "chunk")
+    chunks = dealt.groupBy("chunk").agg(F.sum("docs").alias("docs"))
     terms = materialise(terms_of_chunks(chunks), "chunk-terms", "zstd")
     possible = terms.groupBy("term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
     terms = materialise(
@@ -249,7 +258,6 @@ def term_counts(documents: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame
     heads = posted.where("chunk IS NULL").select(
         F.explode(F.sequence(F.col("part") * PART_BUCKETS, F.col("part") * PART_BUCKETS + PART_BUCKETS - 1)).alias("bucket"),
         F.lit(None).cast("string").alias("term"), F.lit(0).alias("m"), "postings")
-    partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     merged = (
         met.union(heads).repartition(partitions, "bucket")
         .sortWithinPartitions("bucket", F.col("term").asc_nulls_first())

@@ -447,8 +447,12 @@ def _unpacked(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
 
 def _share(count: Column, total: Column, size: Column) -> Column:
     """1 + floor(SCALE * (count + 2) / (total + 2 * size)), exactly."""
+    most = total + 2 * size
     wide = F.lit(SCALE).cast("decimal(10,0)") * (count + 2).cast("decimal(19,0)")
-    return (F.lit(1) + F.call_function("div", wide, (total + 2 * size).cast("decimal(20,0)"))).cast("long")
+    exact = F.call_function("div", wide, most.cast("decimal(20,0)"))
+    # Decimals are slow, and hardly any count needs them.
+    small = F.call_function("div", F.lit(SCALE).cast("long") * (count + 2), most)
+    return (F.lit(1) + F.when(count + 2 <= F.lit((1 << 62) // SCALE), small).otherwise(exact)).cast("long")
 
 
 def shares(counts: np.ndarray, totals: np.ndarray, size: int) -> np.ndarray:

@@ -21,7 +21,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 import uuid
-from collections.abc import Iterable
+from collections.abc import Collection, Iterable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -59,21 +59,23 @@ def write_batch(routed: DataFrame, events_root: str, letters_root: str, batch: s
 
 
 def write_events(
-    events: DataFrame, root: str, batch: str, extra: T.StructType | None = None
+    events: DataFrame, root: str, batch: str, extra: T.StructType | None = None,
+    base: Snapshot | None = None,
 ) -> None:
     """Add (or replace) one batch of the events table, clustered and sorted.
 
     Rows are rebalanced by day and type in a single pass: adaptive execution
     cuts large partitions into files of the advised size and joins small ones.
     `extra` are columns that the table has from now on; a column that was there
-    as a narrower number is widened.
+    as a narrower number is widened. With `base` the table must still be at that
+    snapshot when the batch becomes part of it; `Conflict` if it is not.
     """
     added = list(extra.fields) if extra else []
     columns = [*EVENTS_RAW.fields, *added]
     shaped = events.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in columns])
     spread = shaped.hint("rebalance", DAY, CLUSTER_BY[0])
     _replace(spread.sortWithinPartitions(DAY, *CLUSTER_BY), root, batch, EVENTS_RAW,
-             [(f.name, f.dataType.simpleString()) for f in added])
+             [(f.name, f.dataType.simpleString()) for f in added], base)
 
 
 def write_dead_letters(routed: DataFrame, root: str, batch: str) -> None:
@@ -83,7 +85,7 @@ def write_dead_letters(routed: DataFrame, root: str, batch: str) -> None:
 
 
 def _replace(rows: DataFrame, root: str, batch: str, schema: T.StructType,
-             columns: Iterable[tuple[str, str]] = ()) -> None:
+             columns: Iterable[tuple[str, str]] = (), base: Snapshot | None = None) -> None:
     spark = rows.sparkSession
     table = Table(spark, root)
     before = table.days_of(batch)
@@ -101,7 +103,7 @@ def _replace(rows: DataFrame, root: str, batch: str, schema: T.StructType,
                 out.append(rest[day, folder.name])
         return [*out, Folder(f"{BATCH}={name}", (batch,))] if day in now else out
 
-    table.change(before | now, new, columns)
+    table.change(before | now, new, columns, base)
     table.unmark(batch, before - now)
 
 
@@ -178,7 +180,7 @@ def _pack(spark: SparkSession, table: Table, schema: T.StructType, day: str, fol
         T.StructField(ROW_BATCH, T.StringType())])
     inner = spark.read.schema(stored).parquet(*paths)
     rows = inner if without is None else inner.where(~F.col(ROW_BATCH).eqNullSafe(without))
-    keys = [c for c in CLUSTER_BY if c in rows.columns] or ["reason"]
+    keys = [c for c in CLUSTER_BY if c in rows.columns] or ["reason" if "reason" in rows.columns else rows.columns[0]]
     size = sum(table.files.size(f"{DAY}={day}/{f.name}") for f in folders)
     count = max(1, math.ceil(size / file_bytes))
     name = f"{BATCH}={uuid.uuid4().hex}"
@@ -236,6 +238,14 @@ def read_events(
     return rows
 
 
+def batch_events(spark: SparkSession, root: str, batch: str) -> DataFrame:
+    """The events of one batch, as the table holds them now."""
+    table = Table(spark, root)
+    schema = T.StructType([*EVENTS_RAW.fields, T.StructField(ROW_BATCH, T.StringType())])
+    rows = _read(spark, table, table.snapshot(), schema, days=table.days_of(batch))
+    return rows.where(F.col(ROW_BATCH) == batch).drop(ROW_BATCH)
+
+
 def read_dead_letters(
     spark: SparkSession, root: str, since: dt.date | None = None, until: dt.date | None = None
 ) -> DataFrame:
@@ -254,11 +264,13 @@ def _read(
     until: dt.date | None = None,
     event_types: tuple[str, ...] | None = None,
     users: tuple[str, ...] | None = None,
+    days: Collection[str] | None = None,
 ) -> DataFrame:
-    days = [d for d in sorted(snapshot.lists)
-            if (since is None or d >= str(since)) and (until is None or d <= str(until))]
+    listed = [d for d in sorted(snapshot.lists)
+              if (since is None or d >= str(since)) and (until is None or d <= str(until))
+              and (days is None or d in days)]
     paths = []
-    for day, folders in table.folders(snapshot, days).items():
+    for day, folders in table.folders(snapshot, listed).items():
         for folder in folders:
             path = f"{table.root}/{DAY}={day}/{folder.name}"
             held = [n for n, *ends in folder.files if _may_hold(*ends, event_types, users)]

@@ -16,9 +16,10 @@ from millrace.operators.parse import parse_events
 from millrace.operators.rejects import redrive
 from millrace.operators.validate import validate_events
 from millrace.schemas import DEFAULT_VERSION, DEFAULT_WINDOW_SECS, VALID_EVENT_TYPES
+from millrace.sinks.ids import write_new_events
 from millrace.sinks.ledger import ACCEPTED, next_attempt, pending, read_ledger, write_ledger
 from millrace.sinks.rollups import write_rollup
-from millrace.sinks.tables import read_dead_letters, write_batch, write_events
+from millrace.sinks.tables import batch_events, read_dead_letters, write_batch, write_dead_letters, write_events
 from millrace.streaming.windows import tumbling_counts
 
 
@@ -27,7 +28,9 @@ class IngestJob:
     """Where the tables are and how events are judged and stamped.
 
     `clock` replaces the processing time, for tests and backfills. With
-    `rollup_root` the counts of each batch are written, too.
+    `rollup_root` the counts of each batch are written, too. With `ids_root`
+    events whose id another batch has brought are left out, however late they
+    come; with `unique_days` ids of so many days are looked at.
     """
 
     events_root: str
@@ -36,6 +39,8 @@ class IngestJob:
     event_types: Iterable[str] = VALID_EVENT_TYPES
     clock: Column | None = None
     rollup_root: str | None = None
+    ids_root: str | None = None
+    unique_days: int | None = None
 
     def routed(self, envelopes: DataFrame) -> DataFrame:
         """Every message once, judged; the plan is the same for table and stream."""
@@ -47,16 +52,34 @@ class IngestJob:
         self._write(self.routed(envelopes), batch)
 
     def _write(self, routed: DataFrame, batch: str) -> None:
-        if self.rollup_root is None:
+        if self.ids_root is None and self.rollup_root is None:
             return write_batch(routed, self.events_root, self.letters_root, batch)
-        # Parsed once, for all three tables.
+        # Parsed once, for all tables.
         routed = routed.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            write_batch(routed, self.events_root, self.letters_root, batch)
-            write_rollup(routed.where(F.col("reason").isNull()), self.rollup_root, batch)
+            good = F.col("reason").isNull()
+            if self.ids_root is None:
+                write_batch(routed, self.events_root, self.letters_root, batch)
+                self._write_beside(routed.where(good), batch)
+            else:
+                self._write_events(routed.where(good), batch)
+                write_dead_letters(routed.where(~good), self.letters_root, batch)
         finally:
             routed.unpersist()
 
+    def _write_events(self, good: DataFrame, batch: str) -> None:
+        if self.ids_root is None:
+            write_events(good, self.events_root, batch)
+        else:
+            write_new_events(good, self.events_root, self.ids_root, batch, self.unique_days)
+            good = batch_events(good.sparkSession, self.events_root, batch)
+        self._write_beside(good, batch)
+
+    def _write_beside(self, good: DataFrame, batch: str) -> None:
+        """What is kept of the batch's events in other tables."""
+        if self.rollup_root is not None:
+            write_rollup(good, self.rollup_root, batch)
+
     def redrive(self, spark: SparkSession, ledger_root: str, repaired: Column | None = None,
                 since: dt.date | None = None, until: dt.date | None = None) -> int | None:
         """Send dead letters round again, those that never were: the attempt's number, None if there are none.
@@ -77,9 +100,7 @@ class IngestJob:
                 return None
             attempt = next_attempt(ledger)
             good = routed.where(F.col("reason").isNull())
-            write_events(good, self.events_root, f"redrive-{attempt:09d}")
-            if self.rollup_root is not None:
-                write_rollup(good, self.rollup_root, f"redrive-{attempt:09d}")
+            self._write_events(good, f"redrive-{attempt:09d}")
             write_ledger(routed.select(
                 F.col("message_id").alias("letter"), F.coalesce("reason", F.lit(ACCEPTED)).alias("outcome"),
                 F.col("_today").alias("ingest_date")), ledger_root, attempt)

@@ -16,6 +16,7 @@ from millrace.functions import json_value
 from millrace.session import scratch_dir
 from millrace.schemas import EVENTS_RAW
 from millrace.sinks import (
+    IDS,
     ROLLUP,
     compact_day,
     read_dead_letters,
@@ -572,6 +573,26 @@ def dead_letter_redrive_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0).cast("long").alias("attempt"), F.lit("in the table").alias("outcome"), F.count("*").alias("row_count")))
 
 
+def sink_dedup_across_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages in three batches that share copies; the first is written again, a day is compacted.
+
+    A copy comes in a later batch than its first, however long after it.
+    """
+    root = scratch_dir(configure(spark), "unique")
+    job = IngestJob(f"{root}/events", f"{root}/letters", clock=F.col("publish_time"), ids_root=f"{root}/ids")
+    messages = M.messages(spark, sf_dir)
+    third = F.pmod(F.col("message_id").cast("bigint"), F.lit(3))
+    later = F.col("publish_time") + F.make_dt_interval(days=F.lit(2))
+    copies = messages.where(F.col("message_id").cast("bigint") % 10 == 0).withColumn("publish_time", later)
+    job.run_batch(messages.where(third == 0), "b0")
+    job.run_batch(M.redelivered(messages.where(third == 1)).unionByName(copies.where(third == 0)), "b1")
+    compact_day(spark, job.events_root, EVENTS_RAW, AS_OF)
+    compact_day(spark, job.ids_root, IDS, AS_OF)
+    job.run_batch(messages.where(third == 0), "b0")
+    job.run_batch(messages.where(third == 2).unionByName(copies.where(third != 2)), "b2")
+    return plain(read_events(spark, job.events_root))
+
+
 def _rolled_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of three batches, of which two are written again, one of them after a day was compacted."""
     root = scratch_dir(configure(spark), "rollup")
@@ -650,6 +671,7 @@ QUERIES: dict[str, Query] = {
     "stream_late_rows": stream_late_rows,
     "stream_sliding_panes": stream_sliding_panes,
     "dead_letter_redrive_twice": dead_letter_redrive_twice,
+    "sink_dedup_across_runs": sink_dedup_across_runs,
     "q1_rollup": q1_rollup,
     "q4_rollup": q4_rollup,
     "q5_rollup": q5_rollup,

@@ -2,6 +2,7 @@
 
 from millrace.plans.dashboard import (
     daily_active_users,
+    daily_active_users_bitmaps,
     hourly_volume,
     hourly_volume_rollup,
     ingest_health,
@@ -22,6 +23,7 @@ from millrace.plans.quality import (
 
 __all__ = [
     "daily_active_users",
+    "daily_active_users_bitmaps",
     "hourly_volume",
     "hourly_volume_rollup",
     "ingest_health",

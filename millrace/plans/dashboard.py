@@ -55,6 +55,22 @@ def daily_active_users(
     )
 
 
+def daily_active_users_bitmaps(
+    active: DataFrame, as_of: dt.date | None = None, days: int = 7
+) -> DataFrame:
+    """The same from the bitmaps of batches (`read_active_users`)."""
+    merged = (
+        active.where(_since(as_of, days))
+        .groupBy("ingest_date", "shard", "bucket")
+        .agg(F.bitmap_or_agg("bits").alias("bits"))
+    )
+    return (
+        merged.groupBy("ingest_date")
+        .agg(F.sum(F.bitmap_count("bits")).alias("daily_active_users"))
+        .orderBy(F.desc("ingest_date"))
+    )
+
+
 def purchase_revenue(
     events: DataFrame, as_of: dt.date | None = None, days: int = 30, lenient: bool = False
 ) -> DataFrame:

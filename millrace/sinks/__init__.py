@@ -15,20 +15,24 @@ from millrace.sinks.tables import (
     write_dead_letters,
     write_events,
 )
+from millrace.sinks.users import ACTIVE, read_active_users, write_active_users
 
 __all__ = [
+    "ACTIVE",
     "IDS",
     "LETTERS_TABLE",
     "ROLLUP",
     "batch_events",
     "clean_up",
     "compact_day",
+    "read_active_users",
     "read_dead_letters",
     "read_events",
     "read_ids",
     "read_ledger",
     "read_rollup",
     "table_columns",
+    "write_active_users",
     "write_batch",
     "write_dead_letters",
     "write_events",

@@ -20,6 +20,7 @@ from millrace.sinks.ids import write_new_events
 from millrace.sinks.ledger import ACCEPTED, next_attempt, pending, read_ledger, write_ledger
 from millrace.sinks.rollups import write_rollup
 from millrace.sinks.tables import batch_events, read_dead_letters, write_batch, write_dead_letters, write_events
+from millrace.sinks.users import write_active_users
 from millrace.streaming.windows import tumbling_counts
 
 
@@ -30,7 +31,8 @@ class IngestJob:
     `clock` replaces the processing time, for tests and backfills. With
     `rollup_root` the counts of each batch are written, too. With `ids_root`
     events whose id another batch has brought are left out, however late they
-    come; with `unique_days` ids of so many days are looked at.
+    come; with `unique_days` ids of so many days are looked at. With `users_root`
+    the users of each batch are kept as bitmaps.
     """
 
     events_root: str
@@ -41,6 +43,7 @@ class IngestJob:
     rollup_root: str | None = None
     ids_root: str | None = None
     unique_days: int | None = None
+    users_root: str | None = None
 
     def routed(self, envelopes: DataFrame) -> DataFrame:
         """Every message once, judged; the plan is the same for table and stream."""
@@ -52,7 +55,7 @@ class IngestJob:
         self._write(self.routed(envelopes), batch)
 
     def _write(self, routed: DataFrame, batch: str) -> None:
-        if self.ids_root is None and self.rollup_root is None:
+        if self.ids_root is None and self.rollup_root is None and self.users_root is None:
             return write_batch(routed, self.events_root, self.letters_root, batch)
         # Parsed once, for all tables.
         routed = routed.persist(StorageLevel.MEMORY_AND_DISK)
@@ -79,6 +82,8 @@ class IngestJob:
         """What is kept of the batch's events in other tables."""
         if self.rollup_root is not None:
             write_rollup(good, self.rollup_root, batch)
+        if self.users_root is not None:
+            write_active_users(good, self.users_root, batch)
 
     def redrive(self, spark: SparkSession, ledger_root: str, repaired: Column | None = None,
                 since: dt.date | None = None, until: dt.date | None = None) -> int | None:

@@ -16,9 +16,11 @@ from millrace.functions import json_value
 from millrace.session import scratch_dir
 from millrace.schemas import EVENTS_RAW
 from millrace.sinks import (
+    ACTIVE,
     IDS,
     ROLLUP,
     compact_day,
+    read_active_users,
     read_dead_letters,
     read_events,
     read_ledger,
@@ -618,6 +620,21 @@ def q5_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.top_error_codes_rollup(_rolled_up(spark, sf_dir), AS_OF)
 
 
+def q2_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of three batches; one batch first has other messages and is written again, a day is compacted."""
+    root = scratch_dir(configure(spark), "users")
+    job = IngestJob(f"{root}/events", f"{root}/letters", clock=F.col("publish_time"), users_root=f"{root}/users")
+    third = F.pmod(F.col("message_id").cast("bigint"), F.lit(3))
+    messages = M.messages(spark, sf_dir)
+    job.run_batch(messages.where(third != 0), "b0")
+    job.run_batch(messages.where(third == 1), "b1")
+    compact_day(spark, f"{root}/users/days", ACTIVE, AS_OF)
+    job.run_batch(messages.where(third == 0), "b0")
+    job.run_batch(messages.where(third == 2), "b2")
+    active = read_active_users(spark, job.users_root, AS_OF - dt.timedelta(days=7), AS_OF)
+    return plans.daily_active_users_bitmaps(active, AS_OF)
+
+
 QUERIES: dict[str, Query] = {
     "src_envelopes": src_envelopes,
     "parse_events": parse_events,
@@ -673,6 +690,7 @@ QUERIES: dict[str, Query] = {
     "dead_letter_redrive_twice": dead_letter_redrive_twice,
     "sink_dedup_across_runs": sink_dedup_across_runs,
     "q1_rollup": q1_rollup,
+    "q2_incremental": q2_incremental,
     "q4_rollup": q4_rollup,
     "q5_rollup": q5_rollup,
 }

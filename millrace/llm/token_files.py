@@ -13,9 +13,11 @@ holds, in this order:
 
 Any range of ids is read by seeking to its blocks and unpacked by numpy. Files
 follow each other in ascending doc_id order (nulls first; rows that share an id
-in the order of their texts), each being one range of doc_ids. A task writes
-under a name of its own and reports it: files of failed or repeated attempts
-are never listed, so a lost executor leaves no half-written file in the result.
+in the order of their texts), each being one range of doc_ids and beginnings of
+texts, so that rows of one id, or of none, lie in as many files as they need unless
+their texts begin alike. A task writes under a name of its own and reports it: files
+of failed or repeated attempts are never listed, so a lost executor leaves no
+half-written file in the result.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ BLOCK_TOKENS = 1 << 14
 READ_TOKENS = 1 << 20
 # Text encoded at once; more repeats of a word in it are looked up together.
 ENCODE_BYTES = 12 << 20
+# Characters of a text by which rows of one doc_id are dealt to files.
+SPLIT_CHARS = 32
 # Words remembered by a task, where no table of frequent words comes with it.
 CACHE_WORDS = 300_000
 
@@ -163,7 +167,8 @@ def write_token_files(
     closing = np.array([] if end_id is None else [end_id], dtype="<u4")
     ordered = (
         documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_text"))
-        .repartitionByRange(F.col("doc_id").asc_nulls_first())
+        .repartitionByRange(F.col("doc_id").asc_nulls_first(),
+                            F.substring("_text", 1, SPLIT_CHARS).asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("_text").asc_nulls_first())
     )
 

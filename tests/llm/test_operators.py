@@ -349,6 +349,22 @@ def test_token_files(documents, rows, none, tokenizer):
     assert token_files.read_token_files(empty).count() == 0
 
 
+def test_rows_without_an_id_lie_in_many_files(spark, tokenizer):
+    texts = [f"{n * 7919 % 900:04d} lie {'ä' * (n % 3)}" for n in range(900)]
+    rows = [(None if n % 3 else 5, t) for n, t in enumerate(texts)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    # Small partitions would be put together.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = token_files.write_token_files(documents, token_files.token_folder(documents), end_id=2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[1].encode()))
+    got = listed(token_files.read_token_files(manifest), "doc_id", "start", "n_tokens", "ids_crc32")
+    assert got == as_listed(tokens(tokenizer, ordered, 2))
+    assert manifest.agg({"docs": "max"}).first()[0] < 300
+
+
 @pytest.mark.parametrize("width", [1, 5, 8, 11, 16, 17, 32])
 def test_packing(width):
     ids = np.random.default_rng(0).integers(0, 1 << width, size=1003).astype("<u4")

@@ -41,6 +41,9 @@ def arguments(argv: Sequence[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--dead-letters", required=True, help="root of the dead-letter table")
     parser.add_argument("--checkpoint", required=True)
     parser.add_argument("--rollup", help="root of a table of counts per batch, hour and type, if wanted")
+    parser.add_argument("--ids", help="root of an index of event ids: events whose id came before are left out")
+    parser.add_argument("--unique-days", type=int, help="days of that index that are looked at; all by default")
+    parser.add_argument("--users", help="root of the tables of distinct users per batch, if wanted")
     parser.add_argument("--event-types", default=",".join(VALID_EVENT_TYPES),
                         type=lambda text: tuple(t for t in text.split(",") if t),
                         help="known event types, with commas between them")
@@ -72,7 +75,8 @@ def main(argv: Sequence[str] | None = None) -> None:
         )
 
     job = IngestJob(args.events, args.dead_letters, version=args.pipeline_version,
-                    event_types=args.event_types, rollup_root=args.rollup)
+                    event_types=args.event_types, rollup_root=args.rollup,
+                    ids_root=args.ids, unique_days=args.unique_days, users_root=args.users)
     running = [job.start(messages(), f"{args.checkpoint}/events", args.interval, "ingest")]
     if args.window_counts:
         running.append(

@@ -1,6 +1,6 @@
 """The two tables on disk."""
 
-from millrace.sinks.ids import IDS, read_ids, write_new_events
+from millrace.sinks.ids import IDS, read_ids, write_ids, write_new_events
 from millrace.sinks.ledger import read_ledger
 from millrace.sinks.rollups import ROLLUP, read_rollup, write_rollup
 from millrace.sinks.tables import (
@@ -36,6 +36,7 @@ __all__ = [
     "write_batch",
     "write_dead_letters",
     "write_events",
+    "write_ids",
     "write_new_events",
     "write_rollup",
 ]

@@ -8,7 +8,8 @@ days where the hash was found: a batch without copies reads no events at all.
 Of two batches that bring an id at the same time, the one that becomes part of the table
 second finds that the table is not the one it looked at, and looks again. As hashes are
 there before the events they stand for, it then finds the other's. A batch that is
-written again does not meet itself. Hashes of rows that never came into the table cost a
+written again does not meet itself. A table that had events before it had an index gets
+one by `write_ids(read_events(spark, root), ids_root, "history")`. Hashes of rows that never came into the table cost a
 comparison and change nothing.
 """
 

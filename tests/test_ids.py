@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.schemas import EVENTS_RAW
 from millrace.sinks import IDS, batch_events, compact_day, read_events, read_ids, read_rollup, write_events
 from millrace.sinks import ids as ids_module
-from millrace.sinks import write_new_events
+from millrace.sinks import write_ids, write_new_events
 from millrace.streaming import IngestJob
 
 DAY = dt.date(2024, 1, 15)
@@ -54,6 +54,15 @@ def test_a_batch_does_not_meet_itself(spark, roots):
     assert read_ids(spark, ids).count() == 4
 
 
+def test_an_index_for_a_table_that_had_none(spark, roots):
+    root, ids = roots
+    write_events(rows(spark, ["a", "b"]), root, "b0")
+    write_ids(read_events(spark, root), ids, "history")
+    write_new_events(rows(spark, ["b", "c"]), root, ids, "b1")
+    write_new_events(rows(spark, ["a", "b"]), root, ids, "b0")
+    assert [i for i, *_ in held(spark, root)] == ["a", "b", "c"]
+
+
 def test_an_id_that_went_may_come_again(spark, roots):
     root, ids = roots
     write_new_events(rows(spark, ["a", "b"]), root, ids, "b0")

@@ -11,11 +11,12 @@ such a place, so the ids of a text are the ids of its words in order.
 3. Ids are joined back by position: each text is split again and its words are
    looked up. Words below the threshold are put in a distinct-word table of the
    task they occur in and encoded there once, so that no position is shuffled.
-4. Decoding joins each id with its piece of bytes (a table of the size of the
-   vocabulary) and reads the bytes as UTF-8.
+4. Decoding looks each id up in the table of pieces (of the size of the vocabulary)
+   and reads their bytes as UTF-8.
 
-Null texts count as empty and have no ids. A text that holds the spelling of a
-special token is encoded by the library as a whole.
+Null texts count as empty and have no ids. Words of texts with other white space are
+looked up in the same tables; what holds white space besides the space before it, and a
+text that holds the spelling of a special token, is encoded by the library as a whole.
 """
 
 from __future__ import annotations
@@ -202,7 +203,11 @@ class WordCodec:
             return np.frombuffer(self._library([text])[0], dtype="<u4")
         units = _SPLIT(text)
         distinct = list(dict.fromkeys(units))
-        ids = dict(zip(distinct, self._library_words(distinct)))
+        words = [u for u in distinct if u[:1] == " " and _LINE(u)]
+        known = set(words)
+        other = [u for u in distinct if u not in known]
+        ids = dict(zip(words, self._look_up(self._words, [w[1:] for w in words], " ")))
+        ids.update(zip(other, self._library_words(other)))
         return np.frombuffer(b"".join(map(ids.__getitem__, units)), dtype="<u4")
 
     def _encode_even(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -349,6 +354,10 @@ def decode_ids(packed: bytes, pieces: list[bytes]) -> str:
     return b"".join(map(pieces.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
+REAL_OUTPUTS = [
+    T.StructField("ids", T.BinaryType()),
+    T.StructField("decoded", T.StringType()),
+]
 DIGESTS = [
     T.StructField("n_tokens", T.LongType()),
     T.StructField("ids_sha256", T.StringType()),
@@ -362,7 +371,10 @@ def encode_and_decode(
     text: str = "text",
     head_limit: int = HEAD_WORDS,
 ) -> DataFrame:
-    """Add number and digest of the ids, and the digest of the text decoded from them."""
+    """Add the ids of each text, the text decoded from them, and number and digests of the two.
+
+    `ids` are packed (little-endian unsigned 32-bit), `decoded` is read from them alone.
+    """
     tokenizer = tokenizer or default_tokenizer()
     head = _head_table(documents, tokenizer, text, head_limit)
 
@@ -372,16 +384,18 @@ def encode_and_decode(
         names = [str(i) for i in range(len(pieces))]
 
         def work(column: pa.Array) -> list[pa.Array]:
-            packed = codec.encode(column).to_pylist()
-            n, of_ids, of_text = [], [], []
-            for ids in packed:
+            packed = codec.encode(column)
+            n, of_ids, texts, of_text = [], [], [], []
+            for ids in packed.to_pylist():
                 values = np.frombuffer(ids, dtype="<u4").tolist()
                 n.append(len(values))
                 of_ids.append(hashlib.sha256(",".join(map(names.__getitem__, values)).encode()).hexdigest())
                 decoded = b"".join(map(pieces.__getitem__, values)).decode("utf-8", errors="replace")
+                texts.append(decoded)
                 of_text.append(hashlib.sha256(decoded.encode()).hexdigest())
-            return [pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text)]
+            return [packed, pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(of_ids),
+                    pa.array(of_text)]
 
         return work
 
-    return with_columns_from(documents, text, DIGESTS, make, ENCODE_BYTES)
+    return with_columns_from(documents, text, REAL_OUTPUTS + DIGESTS, make, ENCODE_BYTES)

@@ -143,9 +143,10 @@ def counts_by_strategy(
     Grid windows (tumbling, sliding) count per type. Sessions are per
     `session_keys`, which must begin with the type; the further keys are columns
     of the result, null for grid windows. On a table all strategies share one
-    pass over the rows. On a stream each distinct strategy is an aggregate of
-    its own, over its own event types, and all share one watermark: it follows
-    the rows of every type, so a type that falls silent holds back no other.
+    pass over the rows and one exchange of their cells. On a stream each distinct
+    strategy is an aggregate of its own, over its own event types, and all share one
+    watermark: it follows the rows of every type, so a type that falls silent holds
+    back no other.
     """
     if session_keys[0] != "event_type":
         raise ValueError("session keys begin with event_type")
@@ -173,14 +174,17 @@ def counts_by_strategy(
     return reduce(DataFrame.unionByName, parts)
 
 
-def _held(rows: DataFrame) -> DataFrame:
+def _held(rows: DataFrame, also: Sequence[str] = ()) -> DataFrame:
     """The rows with their event type once more, as `_held`, from a generator.
 
     The optimizer moves no filter through a generator: one on `_held` stays
-    above what comes before it, such as a watermark or a shared aggregate.
+    above what comes before it, such as a watermark or a shared aggregate. Nor does
+    it leave out a column that the generator reads: with the columns `also`, which
+    go through it, an exchange below is the same for all that read it, and is made once.
     """
-    again = F.inline(F.array(F.struct(F.col("event_type").alias("_held"))))
-    return rows.select("*", again)
+    again = F.inline(F.array(F.struct(
+        F.col("event_type").alias("_held"), *[F.col(c).alias(f"_held_{c}") for c in also])))
+    return rows.select("*", again).drop(*[f"_held_{c}" for c in also])
 
 
 def closed_at(query: StreamingQuery) -> dt.datetime:
@@ -244,7 +248,8 @@ def _counts_in_one_pass(
     is_session = F.col("event_type").isin(list(gaps))
     rows = rows.select("event_type", event_time, *[
         F.when(is_session, F.col(k)).alias(k) for k in extra])
-    cells = _held(_cells(rows, width, _per_type(gaps, F.lit(0)), session_keys, event_time))
+    cells = _cells(rows, width, _per_type(gaps, F.lit(0)), session_keys, event_time)
+    cells = _held(cells, ["_from", "_to", "_rows"])
 
     def starts(size: int, slide: int) -> Column:
         at, step = F.unix_micros("_cell"), slide * 1_000_000

@@ -198,6 +198,21 @@ def test_strategies_on_a_stream(spark, events, rows, tmp_path):
     assert sorted(with_open_windows(appended, whole, closed_at(query)).collect(), key=key) == table
 
 
+def test_strategies_on_a_table_read_the_rows_once(spark, events, rows):
+    """What comes before the strategies, such as a parse, is done once for all of them."""
+    plan = {"click": Sliding(3600, 900), "error": Tumbling(60), "purchase": Session(1800)}
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    counts = counts_by_strategy(events.mapInArrow(counted, events.schema), plan)
+    assert sum(r.event_count for r in counts.collect()) >= len(rows)
+    assert seen.value == len(rows)
+
+
 def test_late_rows_are_reported(spark):
     schema = "window_start timestamp, window_end timestamp, event_type string, event_count long"
     at = lambda n: START + dt.timedelta(minutes=n)

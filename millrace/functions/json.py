@@ -19,7 +19,9 @@ MAX_DEPTH = 1000
 
 # What the parser would alter: numbers with more than 38 digits or an exponent of three
 # digits and more, and escapes of surrogates, which may stand alone.
-_MAY_BE_ALTERED = r"[0-9][0-9.]{38}|[0-9][eE][+-]?[0-9]{3}|\\u[dD][89a-fA-F]"
+# A run of digits is looked at from its first digit only; most texts have no escape.
+_LONG_NUMBER = r"[0-9](?<![0-9]{2})(?:[0-9.]{38}|[0-9]*+[eE][+-]?[0-9]{3})"
+_SURROGATE_ESCAPE = r"\\u[dD][89a-fA-F]"
 # A text that is never closed goes on to the end.
 _STRING = r'(?<s>"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+(?:"|\\?\z))'
 # A whole number by the grammar of JSON that is none of the usual ones, and no key.
@@ -43,7 +45,9 @@ def seal_of(body: Column | str) -> Column:
 
 def may_be_altered(body_text: Column | str) -> Column:
     """Could the text hold what `kept_apart` is for?"""
-    return F.coalesce(_col(body_text).rlike(_MAY_BE_ALTERED), F.lit(False))
+    text = _col(body_text)
+    escaped = text.contains("\\u") & text.rlike(_SURROGATE_ESCAPE)
+    return F.coalesce(escaped | text.rlike(_LONG_NUMBER), F.lit(False))
 
 
 def kept_apart(body_text: Column | str, mark: Column | str) -> Column:

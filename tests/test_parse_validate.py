@@ -294,3 +294,16 @@ def test_numbers_of_any_size_agree_with_a_strict_parser(spark, send):
     rows = parse_events(send(*bodies)).select("body", "parse_error").collect()
     wrong = [r.body for r in rows if (r.parse_error != "malformed") != strict(r.body)]
     assert not wrong, wrong[:5]
+
+
+def test_what_may_be_altered_is_found_by_either_look(spark):
+    """The look for numbers starts at runs of digits, that for surrogates at escapes only."""
+    from millrace.functions import json as J
+
+    digits = "1234567890" * 4
+    yes = [digits[:39], "." + digits[:39], "7.5" + digits[:36], "12e100", "1E-300", ".5e+100", "x1e999", r"\ud800", r"\uDfff"]
+    no = [None, "", digits[:38], "1.5e99", "e100", "1ee100", r"A", r"", r"\n", digits[:38] + "x" + digits[:38]]
+    rows = spark.createDataFrame([(t, t in yes) for t in yes + no], "t string, want boolean")
+    wrong = rows.where(J.may_be_altered("t") != rows.want).collect()
+    assert not wrong
+    assert J._LONG_NUMBER.startswith("[0-9](?<![0-9]{2})")

@@ -22,6 +22,7 @@ at all.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator, Mapping, Sequence, Set
 from dataclasses import dataclass
@@ -30,11 +31,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import give_back, slices, with_columns_from
+from millrace.llm.common import give_back, materialise, slices, with_columns_from
 
 MAX_ROWS = 3000
 MAX_ROW_BYTES = 1 << 16
@@ -60,6 +61,8 @@ SKETCH = 8
 SKETCH_SHARED = 4
 # Parts of the training rows, each scored by dictionaries of the others.
 FOLDS = 4
+# What Spark's logarithms may differ by from numpy's.
+ROUNDING_NATS = 1e-6
 
 
 @dataclass(frozen=True)
@@ -174,27 +177,37 @@ def count_parts(texts: Iterable[tuple[str, int]]) -> dict[bytes, list[int]]:
     return counts
 
 
-def telling_parts(counts: Counts, toxic: Sequence[str], ordinary: Sequence[str], without: int | None = None
-                  ) -> set[bytes]:
+def telling_parts(counts: Counts, toxic: Sequence[str], ordinary: Sequence[str], without: int | None = None,
+                  candidates: int | None = None) -> set[bytes]:
     """Parts that tell, by all texts but those of a fold.
 
     Those whose numbers of toxic and ordinary texts are further from the classes'
     proportion, toward the toxic side, than the most extreme of so many would be by
     chance. What all texts have in common tells nothing; an ordinary text that
-    quotes a toxic word, or is labelled wrong, bars nothing.
+    quotes a toxic word, or is labelled wrong, bars nothing. `candidates` says how many
+    parts are in enough toxic texts, if `counts` has only some of them.
     """
     folds = [f for f in range(FOLDS) if f != without]
-    sizes = [sum(_fold(t) != without for t in texts) for texts in (toxic, ordinary)]
-    rate = sizes[0] / max(1, sum(sizes))
+    rate = _toxic_rate(toxic, ordinary, without)
     with_ = {}
     for part, n in counts.items():
         both = sum(n[f] for f in folds), sum(n[FOLDS + f] for f in folds)
         if both[0] >= LEAST_TEXTS:
             with_[part] = both
-    least = LEAST_NATS + np.log(max(1, len(with_)))
+    least = _least_nats(len(with_) if candidates is None else candidates)
     return {part for part, both in with_.items() if _nats(*both, rate) >= least}
 
 
+def _toxic_rate(toxic: Sequence[str], ordinary: Sequence[str], without: int | None) -> float:
+    """The share of toxic texts among all but those of a fold."""
+    sizes = [sum(_fold(t) != without for t in texts) for texts in (toxic, ordinary)]
+    return sizes[0] / max(1, sum(sizes))
+
+
+def _least_nats(candidates: int) -> float:
+    return LEAST_NATS + np.log(max(1, candidates))
+
+
 def train_dictionaries(toxic: Sequence[str], ordinary: Sequence[str], telling: Set[bytes] | None = None
                        ) -> tuple[bytes, bytes]:
     """(ordinary, toxic) dictionary contents, both trained by zstandard.
@@ -308,25 +321,26 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float =
 
 
 def train(toxic: Sequence[str], ordinary: Sequence[str], odds: float | None = None,
-          counts: Counts | None = None) -> ToxicityModel:
+          telling: Mapping[int | None, Set[bytes]] | None = None) -> ToxicityModel:
     """Dictionaries from all texts; the model from texts each left out of a fold's dictionaries.
 
-    `odds` is how many toxic texts come on an ordinary one outside the sample. `counts`
-    are those of `count_parts` over these texts, of which near copies were left out.
+    `odds` is how many toxic texts come on an ordinary one outside the sample. `telling`
+    are the `telling_parts` of these texts without each fold, and of all (None); near
+    copies were left out of them then.
     """
-    if counts is None:
+    if telling is None:
         toxic, ordinary = without_near_copies(toxic), without_near_copies(ordinary)
         counts = count_parts([*[(t, 1) for t in toxic], *[(t, 0) for t in ordinary]])
+        telling = {f: telling_parts(counts, toxic, ordinary, without=f) for f in (*range(FOLDS), None)}
     rows, held = [], []
     for fold in range(FOLDS):
         rest = [[t for t in texts if _fold(t) != fold] for texts in (toxic, ordinary)]
         out = [(t, y) for y, texts in ((1, toxic), (0, ordinary)) for t in texts if _fold(t) == fold]
         if out:
-            telling = telling_parts(counts, toxic, ordinary, without=fold)
-            lengths = WindowLengths(*train_dictionaries(*rest, telling))
+            lengths = WindowLengths(*train_dictionaries(*rest, telling[fold]))
             rows += [features(lengths.differences(t)) for t, _ in out]
             held += out
-    content, beyond = train_dictionaries(toxic, ordinary, telling_parts(counts, toxic, ordinary))
+    content, beyond = train_dictionaries(toxic, ordinary, telling[None])
     if not held:
         held = [("", 0)]
         rows = [features(np.zeros(0, dtype=np.int32))]
@@ -364,43 +378,82 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
         F.col("_id").isNotNull() & F.col("_toxic").isin(0, 1) & ~held_out(F.col("_id")))
     numbers = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}
     odds = numbers[1] / numbers[0] if len(numbers) == 2 else None
-    texts = {}
+    order = [F.xxhash64("_id"), F.col("_id")]
+    parts = []
     for label in (1, 0):
-        order = [F.xxhash64("_id"), F.col("_id")]
         some = known.where(F.col("_toxic") == label).select("_id").distinct().orderBy(*order).limit(max_rows)
         # The sampled ids are bounded in number, so they may be broadcast.
         found = rows.where(F.octet_length("_text") <= max_row_bytes).join(
             F.broadcast(some), "_id", "left_semi")
         taken = found.orderBy(*order, "_text").limit(max_rows)
-        texts[label] = [r["_text"] for r in taken.select("_text").toLocalIterator()]
-    toxic, ordinary = without_near_copies(texts[1]), without_near_copies(texts[0])
-    return train(toxic, ordinary, odds, counted_parts(documents.sparkSession, toxic, ordinary))
-
-
-def counted_parts(spark: SparkSession, toxic: Sequence[str], ordinary: Sequence[str]) -> Counts:
-    """`count_parts` in tasks, of the parts in enough toxic texts to tell."""
-    rows = [(t, 1) for t in toxic] + [(t, 0) for t in ordinary]
-    if not rows:
-        return {}
-    made = pa.table({"text": pa.array([t for t, _ in rows], pa.string()),
-                     "label": pa.array([y for _, y in rows], pa.int32())})
+        parts.append(taken.select("_id", "_text", F.lit(label).alias("_toxic")))
+    # The driver reads the sample from a table, and tasks count its parts there.
+    sample = materialise(parts[0].unionByName(parts[1]), "toxicity-sample")
+    toxic, ordinary = (
+        without_near_copies([r["_text"] for r in sample.where(F.col("_toxic") == label).orderBy(
+            *order, "_text").select("_text").toLocalIterator()])
+        for label in (1, 0))
+    model = train(toxic, ordinary, odds, found_telling_parts(sample, toxic, ordinary))
+    del toxic, ordinary
+    give_back()
+    return model
+
+
+def found_telling_parts(sample: DataFrame, toxic: Sequence[str], ordinary: Sequence[str]
+                        ) -> dict[int | None, set[bytes]]:
+    """`telling_parts` without each fold, and of all texts (None); only parts that may tell reach the driver.
+
+    `sample` has the rows (_text, _toxic) that the toxic and ordinary texts were taken from.
+    """
+    rates = {f: _toxic_rate(toxic, ordinary, f) for f in (*range(FOLDS), None)}
+    if not toxic or not ordinary:
+        return {f: set() for f in rates}
+    names = [f"n{i}" for i in range(2 * FOLDS)]
+    sums = materialise(_counted_parts(sample, toxic, ordinary, names), "toxicity-parts")
+
+    def with_part(label: int, fold: int | None) -> F.Column:
+        first = 0 if label else FOLDS
+        return sum(F.col(names[first + f]) for f in range(FOLDS) if f != fold)
+
+    met = {f: with_part(1, f) >= LEAST_TEXTS for f in rates}
+    totals = sums.agg(*[F.count(F.when(c, 1)) for c in met.values()]).first()
+    candidates = dict(zip(met, totals))
+    may_tell = F.lit(False)
+    for f, rate in rates.items():
+        if 0 < rate < 1:
+            t, o = with_part(1, f), with_part(0, f)
+            n = t + o
+            nats = t * (F.log(t) - F.log(n) - float(np.log(rate))) + F.when(
+                o > 0, o * (F.log(o) - F.log(n) - float(np.log(1 - rate)))).otherwise(0.0)
+            may_tell |= met[f] & (nats >= float(_least_nats(candidates[f])) - ROUNDING_NATS)
+    found = sums.where(may_tell).toArrow()
+    counts = dict(zip(found.column("part").to_pylist(), zip(*[found.column(n).to_pylist() for n in names])))
+    return {f: telling_parts(counts, toxic, ordinary, f, candidates[f]) for f in rates}
+
+
+def _counted_parts(sample: DataFrame, toxic: Sequence[str], ordinary: Sequence[str], names: Sequence[str]
+                   ) -> DataFrame:
+    """`count_parts` in tasks, over the rows of the sample whose texts are given: part and numbers."""
+    kept = {(label, _digest(t)) for label, texts in ((1, toxic), (0, ordinary)) for t in texts}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
-            counts = count_parts(zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()))
+        for batch in slices(batches, "_text", 2 << 20):
+            rows = zip(batch.column("_text").to_pylist(), batch.column("_toxic").to_pylist())
+            counts = count_parts((t, y) for t, y in rows if (y, _digest(t)) in kept)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(counts), pa.binary()),
                  *[pa.array([n[i] for n in counts.values()], pa.int32()) for i in range(2 * FOLDS)]],
                 names=["part", *names])
         give_back()
 
-    names = [f"n{i}" for i in range(2 * FOLDS)]
-    counted = spark.createDataFrame(made).repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(
+    tasks = 4 * sample.sparkSession.sparkContext.defaultParallelism
+    counted = sample.select("_text", "_toxic").distinct().repartition(tasks).mapInArrow(
         run, "part binary, " + ", ".join(f"{n} int" for n in names))
-    sums = counted.groupBy("part").agg(*[F.sum(n).cast("int").alias(n) for n in names])
-    toxic_with = sum(F.col(n) for n in names[:FOLDS])
-    found = sums.where(toxic_with >= LEAST_TEXTS).toArrow()
-    return dict(zip(found.column("part").to_pylist(), zip(*[found.column(n).to_pylist() for n in names])))
+    return counted.groupBy("part").agg(*[F.sum(n).cast("int").alias(n) for n in names])
+
+
+def _digest(text: str) -> bytes:
+    return hashlib.sha256(text.encode()).digest()
 
 
 def score(documents: DataFrame, model: ToxicityModel, text: str = "text", name: str = "score"

@@ -111,6 +111,33 @@ def test_toxicity_odd(spark, documents, rows, none):
     assert toxicity.toxicity(none, labels).count() == 0
 
 
+def test_only_what_may_tell_reaches_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    word = [f"word{n}ish" for n in range(60)]
+    texts = [(i, " ".join(rng.choice(word, 30)) + (" blargword" if i % 3 == 0 and i % 7 else "")) for i in range(240)]
+    documents = spark.createDataFrame([*texts, *texts[:9], (500, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in texts], "doc_id long, toxic int")
+    order = documents.join(labels, "doc_id").where(~toxicity.held_out(documents.doc_id)).selectExpr(
+        "*", "xxhash64(doc_id) AS h").orderBy("h", "text").collect()
+    toxic, ordinary = [[r.text for r in order if r.toxic == y] for y in (1, 0)]
+    numbers = [sum(y == r.toxic for r in {r.doc_id: r for r in order}.values()) for y in (1, 0)]
+    want = toxicity.train(toxic, ordinary, odds=numbers[0] / numbers[1])
+    brought, whole = [], type(documents).toArrow
+
+    def to_arrow(frame):
+        brought.append(whole(frame))
+        return brought[-1]
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("the sample is sent from the driver")
+
+    monkeypatch.setattr(type(documents), "toArrow", to_arrow)
+    monkeypatch.setattr(type(spark), "createDataFrame", refuse)
+    assert toxicity.fit(documents, labels) == want
+    every = toxicity.count_parts([(t, 1) for t in toxic])
+    assert 0 < sum(t.num_rows for t in brought) < len(every) / 3
+
+
 def test_a_quoted_toxic_word_and_a_rare_one_still_count():
     ordinary = [f"plain text number{n} about weather" for n in range(400)]
     ordinary[7] += " he said blargword twice"

@@ -22,6 +22,7 @@ half-written file in the result.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -45,8 +46,10 @@ READ_TOKENS = 1 << 20
 ENCODE_BYTES = 12 << 20
 # Characters of a text by which rows of one doc_id are dealt to files.
 SPLIT_CHARS = 32
-# Words remembered by a task, where no table of frequent words comes with it.
+# Words remembered by a worker, where no table of frequent words comes with a task.
 CACHE_WORDS = 300_000
+# The codec of this process, by its tokenizer's file as it is: a worker serves many tasks.
+_KEPT: dict[tuple[str, int, int], WordCodec] = {}
 
 
 def bit_width(vocabulary: int) -> int:
@@ -145,6 +148,16 @@ class TokenFile:
         return np.concatenate(parts)[begin - skip : end - skip]
 
 
+def kept_codec(tokenizer: str) -> WordCodec:
+    """The codec of this process, with the words that earlier tasks have met."""
+    about = os.stat(tokenizer)
+    key = tokenizer, about.st_mtime_ns, about.st_size
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = WordCodec(tokenizer, cache_words=CACHE_WORDS)
+    return _KEPT[key]
+
+
 def _filesystem(uri: str):
     from pyarrow import fs
 
@@ -178,7 +191,7 @@ def write_token_files(
 
         shard = TaskContext.get().partitionId()
         width = bit_width(max(Tokenizer.from_file(tokenizer).get_vocab_size(), (end_id or 0) + 1))
-        codec = WordCodec(tokenizer, cache_words=CACHE_WORDS)
+        codec = kept_codec(tokenizer)
         writer = sink = path = None
         docs = 0
         for batch in slices(batches, "_text", ENCODE_BYTES):

@@ -480,6 +480,29 @@ def test_components_of_a_path(spark):
     assert got == {**{i: 0 for i in range(201)}, 900: 900, 901: 900}
 
 
+def test_a_worker_keeps_the_words_of_earlier_tasks(texts, tokenizer, monkeypatch):
+    import pyarrow as pa
+
+    def ids(codec, some):
+        return [np.frombuffer(b, dtype="<u4").tolist() for b in codec.encode(pa.array(some, pa.string())).to_pylist()]
+
+    def refuse(self, words, plain=False):
+        assert not words, "a known word is encoded again"
+        return []
+
+    plain = [f"some {w} words {n}, again." for n, w in enumerate(("plain", "short", "known"))]
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in [*texts, *plain]]
+    path = bpe.default_tokenizer()
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 40)
+    monkeypatch.setattr(token_files, "_KEPT", {})
+    for _ in range(3):  # with far more words than are kept
+        assert ids(token_files.kept_codec(path), [*texts, *plain]) == want
+    assert len(token_files.kept_codec(path)._words._young) < 40
+    assert ids(token_files.kept_codec(path), plain) == want[-3:]
+    monkeypatch.setattr(bpe.WordCodec, "_library_words", refuse)
+    assert ids(token_files.kept_codec(path), plain) == want[-3:]
+
+
 # 10 ----------------------------------------------------------------------
 
 URLS = [None, "", "no scheme", "http://Example.COM/en/x?y#z", "https://www.example.com/en/", "http://a.net/es/1",

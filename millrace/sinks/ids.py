@@ -64,13 +64,14 @@ def write_new_events(
     write_ids(events, ids_root, batch)
     for _ in range(_ATTEMPTS):
         base = Table(spark, root).snapshot()
-        new, hits = _without_known(events, root, ids_root, batch, base, days)
+        new, looked_at = _without_known(events, root, ids_root, batch, base, days)
         try:
-            return write_events(dedup_events(new), root, batch, extra, base)
+            return write_events(new, root, batch, extra, base)
         except Conflict:
             continue
         finally:
-            hits.unpersist()
+            for rows in looked_at:
+                rows.unpersist()
     raise Conflict(f"{root} was changed by others {_ATTEMPTS} times in a row")
 
 
@@ -88,8 +89,12 @@ def read_ids(spark: SparkSession, root: str, since: dt.date | None = None) -> Da
 
 
 def _without_known(events: DataFrame, root: str, ids_root: str, batch: str, base: Snapshot,
-                   days: int | None) -> tuple[DataFrame, DataFrame]:
-    """The rows whose id no other batch holds in a snapshot of the table, and what to unpersist."""
+                   days: int | None) -> tuple[DataFrame, list[DataFrame]]:
+    """One row of each id that no other batch holds in a snapshot of the table, and what to unpersist.
+
+    Rows whose hash comes once in the batch, and in no other, go on as they are. Only the
+    others are sent to where their copies are.
+    """
     spark = events.sparkSession
     hashes = events.select(id_hash().alias("id_hash"))
     size = events.agg(F.count("*").alias("rows"), F.min(DAY).alias("first")).first()
@@ -98,11 +103,27 @@ def _without_known(events: DataFrame, root: str, ids_root: str, batch: str, base
     looked_for = F.broadcast(hashes) if size["rows"] <= BROADCAST_IDS else hashes
     hits = others.join(looked_for, "id_hash", "left_semi").select("id_hash", DAY).distinct()
     hits = hits.persist(StorageLevel.MEMORY_AND_DISK)
+    repeated = hashes.groupBy("id_hash").count().where("count > 1")
+    doubtful = hits.select("id_hash").union(repeated.select("id_hash")).distinct()
+    doubtful = doubtful.persist(StorageLevel.MEMORY_AND_DISK)
+    looked_at = [hits, doubtful]
     found = {str(r[DAY]) for r in hits.select(DAY).distinct().collect()}
-    if not found:
-        return events, hits
-    held = _read(spark, Table(spark, root), base, _HELD, days=found).where(F.col(ROW_BATCH) != batch)
-    suspects = events.select("event_id", id_hash().alias("id_hash")).join(
-        hits.select("id_hash"), "id_hash", "left_semi").select("event_id")
-    known = held.select("event_id").join(suspects, "event_id", "left_semi")
-    return events.join(known, "event_id", "left_anti"), hits
+
+    def unknown(rows: DataFrame) -> DataFrame:
+        if not found:
+            return rows
+        held = _read(spark, Table(spark, root), base, _HELD, days=found).where(F.col(ROW_BATCH) != batch)
+        suspects = events.select("event_id", id_hash().alias("id_hash")).join(
+            hits.select("id_hash"), "id_hash", "left_semi").select("event_id")
+        known = held.select("event_id").join(suspects, "event_id", "left_semi")
+        return rows.join(known, "event_id", "left_anti")
+
+    number = doubtful.count()
+    if not number:
+        return events, looked_at
+    if number > BROADCAST_IDS:
+        return dedup_events(unknown(events)), looked_at
+    named = F.broadcast(doubtful.select(F.col("id_hash").alias("_doubtful")))
+    same = id_hash() == F.col("_doubtful")
+    sure = events.join(named, same, "left_anti")
+    return sure.unionByName(dedup_events(unknown(events.join(named, same, "left_semi")))), looked_at

@@ -89,6 +89,28 @@ def test_a_large_batch_is_not_broadcast(spark, roots, monkeypatch):
     assert read_events(spark, root).count() == 750
 
 
+def test_only_doubtful_ids_are_sent_to_their_copies(spark, roots, monkeypatch):
+    """Rows whose hash comes once are neither joined by id nor ordered with others; none is lost or doubled."""
+    root, ids = roots
+    real, plans = ids_module.write_events, []
+
+    def noted(new, *args):
+        plans.append(new._jdf.queryExecution().optimizedPlan().toString())
+        return real(new, *args)
+
+    monkeypatch.setattr(ids_module, "write_events", noted)
+    write_new_events(rows(spark, [str(n) for n in range(50)]), root, ids, "b0")
+    assert "Window" not in plans[-1] and "Join" not in plans[-1]
+    # Known ids, ids that come twice, ids that are both, and new ones.
+    write_new_events(rows(spark, [*map(str, range(40, 80)), *map(str, range(45, 55)), "60", "60"], kind="error"),
+                     root, ids, "b1")
+    assert "Window" in plans[-1]
+    assert [(i, kind) for i, _, kind in held(spark, root)] == sorted(
+        (str(n), "click" if n < 50 else "error") for n in range(80))
+    first = {r.event_id: int(r.payload) for r in batch_events(spark, root, "b1").collect()}
+    assert first == {str(n): n - 40 for n in range(50, 80)}
+
+
 def test_only_days_with_a_hash_are_read(spark, roots, monkeypatch):
     root, ids = roots
     days = [DAY + dt.timedelta(days=n) for n in range(3)]

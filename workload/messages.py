@@ -55,9 +55,10 @@ def as_messages(events: DataFrame) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The table is one file that cannot be split; parsing is dealt out.
-    rows = events_table(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
-    return as_messages(rows)
+    # The table is one file that cannot be split; parsing is dealt out. Dealt by their
+    # columns rows need no sorting to get to the same task in each try.
+    rows = events_table(spark, sf_dir)
+    return as_messages(rows.repartition(spark.sparkContext.defaultParallelism, *rows.columns))
 
 
 def redelivered(envelopes: DataFrame) -> DataFrame:

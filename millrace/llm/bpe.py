@@ -37,8 +37,8 @@ from millrace.llm.common import give_back, slices, with_columns_from
 
 HEAD_WORDS = 1 << 17
 CACHE_WORDS = 60_000
-# Text encoded at once.
-ENCODE_BYTES = 4 << 20
+# Text encoded at once; its words, positions, ids and digests take many times that.
+ENCODE_BYTES = 1 << 20
 LONGEST_CACHED = 64
 
 _SPLIT = re.compile(r"(?<=\S)(?= \S)").split
@@ -101,10 +101,15 @@ class _Recent:
 
     def __init__(self, limit: int, fixed: dict[str, bytes] | None = None) -> None:
         self._limit = limit
-        self._map = dict(fixed or {})
+        self._fixed = fixed
+        self._map: dict[str, bytes] = {}
         self._young: list[str] = []
         self._old: list[str] = []
-        self.get = self._map.get
+        self.get = self._of_either if fixed else self._map.get
+
+    def _of_either(self, word: str) -> bytes | None:
+        found = self._fixed.get(word)
+        return self._map.get(word) if found is None else found
 
     def add(self, new: dict[str, bytes]) -> None:
         """Entries that are not there yet."""
@@ -370,10 +375,12 @@ def encode_and_decode(
     tokenizer: str | None = None,
     text: str = "text",
     head_limit: int = HEAD_WORDS,
+    keep_text: bool = True,
 ) -> DataFrame:
     """Add the ids of each text, the text decoded from them, and number and digests of the two.
 
     `ids` are packed (little-endian unsigned 32-bit), `decoded` is read from them alone.
+    Without `keep_text` the text itself does not come back from the tasks' Python.
     """
     tokenizer = tokenizer or default_tokenizer()
     head = _head_table(documents, tokenizer, text, head_limit)
@@ -398,4 +405,5 @@ def encode_and_decode(
 
         return work
 
-    return with_columns_from(documents, text, REAL_OUTPUTS + DIGESTS, make, ENCODE_BYTES)
+    return with_columns_from(
+        documents, text, REAL_OUTPUTS + DIGESTS, make, ENCODE_BYTES, keep_text)

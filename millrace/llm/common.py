@@ -70,15 +70,19 @@ def with_columns_from(
     fields: Sequence[T.StructField],
     make: Callable[[], Callable[[pa.Array], list[pa.Array]]],
     batch_bytes: int = BATCH_BYTES,
+    keep_column: bool = True,
 ) -> DataFrame:
     """Add `fields`, computed batch by batch from the values of one column.
 
     `make` runs once per task and returns the function for a batch. A column of
-    `rows` that has the name of a new field is replaced.
+    `rows` that has the name of a new field is replaced. Without `keep_column` the
+    column itself is left out.
     """
     names = {f.name.lower() for f in fields}
     kept = rows.select(*[rows[c] for c in rows.columns if c == column or c.lower() not in names])
-    schema = T.StructType([f for f in kept.schema.fields if f.name.lower() not in names] + list(fields))
+    schema = T.StructType(
+        [f for f in kept.schema.fields
+         if f.name.lower() not in names and (keep_column or f.name != column)] + list(fields))
     old = [f.name for f in schema.fields[: len(schema.fields) - len(fields)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

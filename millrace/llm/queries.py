@@ -48,7 +48,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.encode_and_decode(documents).drop("text", "ids", "decoded")
+    return bpe.encode_and_decode(documents, keep_text=False).drop("ids", "decoded")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -367,6 +367,41 @@ def test_bpe_random_unicode(tokenizer):
         assert bpe.decode_ids(packed, pieces) == tokenizer.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_takes_little_memory_at_once(documents, monkeypatch):
+    import random
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from millrace.llm.common import slices
+
+    taken = []
+    monkeypatch.setattr(bpe, "_head_table", lambda *_: SimpleNamespace(value={"word": b"\1\0\0\0"}))
+    monkeypatch.setattr(bpe, "with_columns_from", lambda *given: taken.append(given))
+    bpe.encode_and_decode(documents)
+    make, limit = taken[0][3:5]
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("aeinorst", k=4)) for _ in range(2000)) for _ in range(500)]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+    work = make()
+    tracemalloc.start()
+    try:
+        for part in slices(iter([batch]), "text", limit):
+            work(part.column("text"))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40 << 20, f"{peak >> 20} MB for {batch.nbytes >> 20} MB of text"
+
+
+def test_bpe_without_the_text(documents):
+    got = bpe.encode_and_decode(documents, keep_text=False)
+    assert got.columns == [c for c in bpe.encode_and_decode(documents).columns if c != "text"]
+    whole = bpe.encode_and_decode(documents)
+    assert listed(got, "doc_id", "ids_sha256", "decoded") == listed(whole, "doc_id", "ids_sha256", "decoded")
+
+
 def test_token_files(documents, rows, none, tokenizer):
     ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
     manifest = token_files.write_token_files(documents, token_files.token_folder(documents), end_id=2, block_tokens=64)

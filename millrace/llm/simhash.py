@@ -98,8 +98,10 @@ def linked_fingerprints(fingerprints: DataFrame, name: str = "_fp", max_bits: in
     right = posted.select(F.col("fp").alias("b"), "list", "bytes")
     a, b = F.col("a"), F.col("b")
     tally = sum((_byte(a, i) == _byte(b, i)).cast("int") for i in range(8))
+    # Spark takes the postings for as large as the fingerprints, a 28th of what they are,
+    # and would broadcast them.
     return (
-        left.join(right, ["list", "bytes"])
+        left.join(right.hint("merge"), ["list", "bytes"])
         .where((a < b) & (tally >= shared) & (F.bit_count(a.bitwiseXOR(b)) <= max_bits))
         .select("a", "b")
     )

@@ -17,9 +17,9 @@ over all vectors in Spark.
 
 *Search.* An anchor measures its distances to a node's split points. By the triangle
 inequality each of them bounds the distance of everything below each child; a child
-none of whose vectors can be in the annulus is eliminated. Surviving leaves are cut
-into parts of `PART_ROWS`, anchors meet them by a shuffle, and vectors there are
-scored exactly. The annulus is narrow from the start: the sample already says how
+none of whose vectors can be in the annulus is eliminated. Leaves that follow each
+other in the tree make a part, large ones several (see `part_rows`); an anchor goes once
+to each part with a surviving leaf, by a shuffle, and vectors there are scored exactly. The annulus is narrow from the start: the sample already says how
 good the last of the wanted rows must be at least. What is eliminated cannot hold an
 answer, so results are exact, whatever the sample.
 
@@ -48,7 +48,12 @@ from millrace.llm.common import give_back, materialise
 SAMPLE = 20_000
 FAN_OUT = 16
 LEAF_ROWS = 256
-PART_ROWS = 4096
+# Parts of the table, if they are not larger than this: vectors, and bytes of components.
+PARTS = 128
+PART_ROWS = 1 << 15
+PART_BYTES = 16 << 20
+# Scores taken at once.
+CELLS = 1 << 21
 POSITIVES = 5
 NEGATIVES = 5
 # Of equal rows: as many ids as an answer has, and the anchor's own.
@@ -228,9 +233,35 @@ def scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 class Index:
     """The tree, the sample's bounds and the entries by leaf part."""
 
-    tree: object  # a broadcast of (Tree, sample vectors, sample labels)
+    tree: object  # a broadcast of (Tree, sample vectors, sample labels, Parts)
     entries: DataFrame
-    parts: DataFrame
+    parts: DataFrame  # leaf, first, n: the parts that hold a leaf
+
+
+@dataclass
+class Parts:
+    """Parts `first[b]` to `first[b] + n[b] - 1` hold the leaves of group b."""
+
+    group: np.ndarray  # of each leaf
+    first: np.ndarray
+    n: np.ndarray
+
+
+def part_rows(n: int, dimension: int, leaf_rows: int) -> int:
+    """How many vectors a part has, about: a query travels to each part that may answer it."""
+    return max(1, min(PART_ROWS, PART_BYTES // (8 * dimension), max(leaf_rows, -(-n // PARTS))))
+
+
+def parts_of(sizes: np.ndarray, most: int) -> Parts:
+    """Leaves of these sizes as groups of `most` vectors; a larger leaf is a group of several parts."""
+    group, held = np.zeros(len(sizes), dtype=np.int64), []
+    for leaf, size in enumerate(sizes.tolist()):
+        if not held or held[-1] + size > most:
+            held.append(0)
+        held[-1] += size
+        group[leaf] = len(held) - 1
+    n = np.maximum(1, -(-np.array(held, dtype=np.int64) // most))
+    return Parts(group, np.cumsum(n) - n, n)
 
 
 def index_of(entries: DataFrame, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE) -> Index | None:
@@ -240,7 +271,10 @@ def index_of(entries: DataFrame, leaf_rows: int = LEAF_ROWS, sample_rows: int =
     n, most = entries.agg(F.count("*"), F.max(square)).first()
     if not n:
         return None
-    picked = entries.select("v", "label", F.xxhash64("v", "label").alias("_h")).orderBy("_h").limit(sample_rows)
+    # Rows that cannot be among the first by hash, as good as surely, are not sorted.
+    within = int(-(1 << 63) + min(1.0, 1.2 * (sample_rows + 1000) / n) * ((1 << 64) - 2048))
+    picked = entries.select("v", "label", F.xxhash64("v", "label").alias("_h")).where(
+        F.col("_h") <= within).orderBy("_h").limit(sample_rows)
     taken = picked.select("v", "label").toArrow()
     sample = matrix(taken.column("v").combine_chunks())
     labels = taken.column("label").to_numpy()
@@ -271,16 +305,20 @@ def index_of(entries: DataFrame, leaf_rows: int = LEAF_ROWS, sample_rows: int =
 
     # As many rows as the tree has pairs of split points, and no more.
     ranges = placed.select("v").mapInArrow(measure, "node int, i int, j int, low double, high double").groupBy(
-        "node", "i", "j").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect()
+        "node", "i", "j").agg(F.min("low").alias("low"), F.max("high").alias("high")).toArrow()
     for node in tree.nodes:
         size = len(node.points)
         node.low, node.high = np.full((size, size), np.inf), np.full((size, size), -np.inf)
-    for r in ranges:
-        tree.nodes[r["node"]].low[r["i"], r["j"]] = r["low"]
-        tree.nodes[r["node"]].high[r["i"], r["j"]] = r["high"]
-    parts = placed.groupBy("leaf").agg(
-        F.ceil(F.count("*") / F.lit(PART_ROWS)).cast("int").alias("parts"))
-    return Index(spark.sparkContext.broadcast((tree, sample, labels)), placed, parts)
+    for at, i, j, low, high in zip(*[ranges.column(c).to_numpy() for c in ("node", "i", "j", "low", "high")]):
+        tree.nodes[at].low[i, j], tree.nodes[at].high[i, j] = low, high
+    # As many rows as the tree has leaves, which are no more than the sample has vectors.
+    counted = placed.groupBy("leaf").count().toArrow()
+    sizes = np.zeros(tree.leaves or 1, dtype=np.int64)
+    sizes[counted.column("leaf").to_numpy()] = counted.column("count").to_numpy()
+    parts = parts_of(sizes, part_rows(n, sample.shape[1], leaf_rows))
+    of_leaf = pa.table({"leaf": pa.array(range(len(sizes)), pa.int32()), "first": pa.array(parts.first[parts.group]),
+                        "n": pa.array(parts.n[parts.group])})
+    return Index(spark.sparkContext.broadcast((tree, sample, labels, parts)), placed, spark.createDataFrame(of_leaf))
 
 
 def search(index: Index, wanted: DataFrame, k: int, same: bool) -> DataFrame:
@@ -294,7 +332,7 @@ def search(index: Index, wanted: DataFrame, k: int, same: bool) -> DataFrame:
     order = [F.desc("score"), "id"]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, sample, labels = sent.value
+        tree, sample, labels, parts = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -320,39 +358,40 @@ def search(index: Index, wanted: DataFrame, k: int, same: bool) -> DataFrame:
                 lifted, by = (a[rows] for a in tree.stretch(x.astype(np.float64)))
                 far, near = (tree.distance_of(s, lifted, by) for s in (lows, highs))
                 which, leaves = tree.leaves_within(lifted, near, far)
-                # All windows of a query that a leaf may answer go there together.
+                # All windows of a query that a part may answer go there together.
                 found: dict[tuple[int, int], list] = {}
-                for w, leaf in zip(which.tolist(), leaves.tolist()):
-                    found.setdefault((int(rows[w]), leaf), []).append(
-                        {"low": int(lows[w]), "high": int(highs[w])})
-                take = pa.array([i for i, _ in found], pa.int64())
+                groups = len(parts.n)
+                for pair in np.unique(which * groups + parts.group[leaves]).tolist():
+                    w, group = divmod(pair, groups)
+                    found.setdefault((int(rows[w]), group), []).append({"low": int(lows[w]), "high": int(highs[w])})
+                at_group = np.array([g for _, g in found], dtype=np.int64)
+                n = parts.n[at_group]
+                # A group has all its parts' numbers in a row.
+                number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(parts.first[at_group], n)
+                again = pa.array(np.repeat(np.arange(len(found)), n))
+                take = pa.array([i for i, _ in found], pa.int64()).take(again)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("query").take(take), part.column("v").take(take), part.column("label").take(take),
-                     pa.array(list(found.values()), part.column("windows").type),
-                     pa.array([leaf for _, leaf in found], pa.int32())],
-                    names=["query", "v", "label", "windows", "leaf"])
+                     pa.array(list(found.values()), part.column("windows").type).take(again), pa.array(number)],
+                    names=["query", "v", "label", "windows", "part"])
 
     windows = "array<struct<low:bigint,high:bigint>>"
     asked = wanted.select("query", "v", "label", "windows")
+    # Never a side of a join: Spark takes these rows for as few as the queries.
     reads = asked.repartition(_partitions(asked), "query").mapInArrow(
-        route, f"query long, v array<long>, label long, windows {windows}, leaf int")
-    reads = reads.join(index.parts, "leaf").select(
-        "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "query", "v", "label",
-        "windows", F.lit(None).cast("array<long>").alias("ids"))
-    held = index.entries.join(index.parts, "leaf").select(
-        "leaf", F.pmod(F.xxhash64("v", "label"), F.col("parts")).cast("int").alias("part"),
-        F.lit(None).cast("long").alias("query"), "v", "label", F.lit(None).cast(windows).alias("windows"), "ids")
+        route, f"query long, v array<long>, label long, windows {windows}, part long").withColumn(
+        "ids", F.lit(None).cast("array<long>"))
+    held = index.entries.join(F.broadcast(index.parts), "leaf").select(
+        F.lit(None).cast("long").alias("query"), "v", "label", F.lit(None).cast(windows).alias("windows"),
+        (F.col("first") + F.pmod(F.xxhash64("v", "label"), F.col("n"))).alias("part"), "ids")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, x = None, [], None
         for batch in batches:
-            places = list(zip(batch.column("leaf").to_pylist(), batch.column("part").to_pylist()))
+            places = batch.column("part").to_numpy()
             asks = np.asarray(batch.column("query").is_valid())
-            i = 0
-            while i < len(places):
-                j = i
-                while j < len(places) and places[j] == places[i] and asks[j] == asks[i]:
-                    j += 1
+            ends = [*(np.flatnonzero((places[1:] != places[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), len(places)]
+            for i, j in zip([0, *ends], ends):
                 if places[i] != key:
                     key, held, x = places[i], [], None
                 some = batch.slice(i, j - i)
@@ -362,13 +401,14 @@ def search(index: Index, wanted: DataFrame, k: int, same: bool) -> DataFrame:
                 elif held:
                     if x is None:
                         x = _entries(held)
-                    yield _best(some, *x, k, same)
-                i = j
+                    step = max(1, CELLS // len(x[0]))
+                    for at in range(0, j - i, step):
+                        yield _best(some.slice(at, step), *x, k, same)
         give_back()
 
     found = (
-        held.unionByName(reads).repartition(_partitions(asked), "leaf", "part")
-        .sortWithinPartitions("leaf", "part", F.col("query").isNotNull())
+        held.unionByName(reads).repartition(_partitions(asked), "part")
+        .sortWithinPartitions("part", F.col("query").isNotNull())
         .mapInArrow(answer, "query long, high long, score long, ids array<long>, own boolean")
     )
     each = found.select("query", "high", "score", "own", F.explode("ids").alias("id"))
@@ -402,13 +442,17 @@ def _best(asked: pa.RecordBatch, x: np.ndarray, labels: np.ndarray, first: np.nd
     out: tuple[list, list, list, list, list] = ([], [], [], [], [])
     q = matrix(asked.column("v"))
     points = scores(x, q)
-    for row, (query, label, windows) in enumerate(zip(
-            asked.column("query").to_pylist(), asked.column("label").to_pylist(),
-            asked.column("windows").to_pylist())):
+    label = asked.column("label").to_numpy(zero_copy_only=False)
+    each = [[_ends(w) for w in windows] for windows in asked.column("windows").to_pylist()]
+    least, most = (np.array([f(e[i] for e in ends) for ends in each]) for i, f in ((0, min), (1, max)))
+    rows, places = np.nonzero(((labels[None, :] == label[:, None]) == same)
+                              & (points >= least[:, None]) & (points <= most[:, None]))
+    begins = np.searchsorted(rows, np.arange(len(q) + 1))
+    for row, (query, ends) in enumerate(zip(asked.column("query").to_pylist(), each)):
+        may = places[begins[row] : begins[row + 1]]
+        if not len(may):
+            continue
         mine = points[row]
-        ends = [_ends(w) for w in windows]
-        may = np.flatnonzero(((labels == label) == same) & (mine >= min(e[0] for e in ends))
-                             & (mine <= max(e[1] for e in ends)))
         may = may[np.lexsort((first[may], -mine[may]))]
         for low, high in ends:
             inside = may[(mine[may] >= low) & (mine[may] <= high)][:k].tolist()
@@ -440,11 +484,10 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, least_share: tuple[int, i
     rows = rows.where(F.size("v") == sizes["d"])
     index = index_of(materialise(entries_of(rows), "gnat-distinct"), leaf_rows, sample_rows)
     anchors = rows.where(is_anchor).select(F.col("id").alias("anchor_id"), "label", "v").distinct()
-    anchors = materialise(anchors, "gnat-anchors")
-    once = anchors.groupBy("label", "v").agg(F.min("anchor_id").alias("least"))
     # Anchors may share an id, so queries have a number of their own.
-    once = materialise(once.withColumn("query", F.xxhash64("least", "label", "v")), "gnat-queries")
-    asked = anchors.join(once, ["label", "v"]).select("anchor_id", "query")
+    anchors = materialise(anchors.withColumn("query", F.xxhash64("label", "v")), "gnat-anchors")
+    once = materialise(anchors.select("query", "label", "v").distinct(), "gnat-queries")
+    asked = anchors.select("anchor_id", "query")
 
     free = F.struct(F.lit(None).cast("long").alias("low"), F.lit(None).cast("long").alias("high"))
     near = search(index, once.withColumn("windows", F.array(free)), POSITIVES + 1, True)
@@ -462,7 +505,8 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, least_share: tuple[int, i
     least = F.call_function("div", score.cast("decimal(19,0)") * part + (whole - 1), F.lit(whole).cast("decimal(10,0)"))
     window = positives.where(score >= 0).groupBy("query").agg(
         F.array_sort(F.collect_set(F.struct(least.alias("low"), score.alias("high")))).alias("windows"))
-    near = search(index, once.join(window, "query"), NEGATIVES, False)
+    # Vectors in a file are a few times smaller than in a broadcast.
+    near = search(index, once.join(window.hint("merge"), "query"), NEGATIVES, False)
     by_pair = Window.partitionBy("anchor_id", "query", "positive_id", "_p").orderBy("_r")
     found = positives.join(near.withColumnRenamed("high", "positive_score"), ["query", "positive_score"]).withColumn(
         "rank", F.row_number().over(by_pair))

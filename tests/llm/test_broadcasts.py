@@ -1,8 +1,11 @@
 """What is made larger than Spark reckons is not sent to the driver, however small it is here."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from millrace.llm import hard_negatives as H
 from millrace.llm import simhash
+from millrace.llm.common import materialise
 
 
 def final_plan(rows):
@@ -18,3 +21,41 @@ def test_postings_of_fingerprints_are_not_broadcast(spark):
     plan = final_plan(links)
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert links.distinct().count() == 300
+
+
+def below_broadcasts(plan):
+    """The lines of a plan that lie below a broadcast."""
+    out, edge = [], None
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*"))
+        edge = None if edge is not None and depth <= edge else edge
+        if edge is not None:
+            out.append(line)
+        elif "BroadcastExchange" in line:
+            edge = depth
+    return out
+
+
+def test_routed_queries_are_not_broadcast(spark):
+    rng = np.random.default_rng(7)
+    x = rng.integers(-90, 90, (3000, 8))
+    rows = spark.createDataFrame([(i, i % 3, v) for i, v in enumerate(x.tolist())], "id long, label long, v array<long>")
+    index = H.index_of(materialise(H.entries_of(rows), "entries"), leaf_rows=4)
+    free = F.array(F.struct(*[F.lit(None).cast("long").alias(c) for c in ("low", "high")]))
+    asked = materialise(rows.where("id % 150 = 0").coalesce(1).withColumn("windows", free).withColumnRenamed("id", "query"), "asked")
+    near = H.search(index, asked, 3, True)
+    lines = below_broadcasts(final_plan(near))
+    assert lines and not any("route(" in line for line in lines)
+    score = x[::150] @ x.T
+    score[:, np.arange(3000) % 3 != 0] = -(1 << 40)
+    got = sorted((r["query"], -r["score"]) for r in near.collect())
+    assert got == sorted((150 * i, -s) for i, row in enumerate(score) for s in np.sort(row)[-3:].tolist())
+
+
+def test_leaves_that_follow_each_other_make_parts():
+    parts = H.parts_of(np.array([3, 4, 0, 25, 2, 9, 1]), 10)
+    assert parts.group.tolist() == [0, 0, 0, 1, 2, 3, 3]
+    assert parts.first.tolist() == [0, 1, 4, 5] and parts.n.tolist() == [1, 3, 1, 1]
+    # A query goes to no more parts than PARTS, until a part would be too large to hold.
+    assert H.part_rows(10_000, 64, 256) == 256 and H.part_rows(1_000_000, 64, 256) == 7813
+    assert H.part_rows(1 << 40, 64, 256) == 1 << 15 and H.part_rows(1 << 40, 4096, 256) == 512

@@ -1,17 +1,20 @@
-"""Personal data: patterns, and the terms around them that give them away.
+"""Personal data: patterns, and the terms of their texts that give them away.
 
 Base spans are e-mail addresses, IPv4 addresses, card numbers and phone numbers,
 each found leftmost and without overlap of its kind. A value found so is a
-protected entity. Terms that stand near it (whole words of four letters or more
-within `CONTEXT_CHARS` on either side) are weighed by what the corpus tells:
+protected entity. The terms of the same text, wherever they stand in it (whole words
+of four letters or more outside the base spans), are weighed by what the corpus tells:
 
-    bits(t, e) = log2( P(e near t | t in text) / P(e in text) )
+    bits(t, e) = log2( P(e in text | t in text) / P(e in text) )
 
-in document frequencies over all rows. A term discloses an entity when the pair
-is near each other in `MIN_SUPPORT` rows or more, at least `MIN_SHARE` of the
-rows with the term have it near the entity, and the bits reach `MIN_BITS`.
-Its places near that entity become spans of kind `term`; those that overlap a
-base span are part of it already. Sanitising puts `[KIND]` for each span.
+in document frequencies over all rows. A term discloses an entity when both are in
+`MIN_SUPPORT` rows or more, at least `MIN_SHARE` of the rows with the term have the
+entity, too, and the bits reach `MIN_BITS`. All its places in texts with that entity
+become spans of kind `term`; words that overlap a base span are part of it already.
+Sanitising puts `[KIND]` for each span.
+
+No pair is weighed that cannot disclose: an entity of fewer than `MIN_SUPPORT` rows, or
+a term of more rows than its share allows beside all rows of the entity.
 
 Built-in expressions only. The patterns are written so that no text makes the
 regular expression engine go back far or deep: a run of characters is tried
@@ -21,12 +24,11 @@ count as empty. Rows are told apart by doc_id and text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import free_names, materialise
 
-CONTEXT_CHARS = 48
 MIN_TERM = 4
 MIN_SUPPORT = 3
 MIN_SHARE = 0.5
@@ -88,10 +90,6 @@ def _valid(kind: str):
     return lambda s: _VALID[kind](s["value"])
 
 
-def _with_kind(kind: str):
-    return lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("s"))
-
-
 def _place_of(kind: str):
     return lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"))
@@ -124,16 +122,23 @@ def _located(gaps: Column, values: Column) -> Column:
     return F.when(F.size(values) > 0, placed).otherwise(nothing)
 
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_TERM), F.lit(0))
+
+
+def _row_name() -> Column:
+    """doc_id and _key as one text that is never null."""
+    id_ = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("-"))
+    return F.concat(id_, F.lit(":"), F.col("_key").cast("string"))
+
+
 def _row(documents: DataFrame, text: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     return documents.select("doc_id", F.xxhash64(text).alias("_key"), body.alias("_text"))
 
 
 def base_spans(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Per row: doc_id, _key, and per kind an array of (start, end, value, left, right).
-
-    `left` and `right` are the text around the span.
-    """
+    """Per row: doc_id, _key, per kind an array of (start, end, value), and _text if there are any."""
     body = F.col("_text")
     rows = _row(documents, text)
     for kind in KINDS:
@@ -143,95 +148,95 @@ def base_spans(documents: DataFrame, text: str = "text") -> DataFrame:
         rows = rows.withColumn(f"_g_{kind}", F.when(
             F.size(f"_m_{kind}") > 0, F.split(body, PATTERNS[kind], -1)))
 
-    def around(s: Column) -> Column:
-        # One character more than the context tells a cut word from a whole one.
-        begin = F.greatest(s["start"] - CONTEXT_CHARS - 1, F.lit(0))
-        return F.struct(
-            s["start"], s["end"], s["value"], begin.alias("from"),
-            body.substr(begin + 1, s["start"] - begin).alias("left"),
-            body.substr(s["end"] + 1, F.lit(CONTEXT_CHARS + 1)).alias("right"))
-
     kinds = [
-        F.transform(
-            F.filter(F.when(F.col(f"_g_{kind}").isNotNull(),
-                            _located(F.col(f"_g_{kind}"), F.col(f"_m_{kind}")))
-                     .otherwise(F.array().cast(_PLACE)),
-                     _valid(kind)),
-            around).alias(kind)
+        F.filter(F.when(F.col(f"_g_{kind}").isNotNull(),
+                        _located(F.col(f"_g_{kind}"), F.col(f"_m_{kind}")))
+                 .otherwise(F.array().cast(_PLACE)),
+                 _valid(kind)).alias(kind)
         for kind in KINDS
     ]
-    return rows.select("doc_id", "_key", *kinds)
-
-
-def _near(spans: DataFrame) -> DataFrame:
-    """Terms near entities: doc_id, _key, kind, value, term, start, end (code points)."""
-    each = F.concat(*[
-        F.transform(kind, _with_kind(kind)) for kind in KINDS])
-    places = F.flatten(F.array(*[
-        F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-        for kind in KINDS]))
-    one = spans.select("doc_id", "_key", places.alias("base"), F.explode(each).alias("e")).select(
-        "doc_id", "_key", "base", "e.kind", "e.s.*")
-    sides = []
-    for side, offset in (("left", F.col("from")), ("right", F.col("end"))):
-        words = F.regexp_extract_all(F.col(side), F.lit(_TERM), F.lit(0))
-        gaps = F.split(F.col(side), _TERM, -1)
-        found = one.select("doc_id", "_key", "base", "kind", "value", F.col(side).alias("side"),
-                           offset.alias("offset"), words.alias("words"), gaps.alias("gaps"))
-        found = found.where(F.size("words") > 0).select(
-            "*", F.explode(_located(F.col("gaps"), F.col("words"))).alias("t"))
-        # A word that touches the far edge of the context may go on beyond it.
-        whole = (F.col("t.start") > 0) | (F.col("offset") == 0) if side == "left" else (
-            F.col("t.end") <= CONTEXT_CHARS)
-        sides.append(found.where(whole).select(
-            "doc_id", "_key", "base", "kind", "value", F.lower("t.value").alias("term"),
-            (F.col("offset") + F.col("t.start")).alias("start"),
-            (F.col("offset") + F.col("t.end")).alias("end")))
-    near = sides[0].union(sides[1])
-    return near.where(~F.exists("base", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-                      ).drop("base")
+    return rows.select("doc_id", "_key", *kinds, "_text").withColumn(
+        "_text", F.when(sum(F.size(kind) for kind in KINDS) > 0, F.col("_text")))
+
+
+def holders(spans: DataFrame) -> DataFrame:
+    """(_row, kind, value, n_entity): entities of MIN_SUPPORT rows or more, with the rows that hold them."""
+    here = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("s")) for k in KINDS])
+    values = spans.where(F.col("_text").isNotNull()).select(
+        _row_name().alias("_row"), F.explode(here).alias("k")).select(
+        "_row", "k.kind", F.explode("k.s.value").alias("value")).distinct()
+    entities = values.groupBy("kind", "value").agg(F.count("*").alias("n_entity")).where(
+        F.col("n_entity") >= MIN_SUPPORT)
+    return values.join(entities, ["kind", "value"]).select("_row", "kind", "value", "n_entity")
+
+
+def places_of_terms(spans: DataFrame, held: DataFrame) -> DataFrame:
+    """(_row, term, start, end): the words outside base spans, in all rows that hold an entity of `held`."""
+    known = held.select("_row").distinct()
+    rows = spans.where(F.col("_text").isNotNull()).withColumn("_row", _row_name()).dropDuplicates(
+        ["_row"]).join(known, "_row", "left_semi")
+    words = rows.select(
+        "_row", F.explode(_located(F.split("_text", _TERM, -1), _words(F.col("_text")))).alias("t")).select(
+        "_row", F.lower("t.value").alias("term"), "t.start", "t.end")
+    places = F.flatten(F.array(*[F.transform(kind, _place_of(kind)) for kind in KINDS]))
+    base = rows.select("_row", F.explode(places).alias("b")).select(
+        "_row", F.lit(None).cast("string").alias("term"), "b.start", "b.end")
+    # In the order of the text: does a span from before reach into a word, or the next
+    # one begin in it?
+    is_base = F.col("term").isNull()
+    before = Window.partitionBy("_row").orderBy("start", is_base.desc()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy("_row").orderBy(F.desc("start"), is_base).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    return (
+        words.union(base)
+        .withColumn("_reach", F.max(F.when(is_base, F.col("end"))).over(before))
+        .withColumn("_next", F.min(F.when(is_base, F.col("start"))).over(after))
+        .where(~is_base & (F.coalesce(F.col("_reach") <= F.col("start"), F.lit(True)))
+               & (F.coalesce(F.col("_next") >= F.col("end"), F.lit(True))))
+        .select("_row", "term", "start", "end")
+    )
 
 
 def term_frequencies(documents: DataFrame, text: str = "text") -> DataFrame:
     """(term, n_rows): in how many rows each term occurs, over all texts."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(_TERM), F.lit(0)))
+    words = F.array_distinct(F.transform(_words(F.col(text)), F.lower))
     return documents.select(F.explode(words).alias("term")).groupBy("term").agg(
         F.count("*").alias("n_rows"))
 
 
-def disclosing_terms(spans: DataFrame, documents: DataFrame, text: str = "text") -> DataFrame:
+def disclosing_terms(held: DataFrame, places: DataFrame, documents: DataFrame, text: str = "text") -> DataFrame:
     """(kind, value, term) of the terms that disclose an entity."""
     rows = documents.count()
-    entity = ["kind", "value"]
-    here = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("s")) for k in KINDS])
-    values = spans.select("doc_id", "_key", F.explode(here).alias("k")).select(
-        "doc_id", "_key", "k.kind", F.explode("k.s.value").alias("value")).distinct()
-    n_entity = values.groupBy(*entity).agg(F.count("*").alias("n_entity"))
-    near = _near(spans).select("doc_id", "_key", *entity, "term").distinct()
-    pairs = near.groupBy(*entity, "term").agg(F.count("*").alias("n_near")).where(
-        F.col("n_near") >= MIN_SUPPORT)
-    share = F.col("n_near") / F.col("n_rows")
+    # A term's rows with the entity are no more than the entity's rows.
+    most = held.agg(F.max("n_entity")).first()[0] or 0
+    frequencies = term_frequencies(documents, text).where(
+        (F.col("n_rows") >= MIN_SUPPORT) & (F.col("n_rows") * MIN_SHARE <= most))
+    # Spark takes what comes of an explode for as few rows as there were texts.
+    terms = places.select("_row", "term").distinct().join(frequencies.hint("merge"), "term")
+    share = F.col("n_both") / F.col("n_rows")
     bits = F.log2(share / (F.col("n_entity") / F.lit(float(max(1, rows)))))
     return (
-        pairs.join(term_frequencies(documents, text), "term").join(n_entity, entity)
-        .where((share >= MIN_SHARE) & (bits >= MIN_BITS))
-        .select(*entity, "term")
+        held.join(terms.hint("merge"), "_row").where(F.col("n_rows") * MIN_SHARE <= F.col("n_entity"))
+        .groupBy("kind", "value", "term", "n_entity", "n_rows").agg(F.count("*").alias("n_both"))
+        .where((F.col("n_both") >= MIN_SUPPORT) & (share >= MIN_SHARE) & (bits >= MIN_BITS))
+        .select("kind", "value", "term")
     )
 
 
 def find_spans(documents: DataFrame, text: str = "text") -> DataFrame:
     """Per row: doc_id, _key, the base spans by kind, and `term` spans (start, end)."""
     spans = materialise(base_spans(documents, text), "pii-spans")
-    telling = materialise(disclosing_terms(spans, documents, text), "pii-terms")
+    held = materialise(holders(spans), "pii-holders")
+    places = materialise(places_of_terms(spans, held), "pii-places")
+    telling = materialise(disclosing_terms(held, places, documents, text), "pii-terms")
+    masked = held.join(telling, ["kind", "value"]).select("_row", "term").distinct()
     terms = (
-        _near(spans).join(telling, ["kind", "value", "term"])
-        .select("doc_id", "_key", "start", "end").distinct()
-        .groupBy("doc_id", "_key")
+        places.join(masked.hint("merge"), ["_row", "term"]).groupBy("_row")
         .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("term"))
-        .withColumnsRenamed({"doc_id": "_id", "_key": "_k"})
+        .withColumnRenamed("_row", "_r")
     )
-    same = spans["doc_id"].eqNullSafe(terms["_id"]) & (spans["_key"] == terms["_k"])
-    return spans.join(terms, same, "left").select(
+    return spans.withColumn("_row", _row_name()).join(terms, F.col("_row") == F.col("_r"), "left").select(
         "doc_id", "_key", *KINDS,
         F.coalesce("term", F.array().cast("array<struct<start:int,end:int>>")).alias("term"))
 

@@ -1,5 +1,6 @@
 """What is made larger than Spark reckons is not sent to the driver, however small it is here."""
 
+import corpus_pipeline as P
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -59,3 +60,14 @@ def test_leaves_that_follow_each_other_make_parts():
     # A query goes to no more parts than PARTS, until a part would be too large to hold.
     assert H.part_rows(10_000, 64, 256) == 256 and H.part_rows(1_000_000, 64, 256) == 7813
     assert H.part_rows(1 << 40, 64, 256) == 1 << 15 and H.part_rows(1 << 40, 4096, 256) == 512
+
+
+def test_names_of_kept_documents_are_not_broadcast(spark):
+    texts = [f"{'abcdefgh'[i % 8]}{i} of a text that is like no other {i * i} {i ^ 55}" for i in range(150)]
+    made = [(i, texts[i % 150]) for i in range(300)]
+    kept = P.drop_near_duplicates(spark, spark.createDataFrame(made, "doc_id long, text string"), "")
+    plan = final_plan(kept)
+    assert "LeftSemi" in plan and "SortMergeJoin" in plan
+    assert not any("BroadcastHashJoin" in line and "LeftSemi" in line for line in plan.splitlines())
+    got = [r["doc_id"] for r in kept.collect()]
+    assert len(got) == len(set(got)) <= 150 and max(got) < 150
